@@ -4,9 +4,10 @@ The classifier is linear over binary features of a text: its words and their fir
 64-bit hashes. It learns from confirmed toxic texts (P) and from texts whose label is not looked at (U),
 with the class prior pi, by the non-negative risk estimator
 
-    pi * E_P[l(f)] + max(0, E_U[l(-f)] - pi * E_P[l(-f)])        with l(z) = 1 / (1 + exp(z)),
+    pi * E_P[l(f)] + max(0, E_U[l(-f)] - pi * E_P[l(-f)])        with l(z) = log(1 + exp(-z)),
 
-where a step goes against the gradient of the bracket while that is negative. A logistic curve over
+where a step goes against the gradient of the bracket while that is negative. Weights start at the log odds
+that pi and the rates in P and U give. A logistic curve over
 labelled rows of the learning fold then turns f into a probability. Samples are bounded (``POSITIVE``,
 ``UNLABELLED``, ``CALIBRATION`` rows, taken by a hash of the id); scores cover all rows and whole texts.
 """
@@ -25,10 +26,12 @@ from pyspark.sql import types as T
 from quillmark.llm.kernel import mix, runs, slices, span_hashes
 
 POSITIVE, UNLABELLED, CALIBRATION = 3000, 9000, 3000
-#: Features that are learned, those whose counts in P and U differ most.
-FEATURES = 8192
+#: Features that are learned: at most so many, only those whose rates in P and U differ by so many standard
+#: errors, and only those with which a text is toxic at this rate, as pi, P and U have it. The last keeps out
+#: what toxic texts have for another reason, such as their length.
+FEATURES, LEAST_Z, LEAST_RATE = 8192, 5.0, 0.4
 PREFIXES = (4, 5, 6)
-STEPS, RATE, DECAY = 300, 0.1, 1e-4
+STEPS, RATE = 200, 1.0
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -84,16 +87,20 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], labelled: list
         p = min(max(prior, 1e-6), 0.4)
         return Model(np.zeros(0, dtype=np.uint64), np.zeros(0), 0.0, 1.0, float(np.log(p / (1 - p))))
     count = lambda x: np.unique(np.concatenate(x), return_counts=True)
+    positive, unlabelled = _without_copies(positive, unlabelled)
     hp, cp = count(positive)
     hu, cu = count(unlabelled)
     both = np.union1d(hp, hu)
     p, u = np.zeros(len(both)), np.zeros(len(both))
     p[np.searchsorted(both, hp)], u[np.searchsorted(both, hu)] = cp, cu
     rate_p, rate_u = p / len(positive), u / len(unlabelled)
-    gain = np.abs(rate_p - rate_u) / np.sqrt((p + u + 4) / (len(positive) + len(unlabelled)))
-    gain[p + u < 5] = 0
-    chosen = np.sort(np.argsort(-gain, kind="stable")[:FEATURES])
-    chosen = chosen[gain[chosen] > 0]
+    pooled = (p + u) / (len(positive) + len(unlabelled))
+    gain = np.abs(rate_p - rate_u) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-9) * (1 / len(positive) + 1 / len(unlabelled)))
+    chosen = np.argsort(-gain, kind="stable")[:FEATURES]
+    rate = prior * (p + 0.5) / (len(positive) + 1) / ((u + 0.5) / (len(unlabelled) + 1))
+    chosen = np.sort(chosen[(gain[chosen] >= LEAST_Z) & (rate[chosen] >= LEAST_RATE)])
+    if not len(chosen):
+        return fit([], [], [], prior)
     hashes = both[chosen]
 
     def matrix(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -104,23 +111,20 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], labelled: list
         return row[keep], at[keep]
 
     (rp, fp), (ru, fu) = matrix(positive), matrix(unlabelled)
-    w, bias = np.zeros(len(hashes)), 0.0
-    m, v = np.zeros(len(hashes) + 1), np.zeros(len(hashes) + 1)
-    loss = lambda z: 1 / (1 + np.exp(np.clip(z, -30, 30)))
-    for step in range(1, STEPS + 1):
+    q, base = np.clip(rate[chosen], 0.02, 0.98), min(max(prior, 1e-3), 0.5)
+    bias = float(np.log(base / (1 - base))) - 1
+    w = np.log(q / (1 - q)) - bias
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    for _ in range(STEPS):
         zp = np.bincount(rp, weights=w[fp], minlength=len(positive)) + bias
         zu = np.bincount(ru, weights=w[fu], minlength=len(unlabelled)) + bias
-        lp, lu = loss(zp), loss(-zu)
-        negative = lu.mean() - prior * loss(-zp).mean()
-        slope_p, slope_u = lp * (1 - lp) / len(positive), lu * (1 - lu) / len(unlabelled)
+        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         if negative >= 0:
-            gp, gu = -2 * prior * slope_p, slope_u
+            gp, gu = np.full(len(zp), -prior / len(positive)), sigmoid(zu) / len(unlabelled)
         else:  # undo what has been overfitted
-            gp, gu = prior * slope_p, -slope_u
-        g = np.append(np.bincount(fp, weights=gp[rp], minlength=len(w)) + np.bincount(fu, weights=gu[ru], minlength=len(w)) + DECAY * w, gp.sum() + gu.sum())
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-10)
-        w, bias = w - move[:-1], bias - move[-1]
+            gp, gu = prior * sigmoid(zp) / len(positive), -sigmoid(zu) / len(unlabelled)
+        w = w - RATE * (np.bincount(fp, weights=gp[rp], minlength=len(w)) + np.bincount(fu, weights=gu[ru], minlength=len(w)))
+        bias -= RATE * (gp.sum() + gu.sum())
     model = Model(hashes, w, float(bias), 1.0, 0.0)
     y = np.array([label for _, label in labelled], dtype=float)
     if len(labelled) and 0 < y.sum() < len(y):
@@ -130,16 +134,34 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], labelled: list
     return model
 
 
+def _without_copies(*samples: list[np.ndarray]) -> list[list[np.ndarray]]:
+    """Of texts that share their min-hash over rare features one stays in each sample: copies would vouch for their every word."""
+    flat = np.concatenate([t for x in samples for t in x])
+    hashes, back, n = np.unique(flat, return_inverse=True, return_counts=True)
+    rare = n[back] <= max(2, sum(map(len, samples)) // 200)
+    out, at = [], 0
+    for texts in samples:
+        kept: dict[int, np.ndarray] = {}
+        for k, t in enumerate(texts):
+            own = t[rare[at : at + len(t)]]
+            at += len(t)
+            kept.setdefault(int(mix(own).min()) if len(own) else -k - 1, t)
+        out.append(list(kept.values()))
+    return out
+
+
 def _logistic(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and shift by Newton steps, with a little weight on slope 1 and shift 0 so that they stay finite."""
     scale = max(1e-9, float(np.abs(f).mean()))
     x = np.stack([f / scale, np.ones(len(f))], 1)
-    theta = np.array([1.0, 0.0])
+    start = np.array([1.0, 0.0])
+    theta, cost = start, lambda t: np.logaddexp(0, x @ t).sum() - y @ (x @ t) + 0.25 * ((t - start) ** 2).sum()
     for _ in range(50):
         q = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        gradient = x.T @ (q - y) + 0.5 * (theta - [1.0, 0.0])
-        hessian = (x * (q * (1 - q))[:, None]).T @ x + 0.5 * np.eye(2)
-        theta = theta - np.linalg.solve(hessian, gradient)
+        step = np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + 0.5 * np.eye(2), x.T @ (q - y) + 0.5 * (theta - start))
+        while np.abs(step).max() > 1e-9 and cost(theta - step) > cost(theta):
+            step = step / 2
+        theta = theta - step
     return float(max(theta[0], 1e-6) / scale), float(theta[1])
 
 
