@@ -307,41 +307,41 @@ def thumbnail_hash(pixels: np.ndarray) -> str:
     return f"{int.from_bytes(np.packbits(bits).tobytes(), 'big'):016x}-{zlib.crc32(pixels.tobytes()):08x}"
 
 
-def write_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_bytes, media): each text as JPEG bytes. A null text is an empty one, which is stored as 192 blanks.
+FIELDS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
-    One row for each input row, whatever repeats; rows with a null key stay. A text of any length is
-    stored whole: over 1.5 MB as several images. Columns other than the two are not carried.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            step = 512
-            for k in range(0, batch.num_rows, step):
-                part = batch.slice(k, step)
-                texts = [(x or "").encode() for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, texts), pa.int64()), pa.array([encode(pad(x)) for x in texts], pa.binary())], ["key", "n_bytes", "media"])
+def describe(stored: bytes) -> tuple[int, str, int, int, str, str]:
+    """What the stored bytes hold: length, digest and tail of the payload, their own length and digest, and the feature."""
+    images = decode(stored)
+    payload = payload_of(images)
+    feature = ";".join(f"{x['width']}x{x['height']}:{thumbnail_hash(x['thumbnail'])}" for x in images)
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"key {kind}, n_bytes long, media binary").withColumnRenamed("key", key)
 
+def media_column(docs: DataFrame, key: str = "doc_id", text: str = "text", with_media: bool = False) -> DataFrame:
+    """key, FIELDS and, with_media, the JPEG bytes: each text is stored, and what is returned is read from the stored bytes.
 
-def read_media(media: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Digests of the payload and of the stored bytes, and the feature: dimensions and thumbnail hash of each image."""
+    A null text is an empty one, which is stored as 192 blanks. One row for each input row, whatever repeats;
+    rows with a null key stay. A text of any length is stored whole: over 1.5 MB as several images. Columns
+    other than the two are not carried.
+    """
+    names = [x.split()[0] for x in FIELDS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for raw in batch.column(2):
-                stored = raw.as_py()
-                images = decode(stored)
-                payload = payload_of(images)
-                feature = ";".join(f"{x['width']}x{x['height']}:{thumbnail_hash(x['thumbnail'])}" for x in images)
-                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            columns = [pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["key", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    kind = media.schema[key].dataType.simpleString()
-    schema = f"key {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.select(key, "n_bytes", "media").mapInArrow(run, schema).withColumnRenamed("key", key)
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                rows, media = [], []
+                for t in part.column(1):
+                    raw = (t.as_py() or "").encode()
+                    stored = encode(pad(raw))
+                    rows.append((len(raw), *describe(stored)))
+                    if with_media:
+                        media.append(stored)
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+                columns += [pa.array(media, pa.binary())] * with_media
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["key", *names, *["media"] * with_media])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"key {kind}, {FIELDS}{', media binary' * with_media}").withColumnRenamed("key", key)

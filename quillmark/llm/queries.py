@@ -29,7 +29,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents through a JPEG media column and back."""
-    return media.read_media(media.write_media(table(spark, sf_dir, "documents")))
+    return media.media_column(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
