@@ -37,7 +37,7 @@ def release(spark: SparkSession) -> None:
 
 def input_bytes(df: DataFrame) -> int:
     """Bytes of what the plan reads, as the optimiser knows them; without statistics a count of rows stands in."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return size if size < 1 << 60 else df.count() * 4096
 
 

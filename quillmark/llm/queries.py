@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.llm import media, packing, toxicity, warc
+from quillmark.llm import jaccard, media, packing, toxicity, warc
 from quillmark.llm.common import checkpointed, table
 
 
@@ -27,6 +27,11 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share four fifths of their shingles."""
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents through a JPEG media column and back."""
     return media.media_column(table(spark, sf_dir, "documents"))
@@ -36,6 +41,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op6_toxicity": op6_toxicity,
     "op7_warc": op7_warc,
+    "op9_jaccard": op9_jaccard,
     "op10_media": op10_media,
 }
 
