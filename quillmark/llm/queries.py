@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.llm import jaccard, media, packing, toxicity, warc
+from quillmark.llm import jaccard, linededup, media, packing, toxicity, warc
 from quillmark.llm.common import checkpointed, table
 
 
@@ -15,6 +15,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without recurring lines."""
+    return linededup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents, learned outside fold 0."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -39,6 +44,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op4_linededup": op4_linededup,
     "op6_toxicity": op6_toxicity,
     "op7_warc": op7_warc,
     "op9_jaccard": op9_jaccard,
@@ -46,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_linededup": linededup.ORACLE,
     "op7_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
 w AS (SELECT h, max(page_id) AS winner FROM p GROUP BY h),
