@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from quillmark.llm.kernel import mix, runs, slices, span_hashes
 
-POSITIVE, UNLABELLED, CALIBRATION = 3000, 9000, 3000
+POSITIVE, UNLABELLED, CALIBRATION = 1500, 4500, 1500
 #: Features that are learned: at most so many, only those whose rates in P and U differ by so many standard
 #: errors, and only those with which a text is toxic at this rate, as pi, P and U have it. The last keeps out
 #: what toxic texts have for another reason, such as their length.
@@ -186,12 +186,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(found, pa.binary())], ["roles", "found"])
 
     picked = docs.join(F.broadcast(roles), "doc_id").select("roles", F.coalesce("text", F.lit("")).alias("text"))
-    rows = picked.mapInArrow(run, "roles array<struct<role int, label int>>, found binary").collect()
+    got = picked.mapInArrow(run, "roles array<struct<role int, label int>>, found binary").toArrow()
     sets: dict[int, list] = {0: [], 1: [], 2: []}
-    for r in rows:
-        found = np.frombuffer(r["found"], dtype=np.uint64)
-        for role in r["roles"]:
-            sets[role["role"]].append((found, role["label"]))
+    for roles_, found in zip(got.column("roles").to_pylist(), got.column("found"), strict=True):
+        own = np.frombuffer(found.as_buffer(), dtype=np.uint64)
+        for role in roles_:
+            sets[role["role"]].append((own, role["label"]))
     for x in sets.values():
         x.sort(key=lambda t: (t[0].tobytes(), t[1]))  # the order of rows plays no part
     return fit([t for t, _ in sets[0]], [t for t, _ in sets[1]], sets[2], prior)
