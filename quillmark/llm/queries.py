@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.llm import jaccard, linededup, media, packing, toxicity, warc
+from quillmark.llm import decontaminate, jaccard, linededup, media, packing, toxicity, warc
 from quillmark.llm.common import checkpointed, table
 
 
@@ -15,6 +15,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items in documents, with other parameters too."""
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without recurring lines."""
     return linededup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "text")
@@ -44,6 +49,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_decontaminate": op2_decontaminate,
     "op4_linededup": op4_linededup,
     "op6_toxicity": op6_toxicity,
     "op7_warc": op7_warc,
