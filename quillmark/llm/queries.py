@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.llm import decontaminate, jaccard, linededup, media, packing, toxicity, warc
+from quillmark.llm import decontaminate, jaccard, linededup, media, packing, pii, toxicity, warc
 from quillmark.llm.common import checkpointed, table
 
 
@@ -20,6 +20,11 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op4_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without recurring lines."""
     return linededup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "text")
@@ -50,6 +55,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_decontaminate": op2_decontaminate,
+    "op3_pii": op3_pii,
     "op4_linededup": op4_linededup,
     "op6_toxicity": op6_toxicity,
     "op7_warc": op7_warc,
