@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.llm import decontaminate, jaccard, linededup, media, packing, pii, toxicity, warc
+from quillmark.llm import decontaminate, hmm, jaccard, linededup, media, packing, pii, toxicity, warc
 from quillmark.llm.common import checkpointed, table
 
 
@@ -30,6 +30,11 @@ def op4_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op5_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of all documents under a hidden Markov model."""
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents, learned outside fold 0."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_pii": op3_pii,
     "op4_linededup": op4_linededup,
+    "op5_hmm": op5_hmm,
     "op6_toxicity": op6_toxicity,
     "op7_warc": op7_warc,
     "op9_jaccard": op9_jaccard,
