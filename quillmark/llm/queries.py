@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.llm import decontaminate, hmm, jaccard, linededup, media, packing, pii, toxicity, warc
+from quillmark.llm import decontaminate, hmm, jaccard, linededup, media, packing, pii, suffix, toxicity, warc
 from quillmark.llm.common import checkpointed, table
 
 
@@ -47,6 +47,11 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without byte strings that occur earlier."""
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share four fifths of their shingles."""
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_hmm": op5_hmm,
     "op6_toxicity": op6_toxicity,
     "op7_warc": op7_warc,
+    "op8_suffix": op8_suffix,
     "op9_jaccard": op9_jaccard,
     "op10_media": op10_media,
 }
