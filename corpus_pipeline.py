@@ -1,18 +1,67 @@
-"""The corpus pipeline: named stages, each one of the corpus operators."""
+"""The corpus pipeline: named stages, each one of the corpus operators.
+
+Every stage gets what its predecessor kept, and its decisions take effect: toxic documents go, recurring lines are
+taken out of the texts, one document of each group of near copies stays, documents with benchmark items go, and what is
+left is packed into sequences. Stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillmark.llm import decontaminate, jaccard, linededup, packing, toxicity
+from quillmark.llm.common import checkpointed, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted toxic. The model learns from labels outside the held-out fold."""
+    scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
+    return scored.filter("predicted = 0").select(*docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without recurring lines."""
+    return linededup.line_dedup(docs).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id; of rows that repeat this id and text, one."""
+    groups = jaccard.jaccard_join(docs.select("doc_id", "text"))
+    others = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    kept = docs.join(others, "doc_id", "left_anti").withColumn("__text_hash", F.xxhash64("text"))
+    return kept.dropDuplicates(["doc_id", "__text_hash"]).select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark items."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents in training sequences."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_lines),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("packing", pack),
+]
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+#: The stages learn a model, join sets and tokenise, which SQL cannot express; tests hold them against plain versions.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over ``documents``, one after another; what a stage returns is kept in the shared checkpoint folder."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = checkpointed(docs)
     return docs

@@ -135,7 +135,7 @@ def _prefix(n: int, names: np.ndarray, df: np.ndarray, order: int) -> np.ndarray
         return names[:0]
     if order == 0:
         return names[np.lexsort((names, df))[:length]]
-    hashed = mix(names + _U(order) * _U(0x9E3779B97F4A7C15))
+    hashed = mix(names + _U(order * 0x9E3779B97F4A7C15 % (1 << 64)))
     # very frequent shingles go last in every order
     return names[np.lexsort((hashed, df >> 6))[:length]]
 
