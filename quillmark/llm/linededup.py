@@ -28,16 +28,18 @@ WILDCARD = "<*>"
 
 
 def _masked(line: Column) -> Column:
-    trimmed = F.trim(line)
-    tokens = F.transform(F.split(trimmed, " "), lambda t: F.when(t.rlike("[0-9@]"), F.lit(WILDCARD)).otherwise(t))
-    masked = F.when(trimmed.rlike("[0-9@]"), F.array_join(tokens, " ")).otherwise(trimmed)
-    return F.when(F.replace(F.replace(masked, F.lit(WILDCARD), F.lit("")), F.lit(" "), F.lit("")) == "", trimmed).otherwise(masked)
+    """A trimmed line with wildcards."""
+    tokens = F.transform(F.split(line, " "), lambda t: F.when(t.rlike("[0-9@]"), F.lit(WILDCARD)).otherwise(t))
+    masked = F.array_join(tokens, " ")
+    return F.when(F.replace(F.replace(masked, F.lit(WILDCARD), F.lit("")), F.lit(" "), F.lit("")) == "", line).otherwise(masked)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, masked, n, leaf of the lines that are not blank."""
-    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
-    lines = lines.select("doc_id", "pos", _masked(F.col("line")).alias("masked")).filter("masked <> ''")
+    """doc_id, pos, masked, n, leaf of the lines that are not blank. Most texts have nothing to mask, which one look at the text tells."""
+    text = F.coalesce("text", F.lit(""))
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
+    lines = F.when(text.rlike("[0-9@]"), F.transform(lines, lambda x: F.when(x.rlike("[0-9@]"), _masked(x)).otherwise(x))).otherwise(lines)
+    lines = docs.select("doc_id", F.posexplode(lines).alias("pos", "masked")).filter("masked <> ''")
     n = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
     return lines.withColumn("n", n).withColumn("leaf", F.xxhash64("n", F.substring_index("masked", " ", DEPTH)))
 
@@ -59,9 +61,9 @@ def line_dedup(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS) -> DataF
     distinct = checkpointed(distinct)
     sizes = distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("size"))
     tokens = distinct.select("leaf", F.posexplode(F.split("masked", " ")).alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count(F.lit(1)).alias("lines"))
-    constant = tokens.join(sizes, "leaf").filter(2 * F.col("lines") > F.col("size")).groupBy("leaf").agg(F.collect_list(F.struct("at", "token")).alias("constant"))
-    words = F.split("masked", " ")
-    alike = F.size(F.filter("constant", lambda c: F.get(words, c["at"]) == c["token"]))
+    constant = tokens.join(sizes, "leaf").filter(2 * F.col("lines") > F.col("size")).groupBy("leaf").agg(F.collect_list(F.concat_ws(" ", "at", "token")).alias("constant"))
+    placed = F.transform(F.split("masked", " "), lambda t, k: F.concat_ws(" ", k, t))
+    alike = F.size(F.array_intersect("constant", placed))
     general = distinct.join(constant, "leaf").filter(alike >= LEAST_ALIKE * F.col("n")).select(F.xxhash64("masked").alias("line"), F.xxhash64(F.lit("leaf"), "leaf").alias("general"))
     general = checkpointed(general)
     del distinct, sizes, tokens, constant
