@@ -128,6 +128,21 @@ def _cut(names: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
         yield int(bucket[i]), i, j
 
 
+def _pack_sorted(x: np.ndarray) -> bytes:
+    """Increasing numbers as their differences, in three bytes each where that is enough; after their number and width."""
+    gaps = np.diff(x, prepend=np.uint32(0))
+    wide = 3 if gaps.max(initial=0) < 1 << 24 else 4
+    return np.array([len(x), wide], dtype="<i8").tobytes() + gaps.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :wide].tobytes()
+
+
+def _unpack_sorted(blob: bytes) -> tuple[np.ndarray, int]:
+    """The numbers, and where what follows them begins."""
+    n, wide = np.frombuffer(blob, "<i8", 2).tolist()
+    gaps = np.zeros((n, 4), dtype=np.uint8)
+    gaps[:, :wide] = np.frombuffer(blob, np.uint8, n * wide, 16).reshape(n, wide)
+    return np.cumsum(gaps.view("<u4").reshape(-1), dtype=np.uint32), 16 + n * wide
+
+
 class Blocks:
     """Step 1 in a pack: the distinct short names of its samples, in order."""
 
@@ -146,7 +161,7 @@ class Blocks:
 
     def send(self) -> list[tuple[int, bytes]]:
         short = self.distinct.astype(np.uint32)
-        return [(b, np.int64(j - i).tobytes() + short[i:j].tobytes() + np.packbits(self.twice[i:j]).tobytes()) for b, i, j in _cut(self.distinct << _U(self.rest), self.bits)]
+        return [(b, _pack_sorted(short[i:j]) + np.packbits(self.twice[i:j]).tobytes()) for b, i, j in _cut(self.distinct << _U(self.rest), self.bits)]
 
     def repeated(self, back: list[dict]) -> list[tuple[Slice, np.ndarray, np.ndarray]]:
         """For each slice the samples whose name occurs again somewhere, and their documents."""
@@ -165,9 +180,10 @@ class Blocks:
 def _any_twice(table: pa.Table) -> pa.Table:
     """Of a bucket: which of the short names of each pack occur twice in all packs."""
     blobs = table.column("blob").to_pylist()
-    sizes = [int(np.frombuffer(b, "<i8", 1)[0]) for b in blobs]
-    names = np.concatenate([np.frombuffer(b, "<u4", n, 8) for b, n in zip(blobs, sizes, strict=True)])
-    twice = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8, offset=8 + 4 * n), count=n) for b, n in zip(blobs, sizes, strict=True)]).astype(bool)
+    parts = [_unpack_sorted(b) for b in blobs]
+    sizes = [len(x) for x, _ in parts]
+    names = np.concatenate([x for x, _ in parts])
+    twice = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8, offset=at), count=len(x)) for b, (x, at) in zip(blobs, parts, strict=True)]).astype(bool)
     ordered = np.sort(names)
     again = np.unique(np.concatenate([ordered[1:][ordered[1:] == ordered[:-1]], names[twice]]))
     at = np.minimum(np.searchsorted(again, names), max(0, len(again) - 1))
