@@ -72,14 +72,14 @@ def line_dedup(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS) -> DataF
     each = known.groupBy("template", "doc_id").agg(F.min("pos").alias("pos"))
     recurring = each.groupBy("template").agg(F.count(F.lit(1)).alias("documents"), F.min(F.struct("doc_id", "pos")).alias("first")).filter(F.col("documents") >= least_documents)
     gone = known.join(recurring.select("template", "first"), "template").filter(~F.struct("doc_id", "pos").eqNullSafe(F.col("first")))
-    gone = checkpointed(gone.groupBy("doc_id").agg(F.collect_set("pos").alias("gone")).select(F.col("doc_id").alias("gone_id"), "gone"))
+    gone = checkpointed(gone.groupBy("doc_id").agg(F.collect_set("pos").alias("__gone")).select(F.col("doc_id").alias("__gone_id"), "__gone"))
     del known, each, recurring, light, general
     release(spark)
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    kept = F.array_join(F.filter(lines, lambda _, k: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), k)), "\n")
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left")
-    columns = [F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(kept).alias(c) if c == "text" else F.col(c) for c in docs.columns]
-    out = joined.select(*columns, F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
+    kept = F.array_join(F.filter(lines, lambda _, k: ~F.array_contains(F.coalesce("__gone", F.array().cast("array<int>")), k)), "\n")
+    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone_id"]), "left")
+    columns = [F.when(F.col("__gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(kept).alias(c) if c == "text" else F.col(c) for c in docs.columns]
+    out = joined.select(*columns, F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_dropped"))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 

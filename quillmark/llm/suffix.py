@@ -123,7 +123,9 @@ def contexts(part: Slice, at: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray,
 def _cut(names: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
     """(bucket, from, to) of names whose buckets are in order."""
     bucket = names >> _U(64 - bits)
-    edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(names) else np.zeros(0, dtype=np.int64)
+    if not len(names):
+        return
+    edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     for i, j in zip(edge.tolist(), np.append(edge[1:], len(names)).tolist(), strict=True):
         yield int(bucket[i]), i, j
 

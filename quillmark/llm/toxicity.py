@@ -185,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                 found = [np.unique(hashes[order_[i:j]]).tobytes() for i, j in zip(edge[:-1], edge[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(found, pa.binary())], ["roles", "found"])
 
-    picked = docs.join(F.broadcast(roles), "doc_id").select("roles", F.coalesce("text", F.lit("")).alias("text"))
+    picked = docs.select("doc_id", "text").join(F.broadcast(roles), "doc_id").select("roles", F.coalesce("text", F.lit("")).alias("text"))
     got = picked.mapInArrow(run, "roles array<struct<role int, label int>>, found binary").toArrow()
     sets: dict[int, list] = {0: [], 1: [], 2: []}
     for roles_, found in zip(got.column("roles").to_pylist(), got.column("found"), strict=True):
