@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import tempfile
 import time
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of input for which one bucket of a blob shuffle is planned; a bucket is what one task holds at once.
@@ -48,3 +52,26 @@ def bucket_bits(df: DataFrame) -> int:
     """log2 of the number of buckets, so that a bucket's share of the input has about the same size at every scale."""
     wanted = max(1, input_bytes(df) // BYTES_PER_BUCKET)
     return min(MAX_BUCKET_BITS, max(MIN_BUCKET_BITS, int(wanted - 1).bit_length()))
+
+
+def trim() -> None:
+    """Gives memory that a Python worker has freed back to the system: workers wait for their next task, and their idle memory adds up."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # other C libraries have no such call
+        pass
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that trims its worker at the end of the task."""
+
+    @functools.wraps(run)
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return inner

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import bucket_bits, checkpointed, release
+from quillmark.llm.common import bucket_bits, checkpointed, lean, release
 from quillmark.llm.graph import connected_components
 from quillmark.llm.kernel import mix, shingle_sets, slices
 
@@ -76,7 +76,7 @@ def _shingles(docs: DataFrame, key: str, text: str, bits: int) -> DataFrame:
                     chunk += 1
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"bucket int, chunk long, keys array<{kind}>, n array<long>, node array<long>, payload binary")
+    return docs.select(F.col(key), F.col(text)).mapInArrow(lean(run), f"bucket int, chunk long, keys array<{kind}>, n array<long>, node array<long>, payload binary")
 
 
 def _repeated(table: pa.Table) -> pa.Table:
@@ -237,7 +237,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(owners))], ["token", "node"])
 
-    posted = nodes.mapInArrow(postings, "token long, node long")
+    posted = nodes.mapInArrow(lean(postings), "token long, node long")
     centre = posted.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("token", "a")
     stars = posted.join(centre, "token").select("a", F.col("node").alias("b")).filter("a <> b").distinct()
     labels = connected_components(stars)

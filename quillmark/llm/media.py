@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.llm.common import lean
+
 UNIT = 192
 #: Blocks in a column of an image: 65,535 pixels at most.
 MAX_ROWS = 8191
@@ -344,4 +346,4 @@ def media_column(docs: DataFrame, key: str = "doc_id", text: str = "text", with_
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["key", *names, *["media"] * with_media])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"key {kind}, {FIELDS}{', media binary' * with_media}").withColumnRenamed("key", key)
+    return docs.select(F.col(key), F.col(text)).mapInArrow(lean(run), f"key {kind}, {FIELDS}{', media binary' * with_media}").withColumnRenamed("key", key)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import checkpointed
+from quillmark.llm.common import checkpointed, lean
 from quillmark.llm.kernel import mix
 
 SEQUENCE = 1024
@@ -105,7 +105,7 @@ def _tokenise(docs: DataFrame, key: str, text: str, paths: tuple[str, str], size
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["key", "n", "crcs", "full", "narrow", "tail", "bin"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"key {kind}, n long, crcs array<long>, full binary, narrow boolean, tail binary, bin int")
+    return docs.select(F.col(key), F.col(text)).mapInArrow(lean(run), f"key {kind}, n long, crcs array<long>, full binary, narrow boolean, tail binary, bin int")
 
 
 def _tail(narrow: bool, raw: bytes) -> np.ndarray:
@@ -129,7 +129,7 @@ def _statistics(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
             at = np.flatnonzero(values)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, dtype=np.int32)), pa.array(at), pa.array(values[at])], ["kind", "at", "n"])
 
-    counted = rows.select("narrow", "tail", "bin").mapInArrow(run, "kind int, at long, n long").groupBy("kind", "at").agg(F.sum("n").alias("n"))
+    counted = rows.select("narrow", "tail", "bin").mapInArrow(lean(run), "kind int, at long, n long").groupBy("kind", "at").agg(F.sum("n").alias("n"))
     got = counted.toPandas()
     df = np.zeros(int(max(got.loc[got.kind == 0, "at"], default=0)) + 1, dtype=np.int64)
     bins = np.zeros(BINS, dtype=np.int64)
@@ -293,6 +293,6 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", paths: tuple[
         return pa.table([table.column("key").take(pa.array(at, pa.int64())), *(pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True))], names=["key", *(x.split()[0] for x in SCHEMA.split(", "))])
 
     kind = docs.schema[key].dataType.simpleString()
-    routed = rows.mapInArrow(route, f"shard long, key {kind}, n long, crcs array<long>, full binary, narrow boolean, tail binary")
+    routed = rows.mapInArrow(lean(route), f"shard long, key {kind}, n long, crcs array<long>, full binary, narrow boolean, tail binary")
     packed = routed.groupBy("shard").applyInArrow(run, f"key {kind}, {SCHEMA}").withColumnRenamed("key", key)
     return packed if with_ids else packed.drop("ids")

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import bucket_bits, checkpointed, release
+from quillmark.llm.common import bucket_bits, checkpointed, lean, release
 from quillmark.llm.kernel import _BYTE, SLICE_BYTES, _tables, mix, slices
 
 LENGTH = 100
@@ -60,7 +60,7 @@ def _packs(docs: DataFrame, key: str, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([pack], pa.int64()), listed(batch.column(0).slice(a, b - a).cast(pa.int64())), listed(pa.array(np.diff(offsets))), pa.array([data], pa.binary())], ["pack", "keys", "sizes", "data"])
                 pack += 1
 
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, "pack long, keys array<long>, sizes array<long>, data binary")
+    return docs.select(F.col(key), F.col(text)).mapInArrow(lean(run), "pack long, keys array<long>, sizes array<long>, data binary")
 
 
 @dataclass
@@ -355,12 +355,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
                     columns = [batch.column(1)[r].values, pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string())]
                     yield pa.RecordBatch.from_arrays(columns + [pa.array(texts, pa.binary())] * with_text, ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text])
 
-    first = answer(packs.mapInArrow(step1, sent), _any_twice).withColumnRenamed("flags", "flags1")
+    first = answer(packs.mapInArrow(lean(step1), sent), _any_twice).withColumnRenamed("flags", "flags1")
     release(spark)
-    second = answer(packs.join(first, "pack", "left").mapInArrow(step2, sent), _not_first).withColumnRenamed("flags", "flags2")
+    second = answer(packs.join(first, "pack", "left").mapInArrow(lean(step2), sent), _not_first).withColumnRenamed("flags", "flags2")
     release(spark)
     known = packs.join(first, "pack", "left").join(second, "pack", "left")
-    third = answer(known.mapInArrow(step3, sent), _not_first).withColumnRenamed("flags", "flags3")
+    third = answer(known.mapInArrow(lean(step3), sent), _not_first).withColumnRenamed("flags", "flags3")
     release(spark)
-    whole = known.join(third, "pack", "left").mapInArrow(last, "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    whole = known.join(third, "pack", "left").mapInArrow(lean(last), "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
     return whole.withColumnRenamed("key", key)

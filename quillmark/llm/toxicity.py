@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillmark.llm.common import lean
 from quillmark.llm.kernel import mix, runs, slices, span_hashes
 
 POSITIVE, UNLABELLED, CALIBRATION = 1500, 4500, 1500
@@ -186,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(found, pa.binary())], ["roles", "found"])
 
     picked = docs.select("doc_id", "text").join(F.broadcast(roles), "doc_id").select("roles", F.coalesce("text", F.lit("")).alias("text"))
-    got = picked.mapInArrow(run, "roles array<struct<role int, label int>>, found binary").toArrow()
+    got = picked.mapInArrow(lean(run), "roles array<struct<role int, label int>>, found binary").toArrow()
     sets: dict[int, list] = {0: [], 1: [], 2: []}
     for roles_, found in zip(got.column("roles").to_pylist(), got.column("found"), strict=True):
         own = np.frombuffer(found.as_buffer(), dtype=np.uint64)
@@ -218,7 +219,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*carried, "score", "predicted"])
 
     schema = T.StructType([*base.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(lean(run), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

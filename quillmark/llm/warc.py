@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.llm.common import lean
+
 #: An archive ends before it would hold more than this.
 ARCHIVE_RECORDS, ARCHIVE_BYTES = 512, 8 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -152,7 +154,7 @@ def write_archives(pages: DataFrame, date: str = "1970-01-01T00:00:00Z", minimum
         if records:
             yield flush()
 
-    return with_revisits(pages, minimum).mapInArrow(run, "n_records int, archive binary")
+    return with_revisits(pages, minimum).mapInArrow(lean(run), "n_records int, archive binary")
 
 
 READ_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -173,7 +175,7 @@ def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds[: len(names)], strict=True)], names)
 
-    return archives.select("archive").mapInArrow(run, READ_SCHEMA + ", payload binary" * payloads)
+    return archives.select("archive").mapInArrow(lean(run), READ_SCHEMA + ", payload binary" * payloads)
 
 
 def export(archives: DataFrame, folder: str) -> int:
@@ -191,4 +193,4 @@ def export(archives: DataFrame, folder: str) -> int:
                 names.append(name)
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["name"])
 
-    return archives.select("archive").mapInArrow(run, "name string").count()
+    return archives.select("archive").mapInArrow(lean(run), "name string").count()
