@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.llm.common import checkpointed, lean
+
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 4000
 PRECISION = 0.98
@@ -265,7 +267,7 @@ def train(docs: DataFrame, text: str = "text") -> Forest:
                     labels.append(float(any(b[1] < s[2] and s[1] < b[2] for b in base)))
             yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), pa.array(rows, pa.list_(pa.float64())), pa.array(labels, pa.float64())], ["mark", "x", "y"])
 
-    found = docs.select(F.col(text)).mapInArrow(run, "mark long, x array<double>, y double").dropDuplicates(["mark"]).orderBy("mark").limit(SAMPLE).toPandas()
+    found = checkpointed(docs.select(F.col(text)).mapInArrow(lean(run), "mark long, x array<double>, y double").dropDuplicates(["mark"]).orderBy("mark").limit(SAMPLE)).toPandas()
     x, y = grammar()
     if len(found):
         x = np.concatenate([x, np.array(found["x"].tolist(), dtype=float)])
@@ -322,4 +324,4 @@ def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text", forest: F
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"key {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string{', redacted string' * redact}"
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema).withColumnRenamed("key", key)
+    return docs.select(F.col(key), F.col(text)).mapInArrow(lean(run), schema).withColumnRenamed("key", key)
