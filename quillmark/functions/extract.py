@@ -31,7 +31,8 @@ UUID_NESTED_KEYS = ("PROCEDURE.CONTRACT_FOLDER_ID", "PROCEDURE.contractfolderid"
 
 
 def first_group(text: Column, pattern: str, group: int = 1) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    """The group of the first match; null without a match or where it is empty. The expression stands once in the plan."""
+    return F.get(F.filter(F.array(F.regexp_extract(text, pattern, group)), lambda x: x != ""), 0)
 
 
 def uuid_of(text: Column) -> Column:
@@ -43,15 +44,15 @@ def uuid_of(text: Column) -> Column:
 
 def uuid_cascade(field: Column, data: Column, description: Column, url: Column) -> Column:
     """struct(value, origin): the first of field, top keys, nested keys, the whole JSON, the description, the URL."""
-    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    blank = lambda c: F.get(F.filter(F.array(F.trim(c)), lambda x: x != ""), 0)
     top = F.lower(F.coalesce(*(blank(F.get_json_object(data, f"$.{k}")) for k in UUID_KEYS)))
     nested = F.lower(F.coalesce(*(blank(F.get_json_object(data, f"$.{k}")) for k in UUID_NESTED_KEYS)))
     whole = uuid_of(data)
     spoken = uuid_of(F.coalesce(F.get_json_object(data, "$.OBJET.OBJET_COMPLET"), description))
     steps = (("field", blank(field)), ("key", top), ("nested", nested), ("json", whole), ("description", spoken), ("url", uuid_of(url)))
-    value = F.coalesce(*(c for _, c in steps))
-    origin = F.coalesce(*(F.when(c.isNotNull(), F.lit(n)) for n, c in steps))
-    return F.struct(value.alias("value"), origin.alias("origin"))
+    # each step stands once in the plan: value and origin are picked together
+    found = F.filter(F.array(*(F.struct(c.alias("value"), F.lit(n).alias("origin")) for n, c in steps)), lambda x: x["value"].isNotNull())
+    return F.get(found, 0)
 
 
 def labelled_uuid(text: Column) -> Column:

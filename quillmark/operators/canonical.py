@@ -24,26 +24,25 @@ def from_bulletin(raw: DataFrame, regions: DataFrame | None = None, source: str
 
     regions: (department, region), a small table; a code that it lacks stays as it is.
     """
-    names = RAW_FIELDS.names
-    flat = raw.select(*(F.coalesce(F.col(f"record.fields.{n}"), F.col(f"fields.{n}"), F.col(n)).alias(n) for n in names))
-    data = F.col("donnees")
-    parsed = F.when(F.try_parse_json(data).isNotNull(), data)  # broken JSON is none
-    uuid = extract.uuid_cascade(F.col("contractfolderid"), parsed, F.col("objet"), F.col("url_avis"))
-    flat = flat.withColumns({"uuid": uuid, "department": _first(F.col("code_departement"))})
+    chosen = F.coalesce("record.fields", "fields", F.struct(*(F.col(n) for n in RAW_FIELDS.names)))
+    rows = raw.select(chosen.alias("r"))  # one column: an alias for each of its fields would multiply the optimiser's constraints
+    rows = rows.withColumn("r", F.col("r").withField("donnees", F.when(F.try_parse_json("r.donnees").isNotNull(), F.col("r.donnees"))))  # broken JSON is none
+    c = lambda n: F.col(f"r.{n}")
+    rows = rows.withColumns({"uuid": extract.uuid_cascade(c("contractfolderid"), c("donnees"), c("objet"), c("url_avis")), "department": _first(c("code_departement"))})
     if regions is not None:
-        flat = flat.join(F.broadcast(regions.select("department", "region").limit(1000)), "department", "left")
+        rows = rows.join(F.broadcast(regions.select("department", "region").limit(1000)), "department", "left")
     else:
-        flat = flat.withColumn("region", F.lit(None).cast("string"))
-    get = lambda path: F.get_json_object(parsed, path)
+        rows = rows.withColumn("region", F.lit(None).cast("string"))
+    get = lambda path: F.get_json_object(c("donnees"), path)
     canonical = F.struct(
-        F.lit(source).alias("source"), F.col("idweb").alias("source_id"), F.col("uuid.value").alias("uuid_procedure"),
-        F.struct(F.col("objet").alias("title"), F.col("nomacheteur").alias("acheteur"), F.col("url_avis").alias("url"), F.coalesce("region", "department").alias("region")).alias("identity"),
-        F.struct("etat", F.col("nature_categorise").alias("nature"), F.col("nature_libelle").alias("nature_label"), "annonce_lie", "annonces_anterieures", F.col("dateparution").alias("publication_date"), F.col("datelimitereponse").alias("deadline")).alias("lifecycle"),
-        F.struct(F.coalesce(get("$.OBJET.OBJET_COMPLET"), F.col("objet")).alias("description"), _list(F.col("descripteur_libelle")).alias("keywords")).alias("content"),
-        F.struct(_first(F.col("type_marche")).alias("type_marche"), F.col("procedure_libelle").alias("procedure"), F.col("famille_libelle").alias("famille")).alias("classification"),
-        F.struct(get("$.IDENTITE.MEL").alias("acheteur_email"), get("$.IDENTITE.TEL").alias("acheteur_tel"), get("$.IDENTITE.ADRESSE").alias("acheteur_adresse"), get("$.IDENTITE.CP").alias("acheteur_cp"), get("$.IDENTITE.VILLE").alias("acheteur_ville"), "criteres", "marche_public_simplifie", "titulaire", get("$.IDENTITE.CODE_IDENT_NATIONAL").alias("siret")).alias("metadata"),
+        F.lit(source).alias("source"), c("idweb").alias("source_id"), F.col("uuid.value").alias("uuid_procedure"),
+        F.struct(c("objet").alias("title"), c("nomacheteur").alias("acheteur"), c("url_avis").alias("url"), F.coalesce("region", "department").alias("region")).alias("identity"),
+        F.struct(c("etat"), c("nature_categorise").alias("nature"), c("nature_libelle").alias("nature_label"), c("annonce_lie"), c("annonces_anterieures"), c("dateparution").alias("publication_date"), c("datelimitereponse").alias("deadline")).alias("lifecycle"),
+        F.struct(F.coalesce(get("$.OBJET.OBJET_COMPLET"), c("objet")).alias("description"), _list(c("descripteur_libelle")).alias("keywords")).alias("content"),
+        F.struct(_first(c("type_marche")).alias("type_marche"), c("procedure_libelle").alias("procedure"), c("famille_libelle").alias("famille")).alias("classification"),
+        F.struct(get("$.IDENTITE.MEL").alias("acheteur_email"), get("$.IDENTITE.TEL").alias("acheteur_tel"), get("$.IDENTITE.ADRESSE").alias("acheteur_adresse"), get("$.IDENTITE.CP").alias("acheteur_cp"), get("$.IDENTITE.VILLE").alias("acheteur_ville"), c("criteres"), c("marche_public_simplifie"), c("titulaire"), get("$.IDENTITE.CODE_IDENT_NATIONAL").alias("siret")).alias("metadata"),
     )
-    return flat.select(canonical.alias("tender"), F.col("uuid.origin").alias("uuid_origin"))
+    return rows.select(canonical.alias("tender"), F.col("uuid.origin").alias("uuid_origin"))
 
 
 def from_rss(items: DataFrame, regions: DataFrame | None = None, source: str = "MARCHESONLINE") -> DataFrame:

@@ -1,4 +1,8 @@
-"""The daily run as one lazy chain."""
+"""The daily run.
+
+Steps are lazy chains; between them the lineage is cut, as each step's result is read by several branches of the next one, and
+as the nested expressions of all steps together would be a plan that takes longer to optimise than to run.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.operators import canonical, changes, dedup, lexicon, routing
+from quillmark.operators.lineage import checkpointed
 from quillmark.schemas import CANONICAL
 
 
@@ -40,9 +45,10 @@ def amendments(tenders: DataFrame, stored: DataFrame) -> DataFrame:
 
 def run(bulletin: DataFrame, feed: DataFrame, stored: DataFrame, lex: lexicon.Lexicon, as_of: str, flags: list[str] | None = None, scorer: routing.Scorer = routing.rule_scorer) -> DataFrame:
     """Tenders with route, final_score and priority. Cancelled ones carry no score."""
-    tenders = amendments(prequalify(bulletin, feed, stored), stored)
-    fresh = dedup.to_analyse(tenders, stored)
-    scored = lexicon.score(fresh, lex, flags)
+    stored = checkpointed(stored)
+    tenders = checkpointed(prequalify(checkpointed(bulletin), checkpointed(feed), stored))
+    fresh = dedup.to_analyse(checkpointed(amendments(tenders, stored)), stored)
+    scored = checkpointed(lexicon.score(fresh, lex, flags))
     routed = scored.withColumn("route", routing.route(F.col("original_id").isNotNull(), F.col("is_cancelled"), F.col("is_amendment"), F.col("is_substantial"), F.col("gate.skip")))
     analysed = routing.finish(routing.analyse(routing.needs_analysis(routed), scorer), as_of)
     skipped = routing.price_skipped(routed.filter("route = 'skip'"))

@@ -21,7 +21,8 @@ def jsonl(spark: SparkSession, path: str, schema: T.StructType = schemas.CORPUS_
 def broken_lines(spark: SparkSession, path: str, schema: T.StructType = schemas.CORPUS_CHUNK) -> DataFrame:
     """The lines that ``jsonl`` drops, for a warning."""
     kept = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
-    return spark.read.schema(kept).option("columnNameOfCorruptRecord", "_bad").json(path).filter(F.col("_bad").isNotNull()).select("_bad")
+    parsed = F.from_json("value", kept, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return spark.read.text(path).filter(F.trim("value") != "").select(parsed["_bad"].alias("_bad")).filter(F.col("_bad").isNotNull())
 
 
 def reference_clients(spark: SparkSession, path: str) -> DataFrame:

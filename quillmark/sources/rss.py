@@ -13,5 +13,5 @@ _XML = T.StructType([T.StructField({"date": "dc:date", "dateAccepted": "dc:dateA
 
 def items(spark: SparkSession, paths: list[str]) -> DataFrame:
     """The items of all feeds; a feed that cannot be parsed has none. Names lose their prefixes."""
-    raw = spark.read.format("xml").option("rowTag", "item").option("mode", "DROPMALFORMED").schema(_XML).load(",".join(paths))
+    raw = spark.read.format("xml").option("rowTag", "item").option("mode", "DROPMALFORMED").schema(_XML).load(paths)
     return raw.select(*(F.col(f"`{x.name}`").alias(y.name) for x, y in zip(_XML.fields, schemas.RSS_ITEM.fields, strict=True)))
