@@ -102,3 +102,8 @@ def useful_categories(categories: Column) -> Column:
     """Categories of a feed item without the generic ones, trimmed, none blank."""
     kept = F.filter(categories, lambda c: c.isNotNull() & ~F.upper(c).isin(*GENERIC_CATEGORIES))
     return F.filter(F.transform(kept, lambda c: F.trim(c)), lambda c: F.length(c) > 0)
+
+
+def record_id(raw: Column) -> Column:
+    """The identifier in a raw record: the first of three keys."""
+    return F.coalesce(*(F.get_json_object(raw, f"$.{k}") for k in ("idweb", "boamp_id", "id")))

@@ -108,3 +108,20 @@ def choices(terms: Column) -> Column:
     """The first two terms and the free choice, lettered."""
     two = F.slice(terms, 1, 2)
     return F.transform(F.concat(two, F.array(F.lit("autre"))), lambda t, k: F.struct(F.element_at(F.array(*(F.lit(x) for x in "ABC")), k + 1).alias("letter"), t.alias("term")))
+
+
+def duplicate_chunks(proposals: DataFrame, feedback: DataFrame) -> DataFrame:
+    """Adds duplicate_of: applied retrieval corrections of the client whose text contains the proposed one or lies in it."""
+    applied = feedback.filter("status = 'applied' AND correction_type = 'rag_chunk'")
+    return duplicates(proposals.withColumn("type", F.lit("rag_chunk")), applied.select("id", "client_id", F.lit("rag_chunk").alias("type"), F.coalesce("correction_value", "chunk_content").alias("value"), F.lit(True).alias("active")))
+
+
+def simulated_term(direction: Column, boost: Column, flag: Column, title: Column, rule: Column) -> Column:
+    """The term whose effect is shown before a correction is confirmed; empty values count as missing."""
+    some = lambda c: F.nullif(c, F.lit(""))
+    return F.when(direction == "include", F.coalesce(some(boost), some(rule))).otherwise(F.coalesce(some(flag), some(title), some(rule)))
+
+
+def chunk_vector(feedback: DataFrame) -> DataFrame:
+    """(id, text, type): applied retrieval corrections as rows for the index, under one name for their kind."""
+    return feedback.filter("status = 'applied' AND correction_type = 'rag_chunk'").select(F.concat(F.lit("feedback_"), "id").alias("id"), F.coalesce("chunk_content", "correction_value").alias("text"), F.lit("user_feedback").alias("type"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillmark.functions import text
 from quillmark.schemas import PRIORITIES
 
 ROWS = 100
@@ -83,3 +84,20 @@ def render_text(rows: DataFrame) -> DataFrame:
 def daily_posts(runs: DataFrame) -> DataFrame:
     """Runs, one for each (client, since, until or since, source)."""
     return runs.dropDuplicates(["client_id", "since", "until", "source"])
+
+
+def mail_rows(rows: DataFrame) -> DataFrame:
+    """What a mail shows of a tender; the reason is the first that there is."""
+    why = F.coalesce("human_readable_reason", "semantic_reason", "rejet_raison", F.lit("Analyse disponible"))
+    return rows.select("position", "priority", "title", F.coalesce("acheteur", F.lit("Non communiqué")).alias("acheteur"), F.coalesce("deadline", F.lit("Non précisée")).alias("deadline"), "url_ao", why.alias("reason"))
+
+
+def render_html(rows: DataFrame) -> DataFrame:
+    """(position, html): one table row for each row of ``mail_rows``; every value is escaped."""
+    cell = lambda c: F.concat(F.lit("<td>"), text.escape_html(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit("</td>"))
+    return rows.select("position", F.concat(F.lit("<tr>"), *(cell(c) for c in ("position", "priority", "title", "acheteur", "deadline", "reason")), F.lit("</tr>")).alias("html"))
+
+
+def page(rows: DataFrame, order: list[Column], limit: int, offset: int) -> DataFrame:
+    """One page under a total order."""
+    return rows.orderBy(*order).offset(offset).limit(limit)

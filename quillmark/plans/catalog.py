@@ -438,6 +438,29 @@ def category_points(spark, sf):
     return table(spark, sf, "documents").select("doc_id", scores.category_score(hits, F.lit(4), F.lit(18)).alias("points"))
 
 
+@query("SELECT p_partkey, p_name FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 20 OFFSET 40")
+def third_page(spark, sf):
+    """A page is the feature: twenty rows under a total order, after forty."""
+    return report.page(table(spark, sf, "part"), [F.desc("p_retailprice"), F.asc("p_partkey")], 20, 40).select("p_partkey", "p_name")
+
+
+@query("SELECT event_id, coalesce(json_extract_string(props, '$.idweb'), json_extract_string(props, '$.boamp_id'), json_extract_string(props, '$.id')) AS record_id, json_extract_string(props, '$.k') AS k FROM events")
+def record_ids(spark, sf):
+    return table(spark, sf, "events").select("event_id", extract.record_id(F.col("props")).alias("record_id"), F.get_json_object("props", "$.k").alias("k"))
+
+
+@query("WITH " + PRICED + """ SELECT doc_id, '<td>' || replace(replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;') || '</td>' AS cell FROM priced""")
+def escaped_titles(spark, sf):
+    return priced(spark, sf).select("doc_id", F.concat(F.lit("<td>"), text.escape_html(F.col("title")), F.lit("</td>")).alias("cell"))
+
+
+@query("WITH " + NOTICES + """ SELECT doc_id, regexp_extract(lang, '.*') AS lang, CASE WHEN n_flags > 0 THEN 'dynamic' ELSE 'none' END AS flag FROM (SELECT *, CAST(contains(lower(description), 'idiot') AS INTEGER) + CAST(contains(lower(description), 'scum') AS INTEGER) AS n_flags FROM notices)""")
+def dynamic_flags(spark, sf):
+    """Existence of any active rule's value in a text."""
+    hit = F.exists(F.array(F.lit("idiot"), F.lit("scum")), lambda t: text.contains_folded(F.col("description"), t))
+    return notices(spark, sf).select("doc_id", "lang", F.when(hit, "dynamic").otherwise("none").alias("flag"))
+
+
 DEMO = lexicon.Lexicon.of([
     ("sector", "mobility", 3, "keyword", "the thonti"), ("sector", "mobility", 3, "keyword", "tion"), ("sector", "energy", 3, "pattern", r"eren\w+"), ("expertise", "strategy", 3, "keyword", "and the"),
     ("expertise", "raison_etre", 3, "keyword", "de la"), ("posture", "posture", 3, "keyword", "for"), ("red_flag", "red_flag", 1, "keyword", "scum"), ("reference_client", "clients", 1, "keyword", "src1"),
