@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of input for which one bucket of a blob shuffle is planned; a bucket is what one task holds at once.
 BYTES_PER_BUCKET = 8 << 20
-MIN_BUCKET_BITS, MAX_BUCKET_BITS = 6, 20
+MIN_BUCKET_BITS, MAX_BUCKET_BITS = 6, 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,14 @@ def input_bytes(df: DataFrame) -> int:
     return size if size < 1 << 60 else df.count() * 4096
 
 
+def chunk_bytes(df: DataFrame, base: int) -> int:
+    """Text that one chunk packs together: more for a larger input, so that a chunk's share of each of more buckets does not become tiny."""
+    size, wide = input_bytes(df), base
+    while size > 256 << 30 and wide < 8 * base:
+        size, wide = size // 4, wide * 2
+    return wide
+
+
 def bucket_bits(df: DataFrame) -> int:
     """log2 of the number of buckets, so that a bucket's share of the input has about the same size at every scale."""
     wanted = max(1, input_bytes(df) // BYTES_PER_BUCKET)

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import bucket_bits, checkpointed, lean, release
+from quillmark.llm.common import bucket_bits, checkpointed, chunk_bytes, lean, release
 from quillmark.llm.graph import connected_components
 from quillmark.llm.kernel import mix, shingle_sets, slices
 
@@ -46,13 +46,14 @@ def needed(n: np.ndarray | int):
 
 def _shingles(docs: DataFrame, key: str, text: str, bits: int) -> DataFrame:
     """Rows by bucket: packed (name, document) arrays of a chunk, and for each chunk its table of documents."""
+    size = chunk_bytes(docs, CHUNK_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
         names = ["bucket", "chunk", "keys", "n", "node", "payload"]
         for batch in batches:
             for part in (batch.slice(k, CHUNK_ROWS) for k in range(0, batch.num_rows, CHUNK_ROWS)):
-                for a, b, buf, offsets in slices(part.column(1), CHUNK_BYTES):
+                for a, b, buf, offsets in slices(part.column(1), size):
                     sets = list(shingle_sets(buf, offsets, WIDTH))
                     n = np.array([len(s) for s in sets], dtype=np.int64)
                     node = np.array([int(mix(np.array([np.sum(mix(s), dtype=np.uint64) + _U(len(s))], dtype=np.uint64))[0]) for s in sets], dtype=np.uint64).view(np.int64)
@@ -215,7 +216,8 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     an empty set, links with nothing and is its own component. Rows that repeat an id or a text are
     documents like others; a null id is returned as it is and is nobody's smallest. Very long texts count
     whole. No documents give no rows; columns other than the two are not carried. Shingles and sets are
-    known by hashes (of at least 54 and of 64 bits).
+    known by hashes (of at least 54 and of 64 bits). Chunks number their documents in the order of docs, so docs should be read
+    from a table or a checkpoint: after a shuffle the order may change when a lost task is run again.
     """
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()

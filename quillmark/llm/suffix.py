@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import bucket_bits, checkpointed, lean, release
+from quillmark.llm.common import bucket_bits, checkpointed, chunk_bytes, lean, release
 from quillmark.llm.kernel import _BYTE, SLICE_BYTES, _tables, mix, slices
 
 LENGTH = 100
@@ -47,6 +47,7 @@ _NO_KEY = np.iinfo(np.int64).max
 
 def _packs(docs: DataFrame, key: str, text: str) -> DataFrame:
     """pack, keys, sizes, data: documents in order of their keys, compressed together."""
+    size = chunk_bytes(docs, PACK_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -54,7 +55,7 @@ def _packs(docs: DataFrame, key: str, text: str) -> DataFrame:
         pack = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
         for batch in batches:
             batch = batch.take(pa.compute.sort_indices(batch.column(0), null_placement="at_end"))
-            for a, b, buf, offsets in slices(batch.column(1), PACK_BYTES):
+            for a, b, buf, offsets in slices(batch.column(1), size):
                 listed = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
                 data = zstandard.ZstdCompressor(level=3).compress(buf.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([pack], pa.int64()), listed(batch.column(0).slice(a, b - a).cast(pa.int64())), listed(pa.array(np.diff(offsets))), pa.array([data], pa.binary())], ["pack", "keys", "sizes", "data"])
