@@ -30,7 +30,7 @@ POSITIVE, UNLABELLED, CALIBRATION = 1500, 4500, 1500
 #: Features that are learned: at most so many, only those whose rates in P and U differ by so many standard
 #: errors, and only those with which a text is toxic at this rate, as pi, P and U have it. The last keeps out
 #: what toxic texts have for another reason, such as their length.
-FEATURES, LEAST_Z, LEAST_RATE = 8192, 5.0, 0.4
+FEATURES, LEAST_Z, LEAST_RATE = 8192, 5.0, 0.6
 PREFIXES = (4, 5, 6)
 STEPS, RATE = 200, 1.0
 
@@ -166,15 +166,22 @@ def _logistic(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(theta[0], 1e-6) / scale), float(theta[1])
 
 
+def _drawn(rows: DataFrame, n: int, limit: int, salt: int) -> DataFrame:
+    """Up to limit of n rows, by a hash of the id; a threshold leaves about four times the limit to be sorted."""
+    mark = F.xxhash64("doc_id", F.lit(salt))
+    below = F.shiftrightunsigned(mark, 33) < min(1 << 31, 4 * limit * (1 << 31) // max(1, n) + 1)
+    return rows.filter(below).orderBy(mark, "doc_id").limit(limit)
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """From rows of ``labels`` outside fold 0 (rows that repeat an id: the larger label; null labels do not count)."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total = known.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("toxic") == 1).cast("long")).alias("p")).first()
     prior = (total["p"] or 0) / max(1, total["n"])
-    order = F.xxhash64("doc_id")
-    sample = known.filter("toxic = 1").select("doc_id", F.lit(0).alias("role"), F.lit(1).alias("label")).orderBy(order, "doc_id").limit(POSITIVE)
-    sample = sample.unionByName(docs.filter(F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0)).select("doc_id", F.lit(1).alias("role"), F.lit(-1).alias("label")).orderBy(order, "doc_id").limit(UNLABELLED))
-    sample = sample.unionByName(known.select("doc_id", F.lit(2).alias("role"), F.col("toxic").cast("int").alias("label")).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(CALIBRATION))
+    texts = docs.filter(F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0)).select("doc_id", F.lit(1).alias("role"), F.lit(-1).alias("label"))
+    sample = _drawn(known.filter("toxic = 1").select("doc_id", F.lit(0).alias("role"), F.lit(1).alias("label")), total["p"] or 0, POSITIVE, 0)
+    sample = sample.unionByName(_drawn(texts, docs.count(), UNLABELLED, 0))
+    sample = sample.unionByName(_drawn(known.select("doc_id", F.lit(2).alias("role"), F.col("toxic").cast("int").alias("label")), total["n"], CALIBRATION, 7))
     roles = sample.groupBy("doc_id").agg(F.collect_set(F.struct("role", "label")).alias("roles"))  # bounded by the three limits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
