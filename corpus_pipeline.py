@@ -9,22 +9,31 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.llm import decontaminate, jaccard, linededup, packing, toxicity
 from quillmark.llm.common import checkpointed, table
 
 
+def _aside(docs: DataFrame, *own: str) -> tuple[DataFrame, list[Column]]:
+    """Documents whose columns but some lie in one struct, where no result column can clash with them; and what brings them back."""
+    others = [c for c in docs.columns if c not in own]
+    struct = [F.struct(*(docs[c] for c in others)).alias("__others")] if others else []
+    packed = docs.select(*(c for c in docs.columns if c in own), *struct)
+    return packed, [F.col("__others")[c].alias(c) if c in others else F.col(c) for c in docs.columns]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic. The model learns from labels outside the held-out fold."""
-    scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
-    return scored.filter("predicted = 0").select(*docs.columns)
+    packed, columns = _aside(docs, "doc_id", "text")
+    return toxicity.toxicity(packed, table(spark, sf_dir, "labels")).filter("predicted = 0").select(*columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without recurring lines."""
-    return linededup.line_dedup(docs).select(*docs.columns)
+    packed, columns = _aside(docs, "doc_id", "text", "n_chars")
+    return linededup.line_dedup(packed).select(*columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

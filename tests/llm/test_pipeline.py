@@ -74,3 +74,15 @@ def test_empty_documents(spark, folder, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, folder)
     assert docs.collect() == []
+
+
+def test_clashing_columns_and_nulls_survive_every_stage(spark, folder):
+    names = ["score", "predicted", "held_out", "n_lines", "n_dropped", "roles", "gone", "node", "key", "component", "window", "shard"]
+    rows = [(k, None if k == 3 else text(k, 40), *(f"{n}{k}" if k % 2 else None for n in names)) for k in range(12)] + [(None, text(5, 41), *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    want = {r[0]: r[2:] for r in rows}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+        assert docs.columns == ["doc_id", "text", *names]
+        assert {r["doc_id"]: tuple(r[n] for n in names) for r in docs.collect()} == want
+    assert {r["doc_id"] for r in corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()} == set(want)
