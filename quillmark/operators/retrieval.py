@@ -45,9 +45,8 @@ def known_buyer(buyers: DataFrame, clients: DataFrame) -> DataFrame:
     """buyer, and the best known client: nom_normalise, match_type, match_score, match_confidence; null without any.
 
     clients: nom_normalise, aliases, statut. Exact spellings count 1, a client's name inside the buyer's 0.95, common tokens 0.7 plus 0.2
-    of their share from 0.6 on; the first best in the order of clients and aliases counts. Candidates come from equi-joins on tokens
-    and on whole names, so the two tables are never crossed; a substring match shares at least a piece of a token, for which the short
-    list of clients is sent to all tasks as far as it is small.
+    of their share from 0.6 on; the first best in the order of clients and aliases counts. Known names are a short list: its size is
+    checked, and it is sent to all tasks, which compare each distinct buyer with each name. A longer list is an error.
     """
     names = clients.select("nom_normalise", F.monotonically_increasing_id().alias("_client"), F.posexplode(F.concat(F.array("nom_normalise"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("_alias", "_name"))
     names = names.withColumns({"_plain": text.normalize_words(F.col("_name")), "_tokens": text.long_tokens(F.col("_name"))})
