@@ -137,15 +137,15 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], labelled: list
 
 def _without_copies(*samples: list[np.ndarray]) -> list[list[np.ndarray]]:
     """Of texts that share their min-hash over rare features one stays in each sample: copies would vouch for their every word."""
-    flat = np.concatenate([t for x in samples for t in x])
-    hashes, back, n = np.unique(flat, return_inverse=True, return_counts=True)
-    rare = n[back] <= max(2, sum(map(len, samples)) // 200)
-    out, at = [], 0
+    hashes, n = np.unique(np.concatenate([t for x in samples for t in x]), return_counts=True)
+    rare = hashes[n <= max(2, sum(map(len, samples)) // 200)]
+    del hashes, n
+    out = []
     for texts in samples:
         kept: dict[int, np.ndarray] = {}
         for k, t in enumerate(texts):
-            own = t[rare[at : at + len(t)]]
-            at += len(t)
+            at = np.minimum(np.searchsorted(rare, t), max(0, len(rare) - 1))
+            own = t[rare[at] == t] if len(rare) else t[:0]
             kept.setdefault(int(mix(own).min()) if len(own) else -k - 1, t)
         out.append(list(kept.values()))
     return out
