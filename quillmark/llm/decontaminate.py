@@ -7,7 +7,8 @@ or names still meets its template. Slot consistency then tells re-parameterised
 alignment of a document with an item, the values in the item's slots must map one to one to the values in the
 document's slots. A document is contaminated by an item when consistent windows cover ``COVERAGE`` of the item's.
 
-Items with equal canonical texts are one template, reported under its smallest item_id. Windows in which fewer than
+Items with equal canonical texts are one template and share its windows in the join, but each is held against the
+document with its own slot values, and all that fit are reported. Windows in which fewer than
 ``LITERALS`` of the tokens are words are not used; items with fewer than ``SHORTEST`` canonical tokens have none.
 """
 
@@ -129,8 +130,11 @@ def span_hashes_of(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> lis
 _HIT = "window long, at int, slots array<long>"
 
 
-def _benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """window, item_id, at, slots, width, windows, template: of all items."""
+def _items(benchmark: DataFrame) -> DataFrame:
+    """item_id, template, width, windows, ats, hashes, slots: of each distinct item, the last three by window.
+
+    Items of one template have equal ats and hashes; the slots are each item's own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,8 +148,9 @@ def _benchmark_windows(benchmark: DataFrame) -> DataFrame:
                     if width < SHORTEST:
                         continue
                     w, enough = _windows(h[i:j], word[i:j], width)
-                    template = int(mix(np.array([np.sum(mix(h[i:j] + np.arange(j - i, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)), dtype=np.uint64)], dtype=np.uint64)).view(np.int64)[0])
+                    template = np.sum(mix(h[i:j] + np.arange(j - i, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)), dtype=np.uint64)
                     good = np.flatnonzero(enough).tolist()
+                    found = [(k, int(w[k : k + 1].view(np.int64)[0]), _slots(buf, word, starts, ends, i + k, width)) for k in good]
                     if _capital(buf, starts[i : i + 1])[0] and word[i]:
                         # inside a document's sentence the item's first word reads as a name
                         inside, word_inside = h[i : i + width].copy(), word[i : i + width].copy()
@@ -153,15 +158,15 @@ def _benchmark_windows(benchmark: DataFrame) -> DataFrame:
                         first_w, first_enough = _windows(inside, word_inside, width)
                         if first_enough[0]:
                             values = span_hashes_of(buf, starts[i : i + 1], ends[i : i + 1]) + _slots(buf, word, starts, ends, i + 1, width - 1)
-                            rows.append((int(first_w.view(np.int64)[0]), ids[a + d], 0, values, width, max(1, len(good)), template))
-                    rows += [(int(w[k : k + 1].view(np.int64)[0]), ids[a + d], k, _slots(buf, word, starts, ends, i + k, width), width, len(good), template) for k in good]
-            kinds = (pa.int64(), batch.column(0).type, pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["window", "item_id", "item_at", "item_slots", "width", "windows", "template"])
+                            found.append((0, int(first_w.view(np.int64)[0]), values))
+                            template = template + np.uint64(1)
+                    if found:
+                        rows.append((ids[a + d], int(mix(np.array([template], dtype=np.uint64)).view(np.int64)[0]), width, max(1, len(good)), *([f[k] for f in found] for k in range(3))))
+            kinds = (batch.column(0).type, pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["item_id", "template", "width", "windows", "ats", "hashes", "slots"])
 
     kind = benchmark.schema["item_id"].dataType.simpleString()
-    found = benchmark.filter(F.col("item_id").isNotNull()).select("item_id", "text").mapInArrow(lean(run), f"window long, item_id {kind}, item_at int, item_slots array<long>, width int, windows int, template long")
-    names = found.groupBy("template").agg(F.min("item_id").alias("item_id"))
-    return found.join(names, ["template", "item_id"], "left_semi").dropDuplicates(["template", "item_at", "window"])
+    return benchmark.filter(F.col("item_id").isNotNull()).select("item_id", "text").mapInArrow(lean(run), f"item_id {kind}, template long, width int, windows int, ats array<int>, hashes array<long>, slots array<array<long>>").distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
@@ -169,17 +174,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
 
     windows: the item's windows that were found in consistent alignments; slots: their distinct slot values, of
     which ``changed`` have another value in the document. Null or empty texts of either side match nothing; rows with
-    a null id are left out. Rows that repeat an id are read as one document. Very long texts count whole. If
+    a null id are left out. Rows of docs that repeat an id are read as one document; of benchmark rows that repeat an
+    id the best match counts. Very long texts count whole. If
     either table is empty, so is the result. Columns other than id and text are not read.
     """
     spark = docs.sparkSession
-    items = _benchmark_windows(benchmark)
-    known = items.agg(F.count(F.lit(1)).alias("n"), F.collect_set("width").alias("widths")).first()
+    items = _items(benchmark)
+    shared = items.select("template", "width", "windows", F.posexplode(F.arrays_zip("ats", "hashes")).alias("k", "at")).dropDuplicates(["template", "k"])
+    shared = shared.select("template", "width", "windows", "k", F.col("at.ats").alias("item_at"), F.col("at.hashes").alias("window"))
+    known = shared.agg(F.count(F.lit(1)).alias("n"), F.collect_set("width").alias("widths")).first()
     widths, n = sorted(known["widths"]), known["n"]
     seen, bits = None, 0
     if n <= FILTER_WINDOWS:
         bits = max(16, int(16 * n).bit_length())
-        hashes = items.select("window").distinct().toPandas()["window"].to_numpy(dtype=np.int64).view(np.uint64)
+        hashes = shared.select("window").distinct().toPandas()["window"].to_numpy(dtype=np.int64).view(np.uint64)
         flags = np.zeros(1 << bits, dtype=bool)
         flags[hashes >> np.uint64(64 - bits)] = True
         seen = spark.sparkContext.broadcast(np.packbits(flags))
@@ -204,14 +212,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     hits = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, {_HIT}")
-    met = hits.join(items, "window").withColumn("values", F.zip_with("item_slots", "slots", lambda i, d: F.struct(i.alias("i"), d.alias("d"))))
-    aligned = met.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.collect_set("item_at").alias("found"), F.array_distinct(F.flatten(F.collect_set("values"))).alias("values"), F.max("windows").alias("item_windows"))
-    side = lambda k: F.size(F.array_distinct(F.transform("values", lambda v: v[k])))
-    consistent = aligned.filter((side("i") == F.size("values")) & (side("d") == F.size("values")))
-    total = consistent.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("found")))).cast("long").alias("windows"), F.max("item_windows").cast("long").alias("item_windows"), F.array_distinct(F.flatten(F.collect_set("values"))).alias("values"))
-    total = total.withColumn("coverage", F.col("windows") / F.col("item_windows"))
-    changed = F.size(F.filter("values", lambda v: v["i"] != v["d"]))
-    return total.filter(F.col("coverage") >= coverage).select("doc_id", "item_id", "windows", "item_windows", "coverage", F.size("values").cast("long").alias("slots"), changed.cast("long").alias("changed"))
+    # templates meet once, whatever the number of their items; each item's values are then held against the alignments
+    aligned = hits.join(shared, "window").groupBy("doc_id", "template", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.collect_set(F.struct("item_at", "k", "slots")).alias("met"), F.max("windows").alias("item_windows"))
+    near = aligned.groupBy("doc_id", "template").agg(F.collect_list("met").alias("shifts"), F.max("item_windows").cast("long").alias("item_windows"))
+    near = near.filter(F.size(F.array_distinct(F.flatten(F.transform("shifts", lambda s: s["item_at"])))) / F.col("item_windows") >= coverage)
+    own = items.select("template", "item_id", F.col("slots").alias("item_slots")).distinct()
+    pair = lambda m: F.zip_with(F.element_at("item_slots", m["k"] + 1), m["slots"], lambda i, d: F.struct(i.alias("i"), d.alias("d")))
+    values = F.transform("shifts", lambda s: F.struct(s["item_at"].alias("found"), F.array_distinct(F.flatten(F.transform(s, pair))).alias("values")))
+    one_to_one = lambda v: (F.size(F.array_distinct(v["i"])) == F.size(v)) & (F.size(F.array_distinct(v["d"])) == F.size(v))
+    fits = near.join(own, "template").select("doc_id", "item_id", "item_windows", F.filter(values, lambda x: one_to_one(x["values"])).alias("fits"))
+    total = fits.select("doc_id", "item_id", "item_windows", F.size(F.array_distinct(F.flatten("fits.found"))).cast("long").alias("windows"), F.array_distinct(F.flatten("fits.values")).alias("values"))
+    total = total.withColumn("coverage", F.col("windows") / F.col("item_windows")).filter(F.col("coverage") >= coverage)
+    changed = F.size(F.filter("values", lambda v: v["i"] != v["d"])).cast("long")
+    # of rows that repeat an item_id, the best one
+    best = total.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", (-changed).alias("kept"), "windows", "item_windows", F.size("values").cast("long").alias("slots"))).alias("best"))
+    return best.select("doc_id", "item_id", "best.windows", "best.item_windows", "best.coverage", "best.slots", (-F.col("best.kept")).alias("changed"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:

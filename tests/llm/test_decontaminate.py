@@ -31,6 +31,14 @@ def test_slots_must_be_consistent(spark):
     assert set(out) == {(2, 1)}
 
 
+def test_items_of_one_template_keep_their_own_values(spark):
+    item = "Tom has {} apples and buys {} more pears at the old market"
+    bench = [(1, item.format(5, 5)), (2, item.format(3, 8)), (3, item.format(3, 8))]
+    out = found(spark, [(1, item.format(3, 8)), (2, item.format(5, 5)), (3, item.format(7, 9))], bench)
+    assert set(out) == {(1, 2), (1, 3), (2, 1), (3, 2), (3, 3)}
+    assert out[1, 2]["changed"] == out[2, 1]["changed"] == 0 and out[3, 2]["changed"] == 2
+
+
 def test_passage_inside_a_sentence_and_long_text(spark):
     item = text(7, 30).capitalize()
     out = found(spark, [(1, text(8, 30000) + " " + item + " " + text(9, 10)), (2, text(10, 30000))], [(5, item)])
