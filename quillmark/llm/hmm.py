@@ -97,14 +97,16 @@ def _totals(chunks: DataFrame, bits: int) -> DataFrame:
         total = np.bincount(index, weights=c, minlength=len(every)).astype(np.uint64)
         tail = t[where]
         seen = total > 0
-        top = np.lexsort((every, -total.astype(np.int64)))[:TOP]
-        top = top[seen[top]]
+        ordinary = seen & (every != _END)
+        top = np.flatnonzero(ordinary)
+        top = top[np.lexsort((every[top], -total[top].astype(np.int64)))[:TOP]]
         edge = np.concatenate([[0], np.cumsum(sizes)])
         back = [total[index[i:j]].tobytes() for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
-        ordinary = seen & (every != _END)
         sums = np.bincount(tail[ordinary], weights=total[ordinary], minlength=TAILS).astype(np.int64)
         types = np.bincount(tail[ordinary], minlength=TAILS)
         statistics = [(0, int(every[k].view(np.int64)), int(total[k]), int(tail[k])) for k in top] + [(1, k, int(sums[k]), int(types[k])) for k in np.flatnonzero(types).tolist()]
+        # the end token is counted for itself, however rare it is among the words
+        statistics += [(2, 0, int(total[k]), 0) for k in np.flatnonzero(seen & (every == _END)).tolist()]
         pad = len(statistics)
         m = len(blobs)
         return pa.table(
@@ -134,13 +136,11 @@ class Unigrams:
 
 def _unigrams(totals: DataFrame) -> Unigrams:
     statistics = totals.filter(F.col("kind").isNotNull())
-    top = checkpointed(statistics.filter("kind = 0").orderBy(F.desc("amount"), "item").limit(TOP + 1)).toPandas()
+    top = checkpointed(statistics.filter("kind = 0").orderBy(F.desc("amount"), "item").limit(TOP)).toPandas()
     tails = statistics.filter("kind = 1").groupBy("item").agg(F.sum("amount").alias("amount"), F.sum("other").alias("other")).toPandas()
     sums, types = np.zeros(TAILS), np.zeros(TAILS)
     sums[tails["item"].to_numpy(dtype=np.int64)], types[tails["item"].to_numpy(dtype=np.int64)] = tails["amount"], tails["other"]
-    ends = float(top.loc[top["item"] == int(_END.view(np.int64)), "amount"].sum())
-    # an end token is nearly always among the most frequent; its count is the number of training documents
-    top = top[top["item"] != int(_END.view(np.int64))].head(TOP)
+    ends = float(statistics.filter("kind = 2").agg(F.coalesce(F.sum("amount"), F.lit(0))).first()[0])  # the number of training documents
     tokens, kinds = int(sums.sum() + ends), int(types.sum() + (ends > 0))
     hashes = top["item"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(hashes)

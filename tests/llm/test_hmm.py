@@ -40,6 +40,15 @@ def plain(rows):
     return [(i, len(ws), sum(c[w] > 0 for w in ws), n, sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)) for i, ws in tokens]
 
 
+def test_the_end_counts_where_many_words_are_more_frequent(spark):
+    rows = [(k, " ".join(f"w{x}" for x in range(hmm.TOP + 100)) + f" own{k}") for k in range(4)]
+    rows = [(k, f"{t} {t}") for k, t in rows]
+    out = {x["doc_id"]: x for x in hmm.score(documents(spark, rows)).collect()}
+    for i, n, known, total, base in plain(rows):
+        x = out[i]
+        assert (x["n_tokens"], x["n_known"], x["train_tokens"]) == (n, known, total) and abs(x["base_score"] - base) < 1e-6 * n
+
+
 def test_base_is_exact_and_the_model_is_better(spark):
     r = random.Random(5)
     tongues = [[f"{p}{k}" for k in range(300)] for p in ("a", "b", "c")]
