@@ -9,7 +9,9 @@ document's slots. A document is contaminated by an item when consistent windows
 
 Items with equal canonical texts are one template and share its windows in the join, but each is held against the
 document with its own slot values, and all that fit are reported. Windows in which fewer than
-``LITERALS`` of the tokens are words are not used; items with fewer than ``SHORTEST`` canonical tokens have none.
+``LITERALS`` of the tokens are words are not used as templates. Items that have such windows, or fewer than ``SHORTEST``
+canonical tokens, are also sought word for word: by windows of their words and numbers as they stand (the whole item if
+it is shorter, so that an item of one word is in every document with that word). The better of the two counts.
 """
 
 from __future__ import annotations
@@ -48,6 +50,8 @@ _POINT[[44, 46]] = True
 _STOP = np.zeros(256, dtype=bool)
 _STOP[[10, 33, 34, 40, 46, 58, 59, 63]] = True
 _NUMBER, _NAME, _UNIT = (np.uint64(x) for x in (0x4E554D4245523A31, 0x4E414D453A3A3A31, 0x554E49543A3A3A31))
+#: Sets words and numbers as they stand apart from canonical tokens.
+_LITERAL = np.uint64(0x4C49544552414C31)
 
 
 def _unit_hashes() -> np.ndarray:
@@ -62,14 +66,20 @@ def _capital(buf: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return ((lead >= 65) & (lead <= 90)) | ((lead == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97))
 
 
-def canonical(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each canonical token: hash, is it a word, start, end; and the index of each document's first token."""
+def _numbers(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Is a byte part of a number: a digit, or a point between digits."""
     digit = _DIGIT[buf]
     point = np.flatnonzero(_POINT[buf])
     point = point[(point > 0) & (point < len(buf) - 1)]
     point = point[digit[point - 1] & digit[point + 1]]
     point = point[~np.isin(point, offsets) & ~np.isin(point + 1, offsets)]
     digit[point] = True
+    return digit
+
+
+def canonical(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each canonical token: hash, is it a word, start, end; and the index of each document's first token."""
+    digit = _numbers(buf, offsets)
     parts = [runs(digit, offsets)[:2], runs(_LETTER[buf], offsets)[:2]]
     starts = np.concatenate([p[0] for p in parts])
     ends = np.concatenate([p[1] for p in parts])
@@ -127,11 +137,24 @@ def span_hashes_of(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> lis
     return out
 
 
+def literal(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word and number as it stands (lower case), and the index of each document's first."""
+    digit = _numbers(buf, offsets)
+    starts, ends = (np.concatenate(x) for x in zip(runs(digit, offsets)[:2], runs(_LETTER[buf], offsets)[:2], strict=True))
+    order = np.argsort(starts, kind="stable")
+    starts, ends = starts[order], ends[order]
+    return span_hashes(buf, starts, ends) ^ _LITERAL, np.searchsorted(starts, offsets)
+
+
+def _template(h: np.ndarray) -> np.uint64:
+    return np.sum(mix(h + np.arange(len(h), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)), dtype=np.uint64)
+
+
 _HIT = "window long, at int, slots array<long>"
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    """item_id, template, width, windows, ats, hashes, slots: of each distinct item, the last three by window.
+    """item_id, template, width, exact, windows, ats, hashes, slots: of each distinct item, the last three by window.
 
     Items of one template have equal ats and hashes; the slots are each item's own.
     """
@@ -142,13 +165,19 @@ def _items(benchmark: DataFrame) -> DataFrame:
             rows = []
             for a, b, buf, offsets in slices(batch.column(1)):
                 h, word, starts, ends, first = canonical(buf, offsets)
+                plain, plain_first = literal(buf, offsets)
                 for d in range(b - a):
                     i, j = int(first[d]), int(first[d + 1])
                     width = min(WINDOW, j - i)
+                    w, enough = _windows(h[i:j], word[i:j], width)
+                    own = plain[int(plain_first[d]) : int(plain_first[d + 1])]
+                    if len(own) and (width < SHORTEST or not enough.all()):
+                        size = min(WINDOW, len(own))
+                        exact = _windows(own, np.ones(len(own), dtype=bool), size)[0].view(np.int64).tolist()
+                        rows.append((ids[a + d], int(mix(np.array([_template(own)], dtype=np.uint64)).view(np.int64)[0]), size, True, len(exact), list(range(len(exact))), exact, [[]] * len(exact)))
                     if width < SHORTEST:
                         continue
-                    w, enough = _windows(h[i:j], word[i:j], width)
-                    template = np.sum(mix(h[i:j] + np.arange(j - i, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)), dtype=np.uint64)
+                    template = _template(h[i:j])
                     good = np.flatnonzero(enough).tolist()
                     found = [(k, int(w[k : k + 1].view(np.int64)[0]), _slots(buf, word, starts, ends, i + k, width)) for k in good]
                     if _capital(buf, starts[i : i + 1])[0] and word[i]:
@@ -161,12 +190,12 @@ def _items(benchmark: DataFrame) -> DataFrame:
                             found.append((0, int(first_w.view(np.int64)[0]), values))
                             template = template + np.uint64(1)
                     if found:
-                        rows.append((ids[a + d], int(mix(np.array([template], dtype=np.uint64)).view(np.int64)[0]), width, max(1, len(good)), *([f[k] for f in found] for k in range(3))))
-            kinds = (batch.column(0).type, pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["item_id", "template", "width", "windows", "ats", "hashes", "slots"])
+                        rows.append((ids[a + d], int(mix(np.array([template], dtype=np.uint64)).view(np.int64)[0]), width, False, max(1, len(good)), *([f[k] for f in found] for k in range(3))))
+            kinds = (batch.column(0).type, pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["item_id", "template", "width", "exact", "windows", "ats", "hashes", "slots"])
 
     kind = benchmark.schema["item_id"].dataType.simpleString()
-    return benchmark.filter(F.col("item_id").isNotNull()).select("item_id", "text").mapInArrow(lean(run), f"item_id {kind}, template long, width int, windows int, ats array<int>, hashes array<long>, slots array<array<long>>").distinct()
+    return benchmark.filter(F.col("item_id").isNotNull()).select("item_id", "text").mapInArrow(lean(run), f"item_id {kind}, template long, width int, exact boolean, windows int, ats array<int>, hashes array<long>, slots array<array<long>>").distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
@@ -180,10 +209,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
     """
     spark = docs.sparkSession
     items = _items(benchmark)
-    shared = items.select("template", "width", "windows", F.posexplode(F.arrays_zip("ats", "hashes")).alias("k", "at")).dropDuplicates(["template", "k"])
-    shared = shared.select("template", "width", "windows", "k", F.col("at.ats").alias("item_at"), F.col("at.hashes").alias("window"))
-    known = shared.agg(F.count(F.lit(1)).alias("n"), F.collect_set("width").alias("widths")).first()
-    widths, n = sorted(known["widths"]), known["n"]
+    shared = items.select("template", "width", "exact", "windows", F.posexplode(F.arrays_zip("ats", "hashes")).alias("k", "at")).dropDuplicates(["template", "k"])
+    shared = shared.select("template", "width", "exact", "windows", "k", F.col("at.ats").alias("item_at"), F.col("at.hashes").alias("window"))
+    known = shared.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.struct("exact", "width")).alias("widths")).first()
+    widths, n = sorted(map(tuple, known["widths"])), known["n"]
     seen, bits = None, 0
     if n <= FILTER_WINDOWS:
         bits = max(16, int(16 * n).bit_length())
@@ -197,15 +226,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
             for a, b, buf, offsets in slices(batch.column(1)):
                 h, word, starts, ends, first = canonical(buf, offsets)
                 ids, rows = batch.column(0).slice(a, b - a), []
-                for width in widths:
-                    w, good = _windows(h, word, width)
+                plain, plain_first = literal(buf, offsets) if any(x for x, _ in widths) else (h, first)
+                for exact, width in widths:
+                    w, good = _windows(plain, np.ones(len(plain), dtype=bool), width) if exact else _windows(h, word, width)
+                    begin = plain_first if exact else first
                     if seen is not None and len(w):
                         top = w >> np.uint64(64 - bits)
                         good &= (seen.value[top >> np.uint64(3)] >> (np.uint64(7) - (top & np.uint64(7))).astype(np.uint8)) & 1 > 0
                     at = np.flatnonzero(good)
-                    doc = np.searchsorted(first, at, side="right") - 1
-                    inside = at + width <= first[np.minimum(doc + 1, len(first) - 1)]
-                    rows += [(d, int(w[k : k + 1].view(np.int64)[0]), k - int(first[d]), _slots(buf, word, starts, ends, k, width)) for k, d in zip(at[inside].tolist(), doc[inside].tolist(), strict=True)]
+                    doc = np.searchsorted(begin, at, side="right") - 1
+                    inside = at + width <= begin[np.minimum(doc + 1, len(begin) - 1)]
+                    rows += [(d, int(w[k : k + 1].view(np.int64)[0]), k - int(begin[d]), [] if exact else _slots(buf, word, starts, ends, k, width)) for k, d in zip(at[inside].tolist(), doc[inside].tolist(), strict=True)]
                 if rows:
                     kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array([r[0] for r in rows])), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds, 1))], ["doc_id", "window", "at", "slots"])

@@ -39,6 +39,13 @@ def test_items_of_one_template_keep_their_own_values(spark):
     assert out[1, 2]["changed"] == out[2, 1]["changed"] == 0 and out[3, 2]["changed"] == 2
 
 
+def test_items_of_numbers_and_short_items_are_found_word_for_word(spark):
+    bench = [(1, "What is 12 + 7 * 3?"), (2, "Rome 1960 Tokyo 1964 Mexico 1968 Munich 1972 Montreal 1976"), (3, "blue quokka")]
+    docs = [(1, f"{text(1, 20)}. {bench[0][1]} {text(2, 20)}"), (2, f"{text(3, 20)} {bench[1][1]} {text(4, 20)}"), (3, f"{text(5, 20)} blue quokka {text(6, 9)}"), (4, "What is 12 + 8 * 3? A blue tall quokka")]
+    out = found(spark, docs, bench)
+    assert set(out) == {(1, 1), (2, 2), (3, 3)} and all(r["changed"] == 0 for r in out.values())
+
+
 def test_passage_inside_a_sentence_and_long_text(spark):
     item = text(7, 30).capitalize()
     out = found(spark, [(1, text(8, 30000) + " " + item + " " + text(9, 10)), (2, text(10, 30000))], [(5, item)])
