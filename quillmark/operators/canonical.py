@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions import extract, temporal, text
+from quillmark.operators.small import small
 from quillmark.schemas import RAW_FIELDS
 
 
@@ -20,7 +21,7 @@ def _list(c: Column) -> Column:
 
 
 def from_bulletin(raw: DataFrame, regions: DataFrame | None = None, source: str = "BOAMP") -> DataFrame:
-    """Raw records, wrapped in ``record.fields``, in ``fields`` or not at all, as one canonical struct, with uuid_origin.
+    """Raw records, wrapped in ``record.fields``, in ``fields`` or not at all, as one canonical struct, with uuid_origin and all market_types.
 
     regions: (department, region), a small table; a code that it lacks stays as it is.
     """
@@ -30,7 +31,7 @@ def from_bulletin(raw: DataFrame, regions: DataFrame | None = None, source: str
     c = lambda n: F.col(f"r.{n}")
     rows = rows.withColumns({"uuid": extract.uuid_cascade(c("contractfolderid"), c("donnees"), c("objet"), c("url_avis")), "department": _first(c("code_departement"))})
     if regions is not None:
-        rows = rows.join(F.broadcast(regions.select("department", "region").limit(1000)), "department", "left")
+        rows = rows.join(small(regions.select("department", "region"), "the table of regions"), "department", "left")
     else:
         rows = rows.withColumn("region", F.lit(None).cast("string"))
     get = lambda path: F.get_json_object(c("donnees"), path)
@@ -42,7 +43,7 @@ def from_bulletin(raw: DataFrame, regions: DataFrame | None = None, source: str
         F.struct(_first(c("type_marche")).alias("type_marche"), c("procedure_libelle").alias("procedure"), c("famille_libelle").alias("famille")).alias("classification"),
         F.struct(get("$.IDENTITE.MEL").alias("acheteur_email"), get("$.IDENTITE.TEL").alias("acheteur_tel"), get("$.IDENTITE.ADRESSE").alias("acheteur_adresse"), get("$.IDENTITE.CP").alias("acheteur_cp"), get("$.IDENTITE.VILLE").alias("acheteur_ville"), c("criteres"), c("marche_public_simplifie"), c("titulaire"), get("$.IDENTITE.CODE_IDENT_NATIONAL").alias("siret")).alias("metadata"),
     )
-    return rows.select(canonical.alias("tender"), F.col("uuid.origin").alias("uuid_origin"))
+    return rows.select(canonical.alias("tender"), F.col("uuid.origin").alias("uuid_origin"), _list(c("type_marche")).alias("market_types"))
 
 
 def from_rss(items: DataFrame, regions: DataFrame | None = None, source: str = "MARCHESONLINE") -> DataFrame:
@@ -52,9 +53,8 @@ def from_rss(items: DataFrame, regions: DataFrame | None = None, source: str = "
     by_place, by_post = extract.department_of(F.col("Location"), description)
     rows = items.withColumns({"_place": by_place, "_post": by_post, "_keywords": extract.useful_categories(F.coalesce("category", F.array().cast("array<string>")))})
     if regions is not None:
-        small = regions.select("department", "region").limit(1000)
         for column in ("_place", "_post"):
-            rows = rows.join(F.broadcast(small.select(F.col("department").alias(column), F.col("region").alias(f"{column}_region"))), column, "left")
+            rows = rows.join(small(regions.select(F.col("department").alias(column), F.col("region").alias(f"{column}_region")), "the table of regions"), column, "left")
     else:
         rows = rows.withColumns({f"{c}_region": F.lit(None).cast("string") for c in ("_place", "_post")})
     none = F.lit(None).cast("string")
@@ -86,7 +86,7 @@ def keep_bulletin(canonical: DataFrame, since: str, as_of: str, until: str | Non
     day = c("lifecycle.publication_date")
     kind = (c("lifecycle.nature") == "appeloffre/standard") | c("lifecycle.annonce_lie").isNotNull() | c("lifecycle.annonces_anterieures").isNotNull() | (c("lifecycle.etat") == "AVIS_ANNULE")
     deadline = c("lifecycle.deadline")
-    return canonical.filter((day == since) if until is None else day.between(since, until)).filter(kind).filter(c("classification.type_marche") == type_marche).filter(deadline.isNull() | (F.to_date(temporal.instant(deadline)) >= F.date_add(F.lit(as_of).cast("date"), days))).filter(c("metadata.titulaire").isNull())
+    return canonical.filter((day == since) if until is None else day.between(since, until)).filter(kind).filter(F.array_contains("market_types", type_marche)).filter(deadline.isNull() | (F.to_date(temporal.instant(deadline)) >= F.date_add(F.lit(as_of).cast("date"), days))).filter(c("metadata.titulaire").isNull())
 
 
 def flatten(canonical: DataFrame) -> DataFrame:

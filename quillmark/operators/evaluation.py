@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.operators.small import small
+
 LEVELS = ("non_pertinent", "basse", "moyenne", "haute")
 
 
@@ -45,7 +47,7 @@ def join_expected(cases: DataFrame, results: DataFrame) -> DataFrame:
 
 def compare_models(runs: DataFrame, production: DataFrame, prices: DataFrame) -> DataFrame:
     """By model: agreement with production decisions, errors, tokens, cost and mean duration. runs: model, id, decision, error, prompt_tokens, completion_tokens, ms."""
-    joined = runs.join(production.select("id", F.col("decision").alias("_expected")), "id", "left").join(F.broadcast(prices.limit(1000)), "model", "left")
+    joined = runs.join(production.select("id", F.col("decision").alias("_expected")), "id", "left").join(small(prices, "the table of prices"), "model", "left")
     cost = F.col("prompt_tokens") / 1e6 * F.col("price_in") + F.col("completion_tokens") / 1e6 * F.col("price_out")
     return joined.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("decision") == F.col("_expected")).alias("agreed"), F.count("error").alias("errors"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), F.sum(cost).alias("cost"), F.avg("ms").alias("mean_ms"))
 

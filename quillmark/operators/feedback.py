@@ -14,15 +14,17 @@ def active_rules(rules: DataFrame, client_id: str, kind: str = "red_flag") -> Da
 
 
 def duplicates(proposals: DataFrame, rules: DataFrame) -> DataFrame:
-    """Adds duplicate_of: the first active rule of the client and type whose value contains the proposed one or lies in it.
+    """Adds duplicate_of: the first active rule (by id) of the client and type whose value contains the proposed one or lies in it; one row for each proposal.
 
-    Rules of one client and type are few; the equi-join on both keeps the comparison within them.
+    Rules of one client and type are few. Distinct proposed values are compared with them, and proposals are joined
+    with what was found, so that equal proposals stay separate rows.
     """
     side = rules.filter("active").select(F.col("client_id").alias("_c"), F.col("type").alias("_t"), F.lower("value").alias("_v"), F.col("id").alias("_id"))
-    own = F.lower(F.trim("value"))
-    both = (F.col("_v") == own) | F.contains("_v", own) | F.contains(own, F.col("_v"))
-    hit = proposals.join(side, (proposals["client_id"] == F.col("_c")) & (proposals["type"] == F.col("_t")) & both, "left")
-    return hit.groupBy(*proposals.columns).agg(F.min("_id").alias("duplicate_of"))
+    asked = proposals.select(F.col("client_id").alias("_ac"), F.col("type").alias("_at"), F.lower(F.trim("value")).alias("_own")).distinct()
+    both = F.contains("_v", F.col("_own")) | F.contains(F.col("_own"), F.col("_v"))
+    found = asked.join(side, (F.col("_ac") == F.col("_c")) & (F.col("_at") == F.col("_t")) & both).groupBy("_ac", "_at", "_own").agg(F.min("_id").alias("duplicate_of"))
+    same = (proposals["client_id"] == F.col("_ac")) & (proposals["type"] == F.col("_at")) & (F.lower(F.trim(proposals["value"])) == F.col("_own"))
+    return proposals.join(found, same, "left").drop("_ac", "_at", "_own")
 
 
 def similar_rules(rules: DataFrame, term: str) -> DataFrame:

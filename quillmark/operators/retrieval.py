@@ -44,11 +44,12 @@ def nearest(queries: DataFrame, index: DataFrame, k: int, same: list[str] | None
 def known_buyer(buyers: DataFrame, clients: DataFrame) -> DataFrame:
     """buyer, and the best known client: nom_normalise, match_type, match_score, match_confidence; null without any.
 
-    clients: nom_normalise, aliases, statut. Exact spellings count 1, a client's name inside the buyer's 0.95, common tokens 0.7 plus 0.2
+    clients: nom_normalise, aliases, statut, and ord, their order (without it they are in the order of names). Exact spellings count 1, a client's name inside the buyer's 0.95, common tokens 0.7 plus 0.2
     of their share from 0.6 on; the first best in the order of clients and aliases counts. Known names are a short list: its size is
     checked, and it is sent to all tasks, which compare each distinct buyer with each name. A longer list is an error.
     """
-    names = clients.select("nom_normalise", F.monotonically_increasing_id().alias("_client"), F.posexplode(F.concat(F.array("nom_normalise"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("_alias", "_name"))
+    turn = F.col("ord") if "ord" in clients.columns else F.col("nom_normalise")
+    names = clients.select("nom_normalise", turn.alias("_client"), F.posexplode(F.concat(F.array("nom_normalise"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("_alias", "_name"))
     names = names.withColumns({"_plain": text.normalize_words(F.col("_name")), "_tokens": text.long_tokens(F.col("_name"))})
     distinct = buyers.select("buyer").distinct().withColumns({"_buyer": text.normalize_words(F.col("buyer")), "_own": text.long_tokens(F.col("buyer"))}).filter(F.col("_buyer") != "")
     if names.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
@@ -61,7 +62,7 @@ def known_buyer(buyers: DataFrame, clients: DataFrame) -> DataFrame:
     )
     kind = F.when(F.col("_buyer") == F.col("_plain"), "exact").when(F.contains("_buyer", F.col("_plain")) & (F.length("_plain") > SUBSTRING_LONGER_THAN) & (0.7 + share * 0.2 <= SUBSTRING), "substring").otherwise("fuzzy")
     hits = distinct.join(F.broadcast(names), F.lit(True)).withColumns({"match_score": score, "match_type": kind}).filter(F.col("match_score").isNotNull())
-    best = hits.groupBy("buyer").agg(F.max_by(F.struct("nom_normalise", "match_type", "match_score"), F.struct("match_score", -F.col("_client"), -F.col("_alias"))).alias("_best"))
+    best = hits.groupBy("buyer").agg(F.min_by(F.struct("nom_normalise", "match_type", "match_score"), F.struct(-F.col("match_score"), F.col("_client"), F.col("_alias"))).alias("_best"))
     found = buyers.join(best, "buyer", "left")
     value = F.col("_best.match_score")
     return found.select(*buyers.columns, F.col("_best.nom_normalise").alias("nom_normalise"), F.col("_best.match_type").alias("match_type"), F.round(value, 2).alias("match_score"), F.when(value > 0.9, "HIGH").when(value > 0.75, "MEDIUM").when(value.isNotNull(), "LOW").alias("match_confidence"))

@@ -305,7 +305,7 @@ SELECT buyer, name AS nom_normalise, 0.95::DOUBLE AS match_score, 'HIGH' AS matc
 def fuzzy_name_lookup(spark, sf):
     """Known names inside free spellings: nations in suppliers' names."""
     nation = table(spark, sf, "nation")
-    clients = nation.orderBy("n_nationkey").coalesce(1).select(F.lower("n_name").alias("nom_normalise"), F.array().cast("array<string>").alias("aliases"), F.lit("historical").alias("statut"))
+    clients = nation.select(F.col("n_nationkey").alias("ord"), F.lower("n_name").alias("nom_normalise"), F.array().cast("array<string>").alias("aliases"), F.lit("historical").alias("statut"))
     s = table(spark, sf, "supplier")
     buyers = s.join(nation, s["s_nationkey"] == nation["n_nationkey"]).select(F.concat_ws(" ", "s_name", "n_name").alias("buyer")).distinct()
     return retrieval.known_buyer(buyers, clients).filter("match_type = 'substring'").select("buyer", "nom_normalise", "match_score", "match_confidence")

@@ -25,9 +25,14 @@ def broken_lines(spark: SparkSession, path: str, schema: T.StructType = schemas.
     return spark.read.text(path).filter(F.trim("value") != "").select(parsed["_bad"].alias("_bad")).filter(F.col("_bad").isNotNull())
 
 
+def _present(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def reference_clients(spark: SparkSession, path: str) -> DataFrame:
-    """Known clients of a JSON document, in order."""
-    doc = spark.read.schema(schemas.REFERENCE_CLIENTS).option("multiLine", True).json(path)
+    """Known clients of a JSON document, in order; a missing document has none."""
+    doc = spark.read.schema(schemas.REFERENCE_CLIENTS).option("multiLine", True).json(path) if _present(spark, path) else spark.createDataFrame([], schemas.REFERENCE_CLIENTS)
     return doc.select(F.posexplode("clients").alias("ord", "client")).select("ord", "client.*").orderBy("ord")
 
 
@@ -38,11 +43,8 @@ def eval_cases(spark: SparkSession, path: str) -> DataFrame:
 
 def retry_queue(spark: SparkSession, path: str) -> DataFrame:
     """Jobs of {"jobs": [...]} or of a plain array, the older layout; missing, empty and broken files give no jobs."""
-    empty = spark.createDataFrame([], schemas.RETRY_JOB)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
-        return empty
+    if not _present(spark, path):
+        return spark.createDataFrame([], schemas.RETRY_JOB)
     text = spark.read.text(path, wholetext=True)
     many = schemas.T.ArrayType(schemas.RETRY_JOB)
     listed = F.when(F.ltrim("value").startswith("["), F.from_json("value", many)).otherwise(F.from_json("value", schemas.struct(jobs=many))["jobs"])
@@ -50,8 +52,19 @@ def retry_queue(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_queue(queue: DataFrame, path: str) -> None:
-    """Atomically, as one JSON file of lines in a folder."""
-    queue.coalesce(1).write.mode("overwrite").json(path)
+    """As one {"jobs": [...]} in a folder that takes the place of ``path`` once it is written, so the queue may be read from there.
+
+    The queue is a short list (a job for each client and day that failed), so it may be one row. A file system without
+    atomic renames of folders may show no queue for a moment, which reads as an empty one.
+    """
+    spark = queue.sparkSession
+    jobs = F.array_sort(F.collect_list(F.struct(*(F.col(f.name) for f in schemas.RETRY_JOB.fields))))
+    queue.agg(F.to_json(F.struct(jobs.alias("jobs")), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}.new")
+    fresh, place = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.new", path))
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(place, True)
+    if not files.rename(fresh, place):
+        raise OSError(f"the queue could not be moved to {path}")
 
 
 def inline(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -254,3 +255,23 @@ def test_evaluation(spark):
     assert {r["level"]: (r["over"], r["under"]) for r in evaluation.level_bias(df, "level", "placed").collect()} == {"haute": (0, 1), "basse": (1, 0)}
     assert evaluation.gap_coverage(df).first().asDict() == {"gap_cases": 2, "gap_right": 1, "old_wrong": 2, "now_right": 2}
     assert evaluation.balanced_accuracy(df, "expected", "decision_correct").first()[0] == pytest.approx(0.75)
+
+
+def test_equal_proposals_stay_separate(spark):
+    rules = spark.createDataFrame([("r1", "c", "red_flag", "nettoyage", True), ("r0", "c", "red_flag", "NETT", True)], "id string, client_id string, type string, value string, active boolean")
+    p = spark.createDataFrame([("c", "red_flag", "nettoyage")] * 2 + [("c", "red_flag", None)], "client_id string, type string, value string")
+    assert sorted((r["value"] or "", r["duplicate_of"] or "") for r in feedback.duplicates(p, rules).collect()) == [("", ""), ("nettoyage", "r0"), ("nettoyage", "r0")]
+
+
+def test_large_small_tables_are_an_error(spark):
+    from quillmark.operators.small import small
+
+    with pytest.raises(ValueError, match="regions"):
+        small(spark.range(5), "the table of regions", 4)
+    assert small(spark.range(4), "the table of regions", 4).count() == 4
+
+
+def test_market_type_is_a_member(spark):
+    rows = canonical.from_bulletin(raw(spark, json.dumps({"idweb": "1", "dateparution": "2024-01-02", "nature_categorise": "appeloffre/standard", "type_marche": ["FOURNITURES", "SERVICES"]})))
+    assert canonical.keep_bulletin(rows, "2024-01-02", "2024-01-02").count() == 1
+    assert canonical.keep_bulletin(rows, "2024-01-02", "2024-01-02", type_marche="TRAVAUX").count() == 0

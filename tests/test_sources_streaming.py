@@ -147,3 +147,21 @@ def test_queries_equal_their_sql(spark, name):
     a = sorted(str([plain(dict(zip(names, r, strict=True))[c]) for c in order]) for r in want.fetchall())
     b = sorted(str([plain(r[c]) for c in order]) for r in out.collect())
     assert a == b
+
+
+def test_queue_round_trip(spark, tmp_path):
+    from quillmark.operators import retry
+
+    path = str(tmp_path / "queue")
+    wanted = spark.createDataFrame([("c1", "2024-01-02", "gap"), ("c2", "2024-01-03", None)], "clientId string, date string, reason string")
+    files.write_queue(retry.schedule(files.retry_queue(spark, path), wanted, "2024-01-04T00:00:00Z"), path)
+    first = files.retry_queue(spark, path)
+    assert [(r["clientId"], r["date"], r["reason"], r["status"]) for r in first.orderBy("id").collect()] == [("c1", "2024-01-02", "gap", "pending"), ("c2", "2024-01-03", None, "pending")]
+    files.write_queue(retry.settle(first, spark.createDataFrame([(first.orderBy("id").first()["id"], None)], "id string, error string"), "2024-01-05T00:00:00Z"), path)
+    assert sorted(r["status"] for r in files.retry_queue(spark, path).collect()) == ["completed", "pending"]
+    files.write_queue(files.retry_queue(spark, path).filter("false"), path)
+    assert files.retry_queue(spark, path).count() == 0
+
+
+def test_missing_clients_are_none(spark, tmp_path):
+    assert files.reference_clients(spark, str(tmp_path / "none.json")).count() == 0
