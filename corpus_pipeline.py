@@ -37,11 +37,18 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id; of rows that repeat this id and text, one."""
-    groups = jaccard.jaccard_join(docs.select("doc_id", "text"))
-    others = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(others, "doc_id", "left_anti").withColumn("__text_hash", F.xxhash64("text"))
-    return kept.dropDuplicates(["doc_id", "__text_hash"]).select(*docs.columns)
+    """Of each group of linked documents one row: that with the smallest id (then text hash); of rows that repeat id and text, one.
+
+    A document is known by id and text, so rows that share an id are judged one by one. Rows without words link with nothing, and all stay;
+    a row without an id stays only where no row of its group has one.
+    """
+    some_id = F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType))
+    named = docs.withColumn("__document", F.struct(F.col("doc_id").isNull().alias("lacks"), some_id.alias("id"), F.xxhash64("text").alias("hash")))
+    groups = jaccard.jaccard_join(named.select("__document", "text"), key="__document")
+    least = groups.filter(F.col("__document") == F.col("component_id")).select(F.col("__document").alias("__least"), "n_shingles").distinct()
+    kept = named.join(least, named["__document"] == least["__least"])
+    alone = F.when(F.col("n_shingles") == 0, F.monotonically_increasing_id()).otherwise(-1)
+    return kept.withColumn("__alone", alone).dropDuplicates(["__document", "__alone"]).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
