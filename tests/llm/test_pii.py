@@ -65,3 +65,46 @@ def test_trees_add_other_notations_and_leave_numbers_alone(spark):
     assert [s[0] for s in added] == [0, 3]
     assert pii.add_spans("version 3.14.159 of 2021-03-04 10, id=deadbeef12345678cafe", [], forest) == []
     assert np.isfinite(forest.probability(x)).all()
+
+
+def test_numbers_side_by_side_are_found_whole():
+    forest = pii.fit(*pii.grammar())
+    found = lambda t: [t[a:b] for _, a, b in pii.add_spans(t, pii.base_spans(t), forest)]
+    assert found("555-123-4567 555-765-4321") == ["555-123-4567", "555-765-4321"]
+    assert found("call 020 7946 0958 or 020 7946 0959.") == ["020 7946 0958", "020 7946 0959"]
+    assert "555-123-4567" in found("on 2024-05-01 555-123-4567 rang")
+
+
+def test_recall_of_planted_data_and_clean_texts():
+    """Keys, passwords, account numbers and other notations inside prose, none of which the base rules know."""
+    forest = pii.fit(*pii.grammar())
+    g = np.random.default_rng(9)
+    of = lambda letters, k: "".join(letters[x] for x in g.integers(0, len(letters), k))
+    upper, low, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "0123456789abcdef", "0123456789"
+    makers = [
+        lambda: ("", "AKIA" + of(upper, 16)), lambda: ("password=", of(low, 18)), lambda: ('token = "', of(low, 40)), lambda: ("tel: ", f"({of(digits, 3)}) {of(digits, 3)}-{of(digits, 4)}"),
+        lambda: ("write to ", f"{of('abcdefg', 6)} (at) {of('hijklm', 7)}.org"), lambda: ("", "GB82 WEST 1234 5698 7654 32"), lambda: ("host ", ":".join(of(low, 4) for _ in range(8))),
+    ]
+    hits = 0
+    for k in range(210):
+        lead, body = makers[k % len(makers)]()
+        head = text(k, 30) + " " + lead
+        spans = pii.add_spans(f"{head}{body} {text(k + 1000, 20)}", [], forest)
+        hits += any(a <= len(head) and b >= len(head) + len(body) for _, a, b in spans)
+    assert hits >= 0.9 * 210
+    clean = [f"{text(k, 40)} in 2021, page {k} of 300, version {k}.2.1, 12:30:45, {k}00 items" for k in range(200)]
+    assert sum(bool(pii.add_spans(t, [], forest)) for t in clean) <= 4
+    assert pii._account("GB82 WEST 1234 5698 7654 32") and not pii._account("GB82 WEST 1234 5698 7654 33")
+
+
+def test_many_spans_take_near_linear_time():
+    import time
+
+    forest = pii.fit(*pii.grammar())
+    spent = []
+    for n in (2_000, 8_000):
+        t = "a@b.co 555-123-4567 x " * n
+        began = time.process_time()
+        assert len(pii.add_spans(t, pii.base_spans(t), forest)) == 2 * n
+        spent.append(time.process_time() - began)
+    assert spent[1] < 9 * spent[0]
