@@ -51,6 +51,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _BETWEEN = frozenset(" ().-/")
 _TOKEN_CHARACTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/-"
 _TOKEN = re.compile(r"[A-Za-z0-9_+/-]+")
+_CAPITALS = re.compile(r"(?<![\w+/-])[A-Z]{16,}(?![\w+/-])")
 _ACCOUNT = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _IPV6 = re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}){1,6}(?![0-9A-Za-z:])")
 _SECRET_WORDS = re.compile(r"(?i)pass(?:word|wd|phrase)?|pwd|token|secret|api.?key|access.?key|private|bearer|credential|auth")
@@ -116,6 +117,7 @@ def candidates(text: str) -> list[Span]:
                     break
     if text.count(":") > 2:
         out += [(1, *m.span()) for m in _IPV6.finditer(text)]
+    out += [(4, *m.span()) for m in _CAPITALS.finditer(text)]
     groups = [m.span() for m in _DIGITS.finditer(text)]
     low = 0
     for k, (first, _) in enumerate(groups):
@@ -143,7 +145,7 @@ def candidates(text: str) -> list[Span]:
 
 NAMES = (
     "kind", "length", "digits", "groups", "shortest", "longest", "spaces", "dashes", "dots", "slashes", "brackets", "letters", "luhn", "glued_left", "glued_right", "word_near", "octets", "first_group", "last_group",
-    "at_words", "equal_groups", "plus", "digit_before", "digit_after", "capitals", "colons", "hexadecimal", "secret_word", "assigned", "account", "separators", "opens_alike",
+    "at_words", "equal_groups", "plus", "digit_before", "digit_after", "capitals", "colons", "hexadecimal", "secret_word", "assigned", "account", "separators", "opens_alike", "new_sentence",
 )
 
 
@@ -168,7 +170,7 @@ def features(text: str, span: Span, hide: bool = False) -> list[float]:
         body.count("(") + body.count(")"), sum(c.isalpha() for c in body[:80]), float(len(digits) >= 12 and luhn(digits)), float(bool(_LEAD.match(left)) or left in ("=", ".", "-", "_", "#", "/")), float(bool(_LEAD.match(right)) or right in ("_", "%", "-", "/")),
         float(bool(_WORDS.search(context))), float(len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups)), sizes[0], sizes[-1], float("at" in body and "@" not in body), float(len(set(sizes)) == 1), 0.0 if hide else body.count("+"),
         float(text[max(0, start - 2) : start].strip()[:1].isdigit()), float(text[end : end + 2].strip()[-1:].isdigit()), sum("A" <= c <= "Z" for c in body[:80]), body[:80].count(":"), float(kind == 4 and all(c in "0123456789abcdefABCDEF" for c in body[:80])),
-        float(bool(_SECRET_WORDS.search(context))), float(context.rstrip(" \"'")[-1:] in ("=", ":")), float(kind == 5 and _account(body)), len(separators), float(body[:4].isupper() and body[:4].isalpha()),
+        float(bool(_SECRET_WORDS.search(context))), float(context.rstrip(" \"'")[-1:] in ("=", ":")), float(kind == 5 and _account(body)), len(separators), float(body[:4].isupper() and body[:4].isalpha()), float(". " in body),
     ]
 
 
@@ -197,6 +199,7 @@ def grammar(n: int = 3000, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
         lambda: f"20{d(2)}-0{d(1)}-1{d(1)} 1{d(1)}", lambda: d(7), lambda: d(12), lambda: f"{d(1)}.{d(2)}.{d(2)}.{d(4)}", lambda: f"{d(3)} {d(3)} {d(3)}", lambda: f"{d(2)}/{d(2)}/20{d(2)}", lambda: f"978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", lambda: f"{word()}{d(9)}{word()}",
         lambda: f"{word()} at {word()}. {word().title()}", lambda: d(16), lambda: f"{d(4)}-{d(4)}", lambda: f"id={of(hexadecimal, int(g.integers(16, 41)))}", lambda: f"commit {of(hexadecimal, 40)}", lambda: f"{of(hexadecimal, 8)}-{of(hexadecimal, 4)}-{of(hexadecimal, 4)}-{of(hexadecimal, 4)}-{of(hexadecimal, 12)}",
         lambda: f"/{word()}/{word()}/{word()}{d(4)}", lambda: f"{word()}_{word()}_{d(3)}", lambda: f"{of(upper, 3)}-{d(5)}-{of(upper, 4)}", lambda: f"1{d(1)}:{d(2)}:{d(2)}:{d(2)}",
+        lambda: (word() + word() + word() + word()).upper(), lambda: (word() + word() + word() + word()).upper(),
     ]
     lead = ["tel: ", "phone ", "call me on ", "mail ", "", "", "the ", "of ", "is "]
     x, y = [], []
