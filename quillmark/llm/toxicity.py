@@ -6,10 +6,12 @@ with the class prior pi, by the non-negative risk estimator
 
     pi * E_P[l(f)] + max(0, E_U[l(-f)] - pi * E_P[l(-f)])        with l(z) = log(1 + exp(-z)),
 
-where a step goes against the gradient of the bracket while that is negative. Weights start at the log odds
-that pi and the rates in P and U give. A logistic curve over
-labelled rows of the learning fold then turns f into a probability. Samples are bounded (``POSITIVE``,
-``UNLABELLED``, ``CALIBRATION`` rows, taken by a hash of the id); scores cover all rows and whole texts.
+where a step goes against the gradient of the bracket while that is negative. Weights start at zero; steps are those of
+Adam, each followed by a shrinkage of all weights (an L1 penalty), from the strongest of ``PENALTIES`` on. Rows for learning
+are those outside fold 0; of these, fold 1 trains no weights: it chooses the penalty and fits the logistic curve that turns f
+into a probability. Samples are bounded numbers of labelled rows (``POSITIVE``, ``UNLABELLED``, ``CALIBRATION``, taken by a hash of
+the id); features are counted and chosen on the executors, so that the driver holds positions of at most
+``FEATURES`` features for each sampled text. Scores cover all rows and whole texts.
 """
 
 from __future__ import annotations
@@ -23,16 +25,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmark.llm.common import lean
-from quillmark.llm.kernel import mix, runs, slices, span_hashes
+from quillmark.llm.common import checkpointed, lean
+from quillmark.llm.kernel import mix, runs, shingle_sets, slices, span_hashes
 
-POSITIVE, UNLABELLED, CALIBRATION = 1500, 4500, 1500
-#: Features that are learned: at most so many, only those whose rates in P and U differ by so many standard
-#: errors, and only those with which a text is toxic at this rate, as pi, P and U have it. The last keeps out
-#: what toxic texts have for another reason, such as their length.
-FEATURES, LEAST_Z, LEAST_RATE = 8192, 5.0, 0.6
+POSITIVE, UNLABELLED, CALIBRATION = 3000, 9000, 3000
+#: Features that are learned: at most so many, and only those whose rates in P and U differ by so many standard errors.
+FEATURES, LEAST_Z = 4096, 4.0
 PREFIXES = (4, 5, 6)
-STEPS, RATE = 200, 1.0
+STEPS, RATE = 120, 0.1
+#: Strengths of the shrinkage, from the strongest on; each starts where the one before ended.
+PENALTIES = (0.01, 0.003, 0.001, 0.0003)
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -82,73 +84,69 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * f + self.shift, -30, 30)))
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], labelled: list[tuple[np.ndarray, int]], prior: float) -> Model:
-    """From the distinct feature hashes of each text. Without positive texts every score is the prior."""
-    if not positive or not unlabelled:
-        p = min(max(prior, 1e-6), 0.4)
-        return Model(np.zeros(0, dtype=np.uint64), np.zeros(0), 0.0, 1.0, float(np.log(p / (1 - p))))
-    count = lambda x: np.unique(np.concatenate(x), return_counts=True)
-    positive, unlabelled = _without_copies(positive, unlabelled)
-    hp, cp = count(positive)
-    hu, cu = count(unlabelled)
-    both = np.union1d(hp, hu)
-    p, u = np.zeros(len(both)), np.zeros(len(both))
-    p[np.searchsorted(both, hp)], u[np.searchsorted(both, hu)] = cp, cu
-    rate_p, rate_u = p / len(positive), u / len(unlabelled)
-    pooled = (p + u) / (len(positive) + len(unlabelled))
-    gain = np.abs(rate_p - rate_u) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-9) * (1 / len(positive) + 1 / len(unlabelled)))
-    chosen = np.argsort(-gain, kind="stable")[:FEATURES]
-    rate = prior * (p + 0.5) / (len(positive) + 1) / ((u + 0.5) / (len(unlabelled) + 1))
-    chosen = np.sort(chosen[(gain[chosen] >= LEAST_Z) & (rate[chosen] >= LEAST_RATE)])
-    if not len(chosen):
-        return fit([], [], [], prior)
-    hashes = both[chosen]
-
-    def matrix(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-        flat = np.concatenate(texts) if texts else np.zeros(0, dtype=np.uint64)
-        at = np.minimum(np.searchsorted(hashes, flat), len(hashes) - 1)
-        keep = hashes[at] == flat
-        return row[keep], at[keep]
-
-    (rp, fp), (ru, fu) = matrix(positive), matrix(unlabelled)
-    q, base = np.clip(rate[chosen], 0.02, 0.98), min(max(prior, 1e-3), 0.5)
-    bias = float(np.log(base / (1 - base))) - 1
-    w = np.log(q / (1 - q)) - bias
+Texts = tuple[np.ndarray, np.ndarray, int]
+
+
+def _sparse(texts: list[np.ndarray]) -> Texts:
+    """(row, feature) of all texts, and their number."""
+    return np.repeat(np.arange(len(texts)), [len(t) for t in texts]), np.concatenate([*texts, np.zeros(0, np.int64)]).astype(np.int64), len(texts)
+
+
+def _outputs(texts: Texts, w: np.ndarray, bias: float) -> np.ndarray:
+    return np.bincount(texts[0], weights=w[texts[1]], minlength=texts[2]) + bias
+
+
+def risk_gradient(positive: Texts, unlabelled: Texts, w: np.ndarray, bias: float, prior: float) -> tuple[np.ndarray, float]:
+    """Of the non-negative risk at (w, bias): the direction that a step goes against, for weights and bias."""
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    for _ in range(STEPS):
-        zp = np.bincount(rp, weights=w[fp], minlength=len(positive)) + bias
-        zu = np.bincount(ru, weights=w[fu], minlength=len(unlabelled)) + bias
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        if negative >= 0:
-            gp, gu = np.full(len(zp), -prior / len(positive)), sigmoid(zu) / len(unlabelled)
-        else:  # undo what has been overfitted
-            gp, gu = prior * sigmoid(zp) / len(positive), -sigmoid(zu) / len(unlabelled)
-        w = w - RATE * (np.bincount(fp, weights=gp[rp], minlength=len(w)) + np.bincount(fu, weights=gu[ru], minlength=len(w)))
-        bias -= RATE * (gp.sum() + gu.sum())
-    model = Model(hashes, w, float(bias), 1.0, 0.0)
+    zp, zu = _outputs(positive, w, bias), _outputs(unlabelled, w, bias)
+    if np.logaddexp(0, zu).mean() >= prior * np.logaddexp(0, zp).mean():
+        gp, gu = np.full(len(zp), -prior / len(zp)), sigmoid(zu) / len(zu)
+    else:  # the estimate of a risk is negative: undo what has been overfitted
+        gp, gu = prior * sigmoid(zp) / len(zp), -sigmoid(zu) / len(zu)
+    back = lambda t, g: np.bincount(t[1], weights=g[t[0]], minlength=len(w))
+    return back(positive, gp) + back(unlabelled, gu), float(gp.sum() + gu.sum())
+
+
+def learn(positive: Texts, unlabelled: Texts, n: int, prior: float, penalties: tuple[float, ...] = PENALTIES, steps: int = STEPS) -> Iterator[tuple[np.ndarray, float]]:
+    """Weights of n features and the bias, after the steps of each penalty; from zero."""
+    w = np.zeros(n + 1)  # the bias comes last
+    w[n] = np.log(prior / (1 - prior))
+    mean, square, t = np.zeros(n + 1), np.zeros(n + 1), 0
+    for penalty in penalties:
+        for _ in range(steps):
+            t += 1
+            g, b = risk_gradient(positive, unlabelled, w[:n], w[n], prior)
+            g = np.append(g, b)
+            mean = 0.9 * mean + 0.1 * g
+            square = 0.99 * square + 0.01 * g * g
+            size = RATE / (np.sqrt(square / (1 - 0.99**t)) + 1e-8)
+            w = w - size * mean / (1 - 0.9**t)
+            w[:n] = np.sign(w[:n]) * np.maximum(0, np.abs(w[:n]) - np.minimum(size[:n], 100.0) * penalty * prior)
+        yield w[:n].copy(), float(w[n])
+
+
+def fit(hashes: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndarray], labelled: list[tuple[np.ndarray, int]], prior: float, penalties: tuple[float, ...] = PENALTIES, steps: int = STEPS) -> Model:
+    """From the positions in hashes that each text has. Without positive texts or features every score is the prior."""
+    prior = min(max(prior, 1e-6), 0.5)
+    if not positive or not unlabelled or not len(hashes):
+        p = min(prior, 0.4)
+        return Model(np.zeros(0, dtype=np.uint64), np.zeros(0), 0.0, 1.0, float(np.log(p / (1 - p))))
+    x = _sparse([t for t, _ in labelled])
     y = np.array([label for _, label in labelled], dtype=float)
-    if len(labelled) and 0 < y.sum() < len(y):
-        row, at = matrix([t for t, _ in labelled])
-        f = np.bincount(row, weights=w[at], minlength=len(labelled)) + bias
-        model.slope, model.shift = _logistic(f, y)
-    return model
-
-
-def _without_copies(*samples: list[np.ndarray]) -> list[list[np.ndarray]]:
-    """Of texts that share their min-hash over rare features one stays in each sample: copies would vouch for their every word."""
-    hashes, n = np.unique(np.concatenate([t for x in samples for t in x]), return_counts=True)
-    rare = hashes[n <= max(2, sum(map(len, samples)) // 200)]
-    del hashes, n
-    out = []
-    for texts in samples:
-        kept: dict[int, np.ndarray] = {}
-        for k, t in enumerate(texts):
-            at = np.minimum(np.searchsorted(rare, t), max(0, len(rare) - 1))
-            own = t[rare[at] == t] if len(rare) else t[:0]
-            kept.setdefault(int(mix(own).min()) if len(own) else -k - 1, t)
-        out.append(list(kept.values()))
-    return out
+    best, least = None, np.inf
+    found = list(learn(_sparse(positive), _sparse(unlabelled), len(hashes), prior, penalties, steps))
+    for k, (w, bias) in enumerate(found):
+        slope, shift, loss = 1.0, 0.0, float(abs(2 * k - len(found)))  # without labels of both classes the middle penalty
+        if 0 < y.sum() < len(y):
+            f = _outputs(x, w, bias)
+            slope, shift = _logistic(f, y)
+            z = slope * f + shift
+            loss = float((np.logaddexp(0, z) - y * z).mean())
+        if loss < least - 1e-9:
+            keep = w != 0
+            best, least = Model(hashes[keep], w[keep], bias, slope, shift), loss
+    return best
 
 
 def _logistic(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -173,15 +171,19 @@ def _drawn(rows: DataFrame, n: int, limit: int, salt: int) -> DataFrame:
     return rows.filter(below).orderBy(mark, "doc_id").limit(limit)
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """From rows of ``labels`` outside fold 0 (rows that repeat an id: the larger label; null labels do not count)."""
+def train(docs: DataFrame, labels: DataFrame, penalties: tuple[float, ...] = PENALTIES, steps: int = STEPS) -> Model:
+    """From rows of ``labels`` outside fold 0 (rows that repeat an id: the larger label; null labels do not count).
+
+    Of texts that share the smallest hash of their shingles one stays in P and in U each: copies would vouch for their every word.
+    """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    total = known.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("toxic") == 1).cast("long")).alias("p")).first()
-    prior = (total["p"] or 0) / max(1, total["n"])
-    texts = docs.filter(F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0)).select("doc_id", F.lit(1).alias("role"), F.lit(-1).alias("label"))
-    sample = _drawn(known.filter("toxic = 1").select("doc_id", F.lit(0).alias("role"), F.lit(1).alias("label")), total["p"] or 0, POSITIVE, 0)
-    sample = sample.unionByName(_drawn(texts, docs.count(), UNLABELLED, 0))
-    sample = sample.unionByName(_drawn(known.select("doc_id", F.lit(2).alias("role"), F.col("toxic").cast("int").alias("label")), total["n"], CALIBRATION, 7))
+    inner = fold(F.col("doc_id")) == 1
+    total = known.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("toxic") == 1).alias("p"), F.count_if(inner).alias("inner"), F.count_if(inner & (F.col("toxic") == 1)).alias("inner_p")).first()
+    prior = total["p"] / max(1, total["n"])
+    role = lambda k, label: (F.lit(k).alias("role"), label.cast("int").alias("label"))
+    sample = _drawn(known.filter(~inner & (F.col("toxic") == 1)).select("doc_id", *role(0, F.lit(1))), total["p"] - total["inner_p"], POSITIVE, 0)
+    sample = sample.unionByName(_drawn(known.filter(~inner).select("doc_id", *role(1, F.lit(-1))), total["n"] - total["inner"], UNLABELLED, 0))
+    sample = sample.unionByName(_drawn(known.filter(inner).select("doc_id", *role(2, F.col("toxic"))), total["inner"], CALIBRATION, 7))
     roles = sample.groupBy("doc_id").agg(F.collect_set(F.struct("role", "label")).alias("roles"))  # bounded by the three limits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,18 +193,43 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                 order_ = np.argsort(docs_, kind="stable")
                 edge = np.searchsorted(docs_[order_], np.arange(b - a + 1))
                 found = [np.unique(hashes[order_[i:j]]).tobytes() for i, j in zip(edge[:-1], edge[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(found, pa.binary())], ["roles", "found"])
+                marks = [int(mix(x).min().view(np.int64)) if len(x) else 0 for x in shingle_sets(buf, offsets)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(marks, pa.int64()), pa.array(found, pa.binary())], ["roles", "mark", "found"])
 
     picked = docs.select("doc_id", "text").join(F.broadcast(roles), "doc_id").select("roles", F.coalesce("text", F.lit("")).alias("text"))
-    got = picked.mapInArrow(lean(run), "roles array<struct<role int, label int>>, found binary").toArrow()
+    each = picked.mapInArrow(lean(run), "roles array<struct<role int, label int>>, mark long, found binary").select(F.explode("roles").alias("r"), "mark", "found")
+    each = each.groupBy("r.role", "r.label", F.when(F.col("r.role") == 2, F.xxhash64("mark", "found")).otherwise(F.col("mark")).alias("mark")).agg(F.min("found").alias("found"), F.when(F.col("role") == 2, F.count(F.lit(1))).otherwise(1).alias("times"))
+    each = checkpointed(each)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                texts = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in part.column(1)]
+                own = np.repeat(part.column(0).to_numpy() == 0, [len(t) for t in texts])
+                every, at = np.unique(np.concatenate(texts), return_inverse=True)
+                p = np.bincount(at, weights=own, minlength=len(every)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64)), pa.array(p), pa.array(np.bincount(at, minlength=len(every)) - p)], ["feature", "p", "u"])
+
+    n = {r["role"]: r["n"] for r in each.groupBy("role").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counted = each.filter("role < 2").select("role", "found").mapInArrow(lean(count), "feature long, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    np_, nu = float(n.get(0, 0) or 1), float(n.get(1, 0) or 1)
+    pooled = (F.col("p") + F.col("u")) / (np_ + nu)
+    gain = F.abs(F.col("p") / np_ - F.col("u") / nu) / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-9)) * (1 / np_ + 1 / nu))
+    chosen = counted.select("feature", gain.alias("gain")).filter(F.col("gain") >= LEAST_Z).orderBy(F.desc("gain"), "feature").limit(FEATURES).toPandas()
+    hashes = np.sort(chosen["feature"].to_numpy(dtype=np.int64).view(np.uint64))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in batch.column(3)]
+            found = [np.flatnonzero(np.isin(hashes, t, assume_unique=True)).astype("<u2").tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], ["role", "label", "times", "at"])
+
+    got = each.select("role", "label", F.col("times").cast("int").alias("times"), "found").mapInArrow(lean(place), "role int, label int, times int, at binary").toArrow()
     sets: dict[int, list] = {0: [], 1: [], 2: []}
-    for roles_, found in zip(got.column("roles").to_pylist(), got.column("found"), strict=True):
-        own = np.frombuffer(found.as_buffer(), dtype=np.uint64)
-        for role in roles_:
-            sets[role["role"]].append((own, role["label"]))
-    for x in sets.values():
-        x.sort(key=lambda t: (t[0].tobytes(), t[1]))  # the order of rows plays no part
-    return fit([t for t, _ in sets[0]], [t for t, _ in sets[1]], sets[2], prior)
+    for role_, label, times, at in sorted(zip(*(got.column(c).to_pylist() for c in ("role", "label", "times", "at")), strict=True)):  # the order of rows plays no part
+        sets[role_] += [(np.frombuffer(at, "<u2").astype(np.int64), label)] * times
+    return fit(hashes, [t for t, _ in sets[0]], [t for t, _ in sets[1]], sets[2], prior, penalties, steps)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
