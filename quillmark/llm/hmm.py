@@ -5,9 +5,11 @@
 2. Words fall into classes: the ``TOP`` most frequent each have their own, the others share ``TAILS`` classes by their
    last three bytes; the end and unknown words have a class each. With p the smoothed unigram probability,
    P(word | class) = p(word) / p(class).
-3. Latent states emit classes. Starting values come from a bounded sample (``SAMPLE`` documents, clustered, then
-   Baum-Welch on the driver). Then Baum-Welch runs ``ROUNDS`` times over all training documents: partitions add up
-   expected counts over windows of ``SEGMENT`` tokens, which are summed by key.
+3. Latent states emit classes. Starting values come from all training documents: these are dealt to states by the likelihood of
+   their whole class sequence, ``CLUSTER_ROUNDS`` times over, from seeds that are far apart among the class counts of ``SEEDS``
+   whole documents drawn by a hash. Then Baum-Welch runs over all training documents until a round gains less than ``LEAST_GAIN``
+   a token (``ROUNDS`` at most): partitions add up expected counts over whole documents, which are summed by key. A long document
+   is recomputed segment by segment, with forward and backward states carried across, so memory is bounded and no transition is lost.
 4. The scaled forward recursion over the whole document gives the exact likelihood of its class sequence, and with
    P(word | class) that of the text.
 """
@@ -31,8 +33,11 @@ CHUNK_BYTES = 8 << 20
 TOP, TAILS = 2048, 512
 UNKNOWN, FINAL = 0, 1
 STATES = 8
-SAMPLE, SAMPLE_ROUNDS, ROUNDS = 1500, 8, 2
-SEGMENT = 512
+SEEDS, CLUSTER_ROUNDS, ROUNDS = 256, 3, 4
+#: Log10 a token.
+LEAST_GAIN = 0.002
+#: Tokens whose forward states are held at once.
+SEGMENT = 2048
 #: The hash of the end token; no word has it, as it is the hash of no bytes and words are not empty.
 _END = np.uint64(0)
 _U = np.uint64
@@ -193,41 +198,64 @@ class Model:
 
 
 def expected(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch counts of short sequences: starts, transitions, emissions."""
+    """Baum-Welch counts: starts, transitions, emissions."""
+    return _expected(model, sequences)[:3]
+
+
+def _expected(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch counts of whole sequences, and their log10 likelihood.
+
+    The states before each segment are kept; going backwards, a segment's forward states are computed again.
+    """
     k = len(model.start)
-    starts, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros(model.emit.shape)
+    starts, moves, emits, total = np.zeros(k), np.zeros((k, k)), np.zeros(model.emit.shape), 0.0
     sequences = sorted((s for s in sequences if len(s)), key=len, reverse=True)
     for first in range(0, len(sequences), 512):
         part = sequences[first : first + 512]
         length = np.array([len(s) for s in part])
         flat = np.concatenate(part).astype(np.int64)
         begin = np.concatenate([[0], np.cumsum(length)[:-1]])
-        active = [int((length > t).sum()) for t in range(int(length[0]))]
-        alphas, emissions, scales = [], [], []
-        for t, n in enumerate(active):
-            e = model.emit[flat[begin[:n] + t]]
-            a = model.start * e if t == 0 else (alphas[-1][:n] @ model.move) * e
-            c = a.sum(1, keepdims=True)
-            a /= c
-            alphas.append(a)
-            emissions.append(e)
-            scales.append(c)
-        beta = np.ones((active[-1], k))
-        for t in range(len(active) - 1, -1, -1):
+        longest = int(length[0])
+        active = np.searchsorted(-length, -np.arange(longest), side="left")  # how many are longer than t
+
+        def forward(t: int, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             n = active[t]
-            if t + 1 < len(active):
-                m = active[t + 1]
-                weighted = emissions[t + 1] * beta / scales[t + 1]
-                moves += alphas[t][:m].T @ weighted
-                beta = np.concatenate([weighted @ model.move.T, np.ones((n - m, k))]) if n > m else weighted @ model.move.T
-            gamma = alphas[t] * beta
-            alphas[t] = gamma
-        starts += alphas[0].sum(0)
-        gamma = np.concatenate(alphas)
-        seen = np.concatenate([flat[begin[:n] + t] for t, n in enumerate(active)])
-        for s in range(k):
-            emits[:, s] += np.bincount(seen, weights=gamma[:, s], minlength=len(emits))
-    return starts, moves * model.move, emits
+            e = model.emit[flat[begin[:n] + t]]  # noqa: B023
+            a = model.start * e if before is None else (before[:n] @ model.move) * e
+            c = a.sum(1, keepdims=True)
+            return a / c, e, c
+
+        edges = range(0, longest, SEGMENT)
+        kept: list[np.ndarray | None] = [None]
+        state: np.ndarray | None = None
+        for t in range(edges[-1]):
+            state = forward(t, state)[0]
+            if t + 1 == len(kept) * SEGMENT:
+                kept.append(state)
+        weighted = None
+        for edge, before in zip(reversed(edges), reversed(kept), strict=True):
+            alphas, emissions, scales, state = [], [], [], before
+            for t in range(edge, min(longest, edge + SEGMENT)):
+                state, e, c = forward(t, state)
+                alphas.append(state)
+                emissions.append(e)
+                scales.append(c)
+            total += float(np.log10(np.concatenate(scales)).sum())
+            for i in range(len(alphas) - 1, -1, -1):
+                beta = np.ones((len(alphas[i]), k))
+                if weighted is not None:
+                    m = len(weighted)
+                    moves += alphas[i][:m].T @ weighted
+                    beta[:m] = weighted @ model.move.T
+                weighted = emissions[i] * beta / scales[i]
+                alphas[i] = alphas[i] * beta
+            gamma = np.concatenate(alphas)
+            seen = np.concatenate([flat[begin[: len(a)] + t] for t, a in enumerate(alphas, edge)])
+            for s in range(k):
+                emits[:, s] += np.bincount(seen, weights=gamma[:, s], minlength=len(emits))
+            if not edge:
+                starts += alphas[0].sum(0)
+    return starts, moves * model.move, emits, total
 
 
 def maximise(starts: np.ndarray, moves: np.ndarray, emits: np.ndarray, prior: np.ndarray) -> Model:
@@ -270,55 +298,97 @@ def _split(n: np.ndarray, classes: bytes) -> list[np.ndarray]:
     return np.split(np.frombuffer(zlib.decompress(classes), "<u2"), np.cumsum(n)[:-1])
 
 
-def _segments(sequences: list[np.ndarray]) -> list[np.ndarray]:
-    return [s[k : k + SEGMENT] for s in sequences for k in range(0, len(s), SEGMENT)]
-
-
-def _starting_model(sample: list[np.ndarray], prior: np.ndarray, states: int) -> Model:
-    """Clusters of the sample's class frequencies become states that like to stay; then Baum-Welch."""
-    counts = np.stack([np.bincount(s, minlength=len(prior)) for s in sample]).astype(float)
-    rows = np.sqrt(counts / counts.sum(1, keepdims=True))
-    centres = [rows[int(np.argmax(counts.sum(1)))]]
-    for _ in range(states - 1):
-        far = np.min([((rows - c) ** 2).sum(1) * np.sqrt(counts.sum(1)) for c in centres], axis=0)
-        centres.append(rows[int(np.argmax(far))])
-    centre = np.stack(centres)
-    for _ in range(10):
-        own = np.argmax(rows @ centre.T, axis=1)
-        for k in range(states):
-            if (own == k).any():
-                centre[k] = rows[own == k].mean(0)
-                centre[k] /= max(1e-12, np.linalg.norm(centre[k]))
-    emits = np.stack([counts[own == k].sum(0) for k in range(states)], axis=1)
-    emits += prior[:, None] * (100 + 0.05 * counts.sum() / states)
-    stay = np.eye(states) * 50 + 1
-    model = maximise(np.ones(states), stay, emits, prior)
-    segments = _segments(sample)
-    for _ in range(SAMPLE_ROUNDS):
-        model = maximise(*expected(model, segments), prior)
-    return model
-
+def _summed(rows: DataFrame, size: int, run) -> np.ndarray:
+    """The sum over all chunks of what run(training sequences) gives for each; a fixed number of values, whatever the input."""
 
-def _baum_welch(rows: DataFrame, model: Model, prior: np.ndarray) -> Model:
-    """One round over the training documents of all rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: np.ndarray | None = None
         for batch in batches:
             for k in range(batch.num_rows):
                 held = batch.column(0)[k].values.to_numpy(zero_copy_only=False)
                 sequences = _split(batch.column(1)[k].values.to_numpy(), batch.column(2)[k].as_buffer())
-                found = np.concatenate([x.reshape(-1) for x in expected(model, _segments([s for s, h in zip(sequences, held, strict=True) if not h]))])
+                found = run([s for s, h in zip(sequences, held, strict=True) if not h])
                 total = found if total is None else total + found
         if total is not None:
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "amount"])
 
-    counted = rows.select("held", "n", "classes").mapInArrow(lean(run), "at long, amount double").groupBy("at").agg(F.sum("amount").alias("amount")).toPandas()
-    k = len(model.start)
-    total = np.zeros(k + k * k + model.emit.size)
+    counted = rows.select("held", "n", "classes").mapInArrow(lean(every), "at long, amount double").groupBy("at").agg(F.sum("amount").alias("amount")).toPandas()
+    total = np.zeros(size)
     total[counted["at"].to_numpy(dtype=np.int64)] = counted["amount"]
-    return maximise(total[:k], total[k : k + k * k].reshape(k, k), total[k + k * k :].reshape(model.emit.shape), prior)
+    return total
+
+
+def _seeds(rows: DataFrame, prior: np.ndarray, states: int) -> np.ndarray:
+    """Class probabilities by state, from documents whose class counts are far apart; none without training documents."""
+    documents = rows.agg(F.sum(F.size("keys")).alias("n")).first()["n"] or 0
+    ceiling = min(1 << 32, (1 << 32) * 4 * SEEDS // max(1, documents))  # four times the seeds, so that the rest is little to sort
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                held = batch.column(1)[k].as_py()
+                marks = [zlib.crc32(f"seed:{x}".encode()) for x in batch.column(0)[k].as_py()]
+                keep = [i for i, m in enumerate(marks) if m < ceiling and not held[i]]
+                if keep:
+                    sequences = _split(batch.column(2)[k].values.to_numpy(), batch.column(3)[k].as_buffer())
+                    counts = [np.bincount(sequences[i], minlength=len(prior)).astype("<f4").tobytes() for i in keep]
+                    yield pa.RecordBatch.from_arrays([pa.array([marks[i] for i in keep], pa.int64()), pa.array(counts, pa.binary())], ["mark", "counts"])
+
+    found = checkpointed(rows.select("keys", "held", "n", "classes").mapInArrow(lean(drawn), "mark long, counts binary").orderBy("mark", "counts").limit(SEEDS)).toPandas()
+    if not len(found):
+        return np.zeros((len(prior), 0))
+    counts = np.stack([np.frombuffer(x, "<f4") for x in found["counts"]]).astype(float)
+    places = np.sqrt(counts / counts.sum(1, keepdims=True))
+    centres = [int(np.argmax(counts.sum(1)))]
+    for _ in range(states - 1):
+        far = np.min([((places - places[c]) ** 2).sum(1) * np.sqrt(counts.sum(1)) for c in centres], axis=0)
+        centres.append(int(np.argmax(far)))
+    return _probabilities(counts[centres].T, prior)
+
+
+def _probabilities(counts: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Class probabilities of each column of counts, drawn towards the prior by a twentieth of the mean column and 100 tokens."""
+    smooth = counts + prior[:, None] * (100 + 0.05 * counts.sum() / max(1, counts.shape[1]))
+    return smooth / smooth.sum(0)
+
+
+def _dealt(emits: np.ndarray, sequences: list[np.ndarray]) -> np.ndarray:
+    """Class counts by state, each whole document in the state that gives its classes the largest likelihood."""
+    logs, out = np.log(emits), np.zeros(emits.shape)
+    sequences = [s for s in sequences if len(s)]
+    at = 0
+    while at < len(sequences):
+        size, end = 0, at
+        while end < len(sequences) and (size < 1 << 18 or end == at):
+            size += len(sequences[end])
+            end += 1
+        part = sequences[at:end]
+        at = end
+        length = np.array([len(s) for s in part])
+        flat = np.concatenate(part).astype(np.int64)
+        own = np.argmax(np.add.reduceat(logs[flat], np.concatenate([[0], np.cumsum(length)[:-1]])), axis=1)
+        out += np.bincount(flat * emits.shape[1] + np.repeat(own, length), minlength=out.size).reshape(out.shape)
+    return out.reshape(-1)
+
+
+def learn(rows: DataFrame, prior: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> Model:
+    """The model of all training documents."""
+    emits = _seeds(rows, prior, states)
+    if not emits.shape[1]:
+        return Model(np.full(states, 1 / states), np.full((states, states), 1 / states), np.repeat(prior[:, None], states, 1))
+    for _ in range(CLUSTER_ROUNDS):
+        emits = _probabilities(_summed(rows, emits.size, lambda s, e=emits: _dealt(e, s)).reshape(emits.shape), prior)
+    model = maximise(np.ones(states), np.eye(states) * 50 + 1, emits * 1e6, prior)
+    before = -np.inf
+    for _ in range(rounds):
+        got = _summed(rows, states + states**2 + emits.size + 1, lambda s, m=model: np.concatenate([np.asarray(x).reshape(-1) for x in _expected(m, s)]))
+        starts, moves, seen, likelihood = got[:states], got[states : states + states**2].reshape(states, states), got[states + states**2 : -1].reshape(emits.shape), got[-1]
+        model = maximise(starts, moves, seen, prior)
+        if likelihood - before < LEAST_GAIN * seen.sum():
+            break
+        before = likelihood
+    return model
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
@@ -339,27 +409,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", states: int
     prior = 10**unigrams.log_class
     prior /= prior.sum()
 
-    documents = rows.agg(F.sum(F.size("keys")).alias("n")).first()["n"] or 0
-    ceiling = min(1 << 32, (1 << 32) * 4 * SAMPLE // max(1, documents))  # four times the sample, so that the rest is little to sort
-
-    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                keys, held = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-                marks = [zlib.crc32(f"sample:{x}".encode()) for x in keys]
-                keep = [i for i, m in enumerate(marks) if m < ceiling and not held[i]]
-                sequences = _split(batch.column(2)[k].values.to_numpy(), batch.column(3)[k].as_buffer())
-                if keep:
-                    yield pa.RecordBatch.from_arrays([pa.array([marks[i] for i in keep], pa.int64()), pa.array([sequences[i][:SEGMENT].tobytes() for i in keep], pa.binary())], ["mark", "classes"])
-
-    drawn_rows = checkpointed(rows.select("keys", "held", "n", "classes").mapInArrow(lean(drawn), "mark long, classes binary").orderBy("mark", "classes").limit(SAMPLE)).toPandas()
-    sample = [np.frombuffer(x, "<u2") for x in drawn_rows["classes"]]
-    if sample:
-        model = _starting_model(sample, prior, states)
-        for _ in range(rounds):
-            model = _baum_welch(rows, model, prior)
-    else:
-        model = Model(np.full(states, 1 / states), np.full((states, states), 1 / states), np.repeat(prior[:, None], states, 1))
+    model = learn(rows, prior, states, rounds)
     tokens = unigrams.tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

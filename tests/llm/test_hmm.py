@@ -82,3 +82,35 @@ def test_nulls_repeats_long_and_empty(spark):
     only = next(k for k in range(100) if hmm.held_out(k))
     r = hmm.score(documents(spark, [(only, "a b")])).first()
     assert (r["n_known"], r["train_tokens"], round(r["base_score"], 9)) == (0, 0, 0.0)
+
+
+def test_segments_carry_states(monkeypatch):
+    g = np.random.default_rng(7)
+    sequences = [g.integers(1, 6, n) for n in (1, 9, 10, 11, 64, 200)]
+    model = hmm.Model(g.dirichlet([1, 1, 1]), g.dirichlet([1, 1, 1], 3), g.dirichlet(np.ones(6), 3).T)
+    whole = hmm._expected(model, sequences)
+    monkeypatch.setattr(hmm, "SEGMENT", 5)
+    for a, b in zip(whole, hmm._expected(model, sequences), strict=True):
+        assert np.allclose(a, b, atol=1e-9)
+    assert abs(whole[3] - hmm.log10_likelihood(model, sequences).sum()) < 1e-9
+
+
+def test_probabilities_sum_to_one(spark):
+    rows = [(k, w) for k, w in enumerate(["x", "y", "x z", "y y", "z q r", "", "x"] * 6)]
+    chunks = hmm._encode(documents(spark, rows), "doc_id", "text")
+    unigrams = hmm._unigrams(hmm._totals(chunks, 6))
+    assert abs((10**unigrams.log_class).sum() - 1) < 1e-9
+    prior = 10**unigrams.log_class
+    model = hmm.learn(hmm._classes(chunks, hmm._totals(chunks, 6), unigrams).cache(), prior / prior.sum(), states=3)
+    assert np.allclose(model.emit.sum(0), 1) and np.allclose(model.move.sum(1), 1) and abs(model.start.sum() - 1) < 1e-9
+    live = np.flatnonzero(prior > 1e-200)
+    pairs = [np.array(p) for p in itertools.product(live.tolist(), repeat=2)]
+    assert abs((10 ** hmm.log10_likelihood(model, pairs)).sum() - 1) < 1e-6
+
+
+def test_documents_are_dealt_whole():
+    prior = np.full(4, 0.25)
+    emits = hmm._probabilities(np.array([[9.0, 0], [9, 0], [0, 9], [0, 9]]), prior)
+    late = np.array([0] * 10 + [2, 3] * 40)  # begins like the first state, is of the second as a whole
+    got = hmm._dealt(emits, [late, np.array([0, 1, 1]), np.zeros(0, int)]).reshape(4, 2)
+    assert got[:, 1].sum() == 90 and got[:, 0].tolist() == [1, 2, 0, 0]
