@@ -6,7 +6,6 @@ source, and dates, scores and flags are derived from columns. No row is left out
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import extract, scores, temporal, text
 from quillmark.operators import canonical, changes, dedup, evaluation, feedback, lexicon, merge, report, retrieval, routing
+from quillmark.operators.lineage import shared_folder
 from quillmark.sources.files import table
 from quillmark.streaming import ingest
 
@@ -478,8 +478,7 @@ def keyword_score(spark, sf):
 def stream_dedup_events(spark, sf):
     """Events as a file stream: deduplicated by id within the watermark, kept batch by batch in a replay-safe table, then counted."""
     events = table(spark, sf, "events")
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
-    place = f"{base}/stream-{uuid.uuid4().hex}"
+    place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     arriving = spark.readStream.schema(events.schema).parquet(f"{sf}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
     stream = ingest.deduplicated(arriving, "event_id", "ts", "3650 days")
     ingest.upsert_into(stream, f"{place}/table", "event_id", f"{place}/checkpoint", "ts").awaitTermination()
