@@ -24,22 +24,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """The same rows, computed once and kept in the folder that all executors share.
 
-    The folder is the one that the session names in ``spark.checkpoint.dir``; only where that is unset
-    (as in tests on one machine) a temporary one is made.
+    The folder is the one that the session names in ``spark.checkpoint.dir``. Only where that is unset and all tasks run in
+    the driver's process (as in tests) a temporary one is made; on a cluster it is an error, as executors would not see it.
+    The shuffle files that made the rows are given back at once: nothing reads them again.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if not spark.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    _give_back(df)
+    return kept
+
+
+def _give_back(df: DataFrame) -> None:
+    """Removes the shuffle files of a DataFrame's own execution. What is still read elsewhere is part of other executions."""
+    cleaner = df.sparkSession.sparkContext._jsc.sc().cleaner()
+    if cleaner.isEmpty():
+        return
+    todo, seen, shuffles = [df._jdf.queryExecution().toRdd()], set(), set()
+    while todo:
+        rdd = todo.pop()
+        if rdd.id() in seen:
+            continue
+        seen.add(rdd.id())
+        found = rdd.dependencies()
+        for k in range(found.length()):
+            dependency = found.apply(k)
+            if dependency.getClass().getSimpleName() == "ShuffleDependency":
+                shuffles.add(dependency.shuffleId())
+            todo.append(dependency.rdd())
+    for k in sorted(shuffles):
+        cleaner.get().doCleanupShuffle(k, True)
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files and checkpoints that nothing refers to any more."""
-    for _ in range(2):  # the first round finds frames, the second what they held
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+    """Lets Spark delete the checkpoints that nothing refers to any more; their only reference is the Java object of a DataFrame."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(0.3)
 
 
 def input_bytes(df: DataFrame) -> int:

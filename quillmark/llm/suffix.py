@@ -1,13 +1,14 @@
-"""Removal of repeated byte strings by a distributed difference-cover suffix sort, cut off at the length that matters.
+"""Removal of repeated byte strings by the sampling of a difference cover.
 
-A suffix sort that compares adjacent prefixes of LENGTH bytes needs ranks to that depth only, so names are given to
-bounded prefixes and the recursion ends when they span LENGTH bytes:
+Only prefixes of LENGTH bytes are compared, so this is not a whole suffix sort: there is no recursion down to distinct
+ranks, and names are hashes that are brought together by buckets of the name range and sorted there, not ranks of sorted
+triples (README says why). What it takes from the difference-cover algorithm is the sample, the names, and the merge:
 
 1. Sample. Positions whose residue modulo PERIOD lies in the difference cover are sampled: any two positions of a text
    or of two texts have a shift below PERIOD that takes both to sampled ones. So two equal strings of LENGTH bytes
    hold equal blocks of BLOCK = LENGTH - PERIOD + 1 bytes at sampled positions. Blocks are named, names are sorted in
    buckets of the name range, and names that occur once leave.
-2. Recurse. Each repeated sample gets a longer name: the block with all that strings over it could hold on both sides.
+2. Longer names. Each repeated sample gets a longer name: the block with all that strings over it could hold on both sides.
    Where an earlier sample has the same name, every string within is a repetition, and its bytes go.
 3. Merge. What is not decided are the strings over a repeated sample near the edge of a match. These are named by
    their LENGTH bytes, sorted with their place, and compared with their neighbour: all but the first go.
