@@ -2,18 +2,20 @@
 
 1. Each document is tokenised once. Its full windows are sequences of their own; what is left, the tail
    of under one window, is to be packed. The rows (tail ids, digests of the full windows) are checkpointed.
-2. Token document frequencies, lengths and a histogram of routing keys are counted over all documents.
-   They have fixed sizes (the vocabulary; ``BINS``), so the driver may hold them.
-3. The routing key is a min-hash of the tail's token pairs: near copies and texts with common passages
-   meet in one shard. A key with more documents than a shard takes is split by a hash of the row, small
-   keys are merged, so that shards have about ``SHARD_DOCS`` tails at every input size.
+2. Token document frequencies and lengths are counted over all documents. They have a fixed size (the vocabulary), so the
+   driver may hold them.
+3. Tails are routed to shards of about ``SHARD_DOCS`` at every input size, so that neighbours meet: by a tree of two levels
+   of centroids over hashed token weights, fitted on at most ``SAMPLE`` tails, and within a leaf by a min-hash of the tail's
+   token pairs, where near copies agree. Every tail is routed; a histogram of all routes says which small ones share a shard
+   and which are split, by a hash of the row, as they have more tails than a shard takes.
 4. Each shard builds the inverted index of its tails, weighted with the corpus-wide statistics. The
-   longest unused tail seeds a sequence; the index returns unused neighbours by BM25 score, and they fill
+   longest unused tail seeds a sequence; the index returns unused neighbours by BM25 score over all terms of the seed, and they fill
    the window in that order. A neighbour that does not fit is cut, and its rest stays unused. When no
    scored neighbour is left, the next unused tail is taken. What remains of a shard, less than one window,
    becomes sequences whose lengths are powers of two. So no sequence needs padding.
 
-Search is local to a shard; a shard is a bounded part of the corpus, like a shard of any large index.
+Search is local to a shard; a shard is a bounded part of the corpus. README has the share of the corpus-wide neighbours
+that lie in a seed's shard.
 """
 
 from __future__ import annotations
@@ -33,9 +35,11 @@ from quillmark.llm.kernel import mix
 
 SEQUENCE = 1024
 END = 0
-BINS = 1 << 14
-SHARD_DOCS = 2048
-QUERY_TERMS = 32
+SHARD_DOCS = 8192
+#: Hashed dimensions; tails that the centroids are fitted on; leaves at most; parts of a leaf by min-hash.
+DIMENSIONS, SAMPLE, LEAVES, PARTS = 256, 32768, 4096, 64
+#: Seeds that are scored at once.
+BATCH = 32
 K1, B = 1.2, 0.75
 _SPECIAL = "<|endoftext|>"
 
@@ -73,7 +77,7 @@ def token_ids(text: str, paths: tuple[str, str]) -> np.ndarray:
         try:
             return np.asarray(_encoder(paths).encode_ordinary(text), dtype=np.uint32)
         except BaseException as e:  # a panic of the native library is no Exception
-            if isinstance(e, KeyboardInterrupt | SystemExit | GeneratorExit | MemoryError):
+            if type(e).__name__ != "PanicException":
                 raise
     return np.array(_reference(paths[0]).encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
@@ -82,10 +86,52 @@ def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def _route(tail: np.ndarray) -> int:
+def _part(tail: np.ndarray) -> int:
     t = tail.astype(np.uint64)
     pairs = t[:-1] << np.uint64(17) | t[1:] if len(t) > 1 else t
-    return int(mix(pairs).min() % np.uint64(BINS)) if len(pairs) else 0
+    return int(mix(pairs).min() % np.uint64(PARTS)) if len(pairs) else 0
+
+
+def vectors(tails: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
+    """Unit vectors: token weights, hashed with signs into few dimensions, under a square root."""
+    flat = np.concatenate([*tails, np.zeros(0, np.uint32)]).astype(np.uint64)
+    hashed = mix(flat + np.uint64(1))
+    place = (hashed % np.uint64(DIMENSIONS)).astype(np.int64) + np.repeat(np.arange(len(tails)) * DIMENSIONS, [len(t) for t in tails])
+    weight = np.where(hashed >> np.uint64(63), idf[flat.astype(np.int64)], -idf[flat.astype(np.int64)])
+    x = np.bincount(place, weights=weight, minlength=len(tails) * DIMENSIONS).reshape(-1, DIMENSIONS)
+    x = np.sign(x) * np.sqrt(np.abs(x))
+    return (x / np.maximum(1e-9, np.linalg.norm(x, axis=1, keepdims=True))).astype(np.float32)
+
+
+def _centres(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
+    """Spherical k-means from evenly spaced rows."""
+    k = min(k, len(x))
+    c = x[np.linspace(0, len(x) - 1, k).astype(np.int64)].copy()
+    for _ in range(rounds if k > 1 else 0):
+        own = np.argmax(x @ c.T, axis=1)
+        for j in np.unique(own):
+            mean = x[own == j].sum(0)
+            c[j] = mean / max(1e-9, float(np.linalg.norm(mean)))
+    return c
+
+
+class Tree:
+    """Two levels of centroids; leaves are numbered so that those of one top centroid follow each other."""
+
+    def __init__(self, sample: np.ndarray, leaves: int) -> None:
+        self.top = _centres(sample, int(np.ceil(np.sqrt(leaves)))) if len(sample) else np.zeros((1, DIMENSIONS), np.float32)
+        own = np.argmax(sample @ self.top.T, axis=1) if len(sample) else np.zeros(0, np.int64)
+        share = [max(1, round(leaves * float((own == k).sum()) / max(1, len(sample)))) for k in range(len(self.top))]
+        self.below = [_centres(sample[own == k], n) if (own == k).any() else self.top[k : k + 1] for k, n in enumerate(share)]
+        self.first = np.concatenate([[0], np.cumsum([len(c) for c in self.below])])
+
+    def leaf(self, x: np.ndarray) -> np.ndarray:
+        own = np.argmax(x @ self.top.T, axis=1)
+        out = self.first[own]
+        for k in np.unique(own):
+            at = np.flatnonzero(own == k)
+            out[at] += np.argmax(x[at] @ self.below[k].T, axis=1)
+        return out
 
 
 def _tokenise(docs: DataFrame, key: str, text: str, paths: tuple[str, str], size: int, with_ids: bool) -> DataFrame:
@@ -99,44 +145,60 @@ def _tokenise(docs: DataFrame, key: str, text: str, paths: tuple[str, str], size
                     whole = len(ids) // size * size
                     small = "<u2" if ids.max() < 1 << 16 else "<u4"
                     tail = ids[whole:]
-                    rows.append((len(ids), [crc(ids[i : i + size]) for i in range(0, whole, size)], ids[:whole].astype("<u4").tobytes() if with_ids else b"", small == "<u2", tail.astype(small).tobytes(), _route(tail)))
+                    rows.append((len(ids), [crc(ids[i : i + size]) for i in range(0, whole, size)], ids[:whole].astype("<u4").tobytes() if with_ids else b"", small == "<u2", tail.astype(small).tobytes(), _part(tail)))
                 kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.bool_(), pa.binary(), pa.int32())
                 columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["key", "n", "crcs", "full", "narrow", "tail", "bin"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["key", "n", "crcs", "full", "narrow", "tail", "part"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text)).mapInArrow(lean(run), f"key {kind}, n long, crcs array<long>, full binary, narrow boolean, tail binary, bin int")
+    return docs.select(F.col(key), F.col(text)).mapInArrow(lean(run), f"key {kind}, n long, crcs array<long>, full binary, narrow boolean, tail binary, part int")
 
 
 def _tail(narrow: bool, raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, dtype="<u2" if narrow else "<u4").astype(np.uint32)
 
 
-def _statistics(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """Document frequency by token, documents by routing key, documents and tokens with a tail: over all rows."""
+def _statistics(rows: DataFrame) -> tuple[np.ndarray, int, int]:
+    """Document frequency by token, documents and tokens: of the tails of all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, bins, tokens = np.zeros(1 << 16, dtype=np.int64), np.zeros(BINS, dtype=np.int64), 0
+        df, tokens, documents = np.zeros(1 << 16, dtype=np.int64), 0, 0
         for batch in batches:
-            bins += np.bincount(batch.column(2).to_numpy(), minlength=BINS)
+            documents += batch.num_rows
             for narrow, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.unique(_tail(narrow, raw))
                 tokens += len(raw) // (2 if narrow else 4)
                 if len(ids) and ids[-1] >= len(df):
                     df = np.concatenate([df, np.zeros(int(ids[-1]) + 1 - len(df), dtype=np.int64)])
                 df[ids] += 1
-        for kind, values in ((0, df), (1, bins), (2, np.array([tokens]))):
+        for kind, values in ((0, df), (1, np.array([documents, tokens]))):
             at = np.flatnonzero(values)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, dtype=np.int32)), pa.array(at), pa.array(values[at])], ["kind", "at", "n"])
 
-    counted = rows.select("narrow", "tail", "bin").mapInArrow(lean(run), "kind int, at long, n long").groupBy("kind", "at").agg(F.sum("n").alias("n"))
+    counted = rows.select("narrow", "tail").mapInArrow(lean(run), "kind int, at long, n long").groupBy("kind", "at").agg(F.sum("n").alias("n"))
     got = counted.toPandas()
     df = np.zeros(int(max(got.loc[got.kind == 0, "at"], default=0)) + 1, dtype=np.int64)
-    bins = np.zeros(BINS, dtype=np.int64)
-    for kind, to in ((0, df), (1, bins)):
-        x = got[got.kind == kind]
-        to[x["at"].to_numpy()] = x["n"].to_numpy()
-    return df, bins, int(bins.sum()), int(got.loc[got.kind == 2, "n"].sum())
+    words = got[got.kind == 0]
+    df[words["at"].to_numpy()] = words["n"].to_numpy()
+    total = dict(zip(got.loc[got.kind == 1, "at"], got.loc[got.kind == 1, "n"], strict=True))
+    return df, int(total.get(0, 0)), int(total.get(1, 0))
+
+
+def _tree(rows: DataFrame, idf: np.ndarray, documents: int, shard_docs: int) -> Tree:
+    """Centroids for two leaves a shard, from a sample by a hash of the tail (copies of a text count once)."""
+    leaves = min(LEAVES, max(1, -(-2 * documents // shard_docs)))
+    below = min(1 << 32, (1 << 32) * 2 * SAMPLE // max(1, documents))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(m, _tail(x, y)) for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (m := zlib.crc32(y)) < below]
+            if found:
+                x = vectors([t for _, t in found], idf).astype("<f2")
+                yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in found], pa.int64()), pa.array([v.tobytes() for v in x], pa.binary())], ["mark", "x"])
+
+    drawn = checkpointed(rows.select("narrow", "tail").mapInArrow(lean(run), "mark long, x binary").distinct().orderBy("mark", "x").limit(SAMPLE)).toArrow()
+    sample = np.frombuffer(b"".join(drawn.column("x").to_pylist()), "<f2").reshape(-1, DIMENSIONS).astype(np.float32)
+    return Tree(sample, leaves)
 
 
 def shard_plan(bins: np.ndarray, size: int = SHARD_DOCS) -> tuple[np.ndarray, np.ndarray, int]:
@@ -167,19 +229,37 @@ class Index:
         n = df[term]
         idf = np.log1p((documents - n + 0.5) / (n + 0.5))
         self.weight = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.doc] / max(1e-9, tokens / max(1, documents))))
-        self.terms, start = np.unique(term, return_index=True)
+        self.terms, start, local = np.unique(term, return_index=True, return_inverse=True)
         self.start = np.append(start, len(term))
-        order = np.lexsort((term, -self.weight, self.doc))
-        edge = np.searchsorted(self.doc[order], np.arange(len(tails) + 1))
-        self.query = [term[order[a : min(b, a + QUERY_TERMS)]] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
         self.size = len(tails)
+        order = np.argsort(self.doc, kind="stable")
+        self.query, self.edge = local[order], np.searchsorted(self.doc[order], np.arange(len(tails) + 1))
+        # the postings of terms that many tails have are one dense matrix, of fewer than 16 cells for each posting
+        common = np.diff(self.start) * 16 >= self.size
+        self.row = np.cumsum(common) - 1
+        self.row[~common] = -1
+        self.dense = np.zeros((int(common.sum()), self.size), dtype=np.float32)
+        own = common[local]
+        self.dense[self.row[local[own]], self.doc[own]] = self.weight[own]
 
     def scores(self, seed: int) -> np.ndarray:
-        """Of all tails, for the terms that weigh most in the seed."""
-        at = np.searchsorted(self.terms, self.query[seed])
-        out = np.zeros(self.size)
-        for a, b in zip(self.start[at].tolist(), self.start[at + 1].tolist(), strict=True):
-            out[self.doc[a:b]] += self.weight[a:b]
+        """Of all tails, for all terms of the seed."""
+        return self.scores_of([seed])[0]
+
+    def scores_of(self, seeds: list[int]) -> np.ndarray:
+        """A row of scores for each seed."""
+        asked = np.zeros((len(seeds), len(self.dense)), dtype=np.float32)
+        terms = [self.query[self.edge[s] : self.edge[s + 1]] for s in seeds]
+        for k, t in enumerate(terms):
+            at = self.row[t]
+            asked[k, at[at >= 0]] = 1
+        out = (asked @ self.dense).astype(np.float64)
+        for k, t in enumerate(terms):
+            rare = t[self.row[t] < 0]
+            begin, n = self.start[rare], self.start[rare + 1] - self.start[rare]
+            if total := int(n.sum()):
+                postings = np.arange(total) + np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+                out[k] += np.bincount(self.doc[postings], weights=self.weight[postings], minlength=self.size)
         return out
 
 
@@ -190,6 +270,7 @@ def fill(tails: list[np.ndarray], index: Index, size: int) -> Iterator[list[tupl
     free = np.array(length) > 0
     order = np.argsort(-np.array(length), kind="stable") if tails else np.zeros(0, dtype=np.int64)
     at = 0
+    scored: dict[int, np.ndarray] = {}  # of tails that come next
 
     def take(d: int, room: int, sequence: list) -> int:
         n = min(room, length[d] - start[d])
@@ -207,7 +288,11 @@ def fill(tails: list[np.ndarray], index: Index, size: int) -> Iterator[list[tupl
         sequence: list[tuple[int, int, int]] = []
         room = take(seed, size, sequence)
         if room:
-            scores = index.scores(seed)
+            if seed not in scored:
+                ahead = order[at:]
+                following = [seed, *ahead[free[ahead]][:BATCH].tolist()]
+                scored = dict(zip(following, index.scores_of(following), strict=True))
+            scores = scored.pop(seed)
             scores[~free] = 0
             scores[seed] = 0
             k = min(len(scores), 64)
@@ -249,7 +334,7 @@ def fill(tails: list[np.ndarray], index: Index, size: int) -> Iterator[list[tupl
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
 
 
-def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", paths: tuple[str, str] | None = None, size: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", paths: tuple[str, str] | None = None, size: int = SEQUENCE, with_ids: bool = False, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """One row for each piece: where it lies in its document and in its sequence; with_ids also its token ids.
 
     A null or empty text is the end id alone. Rows that repeat an id or a text are packed one by one; a null id
@@ -258,14 +343,35 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", paths: tuple[
     """
     paths = paths or default_paths()
     rows = checkpointed(_tokenise(docs, key, text, paths, size, with_ids))
-    df, bins, documents, tokens = _statistics(rows)
-    first, ways, shards = shard_plan(bins)
+    df, documents, tokens = _statistics(rows)
+    idf = np.log1p((documents - df + 0.5) / (df + 0.5))
+    tree = docs.sparkSession.sparkContext.broadcast((_tree(rows, idf, documents, shard_docs), idf))
+
+    def bins(narrow: pa.Array, tail: pa.Array, part: pa.Array) -> np.ndarray:
+        found, weights = tree.value
+        return found.leaf(vectors([_tail(x, y) for x, y in zip(narrow.to_pylist(), tail.to_pylist(), strict=True)], weights)) * PARTS + part.to_numpy()
+
+    def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, int] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                values, n = np.unique(bins(*batch.slice(at, 1024).columns), return_counts=True)
+                for v, k in zip(values.tolist(), n.tolist(), strict=True):
+                    total[v] = total.get(v, 0) + k
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["bin", "n"])
+
+    counted = rows.select("narrow", "tail", "part").mapInArrow(lean(histogram), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()  # LEAVES * PARTS rows at most
+    amounts = np.zeros(int(tree.value[0].first[-1]) * PARTS, dtype=np.int64)
+    amounts[counted["bin"].to_numpy(dtype=np.int64)] = counted["n"]
+    first, ways, _ = shard_plan(amounts, shard_docs)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            b = batch.column(6).to_numpy()
-            salt = np.array([zlib.crc32(f"{k}:{n}".encode()) for k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(first[b] + salt % ways[b]), *batch.columns[:6]], ["shard", "key", "n", "crcs", "full", "narrow", "tail"])
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                b = bins(part.column(4), part.column(5), part.column(6))
+                salt = np.array([zlib.crc32(f"{k}:{n}".encode()) for k, n in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)], dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(first[b] + salt % ways[b]), *part.columns[:6]], ["shard", "key", "n", "crcs", "full", "narrow", "tail"])
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
