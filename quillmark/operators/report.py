@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillmark.functions import text
+from quillmark.functions import temporal, text
 from quillmark.schemas import PRIORITIES
 
 ROWS = 100
@@ -101,3 +101,26 @@ def render_html(rows: DataFrame) -> DataFrame:
 def page(rows: DataFrame, order: list[Column], limit: int, offset: int) -> DataFrame:
     """One page under a total order."""
     return rows.orderBy(*order).offset(offset).limit(limit)
+
+
+def log_mail(log: DataFrame, sent: DataFrame) -> DataFrame:
+    """The log with what has been sent appended; columns that one side lacks are null."""
+    return log.unionByName(sent, allowMissingColumns=True)
+
+
+def ranked(rows: DataFrame, score: str, identity: str) -> DataFrame:
+    """Adds position: by score, the highest first, then by identity.
+
+    Rows of one score are numbered after those of higher ones: counts by score (there are few scores) give where each begins, so
+    that no task sorts all rows.
+    """
+    begin = rows.groupBy(score).agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.sum("_n").over(W.orderBy(F.desc_nulls_last(score)).rowsBetween(W.unboundedPreceding, -1)))
+    begin = begin.select(F.col(score).alias("_score"), F.coalesce("_before", F.lit(0)).alias("_before"))
+    within = rows.withColumn("_at", F.row_number().over(W.partitionBy(score).orderBy(identity)))
+    joined = within.join(begin, within[score].eqNullSafe(begin["_score"]))
+    return joined.withColumn("position", F.col("_before") + F.col("_at")).drop("_score", "_before", "_at")
+
+
+def high_open(rows: DataFrame, as_of: str, identity: str, limit: int = 10) -> DataFrame:
+    """The best rows of high priority that are open; the limit is the feature."""
+    return rows.filter((F.col("priority") == "HIGH") & temporal.is_open(F.col("deadline"), as_of)).orderBy(F.desc("final_score"), identity).limit(limit)
