@@ -8,7 +8,7 @@ checked to be: they are compiled once and sent to all tasks.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -29,22 +29,41 @@ def plain(value: str) -> str:
     return _SPACE.sub(" ", folded).strip()
 
 
-def match(full: str, keywords: list[tuple[str, re.Pattern, int]], patterns: list[re.Pattern]) -> list[str]:
+_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
+def occurrences(full: str, body: str) -> Iterator[int]:
+    """Where a term begins that has no letter of a-z right before or behind it; occurrences do not overlap."""
+    at = full.find(body)
+    while at >= 0:
+        end = at + len(body)
+        if (at and full[at - 1] in _LETTERS) or full[end : end + 1] in _LETTERS:
+            end = at + 1
+        else:
+            yield at
+        at = full.find(body, max(end, at + 1))
+
+
+def match(full: str, keywords: list[tuple[str, str]], patterns: list[re.Pattern]) -> list[str]:
     """Distinct terms that a normalised text has, none of them inside another's span.
 
-    keywords come longest first, each with its pattern and normalised length. Each takes its first occurrence that no span covers
+    keywords come longest first, each with its normalised spelling. Each takes its first occurrence that no span covers
     fully. A pattern's matches count where their text first occurs in the full text, unless that is covered.
     """
     spans: list[tuple[int, int]] = []
     found: dict[str, None] = {}
     covered = lambda a, b: any(x <= a and b <= y for x, y in spans)
-    for keyword, pattern, length in keywords:
-        at = next((m.start() for m in pattern.finditer(full) if not covered(m.start(), m.start() + length)), None)
+    for keyword, body in keywords:
+        at = next((k for k in occurrences(full, body) if not covered(k, k + len(body))), None)
         if at is not None:
-            spans.append((at, at + length))
+            spans.append((at, at + len(body)))
             found[keyword] = None
     for pattern in patterns:
+        seen = set()  # the same text has the same first place, which is covered from then on
         for m in pattern.finditer(full):
+            if m[0] in seen:
+                continue
+            seen.add(m[0])
             term = plain(m[0])
             at = full.find(term)
             if at >= 0 and not covered(at, at + len(term)):
@@ -57,7 +76,7 @@ def match(full: str, keywords: list[tuple[str, re.Pattern, int]], patterns: list
 class Category:
     name: str
     weight: int
-    keywords: list[tuple[str, re.Pattern, int]] = field(default_factory=list)
+    keywords: list[tuple[str, str]] = field(default_factory=list)
     patterns: list[re.Pattern] = field(default_factory=list)
 
 
@@ -75,8 +94,7 @@ class Lexicon:
             if kind == "pattern":
                 own.patterns.append(re.compile(term, re.IGNORECASE))
             else:
-                body = plain(term)
-                own.keywords.append((term, re.compile(f"(?<![a-zA-Z]){re.escape(body)}(?![a-zA-Z])"), len(body)))
+                own.keywords.append((term, plain(term)))
         for categories in axes.values():
             for c in categories.values():
                 c.keywords.sort(key=lambda k: -len(k[0]))
@@ -90,27 +108,35 @@ class Lexicon:
         return Lexicon.of(map(tuple, rows))
 
     def terms(self, axis: str) -> list[str]:
-        return [plain(k) for c in self.axes.get(axis, []) for k, _, _ in c.keywords]
+        return [body for c in self.axes.get(axis, []) for _, body in c.keywords]
+
+
+_HITS = "array<struct<category string, weight int, terms array<string>>>"
 
 
 def matches(full: Column, lexicon: Lexicon, axis: str) -> Column:
     """array(struct(category, weight, terms)) of the categories of an axis that a normalised text hits."""
-    categories = lexicon.axes.get(axis, [])
+    return axis_matches(full, lexicon, (axis,))[axis]
+
+
+def axis_matches(full: Column, lexicon: Lexicon, axes: tuple[str, ...]) -> Column:
+    """For each axis the array(struct(category, weight, terms)) of its categories that a normalised text hits; in one pass over the texts."""
+    categories = {a: lexicon.axes.get(a, []) for a in axes}
 
-    @F.pandas_udf("array<struct<category string, weight int, terms array<string>>>")
-    def run(texts: pd.Series) -> pd.Series:
-        def one(t: str | None) -> list[dict]:
-            hits = ((c, match(t or "", c.keywords, c.patterns)) for c in categories)
+    @F.pandas_udf(f"struct<{', '.join(f'{a} {_HITS}' for a in axes)}>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        def one(t: str, axis: str) -> list[dict]:
+            hits = ((c, match(t, c.keywords, c.patterns)) for c in categories[axis])
             return [{"category": c.name, "weight": c.weight, "terms": h} for c, h in hits if h]
 
-        return texts.map(one)
+        return pd.DataFrame({a: [one(t or "", a) for t in texts] for a in axes})
 
     return run(full)
 
 
 def red_flags(full: Column, lexicon: Lexicon) -> Column:
     """Keywords that a normalised text contains, word boundaries aside, and the first match of each pattern."""
-    keywords = [F.when(F.contains(full, F.lit(plain(k))), F.lit(k)) for c in lexicon.axes.get("red_flag", []) for k, _, _ in c.keywords]
+    keywords = [F.when(F.contains(full, F.lit(plain(k))), F.lit(k)) for c in lexicon.axes.get("red_flag", []) for k, _ in c.keywords]
     patterns = [F.nullif(F.regexp_extract(full, f"(?i){p.pattern}", 0), F.lit("")) for c in lexicon.axes.get("red_flag", []) for p in c.patterns]
     return F.filter(F.array(*keywords, *patterns).cast("array<string>"), lambda x: x.isNotNull())
 
@@ -123,7 +149,8 @@ def score(tenders: DataFrame, lexicon: Lexicon, extra_flags: list[str] | None =
     """
     joined = lambda *c: text.normalize(F.concat_ws(" ", *(F.coalesce(x, F.lit("")) for x in c)))
     base = tenders.withColumn("_full", joined("title", "description")).withColumn("_wide", joined("title", "description", "acheteur"))
-    base = base.withColumns({f"{a}_matches": matches(F.col("_full"), lexicon, a) for a in ("sector", "expertise", "posture")})
+    axes = ("sector", "expertise", "posture")
+    base = base.withColumn("_hits", axis_matches(F.col("_full"), lexicon, axes)).withColumns({f"{a}_matches": F.col(f"_hits.{a}") for a in axes}).drop("_hits")
     base = base.withColumn("red_flags", red_flags(F.col("_full"), lexicon))
 
     def total(axis: str, each: Column, cap: int) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quillmark.functions import extract, scores, temporal, text
 from quillmark.operators import canonical, changes, dedup, evaluation, feedback, lexicon, merge, report, retrieval, routing
 from quillmark.operators.lineage import shared_folder
+from quillmark.operators.small import small
 from quillmark.sources.files import table
 from quillmark.streaming import ingest
 
@@ -208,14 +209,22 @@ def already_labeled(spark, sf):
     return dedup.already_analysed(docs, done).select("doc_id", "known")
 
 
+def _labelled(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with known: have they a label? Stored rows are matched by (source, source_id)."""
+    name = lambda c: F.col(c).cast("string").alias("source_id")
+    docs = table(spark, sf, "documents").select("doc_id", F.lit("x").alias("source"), name("doc_id"), F.lit(None).cast("string").alias("uuid_procedure"))
+    done = table(spark, sf, "labels").select(F.lit("x").alias("source"), name("doc_id"), F.lit(None).cast("string").alias("uuid_procedure"), F.lit("analyzed").alias("status"))
+    return dedup.already_analysed(docs, done)
+
+
 @query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def already_labeled_semi(spark, sf):
-    return table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left_semi").select("doc_id")
+    return _labelled(spark, sf).filter("known").select("doc_id")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def already_labeled_anti(spark, sf):
-    return table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left_anti").select("doc_id")
+    return _labelled(spark, sf).filter("NOT known").select("doc_id")
 
 
 @query("""SELECT o_orderkey, c_mktsegment, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey
@@ -456,9 +465,12 @@ def escaped_titles(spark, sf):
 
 @query("WITH " + NOTICES + """ SELECT doc_id, regexp_extract(lang, '.*') AS lang, CASE WHEN n_flags > 0 THEN 'dynamic' ELSE 'none' END AS flag FROM (SELECT *, CAST(contains(lower(description), 'idiot') AS INTEGER) + CAST(contains(lower(description), 'scum') AS INTEGER) AS n_flags FROM notices)""")
 def dynamic_flags(spark, sf):
-    """Existence of any active rule's value in a text."""
-    hit = F.exists(F.array(F.lit("idiot"), F.lit("scum")), lambda t: text.contains_folded(F.col("description"), t))
-    return notices(spark, sf).select("doc_id", "lang", F.when(hit, "dynamic").otherwise("none").alias("flag"))
+    """Existence of any active rule's value in a text: rules of other clients, kinds and states do not count."""
+    rules = spark.createDataFrame([("c", "red_flag", "idiot", True), ("c", "red_flag", "SCUM", True), ("c", "red_flag", "the", False), ("d", "red_flag", "der", True), ("c", "required_keyword", "la", True)], "client_id string, type string, value string, active boolean")
+    active = small(feedback.active_rules(rules, "c").select("value"), "the table of active rules")
+    rows = notices(spark, sf)
+    flagged = rows.join(active, text.contains_folded(F.col("description"), F.col("value")), "left_semi").select(F.col("doc_id").alias("_id"))
+    return rows.join(flagged, rows["doc_id"] == flagged["_id"], "left").select("doc_id", "lang", F.when(F.col("_id").isNotNull(), "dynamic").otherwise("none").alias("flag"))
 
 
 DEMO = lexicon.Lexicon.of([

@@ -593,3 +593,12 @@ def confidences(spark, sf):
     """Confidence of two axes that both have hits; the weighted score; the score that stands in."""
     a, b = 1 + F.col("o_orderkey") % 50, 1 + F.col("o_orderkey") % 37
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), scores.confidence(a, b, F.lit(True), F.lit(True)).alias("confidence"), F.round(scores.semantic_score(a / 5.0, b / 4.0, F.lit(2.0)), 6).alias("semantic"), F.round(scores.fallback_score(a + b), 6).alias("stand_in"))
+
+
+@query("SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN 'a' || o_orderkey WHEN 1 THEN 'b' || o_orderkey WHEN 2 THEN 'c' || o_orderkey END AS record_id FROM orders")
+def record_keys(spark, sf):
+    """The identifier of a raw record, under the first of three keys that it has."""
+    k = F.col("o_orderkey")
+    say = lambda head: F.concat(F.lit(head), k.cast("string"), F.lit('"}'))
+    raw = _cases(k % 4, {0: say('{"id": "x", "boamp_id": "y", "idweb": "a'), 1: say('{"id": "x", "boamp_id": "b'), 2: say('{"id": "c'), None: F.lit("{}")})
+    return table(spark, sf, "orders").select(k.alias("k"), extract.record_id(raw).alias("record_id"))
