@@ -86,21 +86,31 @@ def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def _part(tail: np.ndarray) -> int:
-    t = tail.astype(np.uint64)
-    pairs = t[:-1] << np.uint64(17) | t[1:] if len(t) > 1 else t
-    return int(mix(pairs).min() % np.uint64(PARTS)) if len(pairs) else 0
+def _parts(tails: list[np.ndarray]) -> np.ndarray:
+    """Min-hashes of the token pairs of tails, cut to parts; a tail of one token has none and goes to the first part."""
+    flat = np.concatenate([*tails, np.zeros(1, np.uint32)]).astype(np.uint64)
+    pairs = mix(flat[:-1] << np.uint64(17) | flat[1:])
+    end = np.cumsum([len(t) for t in tails])
+    pairs[end - 1] = np.iinfo(np.uint64).max  # these cross tails
+    least = np.minimum.reduceat(pairs, np.concatenate([[0], end[:-1]]))
+    return np.where(np.diff(end, prepend=0) > 1, least % np.uint64(PARTS), 0).astype(np.int32)
 
 
-def vectors(tails: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
-    """Unit vectors: token weights, hashed with signs into few dimensions, under a square root."""
-    flat = np.concatenate([*tails, np.zeros(0, np.uint32)]).astype(np.uint64)
-    hashed = mix(flat + np.uint64(1))
-    place = (hashed % np.uint64(DIMENSIONS)).astype(np.int64) + np.repeat(np.arange(len(tails)) * DIMENSIONS, [len(t) for t in tails])
-    weight = np.where(hashed >> np.uint64(63), idf[flat.astype(np.int64)], -idf[flat.astype(np.int64)])
-    x = np.bincount(place, weights=weight, minlength=len(tails) * DIMENSIONS).reshape(-1, DIMENSIONS)
-    x = np.sign(x) * np.sqrt(np.abs(x))
-    return (x / np.maximum(1e-9, np.linalg.norm(x, axis=1, keepdims=True))).astype(np.float32)
+class Weights:
+    """Where a token is counted in a vector, and with which weight and sign."""
+
+    def __init__(self, idf: np.ndarray) -> None:
+        hashed = mix(np.arange(len(idf), dtype=np.uint64) + np.uint64(1))
+        self.place = (hashed % np.uint64(DIMENSIONS)).astype(np.int64)
+        self.weight = np.where(hashed >> np.uint64(63), idf, -idf)
+
+    def vectors(self, tails: list[np.ndarray]) -> np.ndarray:
+        """Unit vectors: token weights, hashed with signs into few dimensions, under a square root."""
+        flat = np.concatenate([*tails, np.zeros(0, np.uint32)])
+        place = self.place[flat] + np.repeat(np.arange(len(tails)) * DIMENSIONS, [len(t) for t in tails])
+        x = np.bincount(place, weights=self.weight[flat], minlength=len(tails) * DIMENSIONS).reshape(-1, DIMENSIONS)
+        x = np.sign(x) * np.sqrt(np.abs(x))
+        return (x / np.maximum(1e-9, np.linalg.norm(x, axis=1, keepdims=True))).astype(np.float32)
 
 
 def _centres(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -134,20 +144,30 @@ class Tree:
         return out
 
 
+def _routed(tails: list[np.ndarray]) -> np.ndarray:
+    """Parts, also of rows without a tail, which go to the first part."""
+    out = np.zeros(len(tails), dtype=np.int32)
+    some = [k for k, t in enumerate(tails) if len(t)]
+    if some:
+        out[some] = _parts([tails[k] for k in some])
+    return out
+
+
 def _tokenise(docs: DataFrame, key: str, text: str, paths: tuple[str, str], size: int, with_ids: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 1024):
                 part = batch.slice(k, 1024)
-                rows = []
+                rows, tails = [], []
                 for t in part.column(1).to_pylist():
                     ids = np.append(token_ids(t or "", paths), np.uint32(END))
                     whole = len(ids) // size * size
                     small = "<u2" if ids.max() < 1 << 16 else "<u4"
                     tail = ids[whole:]
-                    rows.append((len(ids), [crc(ids[i : i + size]) for i in range(0, whole, size)], ids[:whole].astype("<u4").tobytes() if with_ids else b"", small == "<u2", tail.astype(small).tobytes(), _part(tail)))
-                kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.bool_(), pa.binary(), pa.int32())
-                columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+                    tails.append(tail)
+                    rows.append((len(ids), [crc(ids[i : i + size]) for i in range(0, whole, size)], ids[:whole].astype("<u4").tobytes() if with_ids else b"", small == "<u2", tail.astype(small).tobytes()))
+                kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.bool_(), pa.binary())
+                columns = [*(pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)), pa.array(_routed(tails))]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["key", "n", "crcs", "full", "narrow", "tail", "part"])
 
     kind = docs.schema[key].dataType.simpleString()
@@ -184,7 +204,7 @@ def _statistics(rows: DataFrame) -> tuple[np.ndarray, int, int]:
     return df, int(total.get(0, 0)), int(total.get(1, 0))
 
 
-def _tree(rows: DataFrame, idf: np.ndarray, documents: int, shard_docs: int) -> Tree:
+def _tree(rows: DataFrame, weights: Weights, documents: int, shard_docs: int) -> Tree:
     """Centroids for two leaves a shard, from a sample by a hash of the tail (copies of a text count once)."""
     leaves = min(LEAVES, max(1, -(-2 * documents // shard_docs)))
     below = min(1 << 32, (1 << 32) * 2 * SAMPLE // max(1, documents))
@@ -193,7 +213,7 @@ def _tree(rows: DataFrame, idf: np.ndarray, documents: int, shard_docs: int) ->
         for batch in batches:
             found = [(m, _tail(x, y)) for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (m := zlib.crc32(y)) < below]
             if found:
-                x = vectors([t for _, t in found], idf).astype("<f2")
+                x = weights.vectors([t for _, t in found]).astype("<f2")
                 yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in found], pa.int64()), pa.array([v.tobytes() for v in x], pa.binary())], ["mark", "x"])
 
     drawn = checkpointed(rows.select("narrow", "tail").mapInArrow(lean(run), "mark long, x binary").distinct().orderBy("mark", "x").limit(SAMPLE)).toArrow()
@@ -241,6 +261,13 @@ class Index:
         self.dense = np.zeros((int(common.sum()), self.size), dtype=np.float32)
         own = common[local]
         self.dense[self.row[local[own]], self.doc[own]] = self.weight[own]
+        self.columns = np.arange(self.size)
+
+    def leave(self, free: np.ndarray) -> None:
+        """Used tails leave the matrix, once there are enough of them; their scores are those of rare terms from then on."""
+        keep = free[self.columns]
+        if keep.sum() < 0.75 * len(keep):
+            self.dense, self.columns = np.ascontiguousarray(self.dense[:, keep]), self.columns[keep]
 
     def scores(self, seed: int) -> np.ndarray:
         """Of all tails, for all terms of the seed."""
@@ -253,7 +280,8 @@ class Index:
         for k, t in enumerate(terms):
             at = self.row[t]
             asked[k, at[at >= 0]] = 1
-        out = (asked @ self.dense).astype(np.float64)
+        out = np.zeros((len(seeds), self.size))
+        out[:, self.columns] = asked @ self.dense
         for k, t in enumerate(terms):
             rare = t[self.row[t] < 0]
             begin, n = self.start[rare], self.start[rare + 1] - self.start[rare]
@@ -291,6 +319,7 @@ def fill(tails: list[np.ndarray], index: Index, size: int) -> Iterator[list[tupl
             if seed not in scored:
                 ahead = order[at:]
                 following = [seed, *ahead[free[ahead]][:BATCH].tolist()]
+                index.leave(free)
                 scored = dict(zip(following, index.scores_of(following), strict=True))
             scores = scored.pop(seed)
             scores[~free] = 0
@@ -345,11 +374,12 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", paths: tuple[
     rows = checkpointed(_tokenise(docs, key, text, paths, size, with_ids))
     df, documents, tokens = _statistics(rows)
     idf = np.log1p((documents - df + 0.5) / (df + 0.5))
-    tree = docs.sparkSession.sparkContext.broadcast((_tree(rows, idf, documents, shard_docs), idf))
+    weights = Weights(idf)
+    tree = docs.sparkSession.sparkContext.broadcast((_tree(rows, weights, documents, shard_docs), weights))
 
     def bins(narrow: pa.Array, tail: pa.Array, part: pa.Array) -> np.ndarray:
-        found, weights = tree.value
-        return found.leaf(vectors([_tail(x, y) for x, y in zip(narrow.to_pylist(), tail.to_pylist(), strict=True)], weights)) * PARTS + part.to_numpy()
+        found, how = tree.value
+        return found.leaf(how.vectors([_tail(x, y) for x, y in zip(narrow.to_pylist(), tail.to_pylist(), strict=True)])) * PARTS + part.to_numpy()
 
     def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, int] = {}
