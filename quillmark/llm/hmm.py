@@ -36,8 +36,8 @@ STATES = 8
 SEEDS, CLUSTER_ROUNDS, ROUNDS = 256, 3, 4
 #: Log10 a token.
 LEAST_GAIN = 0.002
-#: Tokens whose forward states are held at once.
-SEGMENT = 2048
+#: Tokens whose forward states are held at once, of all sequences that run side by side.
+SEGMENT = 1 << 18
 #: The hash of the end token; no word has it, as it is the hash of no bytes and words are not empty.
 _END = np.uint64(0)
 _U = np.uint64
@@ -225,17 +225,17 @@ def _expected(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np
             c = a.sum(1, keepdims=True)
             return a / c, e, c
 
-        edges = range(0, longest, SEGMENT)
+        edges = np.unique((np.cumsum(active) - 1) // SEGMENT, return_index=True)[1].tolist()
         kept: list[np.ndarray | None] = [None]
         state: np.ndarray | None = None
         for t in range(edges[-1]):
             state = forward(t, state)[0]
-            if t + 1 == len(kept) * SEGMENT:
+            if t + 1 == (edges[len(kept)] if len(kept) < len(edges) else -1):
                 kept.append(state)
         weighted = None
-        for edge, before in zip(reversed(edges), reversed(kept), strict=True):
+        for edge, end, before in zip(reversed(edges), reversed([*edges[1:], longest]), reversed(kept), strict=True):
             alphas, emissions, scales, state = [], [], [], before
-            for t in range(edge, min(longest, edge + SEGMENT)):
+            for t in range(edge, end):
                 state, e, c = forward(t, state)
                 alphas.append(state)
                 emissions.append(e)
