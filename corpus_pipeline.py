@@ -37,18 +37,19 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents one row: that with the smallest id (then text hash); of rows that repeat id and text, one.
+    """Of each group of linked documents the one with the smallest id (then text hash); of rows that repeat id and text, one.
 
-    A document is known by id and text, so rows that share an id are judged one by one. Rows without words link with nothing, and all stay;
-    a row without an id stays only where no row of its group has one.
+    A document is known by id and text, so rows that share an id are judged one by one. Rows without words, which link with
+    nothing, and rows without an id all stay.
     """
-    some_id = F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType))
-    named = docs.withColumn("__document", F.struct(F.col("doc_id").isNull().alias("lacks"), some_id.alias("id"), F.xxhash64("text").alias("hash")))
-    groups = jaccard.jaccard_join(named.select("__document", "text"), key="__document")
-    least = groups.filter(F.col("__document") == F.col("component_id")).select(F.col("__document").alias("__least"), "n_shingles").distinct()
-    kept = named.join(least, named["__document"] == least["__least"])
-    alone = F.when(F.col("n_shingles") == 0, F.monotonically_increasing_id()).otherwise(-1)
-    return kept.withColumn("__alone", alone).dropDuplicates(["__document", "__alone"]).select(*docs.columns)
+    key = [F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType)), F.xxhash64("text")]
+    names = ["__lacks", "__id", "__hash"]  # flat columns, so that the join's partitioning serves the aggregation too
+    named = docs.withColumns(dict(zip(names, key, strict=True)))
+    groups = jaccard.jaccard_join(named.select(F.struct(*names).alias("__document"), "text"), key="__document")
+    stays = (F.col("__document") == F.col("component_id")) | F.col("__document.__lacks")
+    least = groups.filter(stays).select("__document.*", (F.col("__document.__lacks") | (F.col("n_shingles") == 0)).alias("__alone")).distinct()
+    kept = named.join(least, names).withColumn("__row", F.when(F.col("__alone"), F.monotonically_increasing_id()).otherwise(-1))
+    return kept.dropDuplicates([*names, "__row"]).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
