@@ -174,6 +174,7 @@ def link(sizes: list[int], sets: list[np.ndarray], dfs: list[np.ndarray], side:
     turn = sorted(range(len(sizes)), key=lambda k: (sizes[k], k))
     index: list[dict[int, list[int]]] = [{} for _ in range(ORDERS)]
     size = np.array(sizes)
+    sides = None if side is None else np.array(side)
     for x in turn:
         prefixes = [_prefix(sizes[x], sets[x], dfs[x], o).tolist() for o in range(ORDERS)]
         found: np.ndarray | None = None
@@ -185,8 +186,8 @@ def link(sizes: list[int], sets: list[np.ndarray], dfs: list[np.ndarray], side:
             own = np.unique(np.concatenate(lists))
             found = own if found is None else np.intersect1d(found, own, assume_unique=True)
             found = found[100 * size[found] >= PERCENT * sizes[x]]
-            if side is not None:
-                found = found[np.array(side)[found] != side[x]]
+            if sides is not None:
+                found = found[sides[found] != sides[x]]
             if not len(found):
                 break
         if found is not None and len(found):

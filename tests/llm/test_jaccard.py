@@ -83,3 +83,13 @@ def test_empty_table_and_clashing_columns(spark):
     assert got(spark, []) == []
     df = documents(spark, [(2, "a b c d e"), (1, "A b c d e")]).withColumnRenamed("lang", "node").withColumnRenamed("source", "n")
     assert sorted(map(tuple, jaccard.jaccard_join(df).collect())) == [(1, 1, 1), (2, 1, 1)]
+
+
+def test_components(spark):
+    from quillmark.llm.graph import connected_components
+
+    edges = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (9, 8), (8, 7), (7, 6), (5, 5), (None, 4), (4, None), (1, 2)], "a long, b long")
+    assert {tuple(r) for r in connected_components(edges).collect()} == {(1, 1), (2, 1), (3, 1), (6, 6), (7, 6), (8, 6), (9, 6)}
+    assert connected_components(edges.filter("false")).count() == 0
+    path = spark.range(300).selectExpr("id a", "id + 1 b", "'x' label")
+    assert {r["label"] for r in connected_components(path).collect()} == {0}
