@@ -1,19 +1,19 @@
 """Media columns: lossless storage of byte payloads in baseline JPEG, and DC-only thumbnails.
 
-A payload byte becomes one quantised coefficient, which is what a baseline scan stores without loss.
-Byte b is coefficient b where b >= 128 and b - 255 below: exactly the values whose magnitude category is
-8, so that the eight magnitude bits of the scan are the byte itself.  The Huffman tables give that
-symbol the one-bit code 0.  An MCU has three blocks (Y, Cb, Cr), thus 192 bytes in 216 bytes of scan, and
-a restart marker follows each MCU, so that DC coefficients are coded as they are.
-
-The reader takes any baseline JPEG: it walks the markers, Huffman-decodes the scans and dequantises the DC
-coefficients of the first component into a thumbnail of one pixel for each block.  Scans whose tables
-hold a single one-bit code are decoded by shifts over the whole array, the others bit by bit.
+A payload byte less 128 becomes one quantised coefficient, which is what a baseline scan stores without loss. An MCU has
+three blocks (Y, Cb, Cr), thus 192 bytes. The scan is Huffman-coded as usual: categories of DC differences, run lengths and categories
+of the others, end of block; with tables of optimal length for the counts of each image. A restart marker follows each
+MCU, so that segments can be decoded side by side.
+
+The reader takes any baseline JPEG: it walks the markers, Huffman-decodes all scans and dequantises the DC
+coefficients of the first component into a thumbnail of one pixel for each block. Scans with restart intervals are decoded
+in numpy, a symbol of every segment of every image of a batch at a time; the others bit by bit.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import struct
 import zlib
 from collections.abc import Iterator
@@ -28,23 +28,50 @@ from quillmark.llm.common import lean
 UNIT = 192
 #: Blocks in a column of an image: 65,535 pixels at most.
 MAX_ROWS = 8191
-_SYMBOL = 8
+#: Bytes that are coded or decoded at once; a longer image forms a batch of its own.
+BATCH_BYTES = 1 << 21
 
 
 def _segment(marker: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
 
 
-def _header(width: int, height: int) -> bytes:
+def _header(width: int, height: int, dc: tuple[bytes, bytes], ac: tuple[bytes, bytes]) -> bytes:
     quantiser = _segment(0xDB, bytes([0]) + bytes([1] * 64))
     frame = _segment(0xC0, struct.pack(">BHHB", 8, height, width, 3) + b"".join(bytes([c, 0x11, 0]) for c in (1, 2, 3)))
-    code = bytes([1] + [0] * 15 + [_SYMBOL])
-    tables = _segment(0xC4, bytes([0x00]) + code) + _segment(0xC4, bytes([0x10]) + code)
+    tables = _segment(0xC4, bytes([0x00]) + dc[0] + dc[1]) + _segment(0xC4, bytes([0x10]) + ac[0] + ac[1])
     restart = _segment(0xDD, struct.pack(">H", 1))
     scan = _segment(0xDA, bytes([3, 1, 0x00, 2, 0x00, 3, 0x00, 0, 63, 0]))
     return b"\xff\xd8" + quantiser + frame + tables + restart + scan
 
 
+def huffman(counts: np.ndarray) -> tuple[bytes, bytes]:
+    """(codes of each length from 1 to 16, symbols in order of their codes) for the counts of 256 symbols.
+
+    A symbol that does not occur takes the last place, which is the code of ones that JPEG leaves out. Counts are
+    halved until no code is longer than 16 bits.
+    """
+    used = np.flatnonzero(counts).tolist()
+    weight = [int(counts[k]) for k in used]
+    while True:
+        heap = [(w, k, (k,)) for k, w in enumerate(weight)] + [(0, len(weight), (len(weight),))]
+        heapq.heapify(heap)
+        length = [0] * (len(weight) + 1)
+        turn = len(heap)
+        while len(heap) > 1:
+            (a, _, x), (b, _, y) = heapq.heappop(heap), heapq.heappop(heap)
+            for k in x + y:
+                length[k] += 1
+            heapq.heappush(heap, (a + b, turn, x + y))
+            turn += 1
+        if max(length) <= 16:
+            break
+        weight = [(w + 1) // 2 for w in weight]
+    length.pop()  # the last place is one of the longest codes, and its own is left out
+    order = sorted(range(len(used)), key=lambda k: (length[k], used[k]))
+    return bytes(np.bincount(length, minlength=17)[1:17].astype(np.uint8)), bytes(used[k] for k in order)
+
+
 def pad(data: bytes) -> bytes:
     """Bytes 32 appended up to a positive multiple of the unit."""
     return data + b" " * (-len(data) % UNIT if data else UNIT)
@@ -55,34 +82,114 @@ def _columns(mcus: int) -> int:
     return max(d for d in range(1, 65) if mcus % d == 0)
 
 
-def _encode_image(payload: np.ndarray) -> bytes:
-    mcus = len(payload) // UNIT
-    wide = _columns(mcus)
-    b = payload.reshape(-1, 8)
-    out = np.empty((len(b), 9), dtype=np.uint8)
-    out[:, 0] = b[:, 0] >> 1
-    for j in range(1, 8):
-        out[:, j] = ((b[:, j - 1] & ((1 << j) - 1)) << (8 - j)) | (b[:, j] >> (j + 1))
-    out[:, 8] = b[:, 7]
-    scan = np.empty((mcus, 218), dtype=np.uint8)
-    scan[:, :216] = out.reshape(mcus, 216)
-    scan[:, 216] = 0xFF
-    scan[:, 217] = 0xD0 + np.arange(mcus) % 8
-    flat = scan.reshape(-1)[:-2]
-    stuffed = (scan[:, :216] == 0xFF).any()
-    if stuffed:
-        entropy = np.ones((mcus, 218), dtype=bool)
-        entropy[:, 216:] = False
-        at = np.flatnonzero((flat == 0xFF) & entropy.reshape(-1)[:-2])
-        flat = np.insert(flat, at + 1, 0)
-    return _header(8 * wide, 8 * (mcus // wide)) + flat.tobytes() + b"\xff\xd9"
+def _category(x: np.ndarray) -> np.ndarray:
+    """Bits of the magnitude."""
+    return _CATEGORIES[np.abs(x)]
+
+
+_CATEGORIES = np.array([int(k).bit_length() for k in range(1 << 12)], dtype=np.int64)
+
+
+def _tokens(v: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of blocks of 64 coefficients whose DC is coded as it is: (block, is it DC, symbol, value) of each token."""
+    blocks = len(v)
+    at = np.flatnonzero(v[:, 1:])
+    block, place = np.divmod(at, 63)
+    first = np.ones(len(at), dtype=bool)
+    first[1:] = block[1:] != block[:-1]
+    run = place - np.where(first, 0, np.concatenate([[0], place[:-1]]) + 1)
+    long_runs = run >> 4
+    own = np.bincount(block, weights=1 + long_runs, minlength=blocks).astype(np.int64)
+    last = np.full(blocks, -1)
+    last[block] = place
+    ends = (last < 62).astype(np.int64)
+    begin = np.concatenate([[0], np.cumsum(own + 1 + ends)])
+    ended = np.concatenate([[0], np.cumsum(ends)[:-1]])
+    n = int(begin[-1])
+    symbol, value = np.full(n, 0xF0, dtype=np.int64), np.zeros(n, dtype=np.int64)  # what is not overwritten is a run of 16 zeros
+    is_dc = np.zeros(n, dtype=bool)
+    dc = v[:, 0].astype(np.int64)
+    is_dc[begin[:-1]] = True
+    symbol[begin[:-1]], value[begin[:-1]] = _category(dc), dc
+    to = np.cumsum(1 + long_runs) + block + ended[block]
+    ac = v[:, 1:].reshape(-1)[at].astype(np.int64)
+    symbol[to], value[to] = (run & 15) << 4 | _category(ac), ac
+    symbol[(begin[1:] - 1)[ends > 0]] = 0
+    return np.repeat(np.arange(blocks), own + 1 + ends), is_dc, symbol, value
+
+
+def _encode_images(payloads: list[np.ndarray]) -> list[bytes]:
+    """One image for each payload."""
+    mcus = np.array([len(p) // UNIT for p in payloads])
+    v = np.concatenate(payloads).astype(np.int16).reshape(-1, 64) - 128
+    block, is_dc, symbol, value = _tokens(v)
+    mcu = block // 3
+    image = np.repeat(np.arange(len(payloads)), mcus)[mcu]
+    row = 2 * image + is_dc
+    counts = np.bincount(row * 256 + symbol, minlength=512 * len(payloads)).reshape(-1, 256)
+    books = [huffman(c) for c in counts]
+    code, length = np.zeros(counts.shape, dtype=np.int64), np.zeros(counts.shape, dtype=np.int64)
+    for k, book in enumerate(books):
+        for (n, c), x in _codes(*book).items():
+            code[k, x], length[k, x] = c, n
+    size = np.where(is_dc, symbol, symbol & 15)
+    bits = code[row, symbol] << size | np.where(value < 0, value + (1 << size) - 1, value)
+    n = length[row, symbol] + size
+    # each MCU fills whole bytes, the rest of the last one with ones
+    used = np.bincount(mcu, weights=n, minlength=len(v) // 3).astype(np.int64)
+    whole = (used + 7) // 8
+    start = np.concatenate([[0], np.cumsum(whole)])
+    before = np.concatenate([[0], np.cumsum(n)[:-1]])
+    offset = before - np.concatenate([[0], np.cumsum(used)[:-1]])[mcu] + 8 * start[mcu]
+    spare = 8 * whole - used
+    bits, n, offset = np.concatenate([bits, (1 << spare) - 1]), np.concatenate([n, spare]), np.concatenate([offset, 8 * start[1:] - spare])
+    wide = bits.astype(np.uint64) << (64 - (offset & 31) - n).astype(np.uint64) % np.uint64(64)
+    wide[n == 0] = 0
+    words = np.bincount(offset >> 5, weights=(wide >> np.uint64(32)).astype(np.float64), minlength=int(start[-1]) // 4 + 2)
+    low = np.bincount((offset >> 5) + 1, weights=(wide & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=len(words))
+    words = words + low[: len(words)]  # sums of bits that do not meet, below 2 ** 32
+    flat = words.astype(np.uint64).astype(">u4").view(np.uint8)[: int(start[-1])]
+    ff = np.flatnonzero(flat == 0xFF)
+    final = np.zeros(len(whole), dtype=bool)
+    final[np.cumsum(mcus) - 1] = True
+    number = np.arange(len(whole)) - np.repeat(np.cumsum(mcus) - mcus, mcus)
+    marked = np.flatnonzero(~final)
+    places = np.concatenate([ff + 1, np.repeat(start[marked + 1], 2)])
+    values = np.concatenate([np.zeros(len(ff), dtype=np.uint8), np.stack([np.full(len(marked), 0xFF, dtype=np.uint8), (0xD0 + number[marked] % 8).astype(np.uint8)], 1).reshape(-1)])
+    out = np.insert(flat, places, values)
+    stuffed = np.bincount(np.searchsorted(start, ff, side="right") - 1, minlength=len(whole))
+    edge = np.concatenate([[0], np.cumsum(whole + stuffed + 2 * ~final)])[np.concatenate([[0], np.cumsum(mcus)])]
+    files = []
+    for k, m in enumerate(mcus.tolist()):
+        across = _columns(m)
+        files.append(_header(8 * across, 8 * (m // across), books[2 * k + 1], books[2 * k]) + out[edge[k] : edge[k + 1]].tobytes() + b"\xff\xd9")
+    return files
+
+
+def _batches(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    first = 0
+    while first < len(sizes):
+        end, total = first, 0
+        while end < len(sizes) and (end == first or total + sizes[end] <= BATCH_BYTES):
+            total += sizes[end]
+            end += 1
+        yield first, end
+        first = end
+
+
+def encode_all(payloads: list[bytes]) -> list[bytes]:
+    """Each payload as images one after another; one is enough up to 1.5 MB."""
+    step = UNIT * MAX_ROWS
+    parts = [(k, np.frombuffer(p, dtype=np.uint8)[a : a + step]) for k, p in enumerate(payloads) for a in range(0, len(p), step)]
+    out: list[list[bytes]] = [[] for _ in payloads]
+    for a, b in _batches([len(p) for _, p in parts]):
+        for (k, _), image in zip(parts[a:b], _encode_images([p for _, p in parts[a:b]]), strict=True):
+            out[k].append(image)
+    return [b"".join(x) for x in out]
 
 
 def encode(payload: bytes) -> bytes:
-    """Images one after another; one is enough up to 1.5 MB."""
-    data = np.frombuffer(payload, dtype=np.uint8)
-    step = UNIT * MAX_ROWS
-    return b"".join(_encode_image(data[k : k + step]) for k in range(0, len(data), step))
+    return encode_all([payload])[0]
 
 
 class JpegError(ValueError):
@@ -183,32 +290,107 @@ def _layout(image: dict, parts: list[tuple[int, int]]) -> tuple[list[tuple[int,
     return blocks, -(-image["width"] // (8 * top_h)) * -(-image["height"] // (8 * top_v))
 
 
-def _fixed(image: dict, scan: tuple) -> np.ndarray | None:
-    """All coefficients of a scan in which each symbol is the one-bit code of category 8; None if it is no such scan."""
-    parts, data, tables, restart = scan
-    single = (bytes([1] + [0] * 15), bytes([_SYMBOL]))
-    layout, mcus = _layout(image, parts)
-    if restart != 1 or len(layout) != 3 or any(tables.get(t) != single for x in layout for t in x[1:3]):
-        return None
-    if (data == 0xFF).sum() != mcus - 1:
-        data = np.concatenate([np.concatenate([s, np.array([0xFF, 0xD0], dtype=np.uint8)]) for s in _segments(data)])
-    else:
-        data = np.concatenate([data, np.array([0xFF, 0xD0], dtype=np.uint8)])
-    if len(data) != 218 * mcus:
-        return None
-    rows = data.reshape(mcus, 218)
-    if (rows[:, 216] != 0xFF).any():
-        return None
-    out = rows[:, :216].reshape(-1, 9)
-    b = np.empty((len(out), 8), dtype=np.uint8)
-    wrong = np.zeros(len(out), dtype=np.uint8)
-    for j in range(8):
-        wrong |= (out[:, j] >> (7 - j)) & 1
-        b[:, j] = ((out[:, j] & ((1 << (7 - j)) - 1)) << (j + 1)) | (out[:, j + 1] >> (7 - j))
-    if wrong.any():
-        return None
-    raw = b.reshape(-1, 64).astype(np.int16)
-    return np.where(raw >= 128, raw, raw - 255)
+def _side_by_side(scans: list[tuple[dict, tuple]]) -> list[np.ndarray]:
+    """All coefficients of scans with restart intervals, in zigzag order, block by block as coded; one step decodes a symbol of every segment."""
+    books: dict[tuple[bytes, bytes], int] = {}
+    base, shift, luts = [], [], []
+
+    def book(table: tuple[bytes, bytes] | None) -> int:
+        if table is None:
+            raise JpegError("a Huffman table is missing")
+        if table not in books:
+            longest = max((n for n, c in enumerate(table[0], 1) if c), default=1)
+            lut = np.zeros(1 << longest, dtype=np.int64)
+            for (n, code), x in _codes(*table).items():
+                lut[code << (longest - n) : (code + 1) << (longest - n)] = n << 8 | x
+            books[table] = len(base)
+            base.append(sum(map(len, luts)))
+            shift.append(16 - longest)
+            luts.append(lut)
+        return books[table]
+
+    # the entropy-coded bytes without stuffing and markers, and where each segment begins
+    data = np.concatenate([x for _, (_, d, _, _) in scans for x in (d, np.zeros(2, dtype=np.uint8))])
+    scan_start = np.concatenate([[0], np.cumsum([len(d) + 2 for _, (_, d, _, _) in scans])])
+    ff = np.flatnonzero(data[:-1] == 0xFF)
+    follow = data[ff + 1]
+    keep = np.ones(len(data), dtype=bool)
+    keep[ff[follow == 0] + 1] = False
+    restarts = ff[(follow >= 0xD0) & (follow <= 0xD7)]
+    keep[restarts], keep[restarts + 1] = False, False
+    rank = np.concatenate([[0], np.cumsum(keep)])
+    data = np.concatenate([data[keep], np.zeros(8, dtype=np.uint8)]).astype(np.uint64)
+    n = len(data) - 4
+    window = data[:n] << np.uint64(32) | data[1 : n + 1] << np.uint64(24) | data[2 : n + 2] << np.uint64(16) | data[3 : n + 3] << np.uint64(8) | data[4 : n + 4]
+    pos, end, per_lane, first_block, tables, width, edges = [], [], [], [], [], [], [0]
+    for k, (image, (parts, _, known, interval)) in enumerate(scans):
+        layout, mcus = _layout(image, parts)
+        cuts = restarts[(restarts >= scan_start[k]) & (restarts < scan_start[k + 1])]
+        segments = -(-mcus // interval)
+        if len(cuts) + 1 != segments:
+            raise JpegError("a restart interval is missing")
+        begin = rank[np.concatenate([[scan_start[k]], cuts + 2])]
+        pos.append(begin)
+        end.append(np.append(begin[1:], rank[scan_start[k + 1] - 2]))
+        count = np.full(segments, interval * len(layout))
+        count[-1] = (mcus - interval * (segments - 1)) * len(layout)
+        per_lane.append(count)
+        first_block.append(edges[-1] + np.concatenate([[0], np.cumsum(count)[:-1]]))
+        edges.append(edges[-1] + mcus * len(layout))
+        tables.append(np.array([x for _, dc, ac, _ in layout for x in (book(known.get(dc)), book(known.get(ac)))]))
+        width.append(np.full(segments, len(layout)))
+    lane_table = np.repeat(np.concatenate([[0], np.cumsum([len(t) for t in tables])[:-1]]), [len(p) for p in pos])
+    flat_tables, lut = np.concatenate(tables), np.concatenate(luts)
+    table_base, table_shift = np.array(base)[flat_tables], np.array(shift)[flat_tables]
+    lane_pos, lane_end, lane_count, lane_block, lane_width = (np.concatenate(x).astype(np.int64) for x in (pos, end, per_lane, first_block, width))
+    lane_pos, lane_end = 8 * lane_pos, 8 * lane_end
+    out = np.zeros((edges[-1], 64), dtype=np.int16)
+    flat_out = out.reshape(-1)
+    at, left, in_mcu = np.zeros(len(lane_pos), dtype=np.int64), lane_count.copy(), np.zeros(len(lane_pos), dtype=np.int64)
+    while len(lane_pos):
+        if (lane_pos >= lane_end).any():
+            raise JpegError("a scan ends too early")
+        which = lane_table + 2 * in_mcu + (at > 0)
+        byte, bit = lane_pos >> 3, lane_pos & 7
+        w = window[byte].astype(np.int64)
+        entry = lut[table_base[which] + ((w >> (24 - bit) & 0xFFFF) >> table_shift[which])]
+        used, symbol = entry >> 8, entry & 255
+        if not used.all():
+            raise JpegError("no such Huffman code")
+        size, run = symbol & 15, symbol >> 4
+        x = w >> (40 - bit - used - size) & ((1 << size) - 1)
+        x = np.where(x >> np.maximum(size - 1, 0), x, x - (1 << size) + 1)
+        dc = at == 0
+        place = at + np.where(dc, 0, run)
+        some = size > 0
+        if (place[some] > 63).any():
+            raise JpegError("a block is too long")
+        flat_out[(lane_block * 64 + place)[some]] = x[some]
+        at = np.where(dc | some, place + 1, np.where(run == 15, at + 16, 64))
+        lane_pos = lane_pos + used + size
+        done = at >= 64
+        if done.any():
+            at[done] = 0
+            lane_block, left, in_mcu = lane_block + done, left - done, in_mcu + done
+            in_mcu[in_mcu == lane_width] = 0
+            if not left.all():
+                alive = left > 0
+                lane_pos, lane_end, lane_block, lane_table, lane_width, at, left, in_mcu = (a[alive] for a in (lane_pos, lane_end, lane_block, lane_table, lane_width, at, left, in_mcu))
+    found = []
+    for k, (image, (parts, _, _, interval)) in enumerate(scans):
+        blocks = out[edges[k] : edges[k + 1]]
+        layout, mcus = _layout(image, parts)
+        if interval > 1 or len({x[0] for x in layout}) < len(layout):  # DC differences add up within an interval
+            names = np.tile([x[0] for x in layout], mcus)
+            lane = np.arange(mcus * len(layout)) // (interval * len(layout))
+            for name in {x[0] for x in layout}:
+                own = np.flatnonzero(names == name)
+                total = np.cumsum(blocks[own, 0].astype(np.int64))
+                opening = np.concatenate([[True], np.diff(lane[own]) > 0])
+                before = np.concatenate([[0], total[:-1]])[opening]
+                blocks[own, 0] = total - np.repeat(before, np.diff(np.append(np.flatnonzero(opening), len(own))))
+        found.append(blocks)
+    return found
 
 
 def _general(image: dict, scan: tuple) -> np.ndarray:
@@ -266,33 +448,53 @@ def _general(image: dict, scan: tuple) -> np.ndarray:
     return out
 
 
+def _thumbnail(image: dict, scan: tuple, coefficients: np.ndarray) -> np.ndarray:
+    """The DC-only pixels of the first component, from the scan that has it."""
+    layout, mcus = _layout(image, scan[0])
+    first = [k for k, x in enumerate(layout) if x[0] == image["parts"][0][0]]
+    dc = coefficients[:, 0].reshape(mcus, len(layout))[:, first].astype(np.float64)
+    step = image["quantisers"][image["parts"][0][3]][0]
+    pixels = np.clip(np.rint(dc * step / 8 + 128), 0, 255).astype(np.uint8)
+    across = -(-image["width"] // (8 * max(c[1] for c in image["parts"]))) if len(scan[0]) > 1 else -(-image["width"] // 8)
+    _, h, v, _ = image["parts"][0]
+    if len(first) > 1:
+        return pixels.reshape(-1, across, v, h).transpose(0, 2, 1, 3).reshape(-1, across * h)
+    return pixels.reshape(-1, across)
+
+
+def decode_all(files: list[bytes]) -> list[list[dict]]:
+    """For each file its images: width, height, the coefficients of all scans (of the first, the second and so on), and the DC-only luminance thumbnail."""
+    images = [list(_images(f)) for f in files]
+    scans = [(image, scan) for x in images for image in x for scan in image["scans"]]
+    coefficients: list[np.ndarray] = [np.zeros((0, 64), dtype=np.int16)] * len(scans)
+    quick = [k for k, (_, s) in enumerate(scans) if s[3]]
+    for a, b in _batches([len(scans[k][1][1]) for k in quick]):
+        for k, c in zip(quick[a:b], _side_by_side([scans[k] for k in quick[a:b]]), strict=True):
+            coefficients[k] = c
+    for k, (image, scan) in enumerate(scans):
+        if not scan[3]:
+            coefficients[k] = _general(image, scan)
+    out, at = [], 0
+    for x in images:
+        found = []
+        for image in x:
+            own = coefficients[at : at + len(image["scans"])]
+            at += len(image["scans"])
+            lead = next((k for k, s in enumerate(image["scans"]) if any(name == image["parts"][0][0] for name, _ in s[0])), None)
+            if lead is None:
+                raise JpegError("the first component has no scan")
+            found.append({"width": image["width"], "height": image["height"], "coefficients": np.concatenate(own), "thumbnail": _thumbnail(image, image["scans"][lead], own[lead])})
+        out.append(found)
+    return out
+
+
 def decode(media: bytes) -> list[dict]:
-    """For each image: width, height, the coefficients of its first scan, and the DC-only luminance thumbnail."""
-    found = []
-    for image in _images(media):
-        scan = image["scans"][0]
-        coefficients = _fixed(image, scan)
-        if coefficients is None:
-            coefficients = _general(image, scan)
-        layout, mcus = _layout(image, scan[0])
-        first = [k for k, x in enumerate(layout) if x[0] == image["parts"][0][0]]
-        dc = coefficients[:, 0].reshape(mcus, len(layout))[:, first].astype(np.float64)
-        step = image["quantisers"][image["parts"][0][3]][0]
-        pixels = np.clip(np.rint(dc * step / 8 + 128), 0, 255).astype(np.uint8)
-        across = -(-image["width"] // (8 * max(c[1] for c in image["parts"]))) if len(scan[0]) > 1 else -(-image["width"] // 8)
-        _, h, v, _ = image["parts"][0]
-        if len(first) > 1:
-            pixels = pixels.reshape(-1, across, v, h).transpose(0, 2, 1, 3).reshape(-1, across * h)
-        else:
-            pixels = pixels.reshape(-1, across)
-        found.append({"width": image["width"], "height": image["height"], "coefficients": coefficients, "thumbnail": pixels})
-    return found
+    return decode_all([media])[0]
 
 
 def payload_of(images: list[dict]) -> bytes:
     """The bytes that ``encode`` stored."""
-    c = np.concatenate([x["coefficients"].reshape(-1) for x in images])
-    return np.where(c < 0, c + 255, c).astype(np.uint8).tobytes()
+    return (np.concatenate([x["coefficients"].reshape(-1) for x in images]) + 128).astype(np.uint8).tobytes()
 
 
 def thumbnail_hash(pixels: np.ndarray) -> str:
@@ -312,9 +514,8 @@ def thumbnail_hash(pixels: np.ndarray) -> str:
 FIELDS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def describe(stored: bytes) -> tuple[int, str, int, int, str, str]:
-    """What the stored bytes hold: length, digest and tail of the payload, their own length and digest, and the feature."""
-    images = decode(stored)
+def describe(stored: bytes, images: list[dict]) -> tuple[int, str, int, int, str, str]:
+    """What the stored bytes hold, with the images read from them: length, digest and tail of the payload, their own length and digest, and the feature."""
     payload = payload_of(images)
     feature = ";".join(f"{x['width']}x{x['height']}:{thumbnail_hash(x['thumbnail'])}" for x in images)
     return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature
@@ -333,13 +534,9 @@ def media_column(docs: DataFrame, key: str = "doc_id", text: str = "text", with_
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                rows, media = [], []
-                for t in part.column(1):
-                    raw = (t.as_py() or "").encode()
-                    stored = encode(pad(raw))
-                    rows.append((len(raw), *describe(stored)))
-                    if with_media:
-                        media.append(stored)
+                raw = [(t or "").encode() for t in part.column(1).to_pylist()]
+                media = encode_all([pad(r) for r in raw])
+                rows = [(len(r), *describe(f, images)) for r, f, images in zip(raw, media, decode_all(media), strict=True)]
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
                 columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
                 columns += [pa.array(media, pa.binary())] * with_media

@@ -60,3 +60,50 @@ def test_column(spark):
         assert r["tail_crc32"] == zlib.crc32(payload[-16:]) and r["media_sha256"] == hashlib.sha256(bytes(r["media"])).hexdigest() and r["media_bytes"] == len(r["media"])
     assert len({r["feature"] for r in out if r["doc_id"] in (4, 5)}) == 1
     assert media.media_column(documents(spark, [])).collect() == []
+
+
+def test_codes_are_optimal_and_complete():
+    g = np.random.default_rng(3)
+    for counts in (np.array([5]), np.array([1, 1]), g.integers(1, 1000, 40), np.array([1 << k for k in range(30)]), g.integers(1, 9, 200)):
+        wide = np.zeros(256, dtype=np.int64)
+        wide[: len(counts)] = counts
+        book = media.huffman(wide)
+        codes = media._codes(*book)
+        assert sorted(codes.values()) == list(range(len(counts))) and len(set(codes)) == len(counts)
+        assert all(c != (1 << n) - 1 for n, c in codes) and max(n for n, _ in codes) <= 16  # the code of ones is left out
+        texts = [f"{c:0{n}b}" for n, c in codes]
+        assert not any(a != b and b.startswith(a) for a in texts for b in texts)
+    p = np.array([8, 4, 2, 1, 1])
+    lengths = {x: n for (n, _), x in media._codes(*media.huffman(np.concatenate([p, np.zeros(251, dtype=np.int64)]))).items()}
+    assert lengths[0] == 1 and lengths[1] == 2 and lengths[2] == 3
+
+
+def test_runs_of_zeros_and_whole_batches():
+    g = np.random.default_rng(4)
+    sparse = np.full(192 * 30, 128, dtype=np.uint8)
+    sparse[g.integers(0, len(sparse), 60)] = g.integers(0, 256, 60)
+    payloads = [sparse.tobytes(), bytes([128]) * 192, bytes(g.integers(0, 256, 192 * 7, dtype=np.uint8)), media.pad("Ünïcödé € ".encode() * 40), bytes([255]) * 384, bytes([0]) * 192]
+    files = media.encode_all(payloads)
+    assert files == [media.encode(p) for p in payloads]  # a file depends on its own payload alone
+    for p, f, images in zip(payloads, files, media.decode_all(files), strict=True):
+        assert media.payload_of(images) == p
+        for image, parsed in zip(images, media._images(f), strict=True):
+            assert (media._general(parsed, parsed["scans"][0]) == image["coefficients"]).all()
+
+
+def _bits(parts: str) -> bytes:
+    parts += "1" * (-len(parts) % 8)
+    return int(parts, 2).to_bytes(len(parts) // 8, "big")
+
+
+def test_scans_of_their_own_and_longer_intervals():
+    """Three components, a scan for each; the first with two blocks an interval, so that DC differences add up."""
+    head = b"\xff\xd8" + media._segment(0xDB, bytes([0]) + bytes([8] * 64)) + media._segment(0xC0, bytes([8, 0, 8, 0, 32, 2, 1, 0x11, 0, 2, 0x11, 0]))
+    tables = media._segment(0xC4, bytes([0x00, 1, 1, 1, *[0] * 13, 0, 2, 3])) + media._segment(0xC4, bytes([0x10, 1, *[0] * 15, 0]))
+    one = _bits("10" + "11" + "0" + "10" + "11" + "0")  # DC 3, then 3 more
+    other = _bits("0" + "0" + "110" + "100" + "0")  # DC 0, then 4
+    first = media._segment(0xDD, b"\0\2") + media._segment(0xDA, bytes([1, 2, 0, 0, 63, 0])) + one + b"\xff\xd0" + other
+    second = media._segment(0xDD, b"\0\0") + media._segment(0xDA, bytes([1, 1, 0, 0, 63, 0])) + _bits("10110" + "00" + "00" + "00")  # DC 3, then the same
+    image = media.decode(head + tables + first + second + b"\xff\xd9")[0]
+    assert image["coefficients"][:4, 0].tolist() == [3, 6, 0, 4]
+    assert image["thumbnail"].tolist() == [[131] * 4] and image["coefficients"].shape == (8, 64)
