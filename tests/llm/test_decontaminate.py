@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+import re
+
 from helpers import documents, text
 
 from quillmark.llm import decontaminate as d
@@ -69,3 +72,70 @@ def test_without_filter_the_result_is_the_same(spark, monkeypatch):
 def test_decontaminate_keeps_the_others(spark):
     docs = documents(spark, [(1, QUESTION), (2, text(5, 30)), (None, None)])
     assert {r["doc_id"] for r in d.decontaminate(docs, items(spark, [(1, QUESTION)])).collect()} == {2, None}
+
+
+def plain_contamination(doc: str, item: str) -> tuple[int, int] | None:
+    """(windows, item windows) by the definitions, for texts of small letters and numbers alone, so that numbers are the only slots."""
+    spell = lambda t: [(m[0], m[0].isdigit()) for m in re.finditer(r"[0-9]+|[a-z]+", t)]
+    a, b = spell(doc), spell(item)
+    best = None
+    literal = len(b) < d.SHORTEST or not all(sum(not n for _, n in b[i : i + min(d.WINDOW, len(b))]) >= d.LITERALS * min(d.WINDOW, len(b)) for i in range(len(b) - min(d.WINDOW, len(b)) + 1))
+    for exact in (False, True):
+        if (exact and not literal) or (not exact and len(b) < d.SHORTEST):
+            continue
+        width = min(d.WINDOW, len(b))
+        face = (lambda t: t[0]) if exact else (lambda t: "<n>" if t[1] else t[0])
+        good = [i for i in range(len(b) - width + 1) if exact or sum(not n for _, n in b[i : i + width]) >= d.LITERALS * width]
+        if not good:
+            continue
+        shifts: dict[int, list[int]] = {}
+        for i in good:
+            for j in range(len(a) - width + 1):
+                if [face(x) for x in a[j : j + width]] == [face(x) for x in b[i : i + width]]:  # noqa: B023
+                    shifts.setdefault(j - i, []).append(i)
+        found: set[int] = set()
+        for shift, own in shifts.items():
+            pairs = set() if exact else {(b[i + k][0], a[i + shift + k][0]) for i in own for k in range(width) if b[i + k][1]}
+            if len({x for x, _ in pairs}) == len(pairs) == len({y for _, y in pairs}):
+                found |= set(own)
+        if len(found) / len(good) >= d.COVERAGE and (best is None or len(found) / len(good) > best[0] / best[1]):
+            best = (len(found), len(good))
+    return best
+
+
+def test_brute_force(spark):
+    """Random items and documents with whole, cut, re-parameterised, twisted and distant copies."""
+    r = random.Random(11)
+    pool = ["apple", "book", "cat", "door", "egg", "fish", "goat", "hat", "ink", "jar", "kite", "lamp"]
+
+    def item() -> list[str]:
+        n = r.choice([2, 5, 9, 14, 25])
+        return [str(r.randint(1, 9)) if r.random() < r.choice([0.1, 0.3, 0.7]) else r.choice(pool) for _ in range(n)]
+
+    items_ = [item() for _ in range(30)]
+    docs = []
+    for k in range(150):
+        words = r.choices(pool, k=r.randint(0, 12))
+        own = list(r.choice(items_))
+        kind = k % 5
+        if kind == 1:
+            own = own[: max(1, len(own) * 2 // 3)]
+        elif kind == 2:
+            swap = {str(i): str(i * 7 + 10) for i in range(10)}
+            own = [swap.get(w, w) for w in own]
+        elif kind == 3:
+            own = [str(r.randint(1, 9)) if w.isdigit() else w for w in own]
+        elif kind == 4 and len(own) > 3:
+            own[len(own) // 2] = "zzz"
+        docs.append(" ".join([*words, *own, *r.choices(pool, k=r.randint(0, 12))]))
+    texts = [" ".join(x) for x in items_]
+    want = {(i, j): w for i, t in enumerate(docs) for j, u in enumerate(texts) if (w := plain_contamination(t, u))}
+    got = {k: (x["windows"], x["item_windows"]) for k, x in found(spark, list(enumerate(docs)), list(enumerate(texts))).items()}
+    assert set(got) == set(want) and len(want) > 60
+    assert all(abs(got[k][0] / got[k][1] - want[k][0] / want[k][1]) < 1e-9 for k in want)
+
+
+def test_columns_of_documents_may_clash(spark):
+    docs = documents(spark, [(1, QUESTION), (2, text(5, 30))]).withColumnRenamed("lang", "item_id").withColumnRenamed("source", "template").withColumnRenamed("n_chars", "window")
+    assert {(x["doc_id"], x["item_id"]) for x in d.contamination(docs, items(spark, [(7, QUESTION)])).collect()} == {(1, 7)}
+    assert d.decontaminate(docs, items(spark, [(7, QUESTION)])).columns == docs.columns
