@@ -71,7 +71,8 @@ def line_dedup(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS) -> DataF
     known = light.join(general, "line", "left").select("doc_id", "pos", F.coalesce("general", "line").alias("template"))
     each = known.groupBy("template", "doc_id").agg(F.min("pos").alias("pos"))
     recurring = each.groupBy("template").agg(F.count(F.lit(1)).alias("documents"), F.min(F.struct("doc_id", "pos")).alias("first")).filter(F.col("documents") >= least_documents)
-    gone = known.join(recurring.select("template", "first"), "template").filter(~F.struct("doc_id", "pos").eqNullSafe(F.col("first")))
+    recurring = checkpointed(recurring.select("template", "first"))  # apart from the join, which can then split the rows of a hot template
+    gone = known.join(recurring, "template").filter(~F.struct("doc_id", "pos").eqNullSafe(F.col("first")))
     gone = checkpointed(gone.groupBy("doc_id").agg(F.collect_set("pos").alias("__gone")).select(F.col("doc_id").alias("__gone_id"), "__gone"))
     del known, each, recurring, light, general
     release(spark)
