@@ -57,8 +57,9 @@ def line_dedup(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS) -> DataF
     own = docs.select("doc_id", "text")
     light = checkpointed(_lines(own).select("doc_id", "pos", F.xxhash64("masked").alias("line"), "leaf", "n"))
     mixed = light.filter(F.col("n") >= LEAST_TOKENS).groupBy("leaf").agg(F.min("line").alias("low"), F.max("line").alias("high")).filter("low <> high").select("leaf")
-    distinct = _lines(own).filter(F.col("n") >= LEAST_TOKENS).select("leaf", "n", "masked").join(mixed, "leaf", "left_semi").distinct()
-    distinct = checkpointed(distinct)
+    mixed = checkpointed(mixed)  # neither side of the join is aggregated in its stage, nor is its result, so that a hot leaf can be split
+    picked = checkpointed(_lines(own).filter(F.col("n") >= LEAST_TOKENS).select("leaf", "n", "masked").join(mixed, "leaf", "left_semi"))
+    distinct = checkpointed(picked.distinct())
     sizes = distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("size"))
     tokens = distinct.select("leaf", F.posexplode(F.split("masked", " ")).alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count(F.lit(1)).alias("lines"))
     constant = tokens.join(sizes, "leaf").filter(2 * F.col("lines") > F.col("size")).groupBy("leaf").agg(F.collect_list(F.concat_ws(" ", "at", "token")).alias("constant"))
@@ -66,7 +67,7 @@ def line_dedup(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS) -> DataF
     alike = F.size(F.array_intersect("constant", placed))
     general = distinct.join(constant, "leaf").filter(alike >= LEAST_ALIKE * F.col("n")).select(F.xxhash64("masked").alias("line"), F.xxhash64(F.lit("leaf"), "leaf").alias("general"))
     general = checkpointed(general)
-    del distinct, sizes, tokens, constant
+    del mixed, picked, distinct, sizes, tokens, constant
     release(spark)
     known = light.join(general, "line", "left").select("doc_id", "pos", F.coalesce("general", "line").alias("template"))
     each = known.groupBy("template", "doc_id").agg(F.min("pos").alias("pos"))
