@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillmark.functions import scores
 from quillmark.operators.routing import Scorer
 from quillmark.schemas import SEMANTIC
 
@@ -112,3 +113,18 @@ def embed(chunks: DataFrame, embedder: Embedder, batch: int = 20) -> DataFrame:
             yield rows.assign(vector=vectors)
 
     return chunks.mapInPandas(run, T.StructType([*chunks.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType()))]))
+
+
+# Fixed text.
+OUT_OF_SCOPE = "Hors périmètre — score mots-clés insuffisant."
+# End of the fixed text.
+
+
+def second_gate(scored: DataFrame) -> DataFrame:
+    """Adds skip, semantic and semantic_reason: the gate once more, right before an analyst would be asked.
+
+    Rows that it stops get the stand-in analysis, whichever way they came; the others have no analysis yet. scored: as ``lexicon.score``
+    gives it.
+    """
+    skip = scores.gate(F.col("keyword_score"), F.col("confidence"), F.size("red_flags") > 0)["skip"]
+    return scored.withColumn("skip", skip).withColumns({"semantic": F.when(F.col("skip"), fallback(F.col("keyword_score"))), "semantic_reason": F.when(F.col("skip"), F.lit(OUT_OF_SCOPE))})

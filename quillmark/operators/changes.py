@@ -83,11 +83,12 @@ def originals(amendments: DataFrame, stored: DataFrame) -> DataFrame:
     return out.withColumn("original_id", F.coalesce("_v0", "_v1", "_near", "_v2")).drop("_v0", "_v1", "_v2", "_near", "_own")
 
 
-def amendment_view(tenders: DataFrame, link: str = "annonce_lie") -> DataFrame:
-    """Each amended tender beside its original, with the difference of scores."""
+def amendment_view(tenders: DataFrame, link: str = "annonce_lie", newest: str | None = None) -> DataFrame:
+    """Each amended tender beside its original, with the difference of scores; ``newest`` names the date by which the last comes first."""
     o = tenders.select(F.col("source_id").alias("original_id"), F.col("title").alias("original_title"), F.col("final_score").alias("original_score"))
     r = tenders.filter(F.col(link).isNotNull())
-    return r.join(o, r[link] == o["original_id"], "left").withColumn("score_delta", F.col("final_score") - F.col("original_score"))
+    view = r.join(o, r[link] == o["original_id"], "left").withColumn("score_delta", F.col("final_score") - F.col("original_score"))
+    return view if newest is None else view.orderBy(F.desc(newest), "source_id")
 
 
 def with_history(stored: DataFrame, amended: DataFrame, at: str) -> DataFrame:

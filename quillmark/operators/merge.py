@@ -43,3 +43,8 @@ def violations(rows: DataFrame, unique: list[str] = (), checks: dict[str, Column
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def array_sizes(rows: DataFrame, column: str) -> DataFrame:
+    """(size, n): how many rows have an array of each size; null arrays have none."""
+    return rows.groupBy(F.when(F.col(column).isNotNull(), F.size(column)).alias("size")).agg(F.count(F.lit(1)).alias("n"))

@@ -602,3 +602,34 @@ def record_keys(spark, sf):
     say = lambda head: F.concat(F.lit(head), k.cast("string"), F.lit('"}'))
     raw = _cases(k % 4, {0: say('{"id": "x", "boamp_id": "y", "idweb": "a'), 1: say('{"id": "x", "boamp_id": "b'), 2: say('{"id": "c'), None: F.lit("{}")})
     return table(spark, sf, "orders").select(k.alias("k"), extract.record_id(raw).alias("record_id"))
+
+
+@query("WITH " + NOTICES + """, g AS (SELECT *, keyword_score < 20 OR (flagged AND greatest(0, keyword_score - 30) < 15) OR (keyword_score < 30 AND confidence = 'LOW') OR (keyword_score >= 30 AND keyword_score < 40 AND confidence = 'LOW') AS skip FROM notices)
+SELECT doc_id, skip, CASE WHEN skip THEN round(keyword_score / 100.0 * 0.5, 6) END AS stand_in, CASE WHEN skip THEN 'Hors périmètre — score mots-clés insuffisant.' END AS reason FROM g""")
+def second_gates(spark, sf):
+    """The gate once more, right before an analyst would be asked."""
+    rows = notices(spark, sf).withColumn("red_flags", F.when(F.col("flagged"), F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")))
+    return analysis.second_gate(rows).select("doc_id", "skip", F.round(F.col("semantic.score_semantique_global"), 6).alias("stand_in"), F.col("semantic_reason").alias("reason"))
+
+
+@query("SELECT CAST(len(embedding) AS INTEGER) AS size, CAST(count(*) AS BIGINT) AS n FROM embeddings GROUP BY 1")
+def vector_sizes(spark, sf):
+    return merge.array_sizes(table(spark, sf, "embeddings"), "embedding")
+
+
+@query("SELECT o_orderkey AS source_id, o_orderkey - 1 AS original_id FROM orders WHERE o_orderkey % 2 = 0")
+def amendments_by_date(spark, sf):
+    """The view of amendments, newest first."""
+    k = F.col("o_orderkey")
+    rows = table(spark, sf, "orders").select(k.alias("source_id"), F.when(k % 2 == 0, k - 1).alias("annonce_lie"), F.col("o_orderpriority").alias("title"), F.col("o_totalprice").alias("final_score"), F.col("o_orderdate").alias("analyzed_at"))
+    return changes.amendment_view(rows, newest="analyzed_at").select("source_id", F.col("annonce_lie").alias("original_id"))
+
+
+@query("WITH " + PRICED + """, c AS (SELECT source, count(*) FILTER (WHERE priority IN ('HIGH', 'MEDIUM')) AS wanted, count(*) FILTER (WHERE priority = 'LOW') AS low FROM priced GROUP BY 1), t AS (SELECT sum(wanted + low) AS total, sum(wanted) AS wanted, sum(low) AS low FROM c),
+l AS (SELECT '' AS section, list_filter([total || CASE WHEN total > 1 THEN ' appels d''offres analysés' ELSE ' appel d''offres analysé' END, CASE WHEN wanted > 0 THEN wanted || CASE WHEN wanted > 1 THEN ' appels pertinents' ELSE ' appel pertinent' END || ' (HIGH/MEDIUM)' ELSE 'Aucun appel d''offres pertinent identifié' END,
+  CASE WHEN low > 0 THEN low || CASE WHEN low > 1 THEN ' appels' ELSE ' appel' END || ' d''offres à faible priorité (LOW)' END], lambda x: x IS NOT NULL) AS lines FROM t
+UNION ALL SELECT source, list_filter([(wanted + low) || CASE WHEN wanted + low > 1 THEN ' appels d''offres analysés' ELSE ' appel d''offres analysé' END, CASE WHEN wanted > 0 THEN wanted || CASE WHEN wanted > 1 THEN ' pertinents' ELSE ' pertinent' END END], lambda x: x IS NOT NULL) FROM c)
+SELECT section, CAST(unnest(range(len(lines))) AS INTEGER) AS k, unnest(lines) AS line FROM l""")
+def mail_summary(spark, sf):
+    """The head of a mail and a section for each source."""
+    return report.text_summary(report.by_source(priced(spark, sf)))

@@ -275,3 +275,15 @@ def test_market_type_is_a_member(spark):
     rows = canonical.from_bulletin(raw(spark, json.dumps({"idweb": "1", "dateparution": "2024-01-02", "nature_categorise": "appeloffre/standard", "type_marche": ["FOURNITURES", "SERVICES"]})))
     assert canonical.keep_bulletin(rows, "2024-01-02", "2024-01-02").count() == 1
     assert canonical.keep_bulletin(rows, "2024-01-02", "2024-01-02", type_marche="TRAVAUX").count() == 0
+
+
+def test_summary_of_nothing_and_of_one(spark):
+    empty = spark.createDataFrame([], "source string, high long, medium long, low long")
+    assert [tuple(r) for r in report.text_summary(empty).collect()] == [("", 0, "Aucun appel d'offres analysé")]
+    one = spark.createDataFrame([("BOAMP", 0, 0, 1), ("X", 0, 0, 0)], "source string, high long, medium long, low long")
+    assert {tuple(r) for r in report.text_summary(one).collect()} == {("", 0, "1 appel d'offres analysé"), ("", 1, "Aucun appel d'offres pertinent identifié"), ("", 2, "1 appel d'offres à faible priorité (LOW)"), ("BOAMP", 0, "1 appel d'offres analysé")}
+
+
+def test_ranked_keeps_ties_in_order(spark):
+    rows = spark.createDataFrame([(1, 5), (2, 9), (3, 5), (4, None)], "id int, s int")
+    assert {r["id"]: r["position"] for r in report.ranked(rows, "s", "id").collect()} == {2: 1, 1: 2, 3: 3, 4: 4}

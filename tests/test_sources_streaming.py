@@ -165,3 +165,27 @@ def test_queue_round_trip(spark, tmp_path):
 
 def test_missing_clients_are_none(spark, tmp_path):
     assert files.reference_clients(spark, str(tmp_path / "none.json")).count() == 0
+
+
+def test_signed_answers_become_drafts(spark, tmp_path):
+    import json
+
+    from quillmark.functions.links import sign
+    from quillmark.streaming import answers
+
+    events = [("a1", sign("a1", "k"), " utile "), ("a2", sign("a1", "k"), "faux"), ("a3", sign("a3", "k"), "  "), (None, "x", "y"), ("a4", None, "z")]
+    lines = [json.dumps({"source_id": s, "token": t, "feedback": f, "client_id": "c", "at": "2024-01-01T10:00:00Z"}) for s, t, f in events]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.json").write_text("\n".join([*lines, "{broken"]))
+    query = answers.signed(answers.read(spark, str(tmp_path / "in")), "k").writeStream.format("memory").queryName("signed_answers").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [tuple(r)[:4] for r in spark.table("signed_answers").collect()] == [("a1", "c", "utile", "draft")]
+
+
+def test_operations_by_name(spark):
+    from quillmark.plans import registry
+
+    base = spark.createDataFrame([(1, "a"), (2, "b")], "id int, x string")
+    assert registry.call("delete", base, base.filter("id = 1")).count() == 1
+    with pytest.raises(KeyError, match="upsert"):
+        registry.call("nothing", base)
