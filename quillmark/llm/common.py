@@ -21,13 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and kept in the folder that all executors share.
+def checkpointed(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """The same rows, computed once and kept in the folder that all executors share; in at most so many parts.
 
     The folder is the one that the session names in ``spark.checkpoint.dir``. Only where that is unset and all tasks run in
     the driver's process (as in tests) a temporary one is made; on a cluster it is an error, as executors would not see it.
     The shuffle files that made the rows are given back at once: nothing reads them again.
     """
+    if parts is not None:
+        df = df.coalesce(parts)
     spark = df.sparkSession
     context = spark.sparkContext
     if not spark.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
@@ -39,6 +41,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return kept
 
 
+def parts_for(spark: SparkSession, rows: int, each: int) -> int:
+    """How many parts a result of at most so many rows is kept in: no more small files than its size asks for, but work for every core."""
+    return max(2 * spark.sparkContext.defaultParallelism, -(-rows // each))
+
+
 def _give_back(df: DataFrame) -> None:
     """Removes the shuffle files of a DataFrame's own execution. What is still read elsewhere is part of other executions."""
     cleaner = df.sparkSession.sparkContext._jsc.sc().cleaner()

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import bucket_bits, checkpointed, chunk_bytes, lean, release
+from quillmark.llm.common import bucket_bits, checkpointed, chunk_bytes, lean, parts_for, release
 from quillmark.llm.graph import connected_components
 from quillmark.llm.kernel import mix, shingle_sets, slices
 
@@ -35,6 +35,8 @@ CHUNK_BYTES = 4 << 20
 CHUNK_ROWS = 1 << 15
 #: Shingles that one task verifies at once.
 BLOCK = 2_000_000
+#: Documents that one part of an intermediate result holds.
+DOCUMENTS = 5_000
 _REST = np.uint64(48)
 _U = np.uint64
 
@@ -228,8 +230,9 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     rows = checkpointed(repeated.groupBy("chunk").applyInArrow(_documents, f"key {kind}, n long, node long, names binary, df binary"))
     del shingles, repeated
     release(spark)
+    parts = parts_for(spark, rows.count(), DOCUMENTS)
     able = rows.filter(F.col("names").isNotNull())
-    nodes = checkpointed(able.select("node", "n", "names", "df").dropDuplicates(["node"]))
+    nodes = checkpointed(able.select("node", "n", "names", "df").dropDuplicates(["node"]), parts)
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,7 +247,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     centre = posted.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("token", "a")
     stars = posted.join(centre, "token").select("a", F.col("node").alias("b")).filter("a <> b").distinct()
     labels = connected_components(stars)
-    grouped = checkpointed(nodes.join(labels, "node"))
+    grouped = checkpointed(nodes.join(labels, "node"), parts)
     weights = grouped.groupBy("label").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
     lanes = 1 << bits
     placed = grouped.join(weights, "label").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
@@ -266,7 +269,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             b.append(node[group[moved]])
         return pa.table([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
-    links = checkpointed(tasks.groupBy("lane", "i", "j").applyInArrow(verify, "a long, b long"))
+    links = checkpointed(tasks.groupBy("lane", "i", "j").applyInArrow(verify, "a long, b long"), parts)
     reached = connected_components(links)
     members = able.select("key", "node").join(reached, "node").groupBy("label").agg(F.min("key").alias("component"))
     whole = reached.join(members, "label").select("node", "component")

@@ -18,13 +18,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import checkpointed, release
+from quillmark.llm.common import checkpointed, parts_for, release
 
 DEPTH = 3
 LEAST_TOKENS = 5
 LEAST_ALIKE = 0.7
 LEAST_DOCUMENTS = 3
 WILDCARD = "<*>"
+#: Lines that one part of an intermediate result holds.
+LINES = 25_000
 
 
 def _masked(line: Column) -> Column:
@@ -56,25 +58,26 @@ def line_dedup(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS) -> DataF
     docs = docs.drop("n_lines", "n_dropped")
     own = docs.select("doc_id", "text")
     light = checkpointed(_lines(own).select("doc_id", "pos", F.xxhash64("masked").alias("line"), "leaf", "n"))
+    parts = parts_for(spark, light.count(), LINES)
     mixed = light.filter(F.col("n") >= LEAST_TOKENS).groupBy("leaf").agg(F.min("line").alias("low"), F.max("line").alias("high")).filter("low <> high").select("leaf")
-    mixed = checkpointed(mixed)  # neither side of the join is aggregated in its stage, nor is its result, so that a hot leaf can be split
-    picked = checkpointed(_lines(own).filter(F.col("n") >= LEAST_TOKENS).select("leaf", "n", "masked").join(mixed, "leaf", "left_semi"))
-    distinct = checkpointed(picked.distinct())
+    mixed = checkpointed(mixed, parts)  # neither side of the join is aggregated in its stage, nor is its result, so that a hot leaf can be split
+    picked = checkpointed(_lines(own).filter(F.col("n") >= LEAST_TOKENS).select("leaf", "n", "masked").join(mixed, "leaf", "left_semi"), parts)
+    distinct = checkpointed(picked.distinct(), parts)
     sizes = distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("size"))
     tokens = distinct.select("leaf", F.posexplode(F.split("masked", " ")).alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count(F.lit(1)).alias("lines"))
     constant = tokens.join(sizes, "leaf").filter(2 * F.col("lines") > F.col("size")).groupBy("leaf").agg(F.collect_list(F.concat_ws(" ", "at", "token")).alias("constant"))
     placed = F.transform(F.split("masked", " "), lambda t, k: F.concat_ws(" ", k, t))
     alike = F.size(F.array_intersect("constant", placed))
     general = distinct.join(constant, "leaf").filter(alike >= LEAST_ALIKE * F.col("n")).select(F.xxhash64("masked").alias("line"), F.xxhash64(F.lit("leaf"), "leaf").alias("general"))
-    general = checkpointed(general)
+    general = checkpointed(general, parts)
     del mixed, picked, distinct, sizes, tokens, constant
     release(spark)
     known = light.join(general, "line", "left").select("doc_id", "pos", F.coalesce("general", "line").alias("template"))
     each = known.groupBy("template", "doc_id").agg(F.min("pos").alias("pos"))
     recurring = each.groupBy("template").agg(F.count(F.lit(1)).alias("documents"), F.min(F.struct("doc_id", "pos")).alias("first")).filter(F.col("documents") >= least_documents)
-    recurring = checkpointed(recurring.select("template", "first"))  # apart from the join, which can then split the rows of a hot template
+    recurring = checkpointed(recurring.select("template", "first"), parts)  # apart from the join, which can then split the rows of a hot template
     gone = known.join(recurring, "template").filter(~F.struct("doc_id", "pos").eqNullSafe(F.col("first")))
-    gone = checkpointed(gone.groupBy("doc_id").agg(F.collect_set("pos").alias("__gone")).select(F.col("doc_id").alias("__gone_id"), "__gone"))
+    gone = checkpointed(gone.groupBy("doc_id").agg(F.collect_set("pos").alias("__gone")).select(F.col("doc_id").alias("__gone_id"), "__gone"), parts)
     del known, each, recurring, light, general
     release(spark)
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
