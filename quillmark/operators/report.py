@@ -126,18 +126,28 @@ def high_open(rows: DataFrame, as_of: str, identity: str, limit: int = 10) -> Da
     return rows.filter((F.col("priority") == "HIGH") & temporal.is_open(F.col("deadline"), as_of)).orderBy(F.desc("final_score"), identity).limit(limit)
 
 
+# Fixed texts: for one and for several.
+ANALYSED = ("appel d'offres analysé", "appels d'offres analysés")
+RELEVANT = ("appel pertinent", "appels pertinents")
+RELEVANT_IN_SOURCE = ("pertinent", "pertinents")
+RELEVANT_LEVELS = " (HIGH/MEDIUM)"
+LOW = ("appel d'offres à faible priorité (LOW)", "appels d'offres à faible priorité (LOW)")
+NONE_ANALYSED = "Aucun appel d'offres analysé"
+NONE_RELEVANT = "Aucun appel d'offres pertinent identifié"
+# End of the fixed texts.
+
+
 def text_summary(counts: DataFrame) -> DataFrame:
     """(section, k, line): the head of a plain text mail and a section for each source, from the rows of ``by_source``."""
-    plural = lambda n, one, many: F.concat(n.cast("string"), F.lit(" "), F.when(n > 1, many).otherwise(one))
-    analysed = lambda n: plural(n, "appel d'offres analysé", "appels d'offres analysés")
+    said = lambda n, words: text.plural(n, *words)
     total, wanted = F.col("high") + F.col("medium") + F.col("low"), F.col("high") + F.col("medium")
     every = counts.agg(F.coalesce(F.sum(total), F.lit(0)).alias("total"), F.coalesce(F.sum(wanted), F.lit(0)).alias("wanted"), F.coalesce(F.sum("low"), F.lit(0)).alias("low"))
     some = F.col("total") > 0
     head = F.array(
-        F.when(some, analysed(F.col("total"))).otherwise("Aucun appel d'offres analysé"),
-        F.when(some & (F.col("wanted") > 0), F.concat(plural(F.col("wanted"), "appel pertinent", "appels pertinents"), F.lit(" (HIGH/MEDIUM)"))).when(some, "Aucun appel d'offres pertinent identifié"),
-        F.when(some & (F.col("low") > 0), F.concat(plural(F.col("low"), "appel", "appels"), F.lit(" d'offres à faible priorité (LOW)"))),
+        F.when(some, said(F.col("total"), ANALYSED)).otherwise(NONE_ANALYSED),
+        F.when(some & (F.col("wanted") > 0), F.concat(said(F.col("wanted"), RELEVANT), F.lit(RELEVANT_LEVELS))).when(some, NONE_RELEVANT),
+        F.when(some & (F.col("low") > 0), said(F.col("low"), LOW)),
     )
-    body = F.array(analysed(total), F.when(wanted > 0, plural(wanted, "pertinent", "pertinents")))
+    body = F.array(said(total, ANALYSED), F.when(wanted > 0, said(wanted, RELEVANT_IN_SOURCE)))
     lines = lambda a: F.posexplode(F.filter(a, lambda x: x.isNotNull())).alias("k", "line")
     return every.select(F.lit("").alias("section"), lines(head)).unionByName(counts.filter(total > 0).select(F.col("source").alias("section"), lines(body)))

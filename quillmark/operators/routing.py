@@ -80,13 +80,22 @@ def keep_minor(minor: DataFrame, stored: DataFrame) -> DataFrame:
     return joined.withColumns({"final_score": F.coalesce("_score", F.lit(0.0)), "priority": F.coalesce("_priority", F.lit("LOW"))}).drop("_id", "_score", "_priority")
 
 
+# Fixed texts.
+SKIPPED = ("Écarté automatiquement — score mots-clés insuffisant (", "/100)")
+REJECTED = "Écarté : "
+KEPT = ("Retenu — forte adéquation (score ", "/10)")
+KEPT_WITH_DOUBTS = ("Retenu avec réserves (score ", "/10)")
+NO_REASON = "Analyse disponible"
+# End of the fixed texts.
+
+
 def reason(skip: Column, keyword_score: Column, gate: Column, rejection: Column, priority: Column, semantic: Column, fallback: Column) -> Column:
     """Why a tender was kept or not, in a French sentence."""
-    shown = F.coalesce(semantic.cast("string"), F.lit("?"))
+    around = lambda words, value: F.concat(F.lit(words[0]), F.coalesce(value.cast("string"), F.lit("?")), F.lit(words[1]))
     return (
-        F.when(skip, F.concat(F.lit("Écarté automatiquement — score mots-clés insuffisant ("), F.coalesce(keyword_score.cast("string"), F.lit("?")), F.lit("/100)")))
-        .when(gate == "REJECT", F.concat(F.lit("Écarté : "), F.coalesce(rejection, F.lit("null"))))
-        .when(priority == "HIGH", F.concat(F.lit("Retenu — forte adéquation (score "), shown, F.lit("/10)")))
-        .when(priority == "MEDIUM", F.concat(F.lit("Retenu avec réserves (score "), shown, F.lit("/10)")))
-        .otherwise(F.coalesce(fallback, F.lit("Analyse disponible")))
+        F.when(skip, around(SKIPPED, keyword_score))
+        .when(gate == "REJECT", F.concat(F.lit(REJECTED), F.coalesce(rejection, F.lit("null"))))
+        .when(priority == "HIGH", around(KEPT, semantic))
+        .when(priority == "MEDIUM", around(KEPT_WITH_DOUBTS, semantic))
+        .otherwise(F.coalesce(fallback, F.lit(NO_REASON)))
     )

@@ -29,14 +29,20 @@ def windowed(stream: DataFrame, at: str, by: str, value: str, width: str = "1 ho
 def upsert_into(stream: DataFrame, folder: str, key: str, checkpoint: str, order: str) -> StreamingQuery:
     """Merges each micro-batch into the versions of a keyed table: ``folder/v=<batch>``; the last row of a key counts.
 
-    A batch that is replayed writes its own version again from the one before, so a restart changes nothing.
+    A batch that is replayed writes its own version again from the one before, so a restart changes nothing. Only these two
+    versions are kept. A batch rewrites the table, as plain files have no other way; one that is read while it is
+    written should be a table format of its own.
     """
 
     def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
         last = batch.groupBy(key).agg(F.max_by(F.struct(*(F.col(c) for c in batch.columns)), order).alias("r")).select("r.*")
         if number:
-            last = merge.upsert(batch.sparkSession.read.parquet(f"{folder}/v={number - 1}"), last, key)
+            last = merge.upsert(spark.read.parquet(f"{folder}/v={number - 1}"), last, key)
         last.write.mode("overwrite").parquet(f"{folder}/v={number}")
+        if number > 1:
+            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/v={number - 2}")
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
