@@ -57,7 +57,7 @@ def _encoder(paths: tuple[str, str]):
 
     with open(paths[1], "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={_SPECIAL: 1 << 20})  # no text that has it comes here
 
 
 @functools.lru_cache(2)
@@ -75,7 +75,7 @@ def token_ids(text: str, paths: tuple[str, str]) -> np.ndarray:
     """
     if _SPECIAL not in text:
         try:
-            return np.asarray(_encoder(paths).encode_ordinary(text), dtype=np.uint32)
+            return _encoder(paths).encode_to_numpy(text, disallowed_special=())
         except BaseException as e:  # a panic of the native library is no Exception
             if type(e).__name__ != "PanicException":
                 raise
@@ -182,15 +182,17 @@ def _statistics(rows: DataFrame) -> tuple[np.ndarray, int, int]:
     """Document frequency by token, documents and tokens: of the tails of all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, tokens, documents = np.zeros(1 << 16, dtype=np.int64), 0, 0
+        df, place, tokens, documents = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64), 0, 0
         for batch in batches:
             documents += batch.num_rows
             for narrow, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.unique(_tail(narrow, raw))
-                tokens += len(raw) // (2 if narrow else 4)
-                if len(ids) and ids[-1] >= len(df):
-                    df = np.concatenate([df, np.zeros(int(ids[-1]) + 1 - len(df), dtype=np.int64)])
-                df[ids] += 1
+                ids = _tail(narrow, raw)
+                tokens += len(ids)
+                if not narrow and len(ids) and (most := int(ids.max())) >= len(df):
+                    df, place = (np.concatenate([x, np.zeros(most + 1 - len(x), dtype=np.int64)]) for x in (df, place))
+                turn = np.arange(len(ids))
+                place[ids] = turn
+                df[ids[place[ids] == turn]] += 1  # one place of each distinct token
         for kind, values in ((0, df), (1, np.array([documents, tokens]))):
             at = np.flatnonzero(values)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, dtype=np.int32)), pa.array(at), pa.array(values[at])], ["kind", "at", "n"])
@@ -249,10 +251,12 @@ class Index:
         n = df[term]
         idf = np.log1p((documents - n + 0.5) / (n + 0.5))
         self.weight = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.doc] / max(1e-9, tokens / max(1, documents))))
-        self.terms, start, local = np.unique(term, return_index=True, return_inverse=True)
+        new = np.ones(len(term), dtype=bool)
+        new[1:] = term[1:] != term[:-1]  # terms are in order
+        start, local = np.flatnonzero(new), np.cumsum(new) - 1
         self.start = np.append(start, len(term))
         self.size = len(tails)
-        order = np.argsort(self.doc, kind="stable")
+        order = np.argsort(self.doc.astype(np.uint16) if self.size <= 1 << 16 else self.doc, kind="stable")
         self.query, self.edge = local[order], np.searchsorted(self.doc[order], np.arange(len(tails) + 1))
         # the postings of terms that many tails have are one dense matrix, of fewer than 16 cells for each posting
         common = np.diff(self.start) * 16 >= self.size
