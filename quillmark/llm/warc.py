@@ -132,7 +132,11 @@ def with_revisits(pages: DataFrame, minimum: int = 0) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, date: str = "1970-01-01T00:00:00Z", minimum: int = 0) -> DataFrame:
-    """(n_records, archive): WARC archives of bounded size; one record for each row of pages, null html being empty."""
+    """(n_records, archive): WARC archives of bounded size; one record for each row of pages.
+
+    A null html is an empty payload; a null id or url stays null. Rows that repeat are records of their own. A payload of any size is one record, which may
+    be an archive by itself. No pages give no archives. Columns other than page_id, url and html are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         records: list[bytes] = []
@@ -161,7 +165,11 @@ READ_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest stri
 
 
 def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
-    """The records of archives; with ``payloads`` also the bytes of responses."""
+    """The records of archives; with ``payloads`` also the bytes of responses (of revisits: null).
+
+    Archives may hold any number of records and repeat; an empty or null archive has none. A member that cannot be inflated, a block that
+    is shorter than its Content-Length, and a digest that does not fit are a WarcError, which ends the job: none is skipped.
+    """
     names = [x.split()[0] for x in READ_SCHEMA.split(", ")] + ["payload"] * payloads
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
 
@@ -169,7 +177,7 @@ def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
         for batch in batches:
             for archive in batch.column(0):
                 rows = []
-                for content in members(archive.as_buffer()):
+                for content in members(archive.as_buffer() if archive.is_valid else b""):
                     row = read_record(content)
                     rows.append([row[x] for x in names])
                 if rows:

@@ -47,3 +47,15 @@ def test_damage_is_noticed():
     for bad in (record[:-5], b"junk" + record):
         with pytest.raises(warc.WarcError):
             list(warc.members(bad))
+
+
+def test_null_empty_and_repeated_archives(spark):
+    one = warc.write_archives(spark.createDataFrame(ROWS[:1], SCHEMA)).first()["archive"]
+    archives = spark.createDataFrame([(bytearray(b""),), (None,), (one,), (one,)], "archive binary")
+    assert [r["page_id"] for r in warc.read_archives(archives).collect()] == [1, 1]
+
+
+def test_a_bad_archive_ends_the_job(spark):
+    one = warc.write_archives(spark.createDataFrame(ROWS[:1], SCHEMA)).first()["archive"]
+    with pytest.raises(Exception, match="WarcError"):
+        warc.read_archives(spark.createDataFrame([(one[:-4],)], "archive binary")).collect()
