@@ -25,13 +25,21 @@ def _aside(docs: DataFrame, *own: str) -> tuple[DataFrame, list[Column]]:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted toxic. The model learns from labels outside the held-out fold."""
+    """Documents that are not predicted toxic. The model learns from labels outside the held-out fold.
+
+    A null or empty text has the score of a text without known words; rows that repeat are judged alike, long texts whole. Without positive
+    labels every document stays. Other columns come back as they were, whatever their names.
+    """
     packed, columns = _aside(docs, "doc_id", "text")
     return toxicity.toxicity(packed, table(spark, sf_dir, "labels")).filter("predicted = 0").select(*columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without recurring lines."""
+    """All documents, without recurring lines.
+
+    A null text comes back empty; n_chars, if there is one, follows the text. Of rows that repeat an id a line goes from all or
+    from none. Other columns come back as they were, whatever their names.
+    """
     packed, columns = _aside(docs, "doc_id", "text", "n_chars")
     return linededup.line_dedup(packed).select(*columns)
 
@@ -53,12 +61,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark items."""
+    """Documents without benchmark items.
+
+    Null and empty texts hold none and stay, as do rows with a null id; of rows that repeat an id all go if one holds an item. With an empty
+    benchmark every document stays. Long texts are searched whole.
+    """
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents in training sequences."""
+    """The pieces of the documents in training sequences; null and empty texts are the end token alone, rows that repeat are packed one by one."""
     return packing.pack(docs)
 
 
