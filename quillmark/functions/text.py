@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 #: White space as ECMAScript's ``\\s`` has it; Java's needs a flag and differs.
 SPACE = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
-_SPACES = f"[{SPACE}]+"
+#: Runs of white space that are not one plain space already: most are, and need no replacement.
+_SPACES = f"[{SPACE}&&[^ ]][{SPACE}]*| [{SPACE}]+"
 
 
 def _folding() -> tuple[str, str]:

@@ -148,7 +148,7 @@ def score(tenders: DataFrame, lexicon: Lexicon, extra_flags: list[str] | None =
     red-flag rules. ``mission`` and ``purpose`` name the categories with a higher cap and an own bonus.
     """
     joined = lambda *c: text.normalize(F.concat_ws(" ", *(F.coalesce(x, F.lit("")) for x in c)))
-    base = tenders.withColumn("_full", joined("title", "description")).withColumn("_wide", joined("title", "description", "acheteur"))
+    base = tenders.withColumn("_full", joined("title", "description")).withColumn("_wide", F.trim(F.concat_ws(" ", "_full", joined("acheteur"))))
     axes = ("sector", "expertise", "posture")
     base = base.withColumn("_hits", axis_matches(F.col("_full"), lexicon, axes)).withColumns({f"{a}_matches": F.col(f"_hits.{a}") for a in axes}).drop("_hits")
     base = base.withColumn("red_flags", red_flags(F.col("_full"), lexicon))
