@@ -11,7 +11,8 @@
 4. Within a component, candidates must share prefix tokens under each of three orders (by frequency, and two
    permutations of the hash); the filters are intersected, then sizes, then the exact overlap decides. Pairs
    that are connected already are skipped, so a large group costs about one success for each of its members.
-   A component over ``BLOCK`` shingles is dealt into blocks, and each pair of blocks is a task of its own.
+   In a component over ``BLOCK`` shingles every node is first compared with a few centres. The groups that this unites are dealt into
+   blocks of their own, and each pair of blocks that may hold links between different groups is a task.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.llm.common import bucket_bits, checkpointed, chunk_bytes, lean, parts_for, release
@@ -35,6 +36,8 @@ CHUNK_BYTES = 4 << 20
 CHUNK_ROWS = 1 << 15
 #: Shingles that one task verifies at once.
 BLOCK = 2_000_000
+#: Centres that a node of a large component is compared with before blocks are dealt, and tasks that may ask for one centre.
+CENTRES, SALTS = 2, 256
 #: Documents that one part of an intermediate result holds.
 DOCUMENTS = 5_000
 _REST = np.uint64(48)
@@ -211,6 +214,54 @@ def link(sizes: list[int], sets: list[np.ndarray], dfs: list[np.ndarray], side:
     return groups
 
 
+def _with_centres(heavy: DataFrame, postings, parts: int) -> DataFrame:
+    """Links (a, b) of nodes with the centres that share most of their prefix tokens: a few comparisons for each node.
+
+    A centre that very many nodes ask for is read by SALTS tasks or fewer, each with its own copy.
+    """
+    posted = heavy.select("node", "n", "names", "df").mapInArrow(postings, "token long, node long")
+    centre = posted.groupBy("token").agg(F.min("node").alias("a"))
+    shared = posted.join(centre, "token").filter("a <> node").groupBy("node", "a").agg(F.count(F.lit(1)).alias("shared"))
+    best = shared.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("shared", "a")), asc=False), 1, CENTRES).alias("best"))  # of a prefix's tokens
+    edges = best.select(F.col("node").alias("b"), F.explode("best.a").alias("a")).withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    copies = edges.select("a", "salt").distinct().join(heavy.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("names").alias("names_a")), "a")
+    pairs = edges.join(heavy.select(F.col("node").alias("b"), "n", "names"), "b").join(copies, ["a", "salt"]).select("a", "b", "n_a", "n", "names_a", "names")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n_b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            passed = []
+            for k in range(batch.num_rows):
+                both = len(np.intersect1d(np.frombuffer(batch.column(4)[k].as_buffer(), "<u8"), np.frombuffer(batch.column(5)[k].as_buffer(), "<u8"), assume_unique=True))
+                passed.append(100 * both >= PERCENT * (n_a[k] + n_b[k] - both))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(passed, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+
+    return checkpointed(pairs.mapInArrow(lean(compare), "a long, b long"), parts)
+
+
+def _block_pairs(heavy: DataFrame, united: DataFrame) -> DataFrame:
+    """The pairs of blocks of large components that are left to verify.
+
+    Nodes of one group that is united already need no comparison with each other. So a group of a block's size or more has blocks of its own, which
+    meet those of other groups only; all other nodes of the component share blocks that meet each other. Where one group has nearly
+    all of a component, the pairs of blocks grow with the number of blocks and not with its square.
+    """
+    narrow = heavy.select("label", "node", "n").join(united.select("node", F.col("label").alias("united")), "node", "left")
+    groups = narrow.filter("united is not null").groupBy("label", "united").agg(F.sum("n").alias("weight")).filter(F.col("weight") >= BLOCK).select("label", "united")
+    homes = groups.select(F.col("label").alias("_label"), F.col("united").alias("home"))
+    dealt = narrow.join(homes, narrow["united"] == F.col("home"), "left").select("label", "node", "n", "home")
+    size = dealt.groupBy("label", "home").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
+    turn = Window.partitionBy("label").orderBy(F.col("home").asc_nulls_first())  # one row for each group of a block's size
+    first = F.sum("blocks").over(turn.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("blocks")
+    ranges = size.withColumns({"first": first, "total": F.sum("blocks").over(Window.partitionBy("label"))}).select(F.col("label").alias("_l"), F.col("home").alias("_h"), "blocks", "first", "total")
+    placed = dealt.join(ranges, (F.col("label") == F.col("_l")) & F.col("home").eqNullSafe(F.col("_h"))).withColumn("own", F.col("first") + F.pmod(F.xxhash64("node"), F.col("blocks")))
+    every = F.sequence(F.lit(0).cast("long"), F.col("total") - 1)
+    foreign = F.filter(every, lambda o: (o < F.col("first")) | (o >= F.col("first") + F.col("blocks")))
+    meets = placed.select("node", "own", F.explode(F.when(F.col("home").isNull(), every).otherwise(foreign)).alias("other"))
+    pairs = meets.select(F.col("node").alias("_node"), "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return heavy.join(pairs, F.col("node") == F.col("_node")).select(F.col("label").alias("lane"), "label", "node", "n", "names", "df", "own", "i", "j")
+
+
 def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id): for each row the size of its set and the smallest id that links reach.
 
@@ -248,11 +299,15 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     stars = posted.join(centre, "token").select("a", F.col("node").alias("b")).filter("a <> b").distinct()
     labels = connected_components(stars)
     grouped = checkpointed(nodes.join(labels, "node"), parts)
-    weights = grouped.groupBy("label").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
-    lanes = 1 << bits
-    placed = grouped.join(weights, "label").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    tasks = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    tasks = tasks.select("label", "node", "n", "names", "df", "own", "blocks", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).withColumn("lane", F.when(F.col("blocks") > 1, F.col("label")).otherwise(F.pmod("label", F.lit(lanes))))
+    large = grouped.groupBy("label").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks")).filter("blocks > 1").select("label")
+    lanes = F.lit(1 << bits)
+    first = F.lit(0).cast("long")
+    tasks = grouped.join(large, "label", "left_anti").select(F.pmod("label", lanes).alias("lane"), "label", "node", "n", "names", "df", first.alias("own"), first.alias("i"), first.alias("j"))
+    united = None
+    if large.limit(1).count():
+        heavy = checkpointed(grouped.join(large, "label", "left_semi"), parts)
+        united = _with_centres(heavy, postings, parts)
+        tasks = tasks.unionByName(_block_pairs(heavy, connected_components(united)))
 
     def verify(table: pa.Table) -> pa.Table:
         label, node, n, own = (np.array(table.column(c).to_pylist(), dtype=np.int64) for c in ("label", "node", "n", "own"))
@@ -270,6 +325,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         return pa.table([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
     links = checkpointed(tasks.groupBy("lane", "i", "j").applyInArrow(verify, "a long, b long"), parts)
+    links = links if united is None else links.unionByName(united)
     reached = connected_components(links)
     members = able.select("key", "node").join(reached, "node").groupBy("label").agg(F.min("key").alias("component"))
     whole = reached.join(members, "label").select("node", "component")

@@ -79,6 +79,30 @@ def test_large_groups_in_blocks(spark, monkeypatch):
     assert got(spark, rows) == plain(rows)
 
 
+def test_hot_group_of_near_copies_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 2000)
+    base, rows = words(9, 100), []
+    for k in range(120):  # all near the first text
+        w = list(base)
+        w[(7 * k) % 100] = f"own{k}"
+        rows.append((k, " ".join(w)))
+    w = rows[119][1].split()
+    for k in range(12):  # further and further from it
+        w[(5 * k + 3) % 100] = f"far{k}"
+        rows.append((500 + k, " ".join(w)))
+    assert got(spark, rows) == plain(rows)
+
+
+def test_a_united_group_meets_other_nodes_only(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 100)
+    heavy = spark.createDataFrame([(1, k, 10, b"", b"") for k in range(200)], "label long, node long, n long, names binary, df binary")
+    united = spark.createDataFrame([(k, 0 if k < 180 else 180) for k in range(185)], "node long, label long")
+    rows = jaccard._block_pairs(heavy, united).collect()
+    pairs = {(r["i"], r["j"]) for r in rows}
+    assert pairs == {(i, j) for i in (0, 1) for j in range(i, 20)}  # 2 shared blocks, 18 of the group
+    assert {r["node"] for r in rows} == set(range(200))
+
+
 def test_empty_table_and_clashing_columns(spark):
     assert got(spark, []) == []
     df = documents(spark, [(2, "a b c d e"), (1, "A b c d e")]).withColumnRenamed("lang", "node").withColumnRenamed("source", "n")
