@@ -6,7 +6,6 @@ import ctypes
 import functools
 import gc
 import tempfile
-import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -67,11 +66,17 @@ def _give_back(df: DataFrame) -> None:
         cleaner.get().doCleanupShuffle(k, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the checkpoints that nothing refers to any more; their only reference is the Java object of a DataFrame."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.3)
+def discard(*kept: DataFrame) -> None:
+    """Deletes checkpoints, by reference, that nothing reads any more: what was made from them must be checkpointed itself."""
+    for df in kept:
+        cleaner = df.sparkSession.sparkContext._jsc.sc().cleaner()
+        if not cleaner.isEmpty():
+            cleaner.get().doCleanCheckpoint(df._jdf.queryExecution().logical().rdd().id())
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """Rows whose order stays when a lost task is run again: those of a table or a checkpoint as they are; behind a shuffle, checkpointed."""
+    return checkpointed(df) if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
 
 
 def input_bytes(df: DataFrame) -> int:

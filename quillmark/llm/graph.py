@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import checkpointed
+from quillmark.llm.common import checkpointed, discard
 
 #: Nodes that one partition of labels holds: rounds are many, and each writes a file for each partition.
 NODES = 100_000
@@ -22,6 +22,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
     both = checkpointed(both)
     labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")))
+    kept = labels
     parts = -(-labels.count() // NODES) or 1
     while True:
         near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("near_node")).agg(F.min("label").alias("near"))
@@ -29,6 +30,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         jump = labels.select(F.col("node").alias("at"), F.col("label").alias("further"))
         following = checkpointed(step.join(jump, step.label == jump["at"], "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")).coalesce(parts))
         moved = following.filter("label <> old").limit(1).count()
-        labels = following.select("node", "label")
+        discard(kept)
+        kept, labels = following, following.select("node", "label")
         if not moved:
+            discard(both)
             return labels

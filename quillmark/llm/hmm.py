@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import bucket_bits, checkpointed, chunk_bytes, lean, release
+from quillmark.llm.common import bucket_bits, checkpointed, chunk_bytes, discard, lean
 from quillmark.llm.kernel import slices, span_hashes, word_spans
 
 CHUNK_BYTES = 8 << 20
@@ -398,14 +398,12 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", states: int
     empty string when the fold is drawn, and stays null. Texts of any length are scored whole. Without training
     rows every token is unknown. Columns other than the two are not carried. Words are known by 64-bit hashes.
     """
-    spark = docs.sparkSession
     bits = bucket_bits(docs)
     chunks = checkpointed(_encode(docs, key, text))
     totals = checkpointed(_totals(chunks, bits))
     unigrams = _unigrams(totals)
     rows = checkpointed(_classes(chunks, totals, unigrams))
-    del chunks, totals
-    release(spark)
+    discard(chunks, totals)
     prior = 10**unigrams.log_class
     prior /= prior.sum()
 

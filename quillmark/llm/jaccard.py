@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import bucket_bits, checkpointed, chunk_bytes, lean, parts_for, release
+from quillmark.llm.common import bucket_bits, checkpointed, chunk_bytes, discard, lean, parts_for, stable
 from quillmark.llm.graph import connected_components
 from quillmark.llm.kernel import mix, shingle_sets, slices
 
@@ -270,17 +270,15 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     an empty set, links with nothing and is its own component. Rows that repeat an id or a text are
     documents like others; a null id is returned as it is and is nobody's smallest. Very long texts count
     whole. No documents give no rows; columns other than the two are not carried. Shingles and sets are
-    known by hashes (of at least 54 and of 64 bits). Chunks number their documents in the order of docs, so docs should be read
-    from a table or a checkpoint: after a shuffle the order may change when a lost task is run again.
+    known by hashes (of at least 54 and of 64 bits). Chunks number their documents in the order of docs, which must stay when a lost
+    task is run again, so documents that come out of a shuffle are checkpointed first.
     """
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     bits = bucket_bits(docs)
-    shingles = _shingles(docs, key, text, bits)
+    shingles = _shingles(stable(docs.select(key, text)), key, text, bits)
     repeated = shingles.groupBy("bucket").applyInArrow(_repeated, f"chunk long, keys array<{kind}>, n array<long>, node array<long>, payload binary")
     rows = checkpointed(repeated.groupBy("chunk").applyInArrow(_documents, f"key {kind}, n long, node long, names binary, df binary"))
-    del shingles, repeated
-    release(spark)
     parts = parts_for(spark, rows.count(), DOCUMENTS)
     able = rows.filter(F.col("names").isNotNull())
     nodes = checkpointed(able.select("node", "n", "names", "df").dropDuplicates(["node"]), parts)
@@ -299,15 +297,16 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     stars = posted.join(centre, "token").select("a", F.col("node").alias("b")).filter("a <> b").distinct()
     labels = connected_components(stars)
     grouped = checkpointed(nodes.join(labels, "node"), parts)
+    discard(nodes)
     large = grouped.groupBy("label").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks")).filter("blocks > 1").select("label")
     lanes = F.lit(1 << bits)
     first = F.lit(0).cast("long")
     tasks = grouped.join(large, "label", "left_anti").select(F.pmod("label", lanes).alias("lane"), "label", "node", "n", "names", "df", first.alias("own"), first.alias("i"), first.alias("j"))
-    united = None
+    heavy, united = [], None
     if large.limit(1).count():
-        heavy = checkpointed(grouped.join(large, "label", "left_semi"), parts)
-        united = _with_centres(heavy, postings, parts)
-        tasks = tasks.unionByName(_block_pairs(heavy, connected_components(united)))
+        heavy = [checkpointed(grouped.join(large, "label", "left_semi"), parts)]
+        united = _with_centres(heavy[0], postings, parts)
+        tasks = tasks.unionByName(_block_pairs(heavy[0], connected_components(united)))
 
     def verify(table: pa.Table) -> pa.Table:
         label, node, n, own = (np.array(table.column(c).to_pylist(), dtype=np.int64) for c in ("label", "node", "n", "own"))
@@ -325,6 +324,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         return pa.table([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
     links = checkpointed(tasks.groupBy("lane", "i", "j").applyInArrow(verify, "a long, b long"), parts)
+    discard(grouped, *heavy)
     links = links if united is None else links.unionByName(united)
     reached = connected_components(links)
     members = able.select("key", "node").join(reached, "node").groupBy("label").agg(F.min("key").alias("component"))

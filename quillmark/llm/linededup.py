@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import checkpointed, parts_for, release
+from quillmark.llm.common import checkpointed, discard, parts_for
 
 DEPTH = 3
 LEAST_TOKENS = 5
@@ -70,16 +70,14 @@ def line_dedup(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS) -> DataF
     alike = F.size(F.array_intersect("constant", placed))
     general = distinct.join(constant, "leaf").filter(alike >= LEAST_ALIKE * F.col("n")).select(F.xxhash64("masked").alias("line"), F.xxhash64(F.lit("leaf"), "leaf").alias("general"))
     general = checkpointed(general, parts)
-    del mixed, picked, distinct, sizes, tokens, constant
-    release(spark)
+    discard(mixed, picked, distinct)
     known = light.join(general, "line", "left").select("doc_id", "pos", F.coalesce("general", "line").alias("template"))
     each = known.groupBy("template", "doc_id").agg(F.min("pos").alias("pos"))
     recurring = each.groupBy("template").agg(F.count(F.lit(1)).alias("documents"), F.min(F.struct("doc_id", "pos")).alias("first")).filter(F.col("documents") >= least_documents)
     recurring = checkpointed(recurring.select("template", "first"), parts)  # apart from the join, which can then split the rows of a hot template
     gone = known.join(recurring, "template").filter(~F.struct("doc_id", "pos").eqNullSafe(F.col("first")))
     gone = checkpointed(gone.groupBy("doc_id").agg(F.collect_set("pos").alias("__gone")).select(F.col("doc_id").alias("__gone_id"), "__gone"), parts)
-    del known, each, recurring, light, general
-    release(spark)
+    discard(light, general, recurring)
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     kept = F.array_join(F.filter(lines, lambda _, k: ~F.array_contains(F.coalesce("__gone", F.array().cast("array<int>")), k)), "\n")
     joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone_id"]), "left")

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import bucket_bits, checkpointed, chunk_bytes, lean, release
+from quillmark.llm.common import bucket_bits, checkpointed, chunk_bytes, lean
 from quillmark.llm.kernel import _BYTE, SLICE_BYTES, _tables, mix, slices
 
 LENGTH = 100
@@ -306,7 +306,6 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
     Texts of any length count whole. An empty table gives none. Columns other than the two are not carried; keys
     are integers.
     """
-    spark = docs.sparkSession
     bits = bucket_bits(docs)
     packs = checkpointed(_packs(docs, key, text))
     sent = "bucket int, pack long, blob binary"
@@ -358,11 +357,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
                     yield pa.RecordBatch.from_arrays(columns + [pa.array(texts, pa.binary())] * with_text, ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text])
 
     first = answer(packs.mapInArrow(lean(step1), sent), _any_twice).withColumnRenamed("flags", "flags1")
-    release(spark)
     second = answer(packs.join(first, "pack", "left").mapInArrow(lean(step2), sent), _not_first).withColumnRenamed("flags", "flags2")
-    release(spark)
     known = packs.join(first, "pack", "left").join(second, "pack", "left")
     third = answer(known.mapInArrow(lean(step3), sent), _not_first).withColumnRenamed("flags", "flags3")
-    release(spark)
     whole = known.join(third, "pack", "left").mapInArrow(lean(last), "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
     return whole.withColumnRenamed("key", key)
