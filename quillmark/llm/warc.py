@@ -26,6 +26,7 @@ ARCHIVE_RECORDS, ARCHIVE_BYTES = 512, 8 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 CHUNK = 1 << 16
+_MAGIC = b"\x1f\x8b\x08"
 
 
 class WarcError(ValueError):
@@ -64,22 +65,36 @@ def write_record(page: int | None, url: str | None, payload: bytes, refers_to: i
     return packer.compress(head.encode() + block + b"\r\n\r\n") + packer.flush()
 
 
-def members(data: bytes | memoryview) -> Iterator[bytes]:
-    """The content of each gzip member, inflated step by step."""
-    rest = memoryview(data)
-    while len(rest):
-        inflate, parts, used = zlib.decompressobj(31), [], 0
-        while not inflate.eof:
-            if used >= len(rest):
-                raise WarcError("a gzip member does not end")
-            piece = rest[used : used + CHUNK]
-            try:
-                parts.append(inflate.decompress(piece))
-            except zlib.error as e:
-                raise WarcError(f"bad gzip data: {e}") from e
-            used += len(piece)
-        rest = rest[used - len(inflate.unused_data) :]
-        yield b"".join(parts)
+def _member(rest: memoryview) -> tuple[bytes, int]:
+    """The content of the gzip member at the front, inflated step by step, and its length."""
+    inflate, parts, used = zlib.decompressobj(31), [], 0
+    while not inflate.eof:
+        if used >= len(rest):
+            raise WarcError("a gzip member does not end")
+        piece = rest[used : used + CHUNK]
+        try:
+            parts.append(inflate.decompress(piece))
+        except zlib.error as e:
+            raise WarcError(f"bad gzip data: {e}") from e
+        used += len(piece)
+    return b"".join(parts), used - len(inflate.unused_data)
+
+
+def members(data: bytes | memoryview, recover: bool = False) -> Iterator[bytes | WarcError]:
+    """The content of each gzip member. Damage is raised, or with ``recover`` yielded once, after which reading goes on at the next member that inflates."""
+    raw, at, damaged = bytes(data), 0, False
+    while 0 <= at < len(raw):
+        try:
+            content, size = _member(memoryview(raw)[at:])
+        except WarcError as e:
+            if not recover:
+                raise
+            if not damaged:
+                yield e
+            at, damaged = raw.find(_MAGIC, at + 1), True
+            continue
+        at, damaged = at + size, False
+        yield content
 
 
 def parse(content: bytes) -> tuple[dict[str, str], bytes]:
@@ -121,13 +136,13 @@ def with_revisits(pages: DataFrame, minimum: int = 0) -> DataFrame:
     """page_id, url, html, refers_to: for pages whose payload equals that of a page with a larger id.
 
     Only digests are grouped, so a payload that a third of all pages have costs its group one row for each
-    task. Pages that share the largest id of a group are all responses; a page with a null id refers to
+    task; neither side of the join on digests is aggregated in its stage, nor is its result, so that a hot digest can be split. Pages that share the largest id of a group are all responses; a page with a null id refers to
     the largest id there is.
     """
     base = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
-    digests = base.filter(F.octet_length("html") >= minimum).select("page_id", "digest")
+    digests = base.filter(F.octet_length("html") >= minimum).select("page_id", "digest").distinct()
     winners = digests.groupBy("digest").agg(F.max("page_id").alias("winner"), F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) & F.col("winner").isNotNull())
-    revisits = digests.join(winners, "digest").filter(~F.col("page_id").eqNullSafe(F.col("winner"))).select(F.col("page_id").alias("r_page"), F.col("digest").alias("r_digest"), F.col("winner").alias("refers_to")).distinct()
+    revisits = digests.join(winners, "digest").filter(~F.col("page_id").eqNullSafe(F.col("winner"))).select(F.col("page_id").alias("r_page"), F.col("digest").alias("r_digest"), F.col("winner").alias("refers_to"))
     return base.join(revisits, F.col("page_id").eqNullSafe(F.col("r_page")) & (F.col("digest") == F.col("r_digest")), "left").select("page_id", "url", "html", "refers_to")
 
 
@@ -164,26 +179,38 @@ def write_archives(pages: DataFrame, date: str = "1970-01-01T00:00:00Z", minimum
 READ_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
+def read_archives(archives: DataFrame, payloads: bool = False, errors: bool = False) -> DataFrame:
     """The records of archives; with ``payloads`` also the bytes of responses (of revisits: null).
 
     Archives may hold any number of records and repeat; an empty or null archive has none. A member that cannot be inflated, a block that
-    is shorter than its Content-Length, and a digest that does not fit are a WarcError, which ends the job: none is skipped.
+    is shorter than its Content-Length, and a digest that does not fit are a WarcError, which ends the job: none is skipped. With
+    ``errors`` each is a row instead, null but for its last column ``error``, and reading goes on at the next member; records that are
+    whole have a null there. Damage over several members is one row.
     """
-    names = [x.split()[0] for x in READ_SCHEMA.split(", ")] + ["payload"] * payloads
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+    names = [x.split()[0] for x in READ_SCHEMA.split(", ")] + ["payload"] * payloads + ["error"] * errors
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()] + [pa.binary()] * payloads + [pa.string()] * errors
+
+    def read(content: bytes | WarcError) -> dict:
+        if not errors:
+            return read_record(content)
+        try:
+            if isinstance(content, WarcError):
+                raise content
+            return read_record(content)
+        except ValueError as e:  # WarcError, and numbers or text that are none
+            return {"error": str(e)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for archive in batch.column(0):
                 rows = []
-                for content in members(archive.as_buffer() if archive.is_valid else b""):
-                    row = read_record(content)
-                    rows.append([row[x] for x in names])
+                for content in members(archive.as_buffer() if archive.is_valid else b"", recover=errors):
+                    row = read(content)
+                    rows.append([row.get(x) for x in names])
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds[: len(names)], strict=True)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return archives.select("archive").mapInArrow(lean(run), READ_SCHEMA + ", payload binary" * payloads)
+    return archives.select("archive").mapInArrow(lean(run), READ_SCHEMA + ", payload binary" * payloads + ", error string" * errors)
 
 
 def export(archives: DataFrame, folder: str) -> int:

@@ -59,3 +59,17 @@ def test_a_bad_archive_ends_the_job(spark):
     one = warc.write_archives(spark.createDataFrame(ROWS[:1], SCHEMA)).first()["archive"]
     with pytest.raises(Exception, match="WarcError"):
         warc.read_archives(spark.createDataFrame([(one[:-4],)], "archive binary")).collect()
+
+
+def test_damage_becomes_rows_and_reading_goes_on(spark):
+    parts = [warc.write_record(k, "u", b"payload %d" % k * 40, None, "1970-01-01T00:00:00Z") for k in range(5)]
+    broken = bytearray(parts[1])
+    broken[len(broken) // 2] ^= 255
+    lying = gzip.compress(next(warc.members(parts[3])).replace(b"payload 3", b"payload 4"))
+    archives = spark.createDataFrame([(bytearray(parts[0] + bytes(broken) + parts[2] + lying + parts[4][:-3]),), (bytearray(b"junk" + parts[4]),)], "archive binary")
+    rows = warc.read_archives(archives, payloads=True, errors=True).collect()
+    assert sorted(r["page_id"] for r in rows if r["error"] is None) == [0, 2, 4]
+    assert all(r["payload"] for r in rows if r["error"] is None)
+    assert sum(r["error"] is not None for r in rows) == 4 and all(r["page_id"] is None for r in rows if r["error"])
+    whole = warc.read_archives(warc.write_archives(spark.createDataFrame(ROWS, SCHEMA)), errors=True)
+    assert whole.count() == len(ROWS) and whole.filter("error is not null").count() == 0
