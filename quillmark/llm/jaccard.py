@@ -299,13 +299,14 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     grouped = checkpointed(nodes.join(labels, "node"), parts)
     discard(nodes)
     large = grouped.groupBy("label").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks")).filter("blocks > 1").select("label")
-    lanes = F.lit(1 << bits)
-    first = F.lit(0).cast("long")
-    tasks = grouped.join(large, "label", "left_anti").select(F.pmod("label", lanes).alias("lane"), "label", "node", "n", "names", "df", first.alias("own"), first.alias("i"), first.alias("j"))
-    heavy, united = [], None
+    heavy, united, small = [], None, grouped
     if large.limit(1).count():
         heavy = [checkpointed(grouped.join(large, "label", "left_semi"), parts)]
         united = _with_centres(heavy[0], postings, parts)
+        small = grouped.join(large, "label", "left_anti")
+    first = F.lit(0).cast("long")
+    tasks = small.select(F.pmod("label", F.lit(1 << bits)).alias("lane"), "label", "node", "n", "names", "df", first.alias("own"), first.alias("i"), first.alias("j"))
+    if united is not None:
         tasks = tasks.unionByName(_block_pairs(heavy[0], connected_components(united)))
 
     def verify(table: pa.Table) -> pa.Table:
