@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillmark.llm import decontaminate, hmm, jaccard, linededup, media, packing, pii, suffix, toxicity, warc
+from quillmark.llm import decontaminate, hmm, jaccard, linededup, media, packing, patterns, pii, suffix, toxicity, warc
 from quillmark.llm.common import checkpointed, table
 
 
@@ -62,6 +63,12 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_column(table(spark, sf_dir, "documents"))
 
 
+def op11_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of clicks of each client that rise and fall up to a view."""
+    found = patterns.match_rows(table(spark, sf_dir, "clicks"))
+    return found.withColumn("labels_sha256", F.sha2("labels", 256)).drop("labels")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_decontaminate": op2_decontaminate,
@@ -73,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix": op8_suffix,
     "op9_jaccard": op9_jaccard,
     "op10_media": op10_media,
+    "op11_patterns": op11_patterns,
 }
 
 ORACLES: dict[str, str] = {
@@ -98,6 +106,7 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(least.id
 FROM documents d LEFT JOIN size ON size.doc_id = d.doc_id LEFT JOIN least ON least.doc = d.doc_id
 """,
     "op4_linededup": linededup.ORACLE,
+    "op11_patterns": patterns.ORACLE,
     "op7_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
 w AS (SELECT h, max(page_id) AS winner FROM p GROUP BY h),
