@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import decontaminate, hmm, jaccard, linededup, media, packing, patterns, pii, suffix, toxicity, warc
+from quillmark.llm import decontaminate, hmm, jaccard, licenses, linededup, media, packing, patterns, pii, resample, suffix, toxicity, warc
 from quillmark.llm.common import checkpointed, table
 
 
@@ -69,6 +69,16 @@ def op11_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("labels_sha256", F.sha2("labels", 256)).drop("labels")
 
 
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in all documents."""
+    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn towards the benchmark's distribution of words."""
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_decontaminate": op2_decontaminate,
@@ -81,6 +91,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard": op9_jaccard,
     "op10_media": op10_media,
     "op11_patterns": op11_patterns,
+    "op12_licenses": op12_licenses,
+    "op13_resample": op13_resample,
 }
 
 ORACLES: dict[str, str] = {
@@ -107,6 +119,8 @@ FROM documents d LEFT JOIN size ON size.doc_id = d.doc_id LEFT JOIN least ON lea
 """,
     "op4_linededup": linededup.ORACLE,
     "op11_patterns": patterns.ORACLE,
+    "op12_licenses": licenses.oracle(),
+    "op13_resample": resample.ORACLE,
     "op7_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
 w AS (SELECT h, max(page_id) AS winner FROM p GROUP BY h),
