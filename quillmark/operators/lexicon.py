@@ -8,14 +8,16 @@ checked to be: they are compiled once and sent to all tasks.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions import scores, text
+from quillmark.operators.automaton import Automaton, disjoint
 
 MAX_ROWS = 20_000
 _SPACE = re.compile(r"\s+")
@@ -44,17 +46,19 @@ def occurrences(full: str, body: str) -> Iterator[int]:
         at = full.find(body, max(end, at + 1))
 
 
-def match(full: str, keywords: list[tuple[str, str]], patterns: list[re.Pattern]) -> list[str]:
+def match(full: str, keywords: list[tuple[str, str]], patterns: list[re.Pattern], places: Callable[[str], Iterable[int]] | None = None) -> list[str]:
     """Distinct terms that a normalised text has, none of them inside another's span.
 
     keywords come longest first, each with its normalised spelling. Each takes its first occurrence that no span covers
-    fully. A pattern's matches count where their text first occurs in the full text, unless that is covered.
+    fully. A pattern's matches count where their text first occurs in the full text, unless that is covered. places gives the
+    occurrences of a spelling where they are known already; without it they are sought.
     """
+    places = places or (lambda body: occurrences(full, body))
     spans: list[tuple[int, int]] = []
     found: dict[str, None] = {}
     covered = lambda a, b: any(x <= a and b <= y for x, y in spans)
     for keyword, body in keywords:
-        at = next((k for k in occurrences(full, body) if not covered(k, k + len(body))), None)
+        at = next((k for k in places(body) if not covered(k, k + len(body))), None)
         if at is not None:
             spans.append((at, at + len(body)))
             found[keyword] = None
@@ -119,26 +123,49 @@ def matches(full: Column, lexicon: Lexicon, axis: str) -> Column:
     return axis_matches(full, lexicon, (axis,))[axis]
 
 
-def axis_matches(full: Column, lexicon: Lexicon, axes: tuple[str, ...]) -> Column:
-    """For each axis the array(struct(category, weight, terms)) of its categories that a normalised text hits; in one pass over the texts."""
+def axis_matches(full: Column, lexicon: Lexicon, axes: tuple[str, ...], loose: tuple[str, ...] = ()) -> Column:
+    """For each axis the array(struct(category, weight, terms)) of its categories that a normalised text hits; in one pass over the texts.
+
+    loose: lists of spellings of further axes, whose terms (array<string>) are those that a text contains anywhere, inside words too.
+    """
     categories = {a: lexicon.axes.get(a, []) for a in axes}
+    anywhere = {a: [k for c in lexicon.axes.get(a, []) for k in c.keywords] for a in loose}
+    terms = [body for own in categories.values() for c in own for _, body in c.keywords] + [body for own in anywhere.values() for _, body in own]
+    automaton: Automaton | None = None
+    schema = ", ".join([f"{a} {_HITS}" for a in axes] + [f"{a} array<string>" for a in loose])
 
-    @F.pandas_udf(f"struct<{', '.join(f'{a} {_HITS}' for a in axes)}>")
+    @F.pandas_udf(f"struct<{schema}>")
     def run(texts: pd.Series) -> pd.DataFrame:
-        def one(t: str, axis: str) -> list[dict]:
-            hits = ((c, match(t, c.keywords, c.patterns)) for c in categories[axis])
-            return [{"category": c.name, "weight": c.weight, "terms": h} for c, h in hits if h]
-
-        return pd.DataFrame({a: [one(t or "", a) for t in texts] for a in axes})
+        nonlocal automaton
+        automaton = automaton or Automaton(terms)  # once a worker: the terms are sent, not the table
+        values = [t or "" for t in texts]
+        text_of, term_of, starts, apart = automaton.hits(values)
+        bounds = np.searchsorted(text_of, np.arange(len(values) + 1)).tolist()
+        terms_of, starts, apart = term_of.tolist(), starts.tolist(), apart.tolist()
+        out: dict[str, list] = {a: [] for a in (*axes, *loose)}
+        for k, full in enumerate(values):
+            whole: dict[str, list[int]] = {}
+            inside: set[str] = set()
+            for h in range(bounds[k], bounds[k + 1]):
+                body = automaton.terms[terms_of[h]]
+                inside.add(body)
+                if apart[h]:
+                    whole.setdefault(body, []).append(starts[h])
+            places = lambda body, whole=whole: disjoint(whole.get(body, ()), len(body))
+            for a, own in categories.items():
+                hits = ((c, match(full, c.keywords, c.patterns, places)) for c in own if c.patterns or inside)
+                out[a].append([{"category": c.name, "weight": c.weight, "terms": h} for c, h in hits if h])
+            for a, own in anywhere.items():
+                out[a].append([keyword for keyword, body in own if body in inside or not body])
+        return pd.DataFrame(out)
 
     return run(full)
 
 
-def red_flags(full: Column, lexicon: Lexicon) -> Column:
-    """Keywords that a normalised text contains, word boundaries aside, and the first match of each pattern."""
-    keywords = [F.when(F.contains(full, F.lit(plain(k))), F.lit(k)) for c in lexicon.axes.get("red_flag", []) for k, _ in c.keywords]
+def red_flags(full: Column, lexicon: Lexicon, keywords: Column) -> Column:
+    """Keywords that a normalised text contains, word boundaries aside (as the matcher found them), and the first match of each pattern."""
     patterns = [F.nullif(F.regexp_extract(full, f"(?i){p.pattern}", 0), F.lit("")) for c in lexicon.axes.get("red_flag", []) for p in c.patterns]
-    return F.filter(F.array(*keywords, *patterns).cast("array<string>"), lambda x: x.isNotNull())
+    return F.concat(keywords, F.filter(F.array(*patterns).cast("array<string>"), lambda x: x.isNotNull()))
 
 
 def score(tenders: DataFrame, lexicon: Lexicon, extra_flags: list[str] | None = None, mission: str = "entreprise_mission", purpose: str = "raison_etre") -> DataFrame:
@@ -150,8 +177,8 @@ def score(tenders: DataFrame, lexicon: Lexicon, extra_flags: list[str] | None =
     joined = lambda *c: text.normalize(F.concat_ws(" ", *(F.coalesce(x, F.lit("")) for x in c)))
     base = tenders.withColumn("_full", joined("title", "description")).withColumn("_wide", F.trim(F.concat_ws(" ", "_full", joined("acheteur"))))
     axes = ("sector", "expertise", "posture")
-    base = base.withColumn("_hits", axis_matches(F.col("_full"), lexicon, axes)).withColumns({f"{a}_matches": F.col(f"_hits.{a}") for a in axes}).drop("_hits")
-    base = base.withColumn("red_flags", red_flags(F.col("_full"), lexicon))
+    base = base.withColumn("_hits", axis_matches(F.col("_full"), lexicon, axes, ("red_flag",))).withColumns({f"{a}_matches": F.col(f"_hits.{a}") for a in axes})
+    base = base.withColumn("red_flags", red_flags(F.col("_full"), lexicon, F.col("_hits.red_flag"))).drop("_hits")
 
     def total(axis: str, each: Column, cap: int) -> Column:
         points = F.transform(f"{axis}_matches", lambda m: scores.category_score(F.size(F.array_distinct(m["terms"])), m["weight"], F.when(m["category"] == mission, scores.MISSION_EACH).otherwise(each) if axis == "sector" else each))

@@ -425,6 +425,25 @@ def lexicon_scores(spark, sf):
     return out.select("doc_id", "sector_score", "expertise_score", "posture_score", F.size("red_flags").alias("n_flags"), "keyword_score", "confidence", F.size("matched_terms").alias("n_terms"))
 
 
+@query(f"""WITH {NOTICES}, plain AS (SELECT doc_id, {_PLAIN} AS full_text FROM notices
+), cut AS (SELECT doc_id, term, string_split(full_text, term) AS pieces FROM plain, (VALUES ('and the'), ('the'), ('in')) t(term)
+), piece AS (SELECT doc_id, term, unnest(pieces) AS piece, unnest(range(len(pieces))) AS k, len(pieces) AS n FROM cut
+), place AS (SELECT *, sum(length(piece)) OVER w + k * length(term) AS start, CASE WHEN piece <> '' THEN right(piece, 1) WHEN k > 0 THEN right(term, 1) ELSE '' END AS before,
+  CASE WHEN lead(piece) OVER w <> '' THEN left(lead(piece) OVER w, 1) WHEN k < n - 2 THEN left(term, 1) ELSE '' END AS behind FROM piece WINDOW w AS (PARTITION BY doc_id, term ORDER BY k)
+), whole AS (SELECT doc_id, term, start FROM place WHERE k < n - 1 AND NOT regexp_matches(before || behind, '[a-zA-Z]')
+), longest AS (SELECT doc_id, min(start) AS a FROM whole WHERE term = 'and the' GROUP BY doc_id
+), spot AS (SELECT doc_id, min(start) AS b FROM whole LEFT JOIN longest USING (doc_id) WHERE term = 'the' AND NOT coalesce(start >= a AND start + 3 <= a + 7, false) GROUP BY doc_id
+), short AS (SELECT DISTINCT doc_id FROM whole WHERE term = 'in'
+), part AS (SELECT doc_id, strpos(full_text, 'nd t') - 1 AS p FROM plain WHERE contains(full_text, 'nd t'))
+SELECT doc_id, array_to_string(list_filter([CASE WHEN a IS NOT NULL THEN 'and the' END, CASE WHEN short.doc_id IS NOT NULL THEN 'in' END, CASE WHEN p IS NOT NULL AND NOT coalesce(p >= a AND p + 4 <= a + 7, false) THEN 'nd t' END, CASE WHEN b IS NOT NULL THEN 'the' END], lambda x: x IS NOT NULL), ',') AS terms
+FROM plain LEFT JOIN longest USING (doc_id) LEFT JOIN spot USING (doc_id) LEFT JOIN short ON short.doc_id = plain.doc_id LEFT JOIN part ON part.doc_id = plain.doc_id""")
+def covered_terms(spark, sf):
+    """Terms within terms: a shorter one counts only outside the longer one's place, a pattern only outside both."""
+    lex = lexicon.Lexicon.of([("sector", "water", 3, "keyword", "the"), ("sector", "water", 3, "keyword", "and the"), ("sector", "water", 3, "pattern", "nd t"), ("sector", "air", 3, "keyword", "in")])
+    terms = F.flatten(F.transform("sector_matches", lambda m: m["terms"]))
+    return lexicon.score(notices(spark, sf), lex).select("doc_id", F.array_join(F.array_sort(terms), ",").alias("terms"))
+
+
 @query("SELECT * FROM (VALUES ('sector', 'mobility', 'and,the'), ('expertise', 'strategy', 'of')) t(axis, category, terms)")
 def term_categories(spark, sf):
     """The categories that know a term, as a whole word either way."""

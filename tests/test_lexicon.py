@@ -126,3 +126,42 @@ def test_catalogue_query_against_loops(spark, sf):
 def test_matcher_runs_in_batches(spark):
     df = spark.createDataFrame([("mobilite durable",)] * 3, "t string").select(lx.matches(F.col("t"), LEXICON, "sector").alias("m"))
     assert [r["m"][0]["terms"] for r in df.collect()] == [["mobilité durable"]] * 3
+
+
+def test_automaton_finds_every_place_of_every_term(monkeypatch):
+    """Random texts and terms that overlap, in lanes of a few characters."""
+    import random
+
+    from quillmark.operators import automaton
+
+    r = random.Random(4)
+    for lane in (1, 3, 1024):
+        monkeypatch.setattr(automaton, "LANE", lane)
+        monkeypatch.setattr(automaton, "AT_ONCE", 200)
+        for _ in range(30):
+            terms = ["".join(r.choices("ab é", k=r.randrange(0, 6))) for _ in range(12)]
+            texts = ["".join(r.choices("ab éz-😀", k=r.randrange(0, 60))) for _ in range(20)]
+            a = automaton.Automaton(terms)
+            letter = lambda c: c.isascii() and c.isalpha()
+            want = sorted((k, n, i, not (i and letter(t[i - 1])) and not letter(t[i + len(b) : i + len(b) + 1])) for k, t in enumerate(texts) for n, b in enumerate(a.terms) for i in range(len(t)) if t.startswith(b, i))
+            assert list(zip(*(x.tolist() for x in a.hits(texts)), strict=True)) == want
+    assert [len(x) for x in automaton.Automaton([]).hits(["a"])] == [0] * 4
+
+
+def test_one_pass_gives_what_the_plain_matcher_gives(spark):
+    """Terms inside terms, in several categories and axes, with patterns."""
+    import random
+
+    r = random.Random(6)
+    pool = ["eau", "eau potable", "potable", "au pot", "reseau", "réseau d'eau", "d'eau", "o", "e"]
+    rows = [(axis, f"c{k % 3}", 3, "keyword", t) for k, axis in enumerate(("sector", "expertise", "posture")) for t in r.sample(pool, 6)] + [("sector", "c0", 3, "pattern", r"eau p\w+"), ("red_flag", "f", 1, "keyword", "seau"), ("red_flag", "f", 1, "keyword", "")]
+    lexicon = lx.Lexicon.of(rows)
+    texts = [" ".join(r.choices([*pool, "le", "x"], k=r.randrange(0, 14))) for _ in range(120)] + [None, ""]
+    frame = spark.createDataFrame([(k, None if t is None else lx.plain(t)) for k, t in enumerate(texts)], "k int, t string")
+    axes = ("sector", "expertise", "posture")
+    for row in frame.select("k", "t", lx.axis_matches(F.col("t"), lexicon, axes, ("red_flag",)).alias("m")).collect():
+        full = row["t"] or ""
+        for a in axes:
+            want = [(c.name, h) for c in lexicon.axes[a] if (h := lx.match(full, c.keywords, c.patterns))]
+            assert [(m["category"], m["terms"]) for m in row["m"][a]] == want
+        assert row["m"]["red_flag"] == [k for k, b in lexicon.axes["red_flag"][0].keywords if b in full]
