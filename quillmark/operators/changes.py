@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions import temporal, text
+from quillmark.operators import matching
 
 # Fixed thresholds.
 BUDGET_SHARE, DEADLINE_DAYS, TITLE_SIMILARITY, TITLE_PREFIX = 0.2, 7, 0.8, 50
@@ -63,22 +64,46 @@ def summary(found: Column) -> Column:
     return F.array_join(F.transform(found, line), "\n")
 
 
+def _two_best(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, first, second: the newest entries (analyzed_at, id, source) of two different sources. Rows are thinned out before they are dealt."""
+    each = rows.groupBy(*keys, "source").agg(F.max(F.struct("analyzed_at", "id")).alias("_e"))
+    ranked = each.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_e"), "source"))).filter(F.col("_r") <= 2)
+    entry = F.struct(F.col("_e.analyzed_at").alias("analyzed_at"), F.col("_e.id").alias("id"), "source")
+    return ranked.groupBy(*keys).agg(F.max(F.when(F.col("_r") == 1, entry)).alias("first"), F.max(F.when(F.col("_r") == 2, entry)).alias("second"))
+
+
+def _entries(best: DataFrame, keys: list[str]) -> DataFrame:
+    return best.select(*keys, F.explode(F.array_compact(F.array("first", "second"))).alias("_e")).select(*keys, "_e.*")
+
+
+def by_title(amendments: DataFrame, stored: DataFrame) -> DataFrame:
+    """(source_id, near): for each amendment the newest stored row of another source_id and the same buyer whose title holds the head of its own.
+
+    Distinct heads meet distinct titles of their buyer by an index of grams. A title keeps its newest entry and the newest
+    of another source_id, as does a head, so an amendment can leave its own entry out.
+    """
+    asked = amendments.select(F.col("source_id").alias("_own"), "acheteur", F.lower(F.substring("title", 1, TITLE_PREFIX)).alias("needle")).filter(F.col("needle") != "")
+    held = stored.filter(F.col("source_id").isNotNull()).select("acheteur", F.lower("title").alias("text"), F.col("source_id").alias("source"), "analyzed_at", "id")
+    pairs = matching.contained(asked, held, ["acheteur"])
+    titles = _entries(_two_best(held, ["acheteur", "text"]), ["acheteur", "text"])
+    heads = _two_best(pairs.join(titles, ["acheteur", "text"]), ["acheteur", "needle"])
+    entry = F.when(F.col("first.source") != F.col("_own"), F.col("first")).otherwise(F.when(F.col("second.source") != F.col("_own"), F.col("second")))
+    near = asked.distinct().join(heads, ["acheteur", "needle"]).select("_own", entry.alias("_e")).filter("_e IS NOT NULL")
+    return near.groupBy(F.col("_own").alias("source_id")).agg(F.max_by("_e.id", F.struct("_e.analyzed_at", "_e.id")).alias("near"))
+
+
 def originals(amendments: DataFrame, stored: DataFrame) -> DataFrame:
     """Adds original_id: the stored row that an amendment amends, by link, source_id, buyer with the head of the title, or normalised id.
 
     The first way that finds a row counts; within it the row analysed last (then the largest id). Ways with a
-    unique key are joins with one row for each key; the third joins on the buyer and keeps a best row by partial sums.
+    unique key are joins with one row for each key; the third is a join by containment (``by_title``).
     """
     newest = lambda key: stored.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.max_by("id", F.struct("analyzed_at", "id")).alias("_v"))
     out = amendments
     for k, (own, other) in enumerate((("annonce_lie", "source_id"), ("source_id", "source_id"), ("normalized_id", "normalized_id"))):
         side = newest(other).select(F.col("_k").alias(f"_k{k}"), F.col("_v").alias(f"_v{k}"))
         out = out.join(side, out[own] == side[f"_k{k}"], "left").drop(f"_k{k}")
-    head = F.lower(F.substring("title", 1, TITLE_PREFIX))
-    left = amendments.select(F.col("source_id").alias("_own"), "acheteur", head.alias("_head")).filter(F.col("_head") != "")
-    right = stored.select(F.col("acheteur").alias("_buyer"), F.lower("title").alias("_title"), F.col("source_id").alias("_other"), "id", "analyzed_at")
-    near = left.join(right, (left["acheteur"] == right["_buyer"]) & (F.col("_own") != F.col("_other")) & F.contains("_title", F.col("_head")))
-    best = near.groupBy("_own").agg(F.max_by("id", F.struct("analyzed_at", "id")).alias("_near"))
+    best = by_title(amendments, stored).select(F.col("source_id").alias("_own"), F.col("near").alias("_near"))
     out = out.join(best, out["source_id"] == best["_own"], "left")
     return out.withColumn("original_id", F.coalesce("_v0", "_v1", "_near", "_v2")).drop("_v0", "_v1", "_v2", "_near", "_own")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions import temporal, text
+from quillmark.operators import matching
 from quillmark.operators.dedup import latest
 
 
@@ -16,15 +17,19 @@ def active_rules(rules: DataFrame, client_id: str, kind: str = "red_flag") -> Da
 def duplicates(proposals: DataFrame, rules: DataFrame) -> DataFrame:
     """Adds duplicate_of: the first active rule (by id) of the client and type whose value contains the proposed one or lies in it; one row for each proposal.
 
-    Rules of one client and type are few. Distinct proposed values are compared with them, and proposals are joined
-    with what was found, so that equal proposals stay separate rows.
+    Distinct proposed values meet the distinct values of rules by an index of grams, either way round, so a client may
+    have any number of both. Proposals are joined with what was found, so that equal proposals stay separate rows.
     """
-    side = rules.filter("active").select(F.col("client_id").alias("_c"), F.col("type").alias("_t"), F.lower("value").alias("_v"), F.col("id").alias("_id"))
-    asked = proposals.select(F.col("client_id").alias("_ac"), F.col("type").alias("_at"), F.lower(F.trim("value")).alias("_own")).distinct()
-    both = F.contains("_v", F.col("_own")) | F.contains(F.col("_own"), F.col("_v"))
-    found = asked.join(side, (F.col("_ac") == F.col("_c")) & (F.col("_at") == F.col("_t")) & both).groupBy("_ac", "_at", "_own").agg(F.min("_id").alias("duplicate_of"))
-    same = (proposals["client_id"] == F.col("_ac")) & (proposals["type"] == F.col("_at")) & (F.lower(F.trim(proposals["value"])) == F.col("_own"))
-    return proposals.join(found, same, "left").drop("_ac", "_at", "_own")
+    on = ["_c", "_t"]
+    side = rules.filter("active").groupBy(F.col("client_id").alias("_c"), F.col("type").alias("_t"), F.lower("value").alias("_v")).agg(F.min("id").alias("_id"))
+    asked = proposals.select(F.col("client_id").alias("_c"), F.col("type").alias("_t"), F.lower(F.trim("value")).alias("_own"))
+    own = lambda name: asked.select(*on, F.col("_own").alias(name))
+    known = lambda name: side.select(*on, F.col("_v").alias(name))
+    inside = matching.contained(own("needle"), known("text"), on).select(*on, F.col("needle").alias("_own"), F.col("text").alias("_v"))
+    around = matching.contained(known("needle"), own("text"), on).select(*on, F.col("text").alias("_own"), F.col("needle").alias("_v"))
+    found = inside.unionByName(around).join(side, [*on, "_v"]).groupBy(*on, "_own").agg(F.min("_id").alias("duplicate_of"))
+    same = (proposals["client_id"] == F.col("_c")) & (proposals["type"] == F.col("_t")) & (F.lower(F.trim(proposals["value"])) == F.col("_own"))
+    return proposals.join(found, same, "left").drop("_c", "_t", "_own")
 
 
 def similar_rules(rules: DataFrame, term: str) -> DataFrame:

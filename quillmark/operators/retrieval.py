@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmark.functions import scores, text
+from quillmark.operators import matching
 
 #: A side is sent to all tasks up to so many rows; above, the join is by blocks.
 BROADCAST_ROWS = 50_000
@@ -45,24 +46,30 @@ def known_buyer(buyers: DataFrame, clients: DataFrame) -> DataFrame:
     """buyer, and the best known client: nom_normalise, match_type, match_score, match_confidence; null without any.
 
     clients: nom_normalise, aliases, statut, and ord, their order (without it they are in the order of names). Exact spellings count 1, a client's name inside the buyer's 0.95, common tokens 0.7 plus 0.2
-    of their share from 0.6 on; the first best in the order of clients and aliases counts. Known names are a short list: its size is
-    checked, and it is sent to all tasks, which compare each distinct buyer with each name. A longer list is an error.
+    of their share from 0.6 on; the first best in the order of clients and aliases counts. Each way has its index: spellings are
+    joined, names within names meet by their rarest gram, token sets by their rarest tokens. Both sides may be of any size; equal
+    spellings and equal token sets meet once.
     """
     turn = F.col("ord") if "ord" in clients.columns else F.col("nom_normalise")
     names = clients.select("nom_normalise", turn.alias("_client"), F.posexplode(F.concat(F.array("nom_normalise"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("_alias", "_name"))
-    names = names.withColumns({"_plain": text.normalize_words(F.col("_name")), "_tokens": text.long_tokens(F.col("_name"))})
-    distinct = buyers.select("buyer").distinct().withColumns({"_buyer": text.normalize_words(F.col("buyer")), "_own": text.long_tokens(F.col("buyer"))}).filter(F.col("_buyer") != "")
-    if names.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        raise ValueError(f"known names are a list of at most {BROADCAST_ROWS}")
-    share = text.overlap(F.col("_own"), F.col("_tokens"))
-    score = (
-        F.when(F.col("_buyer") == F.col("_plain"), 1.0)
-        .when(F.contains("_buyer", F.col("_plain")) & (F.length("_plain") > SUBSTRING_LONGER_THAN), SUBSTRING)
-        .when(share >= LEAST_OVERLAP, 0.7 + share * 0.2)
-    )
-    kind = F.when(F.col("_buyer") == F.col("_plain"), "exact").when(F.contains("_buyer", F.col("_plain")) & (F.length("_plain") > SUBSTRING_LONGER_THAN) & (0.7 + share * 0.2 <= SUBSTRING), "substring").otherwise("fuzzy")
-    hits = distinct.join(F.broadcast(names), F.lit(True)).withColumns({"match_score": score, "match_type": kind}).filter(F.col("match_score").isNotNull())
-    best = hits.groupBy("buyer").agg(F.min_by(F.struct("nom_normalise", "match_type", "match_score"), F.struct(-F.col("match_score"), F.col("_client"), F.col("_alias"))).alias("_best"))
+    names = names.withColumns({"_plain": text.normalize_words(F.col("_name")), "_tokens": F.array_sort(text.long_tokens(F.col("_name")))}).withColumn("_set", F.array_join("_tokens", " "))
+    place = F.struct("_client", "_alias")
+    first = lambda *keys: names.groupBy(*keys).agg(F.min_by(F.struct("nom_normalise", "_client", "_alias"), place).alias("_who"))  # noqa: E731  one row for each spelling
+    spelled, sets = first("_plain"), first("_set")
+    own = buyers.select("buyer").distinct().withColumns({"_buyer": text.normalize_words(F.col("buyer")), "_tokens": F.array_sort(text.long_tokens(F.col("buyer")))}).filter(F.col("_buyer") != "").withColumn("_own", F.array_join("_tokens", " "))
+
+    exact = own.join(spelled, own["_buyer"] == spelled["_plain"]).select("buyer", "_who", F.lit(1.0).alias("_score"), F.lit("exact").alias("_kind"))
+    longer = spelled.filter(F.length("_plain") > SUBSTRING_LONGER_THAN)
+    inside = matching.contained(longer.select(F.col("_plain").alias("needle")), own.select(F.col("_buyer").alias("text"))).filter("needle <> text")
+    inside = inside.join(longer, inside["needle"] == longer["_plain"]).groupBy("text").agg(F.min_by("_who", F.struct("_who._client", "_who._alias")).alias("_who"))
+    inside = own.join(inside, own["_buyer"] == inside["text"]).select("buyer", "_who", F.lit(SUBSTRING).alias("_score"), F.lit("substring").alias("_kind"))
+    tokens = lambda df, key, name: df.select(F.col(key).alias(name), F.split(key, " ").alias("tokens")).filter(F.col(name) != "").distinct()
+    alike = matching.overlapping(tokens(own, "_own", "a"), tokens(sets, "_set", "b"), LEAST_OVERLAP)
+    alike = alike.join(sets, alike["b"] == sets["_set"]).groupBy("a").agg(F.min_by(F.struct("_who", "share"), F.struct(-F.col("share"), F.col("_who._client"), F.col("_who._alias"))).alias("_best"))
+    alike = own.join(alike, own["_own"] == alike["a"]).select("buyer", F.col("_best._who").alias("_who"), (0.7 + F.col("_best.share") * 0.2).alias("_score"), F.lit("fuzzy").alias("_kind"))
+
+    hits = exact.unionByName(inside).unionByName(alike)
+    best = hits.groupBy("buyer").agg(F.min_by(F.struct("_who", "_kind", "_score"), F.struct(-F.col("_score"), F.col("_who._client"), F.col("_who._alias"))).alias("_best"))
     found = buyers.join(best, "buyer", "left")
-    value = F.col("_best.match_score")
-    return found.select(*buyers.columns, F.col("_best.nom_normalise").alias("nom_normalise"), F.col("_best.match_type").alias("match_type"), F.round(value, 2).alias("match_score"), F.when(value > 0.9, "HIGH").when(value > 0.75, "MEDIUM").when(value.isNotNull(), "LOW").alias("match_confidence"))
+    value = F.col("_best._score")
+    return found.select(*buyers.columns, F.col("_best._who.nom_normalise").alias("nom_normalise"), F.col("_best._kind").alias("match_type"), F.round(value, 2).alias("match_score"), F.when(value > 0.9, "HIGH").when(value > 0.75, "MEDIUM").when(value.isNotNull(), "LOW").alias("match_confidence"))
