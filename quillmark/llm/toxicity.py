@@ -9,8 +9,8 @@ with the class prior pi, by the non-negative risk estimator
 where a step goes against the gradient of the bracket while that is negative. Weights start at zero; steps are those of
 Adam, each followed by a shrinkage of all weights (an L1 penalty), from the strongest of ``PENALTIES`` on. Rows for learning
 are those outside fold 0; of these, fold 1 trains no weights: it chooses the penalty and fits the logistic curve that turns f
-into a probability. Samples are bounded numbers of labelled rows (``POSITIVE``, ``UNLABELLED``, ``CALIBRATION``, taken by a hash of
-the id); features are counted and chosen on the executors, so that the driver holds positions of at most
+into a probability. U is drawn from documents without a look at labels. Samples are bounded numbers of rows (``POSITIVE``,
+``UNLABELLED``, ``CALIBRATION``, taken by a hash of the id); features are counted and chosen on the executors, so that the driver holds positions of at most
 ``FEATURES`` features for each sampled text. Scores cover all rows and whole texts.
 """
 
@@ -30,7 +30,7 @@ from quillmark.llm.kernel import mix, runs, shingle_sets, slices, span_hashes
 
 POSITIVE, UNLABELLED, CALIBRATION = 3000, 9000, 3000
 #: Features that are learned: at most so many, and only those whose rates in P and U differ by so many standard errors.
-FEATURES, LEAST_Z = 4096, 4.0
+FEATURES, LEAST_Z = 8192, 4.0
 PREFIXES = (4, 5, 6)
 STEPS, RATE = 120, 0.1
 #: Strengths of the shrinkage, from the strongest on; each starts where the one before ended.
@@ -168,12 +168,13 @@ def _drawn(rows: DataFrame, n: int, limit: int, salt: int) -> DataFrame:
     """Up to limit of n rows, by a hash of the id; a threshold leaves about four times the limit to be sorted."""
     mark = F.xxhash64("doc_id", F.lit(salt))
     below = F.shiftrightunsigned(mark, 33) < min(1 << 31, 4 * limit * (1 << 31) // max(1, n) + 1)
-    return rows.filter(below).orderBy(mark, "doc_id").limit(limit)
+    return rows.filter(below).distinct().orderBy(mark, "doc_id").limit(limit)
 
 
 def train(docs: DataFrame, labels: DataFrame, penalties: tuple[float, ...] = PENALTIES, steps: int = STEPS) -> Model:
-    """From rows of ``labels`` outside fold 0 (rows that repeat an id: the larger label; null labels do not count).
+    """From rows of ``labels`` outside fold 0 (rows that repeat an id: the larger label; null labels do not count), and documents outside it.
 
+    P and the fold for calibration have labels; U is drawn from all documents outside both folds, whether or not they have one.
     Of texts that share the smallest hash of their shingles one stays in P and in U each: copies would vouch for their every word.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -182,7 +183,8 @@ def train(docs: DataFrame, labels: DataFrame, penalties: tuple[float, ...] = PEN
     prior = total["p"] / max(1, total["n"])
     role = lambda k, label: (F.lit(k).alias("role"), label.cast("int").alias("label"))
     sample = _drawn(known.filter(~inner & (F.col("toxic") == 1)).select("doc_id", *role(0, F.lit(1))), total["p"] - total["inner_p"], POSITIVE, 0)
-    sample = sample.unionByName(_drawn(known.filter(~inner).select("doc_id", *role(1, F.lit(-1))), total["n"] - total["inner"], UNLABELLED, 0))
+    others = docs.filter(F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) > 1)).select("doc_id", *role(1, F.lit(-1)))
+    sample = sample.unionByName(_drawn(others, others.count(), UNLABELLED, 0))
     sample = sample.unionByName(_drawn(known.filter(inner).select("doc_id", *role(2, F.col("toxic"))), total["inner"], CALIBRATION, 7))
     roles = sample.groupBy("doc_id").agg(F.collect_set(F.struct("role", "label")).alias("roles"))  # bounded by the three limits
 

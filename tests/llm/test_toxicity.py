@@ -92,3 +92,14 @@ def test_very_long_and_null_texts_meet_a_trained_model(spark):
     rows = [*rows, (9001, None), (9002, " ".join(words(1, 40000)) + " grolk zurgh blarxt grolk"), (None, "grolk"), (9003, "")]
     out = {r["doc_id"]: r for r in toxicity.toxicity(documents(spark, rows), spark.createDataFrame([*labels, (None, 1, 1), (77, 1, None)], LABELS)).collect()}
     assert len(out) == 604 and out[9001]["score"] == out[9003]["score"] < 0.5 and out[9002]["predicted"] == 1
+
+
+def test_documents_without_a_label_take_part(spark):
+    """U is drawn from all documents: what only unlabelled ones hold changes the weights."""
+    rows, labels = corpus(800)
+    known = {k for k, _, _ in labels}
+    docs = lambda extra: documents(spark, [(k, t if k in known else f"{t} {extra}") for k, t in rows])
+    model = lambda extra: toxicity.train(docs(extra), spark.createDataFrame(labels, LABELS))
+    a, b = model(""), model("grolk blarxing")
+    weights = lambda m: dict(zip(m.hashes.tolist(), m.weights.tolist(), strict=True))
+    assert weights(a) != weights(b) and weights(a)
