@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import lean
+from quillmark.llm.common import checkpointed, lean
 from quillmark.llm.kernel import _STEP, mix, runs, slices, span_hashes
 
 WINDOW = 8
@@ -226,6 +226,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
             for a, b, buf, offsets in slices(batch.column(1)):
                 h, word, starts, ends, first = canonical(buf, offsets)
                 ids, rows = batch.column(0).slice(a, b - a), []
+                slot = np.flatnonzero(~word)
+                before = np.concatenate([[0], np.cumsum(~word)])
+                values = None
                 plain, plain_first = literal(buf, offsets) if any(x for x, _ in widths) else (h, first)
                 for exact, width in widths:
                     w, good = _windows(plain, np.ones(len(plain), dtype=bool), width) if exact else _windows(h, word, width)
@@ -236,27 +239,33 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
                     at = np.flatnonzero(good)
                     doc = np.searchsorted(begin, at, side="right") - 1
                     inside = at + width <= begin[np.minimum(doc + 1, len(begin) - 1)]
-                    rows += [(d, int(w[k : k + 1].view(np.int64)[0]), k - int(begin[d]), [] if exact else _slots(buf, word, starts, ends, k, width)) for k, d in zip(at[inside].tolist(), doc[inside].tolist(), strict=True)]
+                    if not exact and values is None and inside.any():
+                        values = span_hashes(buf, starts[slot], ends[slot]).view(np.int64).tolist()
+                    rows += [(d, h_, k - int(begin[d]), [] if exact else values[before[k] : before[k + width]]) for k, d, h_ in zip(at[inside].tolist(), doc[inside].tolist(), w[at[inside]].view(np.int64).tolist(), strict=True)]
                 if rows:
                     kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array([r[0] for r in rows])), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds, 1))], ["doc_id", "window", "at", "slots"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     hits = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, {_HIT}")
-    # templates meet once, whatever the number of their items; each item's values are then held against the alignments
-    aligned = hits.join(shared, "window").groupBy("doc_id", "template", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.collect_set(F.struct("item_at", "k", "slots")).alias("met"), F.max("windows").alias("item_windows"))
-    near = aligned.groupBy("doc_id", "template").agg(F.collect_list("met").alias("shifts"), F.max("item_windows").cast("long").alias("item_windows"))
-    near = near.filter(F.size(F.array_distinct(F.flatten(F.transform("shifts", lambda s: s["item_at"])))) / F.col("item_windows") >= coverage)
+    # templates meet once, whatever the number of their items; each item's values are then held against the alignments, one row for
+    # each alignment: a text may repeat a template any number of times
+    place = ["doc_id", "template"]
+    aligned = checkpointed(hits.join(shared, "window").groupBy(*place, (F.col("at") - F.col("item_at")).alias("shift")).agg(F.collect_set(F.struct("item_at", "k", "slots")).alias("met"), F.max("windows").cast("long").alias("item_windows")))
+    covered = aligned.select(*place, "item_windows", F.explode("met.item_at").alias("item_at")).distinct().groupBy(*place).agg(F.count(F.lit(1)).alias("n"), F.max("item_windows").alias("most"))
+    covered = covered.filter(F.col("n") / F.col("most") >= coverage).select(*place)
     own = items.select("template", "item_id", F.col("slots").alias("item_slots")).distinct()
     pair = lambda m: F.zip_with(F.element_at("item_slots", m["k"] + 1), m["slots"], lambda i, d: F.struct(i.alias("i"), d.alias("d")))
-    values = F.transform("shifts", lambda s: F.struct(s["item_at"].alias("found"), F.array_distinct(F.flatten(F.transform(s, pair))).alias("values")))
     one_to_one = lambda v: (F.size(F.array_distinct(v["i"])) == F.size(v)) & (F.size(F.array_distinct(v["d"])) == F.size(v))
-    fits = near.join(own, "template").select("doc_id", "item_id", "item_windows", F.filter(values, lambda x: one_to_one(x["values"])).alias("fits"))
-    total = fits.select("doc_id", "item_id", "item_windows", F.size(F.array_distinct(F.flatten("fits.found"))).cast("long").alias("windows"), F.array_distinct(F.flatten("fits.values")).alias("values"))
-    total = total.withColumn("coverage", F.col("windows") / F.col("item_windows")).filter(F.col("coverage") >= coverage)
-    changed = F.size(F.filter("values", lambda v: v["i"] != v["d"])).cast("long")
+    fits = aligned.join(covered, place, "left_semi").join(own, "template").withColumn("values", F.array_distinct(F.flatten(F.transform("met", pair)))).filter(one_to_one(F.col("values")))
+    keys = ["doc_id", "item_id", "template", "own"]
+    fits = fits.select("doc_id", "item_id", "template", F.xxhash64("item_slots").alias("own"), "item_windows", F.col("met.item_at").alias("found"), "values")
+    found = fits.select(*keys, "item_windows", F.explode("found").alias("item_at")).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("windows"), F.max("item_windows").alias("item_windows"))
+    held = fits.select(*keys, F.explode("values").alias("v")).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("slots"), F.count_if(F.col("v.i") != F.col("v.d")).alias("changed"))
+    total = found.withColumn("coverage", F.col("windows") / F.col("item_windows")).filter(F.col("coverage") >= coverage).join(held, keys, "left")
+    total = total.withColumns({"slots": F.coalesce("slots", F.lit(0)), "changed": F.coalesce("changed", F.lit(0))})
     # of rows that repeat an item_id, the best one
-    best = total.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", (-changed).alias("kept"), "windows", "item_windows", F.size("values").cast("long").alias("slots"))).alias("best"))
+    best = total.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", (-F.col("changed")).alias("kept"), "windows", "item_windows", "slots")).alias("best"))
     return best.select("doc_id", "item_id", "best.windows", "best.item_windows", "best.coverage", "best.slots", (-F.col("best.kept")).alias("changed"))
 
 

@@ -139,3 +139,19 @@ def test_columns_of_documents_may_clash(spark):
     docs = documents(spark, [(1, QUESTION), (2, text(5, 30))]).withColumnRenamed("lang", "item_id").withColumnRenamed("source", "template").withColumnRenamed("n_chars", "window")
     assert {(x["doc_id"], x["item_id"]) for x in d.contamination(docs, items(spark, [(7, QUESTION)])).collect()} == {(1, 7)}
     assert d.decontaminate(docs, items(spark, [(7, QUESTION)])).columns == docs.columns
+
+
+def test_a_text_that_repeats_a_template_very_often(spark):
+    """40,000 lines with other numbers, 3 MB: alignments are rows, so the work is linear in them."""
+    import time
+
+    item = "A train leaves the town at 5 and meets the other train after 7 hours near the old bridge"
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    took = []
+    for n in (4_000, 40_000):
+        text = "\n".join(item.replace("5", str(10 + k)).replace("7", str(200_000 + k)) for k in range(n))
+        began = time.time()
+        rows = d.contamination(documents(spark, [(1, text)]), benchmark).collect()
+        took.append(time.time() - began)
+        assert [(r["doc_id"], r["item_id"], r["coverage"], r["changed"]) for r in rows] == [(1, 1, 1.0, 2 * n)]
+    assert took[1] < 10 * took[0] + 20
