@@ -17,6 +17,7 @@ from quillmark.functions import extract, scores, temporal, text
 from quillmark.operators import canonical, changes, dedup, evaluation, feedback, lexicon, merge, report, retrieval, routing
 from quillmark.operators.lineage import shared_folder
 from quillmark.operators.small import small
+from quillmark.sources.buckets import BucketTable
 from quillmark.sources.files import table
 from quillmark.streaming import ingest
 
@@ -492,8 +493,6 @@ def stream_dedup_events(spark, sf):
     events = table(spark, sf, "events")
     place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     arriving = spark.readStream.schema(events.schema).parquet(f"{sf}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
-    stream = ingest.deduplicated(arriving, "event_id", "ts", "3650 days")
-    ingest.upsert_into(stream, f"{place}/table", "event_id", f"{place}/checkpoint", "ts").awaitTermination()
-    versions = spark.read.option("basePath", f"{place}/table").parquet(f"{place}/table")
-    last = versions.agg(F.max("v")).first()[0]
-    return versions.filter(F.col("v") == last).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    kept = BucketTable(spark, f"{place}/table", "event_id", 16)
+    ingest.upsert_buckets(ingest.deduplicated(arriving, "event_id", "ts", "3650 days"), kept, f"{place}/checkpoint", "ts").awaitTermination()
+    return kept.read().groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))

@@ -5,15 +5,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark import schemas
 from quillmark.functions import extract, scores, temporal, text
 from quillmark.operators import analysis, canonical, changes, dedup, evaluation, feedback, lexicon, merge, report, retrieval, retry, routing
-from quillmark.operators.lineage import checkpointed
+from quillmark.operators.lineage import checkpointed, shared_folder
 from quillmark.plans.catalog import NOTICES, PRICED, notices, priced, query
+from quillmark.sources.buckets import BucketTable
 from quillmark.sources.files import inline, rewrite, table
+from quillmark.streaming import ingest, timers
 
 AS_OF = "1996-06-15"
 REGIONS = [("75", "Île-de-France"), ("69", "Auvergne-Rhône-Alpes"), ("33", "Nouvelle-Aquitaine")]
@@ -652,3 +656,44 @@ SELECT section, CAST(unnest(range(len(lines))) AS INTEGER) AS k, unnest(lines) A
 def mail_summary(spark, sf):
     """The head of a mail and a section for each source."""
     return report.text_summary(report.by_source(priced(spark, sf)))
+
+
+@query("""WITH RECURSIVE mark AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE AS until FROM events WHERE event_type IN ('error', 'purchase')
+), e AS (SELECT user_id, ts, event_type = 'error' AS gap, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events, mark WHERE event_type IN ('error', 'purchase') AND ts <= until
+), walk(user_id, k, due, fired, moment, word) AS (
+  SELECT user_id, CAST(0 AS BIGINT), CAST(NULL AS TIMESTAMP), CAST(NULL AS TIMESTAMP), CAST(NULL AS TIMESTAMP), CAST(NULL AS VARCHAR) FROM e GROUP BY user_id
+  UNION ALL SELECT w.user_id, e.k,
+    CASE WHEN e.gap THEN CASE WHEN w.due > e.ts THEN w.due ELSE e.ts + INTERVAL 1 HOUR END END,
+    CASE WHEN w.due <= e.ts THEN w.due END, e.ts,
+    CASE WHEN e.gap AND (w.due IS NULL OR w.due <= e.ts) THEN 'gap' WHEN NOT e.gap AND w.due > e.ts THEN 'filled' END
+  FROM walk w JOIN e ON e.user_id = w.user_id AND e.k = w.k + 1
+), ends AS (SELECT w.user_id, w.due FROM walk w JOIN (SELECT user_id, max(k) AS k FROM walk GROUP BY user_id) m ON m.user_id = w.user_id AND m.k = w.k WHERE w.due IS NOT NULL)
+SELECT CAST(user_id AS VARCHAR) AS id, moment AS "at", word AS event, CASE word WHEN 'gap' THEN 'pending' ELSE 'idle' END AS status FROM walk WHERE word IS NOT NULL
+UNION ALL SELECT CAST(user_id AS VARCHAR), fired, 'retry', 'idle' FROM walk WHERE fired IS NOT NULL
+UNION ALL SELECT CAST(user_id AS VARCHAR), due, 'retry', 'idle' FROM ends, mark WHERE due <= until""")
+def retries_by_timer(spark, sf):
+    """A gap is read again an hour later, unless it has been filled: timers over a stream that is stopped in the middle and goes on from its checkpoint."""
+    events = table(spark, sf, "events").filter("event_type IN ('error', 'purchase')")
+    events = events.select(F.col("user_id").cast("string").alias("id"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "gap").otherwise("filled").alias("event"))
+    place = f"{shared_folder(spark)}/timers-{uuid.uuid4().hex}"
+    middle = events.agg((F.min("at").cast("double") + F.max("at").cast("double")) / 2).first()[0]
+    for half in (F.col("at").cast("double") <= middle, F.col("at").cast("double") > middle):
+        events.filter(half).write.mode("append").parquet(f"{place}/in")
+        with timers.rocksdb(spark):
+            found = timers.transitions(ingest.read(spark, f"{place}/in", events.schema, 10_000), timers.RETRY)
+            found.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{place}/out").withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+@query("""SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1 AND NOT (user_id % 10 = 3)""")
+def merged_by_bucket(spark, sf):
+    """The last event of each user, merged batch by batch into a table of buckets; some users are deleted at last, and a batch is replayed."""
+    events = table(spark, sf, "events").withColumn("turn", F.struct("ts", "event_id"))
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = events.agg(F.min(at), F.max(at)).first()
+    slice_ = F.least(F.lit(2), F.floor(3 * (at - low) / (high - low + 1)))  # later events come in later batches, as they do from a source
+    kept = BucketTable(spark, f"{shared_folder(spark)}/merged-{uuid.uuid4().hex}", "user_id", 32)
+    for number in (0, 1, 2, 2, 1):  # the last two are replays: their commits are there
+        kept.merge(events.filter(slice_ == number), number, "turn")
+    kept.merge(events.limit(0), 3, deleted=events.select("user_id").filter("user_id % 10 = 3").distinct())
+    return kept.read().select("user_id", "event_id", "event_type", "value")

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from quillmark.operators import merge
+from quillmark.sources.buckets import BucketTable
 
 
 def read(spark: SparkSession, folder: str, schema: T.StructType, files: int = 100) -> DataFrame:
@@ -47,6 +48,19 @@ def upsert_into(stream: DataFrame, folder: str, key: str, checkpoint: str, order
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def upsert_buckets(stream: DataFrame, table: BucketTable, checkpoint: str, order: str, once: bool = True) -> StreamingQuery:
+    """Merges each micro-batch into a table of buckets: a batch is a commit of its number, and rewrites the buckets of its keys only.
+
+    A batch that is replayed finds its commit and changes nothing.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        table.merge(batch, number, order)
+
+    out = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (out.trigger(availableNow=True) if once else out).start()
+
+
 def run_daily(stream: DataFrame, step: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str) -> StreamingQuery:
     """What has arrived since the last run goes through a step and is appended; each batch is written once."""
 
