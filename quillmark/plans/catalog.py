@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmark.functions import extract, scores, temporal, text
-from quillmark.operators import canonical, changes, dedup, evaluation, feedback, lexicon, merge, report, retrieval, routing
+from quillmark.operators import canonical, changes, dedup, evaluation, feedback, lexicon, merge, report, retrieval, routing, vectors
 from quillmark.operators.lineage import shared_folder
 from quillmark.operators.small import small
 from quillmark.sources.buckets import BucketTable
@@ -308,6 +308,18 @@ def vector_topk(spark, sf):
     return retrieval.nearest(queries, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 3).select("query_id", "id", "rank")
 
 
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS query FROM embeddings WHERE vec_id % 100 = 0),
+s AS (SELECT q.query_id, e.vec_id AS id, round(list_cosine_similarity(q.query::DOUBLE[], e.embedding::DOUBLE[]), 9) AS score FROM q CROSS JOIN embeddings e),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
+SELECT query_id, id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 10""")
+def vector_topk_indexed(spark, sf):
+    """The ten nearest by an inverted file of cells, exact by its bounds."""
+    e = table(spark, sf, "embeddings")
+    queries = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    index = vectors.VectorIndex.build(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")))
+    return index.nearest(queries, 10)[0].withColumn("score", F.round("score", 6))
+
+
 @query("""WITH c AS (SELECT lower(n_name) AS name, n_nationkey AS ord FROM nation), b AS (SELECT DISTINCT s_name || ' ' || n_name AS buyer FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 p AS (SELECT buyer, trim(regexp_replace(regexp_replace(lower(buyer), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS plain FROM b),
 h AS (SELECT buyer, name, ord FROM p JOIN c ON contains(plain, trim(regexp_replace(regexp_replace(name, '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))) AND length(trim(regexp_replace(regexp_replace(name, '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))) > 4)
