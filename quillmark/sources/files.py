@@ -44,7 +44,9 @@ def eval_cases(spark: SparkSession, path: str) -> DataFrame:
 def retry_queue(spark: SparkSession, path: str) -> DataFrame:
     """Jobs of {"jobs": [...]} or of a plain array, the older layout; missing, empty and broken files give no jobs."""
     if not _present(spark, path):
-        return spark.createDataFrame([], schemas.RETRY_JOB)
+        if not _present(spark, f"{path}.old"):
+            return spark.createDataFrame([], schemas.RETRY_JOB)
+        path = f"{path}.old"  # a change of layout was cut off
     text = spark.read.text(path, wholetext=True)
     many = schemas.T.ArrayType(schemas.RETRY_JOB)
     listed = F.when(F.ltrim("value").startswith("["), F.from_json("value", many)).otherwise(F.from_json("value", schemas.struct(jobs=many))["jobs"])
@@ -52,19 +54,28 @@ def retry_queue(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_queue(queue: DataFrame, path: str) -> None:
-    """As one {"jobs": [...]} in a folder that takes the place of ``path`` once it is written, so the queue may be read from there.
+    """As one {"jobs": [...]} in a file that takes the place of ``path`` in one step once it is written, so the queue may be read from there.
 
-    The queue is a short list (a job for each client and day that failed), so it may be one row. A file system without
-    atomic renames of folders may show no queue for a moment, which reads as an empty one.
+    The queue is a short list (a job for each client and day that failed), so it may be one row. Whenever a run is cut off, ``path`` holds the
+    old queue or the new one: the last step is a rename over it, which file systems of Hadoop make as one. A folder of an older version is
+    moved aside first, and is read until the new file is there.
     """
     spark = queue.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     jobs = F.array_sort(F.collect_list(F.struct(*(F.col(f.name) for f in schemas.RETRY_JOB.fields))))
     queue.agg(F.to_json(F.struct(jobs.alias("jobs")), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}.new")
-    fresh, place = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.new", path))
-    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.delete(place, True)
-    if not files.rename(fresh, place):
-        raise OSError(f"the queue could not be moved to {path}")
+    place, fresh, aside = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.new", f"{path}.old"))
+    files = place.getFileSystem(conf)
+    written = [f.getPath() for f in files.listStatus(fresh) if f.getPath().getName().startswith("part-")]
+    if files.exists(place) and files.getFileStatus(place).isDirectory():
+        files.delete(aside, True)
+        files.rename(place, aside)
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    over = spark.sparkContext._gateway.new_array(rename, 1)
+    over[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), conf).rename(files.makeQualified(written[0]), files.makeQualified(place), over)
+    files.delete(fresh, True)
+    files.delete(aside, True)
 
 
 def inline(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

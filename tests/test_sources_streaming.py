@@ -189,3 +189,53 @@ def test_operations_by_name(spark):
     assert registry.call("delete", base, base.filter("id = 1")).count() == 1
     with pytest.raises(KeyError, match="upsert"):
         registry.call("nothing", base)
+
+
+class Dated:
+    """A stand-in for the remote interface that holds days and gives 10,000 rows of an answer at most."""
+
+    def __init__(self, days: list[str | None]) -> None:
+        self.rows = [{"idweb": str(k), "dateparution": d} for k, d in enumerate(days)]
+
+    def __call__(self, url: str) -> dict:
+        q = {k: v[0] for k, v in urllib.parse.parse_qs(urllib.parse.urlparse(url).query).items()}
+        rows = self.rows
+        for part in q.get("where", "").split(" and ") if q.get("where") else []:
+            name, sign, value = part.split(" ", 2)
+            value = value.strip("'")
+            test = {">=": lambda v, x=value: v is not None and v >= x, "<=": lambda v, x=value: v is not None and v <= x, "is": lambda v, x=value: (v is None) == (x == "null")}[sign]
+            rows = [r for r in rows if test(r[name])]
+        at, n = int(q["offset"]), int(q["limit"])
+        assert at + n <= 10_000 and n <= 100
+        rows = sorted(rows, key=lambda r: r["dateparution"] or "", reverse=q["order_by"].endswith("desc"))
+        return {"total_count": len(rows), "results": rows[at : at + n]}
+
+
+def test_more_rows_than_the_interface_gives_are_read_by_ranges_of_days():
+    import datetime as dt
+    import random
+
+    r = random.Random(1)
+    days = [None if r.random() < 0.01 else str(dt.date(2023, 1, 1) + dt.timedelta(days=min(r.randrange(400), r.randrange(400)))) for _ in range(45_000)]
+    reader = paged.TenderReader({"path": "http://h/records", "pagesize": "80"}, Dated(days))
+    rows = [x for p in reader.partitions() for x in reader.read(p)]
+    assert len(rows) == 45_000 and len({x[0] for x in rows}) == 45_000
+    with pytest.raises(ValueError, match="2024-01-01"):
+        paged.TenderReader({"path": "http://h/records"}, Dated(["2024-01-01"] * 10_001)).partitions()
+
+
+def test_a_queue_is_replaced_in_one_step(spark, tmp_path):
+    """Neither a folder of the older layout nor a run that was cut off loses the jobs."""
+    from quillmark.operators import retry
+
+    path = str(tmp_path / "queue")
+    wanted = lambda c: spark.createDataFrame([(c, "2024-01-02", "gap")], "clientId string, date string, reason string")
+    (tmp_path / "queue").mkdir()
+    (tmp_path / "queue" / "part-0").write_text('{"jobs": [{"id": "old", "clientId": "c0", "date": "2024-01-01", "status": "pending"}]}')
+    files.write_queue(retry.schedule(files.retry_queue(spark, path), wanted("c1"), "2024-01-04T00:00:00Z"), path)
+    assert (tmp_path / "queue").is_file() and sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["queue"]
+    assert sorted(r["clientId"] for r in files.retry_queue(spark, path).collect()) == ["c0", "c1"]
+    files.write_queue(retry.schedule(files.retry_queue(spark, path), wanted("c2"), "2024-01-04T00:00:00Z"), path)
+    assert files.retry_queue(spark, path).count() == 3
+    (tmp_path / "queue").rename(tmp_path / "queue.old")  # as between the two renames of a change of layout
+    assert files.retry_queue(spark, path).count() == 3
