@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark import schemas
-from quillmark.functions import extract, scores, temporal, text
+from quillmark.functions import extract, scores, tables, temporal, text
 from quillmark.operators import analysis, canonical, changes, dedup, evaluation, feedback, lexicon, merge, report, retrieval, retry, routing
 from quillmark.operators.lineage import checkpointed, shared_folder
 from quillmark.plans.catalog import NOTICES, PRICED, notices, priced, query
@@ -697,3 +697,16 @@ def merged_by_bucket(spark, sf):
         kept.merge(events.filter(slice_ == number), number, "turn")
     kept.merge(events.limit(0), 3, deleted=events.select("user_id").filter("user_id % 10 = 3").distinct())
     return kept.read().select("user_id", "event_id", "event_type", "value")
+
+
+@query("""WITH RECURSIVE t AS (SELECT conv_id, turn, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k FROM conversations
+), walk(conv_id, k, chunk, size) AS (SELECT conv_id, k, 0, length(text) FROM t WHERE k = 1
+  UNION ALL SELECT t.conv_id, t.k, CASE WHEN size + 1 + length(text) > 400 THEN chunk + 1 ELSE chunk END, CASE WHEN size + 1 + length(text) > 400 THEN length(text) ELSE size + 1 + length(text) END FROM walk JOIN t ON t.conv_id = walk.conv_id AND t.k = walk.k + 1)
+SELECT CAST(conv_id AS VARCHAR) AS key, chunk, CAST(count(*) AS INTEGER) AS n_rows, CAST(min(turn) AS BIGINT) AS first_ord, CAST(max(turn) AS BIGINT) AS last_ord, md5(string_agg(text, chr(10) ORDER BY k)) AS content
+FROM walk JOIN t USING (conv_id, k) GROUP BY conv_id, chunk""")
+def packed_turns(spark, sf):
+    """Turns of a conversation as chunks, by a table function in SQL."""
+    tables.register(spark)
+    rows = table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("key"), F.col("turn").cast("long").alias("ord"), "role", "text")
+    packed = spark.sql("SELECT * FROM pack_rows(TABLE(SELECT * FROM {rows}) PARTITION BY key ORDER BY (ord, role, text), 400)", rows=rows)
+    return packed.select("key", "chunk", "n_rows", "first_ord", "last_ord", F.md5(F.col("content").cast("binary")).alias("content"))
