@@ -13,23 +13,54 @@ SPACE = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 _SPACES = f"[{SPACE}&&[^ ]][{SPACE}]*| [{SPACE}]+"
 
 
-def _folding() -> tuple[str, str]:
-    """Precomposed Latin, Greek and Cyrillic letters and what stays of their canonical decomposition without marks U+0300 to U+036F."""
-    marked, plain = [], []
-    for code in (*range(0xC0, 0x530), *range(0x1E00, 0x2000)):
-        parts = [c for c in unicodedata.normalize("NFD", chr(code)) if not 0x300 <= ord(c) <= 0x36F]
-        if len(parts) == 1 and parts[0] != chr(code):
+#: Hangul syllables are decomposed by arithmetic: their first and last, the first leading, vowel and trailing letter, and how many of the last two.
+_SYLLABLES, _LETTERS, _VOWELS, _TRAILING = (0xAC00, 0xD7A3), (0x1100, 0x1161, 0x11A7), 21, 28
+
+
+def _folding() -> tuple[str, str, dict[str, str]]:
+    """What stays of canonical decompositions without marks U+0300 to U+036F, over all code points but Hangul: letters that become one other character, these, and those that become several."""
+    marked, plain, longer = [], [], {}
+    for code in (*range(0xC0, 0x300), *range(0x370, _SYLLABLES[0]), *range(0xE000, 0x110000)):
+        parts = "".join(c for c in unicodedata.normalize("NFD", chr(code)) if not 0x300 <= ord(c) <= 0x36F)
+        if parts == chr(code):
+            continue
+        if len(parts) == 1:
             marked.append(chr(code))
-            plain.append(parts[0])
-    return "".join(marked), "".join(plain)
+            plain.append(parts)
+        else:
+            longer[chr(code)] = parts
+    return "".join(marked), "".join(plain), longer
 
 
-_MARKED, _PLAIN = _folding()
+_MARKED, _PLAIN, _LONGER = _folding()
+#: No character before it becomes several.
+_FIRST_LONGER = min(_LONGER)
+
+
+def _decomposed(text: Column) -> Column:
+    """Characters that become several, and Hangul syllables, in parts."""
+    low, high = (F.lit(chr(c)) for c in _SYLLABLES)
+    parts = F.str_to_map(F.lit("|".join(f"{k}={v}" for k, v in _LONGER.items())), F.lit(r"\|"), F.lit("="))
+
+    def one(c: Column) -> Column:
+        place = F.conv(F.hex(F.encode(c, "UTF-16BE")), 16, 10).cast("int") - _SYLLABLES[0]
+        letter = lambda k, n: F.substring(F.lit("".join(map(chr, range(_LETTERS[k], _LETTERS[k] + 28)))), n + 1, F.lit(1))
+        tail = place % _TRAILING
+        syllable = F.concat(letter(0, F.floor(place / (_VOWELS * _TRAILING)).cast("int")), letter(1, F.floor(place % (_VOWELS * _TRAILING) / _TRAILING).cast("int")), F.when(tail > 0, letter(2, tail)).otherwise(""))
+        return F.when((c >= low) & (c <= high), syllable).otherwise(F.coalesce(F.try_element_at(parts, c), c))
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), one), "")
 
 
 def strip_marks(text: Column) -> Column:
-    """Letters without their combining marks; by a table, as Spark has no canonical decomposition."""
-    return F.regexp_replace(F.translate(text, _MARKED, _PLAIN), r"[\u0300-\u036f]", "")
+    """Letters without their combining marks U+0300 to U+036F after canonical decomposition, as Spark has none.
+
+    A table covers every code point, arithmetic the Hangul syllables. Few texts have a character that becomes several; only these are taken
+    apart. Marks of other scripts stay as they are written: they are not put into canonical order.
+    """
+    rare = text.rlike(f"[^\\x00-{chr(ord(_FIRST_LONGER) - 1)}]") & text.rlike(f"[{''.join(_LONGER)}{chr(_SYLLABLES[0])}-{chr(_SYLLABLES[1])}]")
+    whole = F.when(rare, _decomposed(text)).otherwise(text)
+    return F.regexp_replace(F.translate(whole, _MARKED, _PLAIN), r"[\u0300-\u036f]", "")
 
 
 def collapse_spaces(text: Column) -> Column:

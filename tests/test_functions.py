@@ -122,3 +122,17 @@ def test_cosine_and_cost(one):
     v = lambda *x: F.array(*(F.lit(float(i)).cast("float") for i in x))
     assert one(scores.cosine(v(1, 0), v(1, 1))) == pytest.approx(2**-0.5) and one(scores.cosine(v(0, 0), v(1, 1))) is None
     assert one(scores.token_cost(F.lit(1_000_000), F.lit(500_000), F.lit(2.5), F.lit(10.0))) == pytest.approx(7.5)
+
+
+def test_marks_of_every_code_point(spark):
+    """Each code point alone and between others, against Python's canonical decomposition."""
+    import unicodedata
+
+    from quillmark.functions import text
+
+    codes = [c for c in range(1, 0x110000) if not 0xD800 <= c <= 0xDFFF]
+    strip = lambda t: "".join(c for c in unicodedata.normalize("NFD", t) if not 0x300 <= ord(c) <= 0x36F)
+    step = 97
+    texts = [chr(c) for c in codes if strip(chr(c)) != chr(c)] + ["".join(f"{chr(c)}|" for c in codes[k : k + step]) for k in range(0, len(codes), step)] + [None, ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.strip_marks(F.col("t")).alias("s")).collect()
+    assert [r["t"] for r in rows if r["s"] != (None if r["t"] is None else strip(r["t"]))] == []
