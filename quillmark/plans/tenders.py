@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillmark import schemas
 from quillmark.functions import extract, scores, tables, temporal, text
-from quillmark.operators import analysis, canonical, changes, dedup, evaluation, feedback, lexicon, merge, report, retrieval, retry, routing
+from quillmark.operators import analysis, canonical, changes, dedup, evaluation, feedback, lexicon, mail, merge, report, retrieval, retry, routing
 from quillmark.operators.lineage import checkpointed, shared_folder
 from quillmark.plans.catalog import NOTICES, PRICED, notices, priced, query
 from quillmark.sources.buckets import BucketTable
@@ -710,3 +710,43 @@ def packed_turns(spark, sf):
     rows = table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("key"), F.col("turn").cast("long").alias("ord"), "role", "text")
     packed = spark.sql("SELECT * FROM pack_rows(TABLE(SELECT * FROM {rows}) PARTITION BY key ORDER BY (ord, role, text), 400)", rows=rows)
     return packed.select("key", "chunk", "n_rows", "first_ord", "last_ord", F.md5(F.col("content").cast("binary")).alias("content"))
+
+
+@query("WITH " + PRICED + """, c AS (SELECT source, count(*) FILTER (WHERE priority IN ('HIGH', 'MEDIUM')) AS wanted, count(*) FILTER (WHERE priority = 'LOW') AS low FROM priced GROUP BY 1
+), t AS (SELECT sum(wanted + low) AS total, sum(wanted) AS wanted, sum(low) AS low FROM c
+), r AS (SELECT *, row_number() OVER (ORDER BY final_score DESC, doc_id) AS position FROM priced WHERE priority IN ('HIGH', 'MEDIUM') QUALIFY position <= 100
+), l AS (SELECT *, row_number() OVER (ORDER BY keyword_score DESC, doc_id) AS position FROM priced WHERE priority = 'LOW' QUALIFY position <= 100
+), f AS (SELECT greatest(0, sum(low) - 100) AS n FROM c
+), s AS (
+  SELECT 0 AS section, '' AS place, ['Veille Appels d''Offres - ' || '01/02/2024 au 01/03/2024'] AS lines
+  UNION ALL SELECT 1, '', list_filter(['Récapitulatif', total || CASE WHEN total > 1 THEN ' appels d''offres analysés' ELSE ' appel d''offres analysé' END, CASE WHEN wanted > 0 THEN wanted || CASE WHEN wanted > 1 THEN ' appels pertinents' ELSE ' appel pertinent' END || ' (HIGH/MEDIUM)' ELSE 'Aucun appel d''offres pertinent identifié' END,
+    CASE WHEN low > 0 THEN low || CASE WHEN low > 1 THEN ' appels' ELSE ' appel' END || ' d''offres à faible priorité (LOW)' END], lambda x: x IS NOT NULL) FROM t
+  UNION ALL SELECT 2, source, list_filter([source, (wanted + low) || CASE WHEN wanted + low > 1 THEN ' appels d''offres analysés' ELSE ' appel d''offres analysé' END, CASE WHEN wanted > 0 THEN wanted || CASE WHEN wanted > 1 THEN ' pertinents' ELSE ' pertinent' END END], lambda x: x IS NOT NULL) FROM c
+  UNION ALL SELECT 3, '', ['Appels d''Offres Pertinents'] FROM t WHERE wanted > 0
+  UNION ALL SELECT 3, lpad(CAST(position AS VARCHAR), 6, '0'), list_filter([position || '. [' || priority || '] ' || title, CASE WHEN acheteur <> '' THEN '   Acheteur: ' || acheteur END, CASE WHEN deadline <> '' THEN '   Date limite: ' || strftime(CAST(deadline AS DATE), '%d/%m/%Y') END, '   Justification: motif ' || lang, '   Lien: https://a/' || doc_id], lambda x: x IS NOT NULL) FROM r
+  UNION ALL SELECT 4, '', list_filter(['Appels d''Offres à Faible Priorité', CASE WHEN low > 0 THEN CASE WHEN wanted > 0 THEN 'Les appels d''offres suivants ont été analysés mais jugés moins pertinents que ceux listés ci-dessus.' ELSE 'Pourquoi aucun AO n''est pertinent ?' END END], lambda x: x IS NOT NULL) FROM t, f WHERE low > 0 OR f.n > 0
+  UNION ALL SELECT 4, lpad(CAST(position AS VARCHAR), 6, '0'), ['' || position || '. [FAIBLE PRIORITÉ] ' || title || ' (' || source || ')', '   Raison: motif ' || lang, '   Lien: https://a/' || doc_id] FROM l
+  UNION ALL SELECT 4, 'z', ['+ ' || n || ' AO(s) exclus par filtre mots-clés (hors périmètre métier — non analysés par l''IA)'] FROM f WHERE n > 0
+  UNION ALL SELECT 5, '', ['---', 'Ce message a été généré automatiquement.'])
+SELECT CAST(section AS INTEGER) AS section, place, CAST(unnest(range(len(lines))) AS INTEGER) AS k, unnest(lines) AS line FROM s""")
+def mail_body(spark, sf):
+    """A whole report mail as lines of its sections."""
+    return mail.text_mail(*_mail(spark, sf))
+
+
+def _mail(spark: SparkSession, sf: str) -> tuple:
+    """Counts, relevant rows, low rows and how many low ones a mail of the last weeks leaves out."""
+    rows = priced(spark, sf).withColumns({"reason": F.concat(F.lit("motif "), "lang"), "url": F.concat(F.lit("https://a/"), "doc_id"), "deadline": temporal.french_date(F.col("deadline").cast("date"))})
+    wanted, low = rows.filter("priority IN ('HIGH', 'MEDIUM')"), rows.filter("priority = 'LOW'")
+    first = lambda df, score: report.capped(df, F.lit(1), [F.desc(score), F.asc("doc_id")])
+    return report.by_source(rows), first(wanted, "final_score"), first(low, "keyword_score"), max(0, low.count() - report.ROWS), "2024-02-01", "2024-03-01"
+
+
+@query("WITH " + PRICED + """, r AS (SELECT *, row_number() OVER (ORDER BY keyword_score DESC, doc_id) AS position FROM priced QUALIFY position <= 100)
+SELECT source, coalesce(string_agg(CASE WHEN priority = 'HIGH' THEN position || ':' || title END, '|' ORDER BY position), '') AS high, coalesce(string_agg(CASE WHEN priority = 'MEDIUM' THEN position || ':' || title END, '|' ORDER BY position), '') AS medium,
+coalesce(string_agg(CASE WHEN priority = 'LOW' THEN position || ':' || title END, '|' ORDER BY position), '') AS low FROM r GROUP BY source""")
+def rows_by_source(spark, sf):
+    """The tenders of a report as lists, by source and priority."""
+    shown = report.capped(priced(spark, sf), F.lit(1), [F.desc("keyword_score"), F.asc("doc_id")])
+    said = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["position"].cast("string"), F.lit(":"), x["title"])), "|").alias(c)
+    return mail.lists_by_source(shown).select("source", said("high"), said("medium"), said("low"))
