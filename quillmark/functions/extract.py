@@ -107,3 +107,8 @@ def useful_categories(categories: Column) -> Column:
 def record_id(raw: Column) -> Column:
     """The identifier in a raw record: the first of three keys."""
     return F.coalesce(*(F.get_json_object(raw, f"$.{k}") for k in ("idweb", "boamp_id", "id")))
+
+
+def json_long(raw: Column, key: str) -> Column:
+    """A whole number of a JSON text, under a key of its top level; null without one."""
+    return F.get_json_object(raw, f"$.{key}").try_cast("long")

@@ -112,3 +112,10 @@ def dedup_keys(tenders: DataFrame, primary: str = "BOAMP") -> DataFrame:
         "siret_deadline_key": F.when(F.col("siret").isNotNull() & (due != ""), F.concat_ws("|", "siret", due)),
         "source_id_key": F.when(uuid.isNull() & F.col("source_id").isNotNull() & (F.col("source") == primary), F.concat(F.lit(f"{primary}:"), F.col("source_id"))),
     })
+
+
+def prequalified(rows: DataFrame, buyers: DataFrame, on: tuple[str, str], at: str, since: str, until: str, kind: str, kinds: list[str], state: str, not_state: str) -> DataFrame:
+    """Rows of a range of times whose state is not the excluded one and whose buyer is of one of the kinds: filters before the join, on either side."""
+    own = rows.filter(F.col(at).between(F.lit(since).cast("timestamp"), F.lit(until).cast("timestamp")) & (F.col(state) != not_state))
+    fit = buyers.filter(F.col(kind).isin(*kinds))
+    return own.join(fit, own[on[0]] == fit[on[1]])

@@ -39,10 +39,23 @@ def completeness(fetched: DataFrame, expected: int) -> DataFrame:
     return n.withColumns({"missing": missing, "missing_ratio": F.coalesce(F.try_divide(missing, F.col("total_count")), F.lit(0.0)), "status": F.when(missing > 0, "INCOMPLETE").otherwise("COMPLETE")})
 
 
+def completeness_by(fetched: DataFrame, announced: DataFrame, key: str) -> DataFrame:
+    """For each row of announced (key, total_count): how much of it was read? A source that announced nothing is complete; one that was not read at all has 0."""
+    n = fetched.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    joined = announced.join(n, announced[key] == F.col("_key"), "left").select(key, F.coalesce("_n", F.lit(0)).alias("fetched"), F.col("total_count").cast("long").alias("total_count"))
+    missing = F.greatest(F.lit(0), F.col("total_count") - F.col("fetched"))
+    return joined.withColumns({"missing": missing, "missing_ratio": F.coalesce(F.try_divide(missing, F.col("total_count")), F.lit(0.0)), "status": F.when(missing > 0, "INCOMPLETE").otherwise("COMPLETE")})
+
+
+def by_day(rows: DataFrame, at: str, column: str, values: dict[str, str], score: str, mean: str = "mean_score") -> DataFrame:
+    """By day of a timestamp: all rows, those of each value of a column under its name, and the mean of a score."""
+    return rows.groupBy(F.to_date(at).alias("day")).agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col(column) == v).alias(name) for v, name in values.items()), F.avg(score).alias(mean))
+
+
 def daily(rows: DataFrame, at: str, days: int, as_of: str, score: str = "final_score", priority: str = "priority") -> DataFrame:
     """By day of a timestamp, over the last days: all, those of each priority, mean score."""
     recent = rows.filter(F.to_date(at) >= F.date_sub(F.lit(as_of).cast("date"), days))
-    return recent.groupBy(F.to_date(at).alias("day")).agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col(priority) == p).alias(p.lower()) for p in PRIORITIES), F.avg(score).alias("mean_score"))
+    return by_day(recent, at, priority, {p: p.lower() for p in PRIORITIES}, score)
 
 
 def capped(rows: DataFrame, tier: Column, order: list[Column], limit: int = ROWS) -> DataFrame:

@@ -231,9 +231,10 @@ def already_labeled_anti(spark, sf):
 @query("""SELECT o_orderkey, c_mktsegment, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey
 WHERE o_orderdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-12-31' AND c_mktsegment IN ('BUILDING', 'MACHINERY') AND o_orderstatus <> 'P'""")
 def prequalify_orders(spark, sf):
+    """Orders of two years and two segments that are not pending."""
     o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
-    kept = o.filter(F.col("o_orderdate").between(F.lit("1995-01-01").cast("timestamp"), F.lit("1996-12-31").cast("timestamp")) & (F.col("o_orderstatus") != "P"))
-    return kept.join(c.filter(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")), kept["o_custkey"] == c["c_custkey"]).select("o_orderkey", "c_mktsegment", "o_totalprice")
+    kept = canonical.prequalified(o, c, ("o_custkey", "c_custkey"), "o_orderdate", "1995-01-01", "1996-12-31", "c_mktsegment", ["BUILDING", "MACHINERY"], "o_orderstatus", "P")
+    return kept.select("o_orderkey", "c_mktsegment", "o_totalprice")
 
 
 @query("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
@@ -336,12 +337,15 @@ def fuzzy_name_lookup(spark, sf):
 @query("""SELECT CAST(ts AS DATE) AS day, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE event_type = 'click') AS BIGINT) AS clicks, CAST(count(*) FILTER (WHERE event_type = 'purchase') AS BIGINT) AS purchases,
 round(avg(value), 6) AS mean_value FROM events GROUP BY 1""")
 def daily_event_stats(spark, sf):
-    return table(spark, sf, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "click").alias("clicks"), F.count_if(F.col("event_type") == "purchase").alias("purchases"), F.round(F.avg("value"), 6).alias("mean_value"))
+    """Events by day."""
+    found = report.by_day(table(spark, sf, "events"), "ts", "event_type", {"click": "clicks", "purchase": "purchases"}, "value", "mean_value")
+    return found.withColumn("mean_value", F.round("mean_value", 6))
 
 
 @query("SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total, CAST(count(json_extract_string(props, '$.k')) AS BIGINT) AS n FROM events GROUP BY 1")
 def json_props(spark, sf):
-    return table(spark, sf, "events").select("event_type", F.get_json_object("props", "$.k").cast("long").alias("k")).groupBy("event_type").agg(F.sum("k").alias("total"), F.count("k").alias("n"))
+    """Numbers of a JSON column, by type of event."""
+    return table(spark, sf, "events").select("event_type", extract.json_long(F.col("props"), "k").alias("k")).groupBy("event_type").agg(F.sum("k").alias("total"), F.count("k").alias("n"))
 
 
 @query("""SELECT page_id, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title, nullif(regexp_extract(html, '([a-zA-Z0-9._-]+@[a-zA-Z0-9._-]+\\.[a-zA-Z0-9_-]+)', 1), '') AS email,

@@ -231,6 +231,46 @@ def amended_originals(spark, sf):
     return changes.originals(rows.filter("amendment"), rows.filter(~F.col("amendment"))).select("source_id", "original_id")
 
 
+@query("""WITH s AS (SELECT o_orderkey AS id, 'o' || o_orderkey AS source_id, 'n' || o_orderkey AS norm, 'Buyer ' || o_custkey % 20 AS acheteur, o_orderpriority || ' works ' || o_orderkey % 11 || ' for the town' AS title, o_orderdate AS at FROM orders WHERE o_orderkey % 2 = 0
+), a AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 8 = 3 THEN 'o' || (o_orderkey - 1) ELSE 'o' || o_orderkey END AS source_id, CASE WHEN o_orderkey % 8 = 1 THEN 'o' || (o_orderkey - 1) END AS linked, CASE WHEN o_orderkey % 8 = 5 THEN 'n' || (o_orderkey - 1) END AS norm,
+  'Buyer ' || o_custkey % 20 AS acheteur, CASE WHEN o_orderkey % 8 = 7 THEN upper(o_orderpriority) || ' WORKS ' || o_orderkey % 11 ELSE 'Lot ' || o_orderkey || ' alone' END AS title FROM orders WHERE o_orderkey % 2 = 1
+), near AS (SELECT k, max({'at': s.at, 'id': s.id}).id AS v FROM a JOIN s ON a.acheteur = s.acheteur AND a.source_id <> s.source_id AND contains(lower(s.title), lower(substr(a.title, 1, 50))) GROUP BY 1)
+SELECT a.k, coalesce(l.id, i.id, near.v, n.id) AS original_id, CASE WHEN l.id IS NOT NULL THEN 'link' WHEN i.id IS NOT NULL THEN 'id' WHEN near.v IS NOT NULL THEN 'title' WHEN n.id IS NOT NULL THEN 'normalized' END AS way
+FROM a LEFT JOIN s l ON a.linked = l.source_id LEFT JOIN s i ON a.source_id = i.source_id LEFT JOIN near USING (k) LEFT JOIN s n ON a.norm = n.norm""")
+def originals_by_every_way(spark, sf):
+    """Amendments that are found by link, by their own number, by buyer and head of the title, and by the normalised number."""
+    k, say = F.col("o_orderkey"), lambda head, c: F.concat(F.lit(head), c.cast("string"))
+    rows = table(spark, sf, "orders").withColumn("acheteur", say("Buyer ", F.col("o_custkey") % 20))
+    stored = rows.filter(k % 2 == 0).select(k.alias("id"), say("o", k).alias("source_id"), say("n", k).alias("normalized_id"), "acheteur", F.concat("o_orderpriority", F.lit(" works "), (k % 11).cast("string"), F.lit(" for the town")).alias("title"), F.col("o_orderdate").alias("analyzed_at"))
+    new = rows.filter(k % 2 == 1).select(
+        k.alias("k"), F.when(k % 8 == 3, say("o", k - 1)).otherwise(say("o", k)).alias("source_id"), F.when(k % 8 == 1, say("o", k - 1)).alias("annonce_lie"), F.when(k % 8 == 5, say("n", k - 1)).alias("normalized_id"), "acheteur",
+        F.when(k % 8 == 7, F.concat(F.upper("o_orderpriority"), F.lit(" WORKS "), (k % 11).cast("string"))).otherwise(F.concat(F.lit("Lot "), k.cast("string"), F.lit(" alone"))).alias("title"),
+    )
+    way = F.when(F.col("original_id").isNull(), None).when(k % 8 == 1, "link").when(k % 8 == 3, "id").when(k % 8 == 7, "title").otherwise("normalized")
+    return changes.originals(new, stored).withColumnRenamed("k", "o_orderkey").select(k.alias("k"), "original_id", way.alias("way"))
+
+
+@query("""WITH done AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN 'u' || o_orderkey % 1000 END AS u FROM orders WHERE o_orderkey % 8 = 0)
+SELECT o_orderkey AS k, o_orderkey IN (SELECT k FROM done) OR coalesce('u' || o_orderkey % 1000 IN (SELECT u FROM done WHERE u IS NOT NULL) AND o_orderkey % 3 <> 0, false) AS known FROM orders""")
+def known_by_uuid(spark, sf):
+    """Tenders that are known by source and number, or else by the identifier of their procedure; rows that wait are not known."""
+    k = F.col("o_orderkey")
+    rows = table(spark, sf, "orders").select(k.alias("k"), F.lit("s").alias("source"), F.concat(F.lit("n"), k.cast("string")).alias("source_id"), F.concat(F.lit("u"), (k % 1000).cast("string")).alias("u"))
+    stored = rows.filter("k % 4 = 0").select("source", "source_id", F.when(F.col("k") % 5 == 0, F.col("u")).alias("uuid_procedure"), F.when(F.col("k") % 8 == 0, "analyzed").otherwise("pending").alias("status"))
+    return dedup.already_analysed(rows.withColumn("uuid_procedure", F.when(F.col("k") % 3 != 0, F.col("u"))), stored).select("k", "known")
+
+
+@query("""WITH n AS (SELECT n_nationkey, count(c_custkey) AS total, count(c_custkey) FILTER (WHERE c_nationkey % 2 = 0 OR c_acctbal >= 0) AS fetched FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_mktsegment = 'BUILDING' AND n_nationkey % 7 <> 1 GROUP BY 1)
+SELECT n_nationkey AS nation, fetched, total AS total_count, total - fetched AS missing, round(CASE WHEN total = 0 THEN 0.0 ELSE (total - fetched) / total END, 6) AS missing_ratio, CASE WHEN total > fetched THEN 'INCOMPLETE' ELSE 'COMPLETE' END AS status FROM n""")
+def completeness_by_nation(spark, sf):
+    """What was read of what each source announced: all, a part, and of nothing."""
+    c = table(spark, sf, "customer").filter("c_mktsegment = 'BUILDING' AND c_nationkey % 7 <> 1").select(F.col("c_nationkey").alias("nation"), "c_acctbal")
+    counts = c.groupBy(F.col("nation").alias("_n")).agg(F.count(F.lit(1)).alias("_t"))
+    nations = table(spark, sf, "nation")
+    announced = nations.join(counts, nations["n_nationkey"] == F.col("_n"), "left").select(F.col("n_nationkey").alias("nation"), F.coalesce("_t", F.lit(0)).alias("total_count"))
+    return report.completeness_by(c.filter("nation % 2 = 0 OR c_acctbal >= 0"), announced, "nation").withColumn("missing_ratio", F.round("missing_ratio", 6))
+
+
 @query("SELECT o_orderkey AS k, contains(o_orderpriority, 'URGENT') OR o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 AS amended, o_orderkey % 3 = 0 AND (contains(o_orderpriority, 'URGENT') OR o_orderkey % 5 = 0) AS fresh FROM orders")
 def amendments_marked(spark, sf):
     """Amendments by nature, by kind or by a link; and the exemption of substantial ones from what is known."""
@@ -448,12 +488,12 @@ def covered_terms(spark, sf):
     return lexicon.score(notices(spark, sf), lex).select("doc_id", F.array_join(F.array_sort(terms), ",").alias("terms"))
 
 
-@query("SELECT * FROM (VALUES ('sector', 'mobility', 'and,the'), ('expertise', 'strategy', 'of')) t(axis, category, terms)")
+@query("""WITH r AS (SELECT p_type AS axis, p_brand AS category, CAST(p_size % 5 + 1 AS INTEGER) AS weight, p_name AS term, lower(p_name) AS body FROM part)
+SELECT axis, category, weight, array_to_string(list_sort(list(DISTINCT term)), ',') AS terms FROM r WHERE contains(' ' || body || ' ', ' red ') OR contains(' red ', ' ' || body || ' ') GROUP BY ALL""")
 def term_categories(spark, sf):
-    """The categories that know a term, as a whole word either way."""
-    rows = [(a, c, w, "keyword", t, k) for k, (a, c, w, t) in enumerate(LEXICON)]
-    found = lexicon.category_of_term(inline(spark, rows, "axis string, category string, weight int, kind string, term string, ord int"), "The  end ánd of")
-    return found.select("axis", "category", F.array_join("terms", ",").alias("terms"))
+    """The categories that know a term, as a whole word either way: parts by type and brand."""
+    rules = table(spark, sf, "part").select(F.col("p_type").alias("axis"), F.col("p_brand").alias("category"), (F.col("p_size") % 5 + 1).cast("int").alias("weight"), F.lit("keyword").alias("kind"), F.col("p_name").alias("term"))
+    return lexicon.category_of_term(rules, " Réd").select("axis", "category", "weight", F.array_join("terms", ",").alias("terms"))
 
 
 KNOWN = """c AS (SELECT lower(n_name) AS spelling, trim(regexp_replace(regexp_replace(lower(n_name), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS name, n_nationkey AS ord, string_split(trim(regexp_replace(regexp_replace(lower(n_name), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' ') AS tokens FROM nation),
