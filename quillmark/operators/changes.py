@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions import temporal, text
-from quillmark.operators import matching
+from quillmark.operators import canonical, matching
 
 # Fixed thresholds.
 BUDGET_SHARE, DEADLINE_DAYS, TITLE_SIMILARITY, TITLE_PREFIX = 0.2, 7, 0.8, 50
@@ -126,3 +126,19 @@ def with_history(stored: DataFrame, amended: DataFrame, at: str) -> DataFrame:
         "rectification_count": F.coalesce("rectification_count", F.lit(0)) + hit.cast("int"),
         "is_rectified": F.coalesce("is_rectified", F.lit(False)) | hit,
     }).drop("_sid", "_changes")
+
+
+def apply_minor(stored: DataFrame, minor: DataFrame, at: str) -> DataFrame:
+    """Stored rows after minor amendments (original_id, title, acheteur, deadline, siret, uuid_procedure, raw): the deadline, the raw record and the keys for matching, which a new deadline changes.
+
+    Of several amendments of one row that with the largest (publication_date, source_id) counts; each adds to the count. Rows without one stay as they are.
+    """
+    keyed = canonical.dedup_keys(minor).select("original_id", "deadline", "raw", "composite_key", "siret_deadline_key", F.struct("publication_date", "source_id").alias("_turn"))
+    last = keyed.groupBy(F.col("original_id").alias("_oid")).agg(F.max_by(F.struct("deadline", "raw", "composite_key", "siret_deadline_key"), "_turn").alias("_new"), F.count(F.lit(1)).alias("_times"))
+    joined = stored.join(last, stored["id"] == F.col("_oid"), "left")
+    hit = F.col("_oid").isNotNull()
+    changed = {c: F.when(hit, F.col(f"_new.{c}")).otherwise(F.col(c)) for c in ("deadline", "raw", "composite_key", "siret_deadline_key")}
+    return joined.withColumns(changed | {
+        "rectification_date": F.when(hit, F.lit(at).cast("timestamp")).otherwise(F.col("rectification_date")),
+        "rectification_count": F.coalesce("rectification_count", F.lit(0)) + F.coalesce("_times", F.lit(0)),
+    }).drop("_oid", "_new", "_times")

@@ -215,11 +215,45 @@ def score(tenders: DataFrame, lexicon: Lexicon, extra_flags: list[str] | None =
     return base.withColumn("matched_terms", every).drop("_full", "_wide")
 
 
+def _word(term: str) -> str:
+    """A pattern for a term as a whole word: ends that are word characters have none beside them, other ends have one."""
+    side = lambda c, before: (r"(?<![A-Za-z0-9_])" if before else r"(?![A-Za-z0-9_])") if c.isascii() and (c.isalnum() or c == "_") else (r"(?<=[A-Za-z0-9_])" if before else r"(?=[A-Za-z0-9_])")
+    return side(term[0], True) + re.escape(term) + side(term[-1], False) if term else r"(?!)"
+
+
 def category_of_term(rules: DataFrame, term: str) -> DataFrame:
-    """The categories whose keywords hold a term as a whole word, or the other way round, or whose patterns match it."""
+    """The categories (axis, category, weight, terms) whose keywords are the term, hold it as a whole word or lie in it, or whose patterns match it."""
     own = plain(term)
     body = text.normalize(F.col("term"))
-    whole = lambda inner, outer: F.contains(F.concat(F.lit(" "), outer, F.lit(" ")), F.concat(F.lit(" "), inner, F.lit(" ")))
-    keyword = (F.col("kind") == "keyword") & (whole(F.lit(own), body) | whole(body, F.lit(own)))
+    keyword = (F.col("kind") == "keyword") & (body != "") & ((body == own) | body.rlike(_word(own)) | F.contains(F.lit(own), body))
     pattern = (F.col("kind") == "pattern") & F.expr("regexp_like(term_text, concat('(?i)', term))")
-    return rules.withColumn("term_text", F.lit(own)).filter(keyword | pattern).groupBy("axis", "category", "weight").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    return rules.withColumn("term_text", F.lit(term)).filter(keyword | pattern).groupBy("axis", "category", "weight").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+
+
+# Fixed texts.
+UNKNOWN_TERM = " n'est pas dans le lexique. Il a peut-être été trouvé par un motif, ou c'est un faux positif à examiner."
+FLAG_ONLY = (" est un red flag : ", " Il signale que l'AO est probablement hors périmètre.")
+BOTH_KINDS = (" est classé dans ", ". Cependant, il est aussi signalé comme red flag potentiel dans certains contextes : ")
+# End of the fixed texts.
+
+
+def term_summary(found: DataFrame, labels: DataFrame, term: str, flag: str = "red_flag") -> DataFrame:
+    """One row (term, found, summary): what a person is told of a term, from the rows of ``category_of_term``.
+
+    labels: category, label, description; a category without one is named as it is. Categories come in the order of axis and name; those of the axis ``flag`` are red flags.
+    """
+    known = labels.select(F.col("category").alias("_c"), "label", "description")
+    rows = found.join(known, found["category"] == F.col("_c"), "left")
+    entry = F.struct("axis", "category", F.coalesce("label", "category").alias("label"), F.coalesce("description", F.lit("")).alias("description"), "weight")
+    one = rows.agg(F.array_sort(F.collect_list(F.when(F.col("axis") != flag, entry))).alias("plus"), F.array_sort(F.collect_list(F.when(F.col("axis") == flag, entry))).alias("minus"))  # categories of a lexicon are few
+    name = F.lit(f'"{term}"')
+    weighted = lambda x: F.concat(x["label"], F.lit(" (weight: "), x["weight"].cast("string"), F.lit(")"))
+    said = F.array_join(F.transform("plus", lambda x: F.concat(name, F.lit(" → "), weighted(x), F.lit(". "), x["description"])), "\n")
+    flagged = F.get("minus", F.lit(0))["description"]
+    summary = (
+        F.when((F.size("plus") == 0) & (F.size("minus") == 0), F.concat(name, F.lit(UNKNOWN_TERM)))
+        .when(F.size("plus") == 0, F.concat(name, F.lit(FLAG_ONLY[0]), flagged, F.lit(FLAG_ONLY[1])))
+        .when(F.size("minus") > 0, F.concat(name, F.lit(BOTH_KINDS[0]), F.array_join(F.transform("plus", weighted), ", "), F.lit(BOTH_KINDS[1]), flagged))
+        .otherwise(said)
+    )
+    return one.select(F.lit(term).alias("term"), (F.size("plus") + F.size("minus") > 0).alias("found"), summary.alias("summary"))

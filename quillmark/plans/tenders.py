@@ -489,7 +489,7 @@ def covered_terms(spark, sf):
 
 
 @query("""WITH r AS (SELECT p_type AS axis, p_brand AS category, CAST(p_size % 5 + 1 AS INTEGER) AS weight, p_name AS term, lower(p_name) AS body FROM part)
-SELECT axis, category, weight, array_to_string(list_sort(list(DISTINCT term)), ',') AS terms FROM r WHERE contains(' ' || body || ' ', ' red ') OR contains(' red ', ' ' || body || ' ') GROUP BY ALL""")
+SELECT axis, category, weight, array_to_string(list_sort(list(DISTINCT term)), ',') AS terms FROM r WHERE regexp_matches(body, '(^|[^a-z0-9_])red($|[^a-z0-9_])') OR contains('red', body) GROUP BY ALL""")
 def term_categories(spark, sf):
     """The categories that know a term, as a whole word either way: parts by type and brand."""
     rules = table(spark, sf, "part").select(F.col("p_type").alias("axis"), F.col("p_brand").alias("category"), (F.col("p_size") % 5 + 1).cast("int").alias("weight"), F.lit("keyword").alias("kind"), F.col("p_name").alias("term"))
@@ -790,3 +790,56 @@ def rows_by_source(spark, sf):
     shown = report.capped(priced(spark, sf), F.lit(1), [F.desc("keyword_score"), F.asc("doc_id")])
     said = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["position"].cast("string"), F.lit(":"), x["title"])), "|").alias(c)
     return mail.lists_by_source(shown).select("source", said("high"), said("medium"), said("low"))
+
+
+@query("""WITH r AS (SELECT p_type AS axis, p_brand AS category, CAST(p_size % 5 + 1 AS INTEGER) AS weight, lower(p_name) AS body FROM part
+), term(word) AS (VALUES ('red'), ('gear'), ('nothing')
+), f AS (SELECT DISTINCT word, axis, category, weight FROM r, term WHERE regexp_matches(body, '(^|[^a-z0-9_])' || word || '($|[^a-z0-9_])') OR contains(word, body)
+), n AS (SELECT *, CASE WHEN category LIKE '%7' THEN category ELSE 'Marque ' || substr(category, 7) END AS label, CASE WHEN category LIKE '%7' THEN '' ELSE 'De ' || category || '.' END AS description FROM f
+), g AS (SELECT word, string_agg(label || ' (weight: ' || weight || ')', ', ' ORDER BY axis, category, label, description, weight) FILTER (WHERE axis <> 'ECONOMY') AS listed, string_agg('"' || word || '" → ' || label || ' (weight: ' || weight || '). ' || description, chr(10) ORDER BY axis, category, label, description, weight) FILTER (WHERE axis <> 'ECONOMY') AS said,
+  arg_min(description, (category, label, description, weight)) FILTER (WHERE axis = 'ECONOMY') AS flagged FROM n GROUP BY word)
+SELECT word AS term, g.word IS NOT NULL AS found, '"' || term.word || '"' || CASE WHEN g.word IS NULL THEN ' n''est pas dans le lexique. Il a peut-être été trouvé par un motif, ou c''est un faux positif à examiner.' WHEN listed IS NULL THEN ' est un red flag : ' || flagged || ' Il signale que l''AO est probablement hors périmètre.'
+  WHEN flagged IS NOT NULL THEN ' est classé dans ' || listed || '. Cependant, il est aussi signalé comme red flag potentiel dans certains contextes : ' || flagged ELSE substr(said, length(term.word) + 3) END AS summary FROM term LEFT JOIN g USING (word)""")
+def term_summaries(spark, sf):
+    """What a person is told of terms: their categories, red flags among them, or that the lexicon does not know them."""
+    part = table(spark, sf, "part")
+    rules = part.select(F.col("p_type").alias("axis"), F.col("p_brand").alias("category"), (F.col("p_size") % 5 + 1).cast("int").alias("weight"), F.lit("keyword").alias("kind"), F.col("p_name").alias("term"))
+    labels = part.select(F.col("p_brand").alias("category")).distinct().filter("category NOT LIKE '%7'").select("category", F.concat(F.lit("Marque "), F.substring("category", 7, 9)).alias("label"), F.concat(F.lit("De "), "category", F.lit(".")).alias("description"))
+    told = [lexicon.term_summary(lexicon.category_of_term(rules, term), labels, term, "ECONOMY") for term in ("red", "gear", "nothing")]
+    return told[0].unionByName(told[1]).unionByName(told[2])
+
+
+@query("""WITH s AS (SELECT o_orderkey AS id, 'Works ' || o_orderkey AS title, 'Buyer ' || o_custkey AS acheteur, strftime(o_orderdate, '%Y-%m-%d') AS deadline, lpad(CAST(o_orderkey AS VARCHAR), 14, '1') AS siret FROM orders WHERE o_orderkey % 2 = 0
+), m AS (SELECT o_orderkey - 1 - CASE WHEN o_orderkey % 12 = 11 THEN 2 ELSE 0 END AS original_id, o_orderkey AS k, strftime(o_orderdate + INTERVAL 3 DAY, '%Y-%m-%d') AS deadline FROM orders WHERE o_orderkey % 6 IN (3, 5)
+), l AS (SELECT original_id, arg_max(deadline, (deadline, 'm' || k)) AS deadline, count(*) AS n FROM m GROUP BY 1)
+SELECT id, coalesce(l.deadline, s.deadline) AS deadline, 'works ' || CASE WHEN l.n IS NULL THEN id ELSE id END || '|' || coalesce(l.deadline, s.deadline) || '|' || lower(acheteur) AS composite_key, siret || '|' || coalesce(l.deadline, s.deadline) AS siret_deadline_key, coalesce(n, 0) AS rectification_count, n IS NOT NULL AS touched FROM s LEFT JOIN l ON l.original_id = s.id""")
+def minor_applied(spark, sf):
+    """Minor amendments in the stored rows: a new deadline makes new keys, and of several amendments the last one counts."""
+    k = F.col("o_orderkey")
+    own = lambda i, day: [i.alias("_i"), F.concat(F.lit("Works "), i.cast("string")).alias("title"), F.date_format(day, "yyyy-MM-dd").alias("deadline"), F.lpad(i.cast("string"), 14, "1").alias("siret"), F.lit(None).cast("string").alias("uuid_procedure"), F.lit("x").alias("source")]
+    orders = table(spark, sf, "orders").withColumn("acheteur", F.concat(F.lit("Buyer "), F.col("o_custkey").cast("string")))
+    stored = canonical.dedup_keys(orders.filter(k % 2 == 0).select(*own(k, F.col("o_orderdate")), "acheteur", F.concat(F.lit("s"), k.cast("string")).alias("source_id")))
+    stored = stored.withColumnRenamed("_i", "id").withColumns({"raw": F.lit("old"), "rectification_date": F.lit(None).cast("timestamp"), "rectification_count": F.lit(0)})
+    original = k - 1 - F.when(k % 12 == 11, 2).otherwise(0)
+    buyers = stored.select(F.col("id").alias("_i"), "acheteur")
+    minor = orders.drop("acheteur").filter((k % 6).isin(3, 5)).select(*own(original, F.col("o_orderdate") + F.expr("INTERVAL 3 DAYS")), F.concat(F.lit("m"), k.cast("string")).alias("source_id"))
+    minor = minor.join(buyers, "_i").withColumnsRenamed({"_i": "original_id"}).withColumns({"raw": F.lit("new"), "publication_date": F.col("deadline")})
+    found = changes.apply_minor(stored, minor, "1999-01-01T00:00:00Z")
+    return found.select("id", "deadline", "composite_key", "siret_deadline_key", F.col("rectification_count").cast("long").alias("rectification_count"), (F.col("rectification_date").isNotNull() & (F.col("raw") == "new")).alias("touched"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'skipped' WHEN length(trim(text)) < 30 THEN 'unknown' ELSE 'verified' END AS status,
+CASE WHEN doc_id % 5 = 0 THEN '' WHEN length(trim(text)) < 30 THEN 'unknown,unknown' ELSE CASE WHEN contains(substr(text, 1, 3000), 'the') THEN 'met' ELSE 'not_met' END || ',' || CASE WHEN contains(substr(text, 1, 3000), 'der') THEN 'met' ELSE 'not_met' END END AS verdicts FROM documents""")
+def conditions_verified(spark, sf):
+    """Conditions of each text behind the plug-in interface: without any it is skipped, a short text is not asked about."""
+    docs = table(spark, sf, "documents").select("doc_id", F.lit(None).cast("string").alias("title"), F.col("text").alias("description"), F.when(F.col("doc_id") % 5 != 0, F.array(F.lit("the"), F.lit("der"))).otherwise(F.array().cast("array<string>")).alias("conditions"))
+    found = analysis.verify_conditions(docs, lambda text, conditions: ["met" if c in text else "not_met" for c in conditions])
+    return found.select("doc_id", "status", F.array_join("verdicts", ",").alias("verdicts"))
+
+
+@query("""SELECT page_id AS id, length(html) AS a, length(html) - length(replace(html, 'e', '')) AS b FROM pages""")
+def pages_embedded(spark, sf):
+    """Vectors of texts by an embedder that is asked in batches: here their lengths and counts of a letter."""
+    pages = table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.coalesce("html", F.lit("")).alias("content"))
+    found = analysis.embed(pages, lambda texts: [[float(len(t)), float(t.count("e"))] for t in texts])
+    return found.select("id", F.col("vector")[0].cast("long").alias("a"), F.col("vector")[1].cast("long").alias("b"))

@@ -165,3 +165,16 @@ def test_one_pass_gives_what_the_plain_matcher_gives(spark):
             want = [(c.name, h) for c in lexicon.axes[a] if (h := lx.match(full, c.keywords, c.patterns))]
             assert [(m["category"], m["terms"]) for m in row["m"][a]] == want
         assert row["m"]["red_flag"] == [k for k, b in lexicon.axes["red_flag"][0].keywords if b in full]
+
+
+def test_a_term_is_told_with_its_categories(spark):
+    """Whole words within keywords, keywords within the term, patterns, red flags, and terms that nothing knows."""
+    rules = spark.createDataFrame([("sector", "a", 3, "keyword", "réseau d'eau", 1), ("expertise", "b", 2, "keyword", "c++", 2), ("red_flag", "f", 1, "keyword", "eau", 3), ("sector", "p", 1, "pattern", r"\\bgaz\\w*", 4), ("sector", "e", 1, "keyword", " ", 5)], schemas.LEXICON)
+    labels = spark.createDataFrame([("a", "Eaux", "Des eaux."), ("f", "Drapeau", "Hors sujet.")], "category string, label string, description string")
+    told = lambda t: lx.term_summary(lx.category_of_term(rules, t), labels, t).first()
+    assert told("Eau")["summary"] == '"Eau" est classé dans Eaux (weight: 3). Cependant, il est aussi signalé comme red flag potentiel dans certains contextes : Hors sujet.'
+    assert told("D")["summary"] == '"D" → Eaux (weight: 3). Des eaux.'
+    assert told("eaux")["summary"] == '"eaux" est un red flag : Hors sujet. Il signale que l\'AO est probablement hors périmètre.'
+    assert [r["category"] for r in lx.category_of_term(rules, "C++ et").collect()] == ["b"] and lx.category_of_term(rules, "c+").count() == 0
+    assert [r["category"] for r in lx.category_of_term(rules, "gazier").collect()] == ["p"]
+    assert (told("xyz")["found"], told("xyz")["summary"].startswith('"xyz" n')) == (False, True)

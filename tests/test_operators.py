@@ -287,3 +287,14 @@ def test_summary_of_nothing_and_of_one(spark):
 def test_ranked_keeps_ties_in_order(spark):
     rows = spark.createDataFrame([(1, 5), (2, 9), (3, 5), (4, None)], "id int, s int")
     assert {r["id"]: r["position"] for r in report.ranked(rows, "s", "id").collect()} == {2: 1, 1: 2, 3: 3, 4: 4}
+
+
+def test_minor_amendments_make_new_keys(spark):
+    from quillmark.operators import canonical
+
+    flat = "source string, source_id string, uuid_procedure string, title string, acheteur string, deadline string, siret string, raw string, publication_date string"
+    stored = canonical.dedup_keys(spark.createDataFrame([("s", "1", None, "T", "B", "2024-01-01", "123", "old", "d"), ("s", "2", None, "U", "B", None, None, "old", "d")], flat)).withColumns({"id": F.col("source_id").cast("int"), "rectification_date": F.lit(None).cast("timestamp"), "rectification_count": F.lit(None).cast("int")})
+    minor = spark.createDataFrame([("s", "8", None, "T", "B", "2024-02-01", "123", "first", "2024-01-02", 1), ("s", "9", None, "T", "B", "2024-03-01", "123", "last", "2024-01-03", 1), ("s", "7", None, "X", "B", None, None, "lost", "d", 99)], f"{flat}, original_id int")
+    out = {r["id"]: r for r in changes.apply_minor(stored, minor, "2024-01-04T00:00:00Z").collect()}
+    assert (out[1]["deadline"], out[1]["raw"], out[1]["composite_key"], out[1]["siret_deadline_key"], out[1]["rectification_count"]) == ("2024-03-01", "last", "t|2024-03-01|b", "123|2024-03-01", 2)
+    assert (out[2]["raw"], out[2]["rectification_count"], out[2]["rectification_date"]) == ("old", 0, None) and len(out) == 2
