@@ -169,7 +169,7 @@ def test_one_pass_gives_what_the_plain_matcher_gives(spark):
 
 def test_a_term_is_told_with_its_categories(spark):
     """Whole words within keywords, keywords within the term, patterns, red flags, and terms that nothing knows."""
-    rules = spark.createDataFrame([("sector", "a", 3, "keyword", "réseau d'eau", 1), ("expertise", "b", 2, "keyword", "c++", 2), ("red_flag", "f", 1, "keyword", "eau", 3), ("sector", "p", 1, "pattern", r"\\bgaz\\w*", 4), ("sector", "e", 1, "keyword", " ", 5)], schemas.LEXICON)
+    rules = spark.createDataFrame([("sector", "a", 3, "keyword", "réseau d'eau", 1), ("expertise", "b", 2, "keyword", "c++", 2), ("red_flag", "f", 1, "keyword", "eau", 3), ("sector", "p", 1, "pattern", r"\bgaz\w*", 4), ("sector", "e", 1, "keyword", " ", 5)], schemas.LEXICON)
     labels = spark.createDataFrame([("a", "Eaux", "Des eaux."), ("f", "Drapeau", "Hors sujet.")], "category string, label string, description string")
     told = lambda t: lx.term_summary(lx.category_of_term(rules, t), labels, t).first()
     assert told("Eau")["summary"] == '"Eau" est classé dans Eaux (weight: 3). Cependant, il est aussi signalé comme red flag potentiel dans certains contextes : Hors sujet.'
