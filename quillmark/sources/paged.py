@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import date, timedelta
 
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition, IsNull, LessThanOrEqual
 
 from quillmark.schemas import RAW_FIELDS
@@ -72,9 +73,19 @@ def condition(f: Filter) -> str | None:
     return f"{column} {sign} '{str(f.value).replace(chr(39), chr(39) * 2)}'" if sign and isinstance(f.value, str) else None
 
 
+def selected(options: dict) -> list[str]:
+    """The fields that the option ``select`` names (a list with commas), in the order of the schema; without it all. An unknown name is an error."""
+    if not options.get("select"):
+        return list(RAW_FIELDS.names)
+    wanted = {n.strip() for n in options["select"].split(",")}
+    if unknown := wanted - set(RAW_FIELDS.names):
+        raise ValueError(f"no field {', '.join(sorted(unknown))}")
+    return [n for n in RAW_FIELDS.names if n in wanted]
+
+
 class TenderReader(DataSourceReader):
     def __init__(self, options: dict, fetch: Fetch = http) -> None:
-        self.options, self.fetch = options, fetch
+        self.options, self.fetch, self.fields = options, fetch, selected(options)
         self.where = [options["where"]] if options.get("where") else []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -85,8 +96,8 @@ class TenderReader(DataSourceReader):
             else:
                 yield f
 
-    def url(self, offset: int, limit: int, where: tuple[str, ...] = (), order: str = f"{DAY} desc") -> str:
-        query = {"select": ",".join(RAW_FIELDS.names), "order_by": order, "limit": limit, "offset": offset}
+    def url(self, offset: int, limit: int, where: tuple[str, ...] = (), order: str = f"{DAY} desc", fields: list[str] | None = None) -> str:
+        query = {"select": ",".join(fields or self.fields), "order_by": order, "limit": limit, "offset": offset}
         if self.where or where:
             query["where"] = " and ".join([*self.where, *where])
         return f"{self.options['path']}?{urllib.parse.urlencode(query)}"
@@ -96,7 +107,7 @@ class TenderReader(DataSourceReader):
 
     def _end(self, order: str) -> date:
         """The first day in that order, of rows that have one."""
-        found = self.fetch(self.url(0, 1, (f"{DAY} is not null",), f"{DAY} {order}"))["results"]
+        found = self.fetch(self.url(0, 1, (f"{DAY} is not null",), f"{DAY} {order}", [DAY]))["results"]
         record = (found[0].get("record") or found[0]).get("fields") or found[0]
         return date.fromisoformat(str(record[DAY])[:10])
 
@@ -114,18 +125,21 @@ class TenderReader(DataSourceReader):
     def read(self, partition: Page) -> Iterator[tuple]:
         for record in self.fetch(self.url(partition.offset, partition.limit, partition.where)).get("results", []):
             record = (record.get("record") or record).get("fields") or record
-            yield tuple(None if (v := record.get(n)) is None else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False) for n in RAW_FIELDS.names)
+            yield tuple(None if (v := record.get(n)) is None else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False) for n in self.fields)
 
 
 class TenderSource(DataSource):
-    """spark.dataSource.register(TenderSource); spark.read.format("tenders").load(url)"""
+    """spark.dataSource.register(TenderSource); spark.read.format("tenders").load(url)
+
+    Sources in Python are not told which columns a query uses: the option ``select`` names them, so that no others are fetched.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "tenders"
 
-    def schema(self):
-        return RAW_FIELDS
+    def schema(self) -> T.StructType:
+        return T.StructType([RAW_FIELDS[n] for n in selected(dict(self.options))])
 
     def reader(self, schema) -> TenderReader:
         return TenderReader(dict(self.options))

@@ -239,3 +239,14 @@ def test_a_queue_is_replaced_in_one_step(spark, tmp_path):
     assert files.retry_queue(spark, path).count() == 3
     (tmp_path / "queue").rename(tmp_path / "queue.old")  # as between the two renames of a change of layout
     assert files.retry_queue(spark, path).count() == 3
+
+
+def test_only_the_fields_that_are_named_are_fetched():
+    remote = Remote(3)
+    options = {"path": "http://h/records", "select": "type_marche, idweb"}
+    reader = paged.TenderReader(options, remote)
+    assert [list(r) for p in reader.partitions() for r in reader.read(p)][0] == ["26-0", '["SERVICES"]']
+    assert {urllib.parse.parse_qs(urllib.parse.urlparse(u).query)["select"][0] for u in remote.urls} == {"idweb,type_marche"}
+    assert paged.TenderSource(options).schema().names == ["idweb", "type_marche"]
+    with pytest.raises(ValueError, match="nothing"):
+        paged.selected({"select": "nothing"})
