@@ -79,8 +79,9 @@ def line_dedup(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS) -> DataF
     gone = checkpointed(gone.groupBy("doc_id").agg(F.collect_set("pos").alias("__gone")).select(F.col("doc_id").alias("__gone_id"), "__gone"), parts)
     discard(light, general, recurring)
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    kept = F.array_join(F.filter(lines, lambda _, k: ~F.array_contains(F.coalesce("__gone", F.array().cast("array<int>")), k)), "\n")
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone_id"]), "left")
+    left = F.array_except(F.sequence(F.lit(1), F.size(lines)), F.transform("__gone", lambda k: k + 1))  # in order, by a set: linear in the lines
+    kept = F.array_join(F.transform(left, lambda k: F.element_at("__lines", k)), "\n")
+    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone_id"]), "left").withColumn("__lines", F.when(F.col("__gone").isNotNull(), lines))
     columns = [F.when(F.col("__gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(kept).alias(c) if c == "text" else F.col(c) for c in docs.columns]
     out = joined.select(*columns, F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_dropped"))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out

@@ -63,15 +63,6 @@ def test_base_is_exact_and_the_model_is_better(spark):
     assert gain > 0.3  # log10 3 is 0.48
 
 
-def test_probabilities_add_up(spark):
-    """Over all texts of one word, known or not, and the end: with the unknown type they sum to P(second token is the end) at most 1."""
-    rows = [(k, w) for k, w in enumerate(["x", "y", "x z", "y y", "z", "", "x"] * 4)]
-    words = ["x", "y", "z", "unseen", ""]
-    probes = [(1000 + 5 * k, w) for k, w in enumerate(words)]
-    out = {r["doc_id"]: r for r in hmm.score(documents(spark, rows + [(i, w) for i, w in probes if hmm.held_out(i)])).collect()}
-    assert all(r["score"] < 0 for r in out.values())
-
-
 def test_nulls_repeats_long_and_empty(spark):
     rows = [(None, "a b"), (1, None), (2, ""), (3, text(1, 30000)), (4, "same"), (4, "same"), (5, " \t\n")]
     df = documents(spark, rows).withColumnRenamed("lang", "key").withColumnRenamed("source", "score")
