@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from quillmark.functions import scores, text
 from quillmark.operators import matching
 
-#: A side is sent to all tasks up to so many rows; above, the join is by blocks.
-BROADCAST_ROWS = 50_000
+#: A side is sent to all tasks up to so many rows and bytes; above, the join is by blocks.
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 32 << 20
 # Fixed thresholds of name matching.
 LEAST_OVERLAP, SUBSTRING, SUBSTRING_LONGER_THAN = 0.6, 0.95, 4
 # End of the fixed thresholds.
@@ -25,7 +25,8 @@ def nearest(queries: DataFrame, index: DataFrame, k: int, same: list[str] | None
     """
     same = same or []
     if not same:
-        few = queries.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        n, numbers = queries.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.greatest(F.size("query"), F.lit(0))), F.lit(0))).first()
+        few = n <= BROADCAST_ROWS and 8 * numbers <= BROADCAST_BYTES
         if few:
             pairs = index.join(F.broadcast(queries), F.lit(True))
             parts: list[str] = []

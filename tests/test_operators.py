@@ -298,3 +298,18 @@ def test_minor_amendments_make_new_keys(spark):
     out = {r["id"]: r for r in changes.apply_minor(stored, minor, "2024-01-04T00:00:00Z").collect()}
     assert (out[1]["deadline"], out[1]["raw"], out[1]["composite_key"], out[1]["siret_deadline_key"], out[1]["rectification_count"]) == ("2024-03-01", "last", "t|2024-03-01|b", "123|2024-03-01", 2)
     assert (out[2]["raw"], out[2]["rectification_count"], out[2]["rectification_date"]) == ("old", 0, None) and len(out) == 2
+
+
+def test_broadcast_sides_are_measured_in_bytes_too(spark, monkeypatch):
+    from quillmark.operators import small
+
+    names = spark.createDataFrame([("a", "x" * 50)] * 3, "k string, v string")
+    assert small.small(names, "names").count() == 3 and small.small(names.limit(0), "names").count() == 0
+    monkeypatch.setattr(small, "MAX_BYTES", 100)
+    with pytest.raises(ValueError, match="bytes"):
+        small.small(names, "names")
+    index = spark.createDataFrame([(k, [1.0, float(k)]) for k in range(5)], "id long, vector array<float>")
+    queries = spark.createDataFrame([(1, [1.0, 1.0])], "query_id long, query array<float>")
+    a = retrieval.nearest(queries, index, 2).select("id", "rank").collect()
+    monkeypatch.setattr(retrieval, "BROADCAST_BYTES", 8)
+    assert sorted(retrieval.nearest(queries, index, 2).select("id", "rank").collect()) == sorted(a)
