@@ -86,9 +86,9 @@ def by_title(amendments: DataFrame, stored: DataFrame) -> DataFrame:
     held = stored.filter(F.col("source_id").isNotNull()).select("acheteur", F.lower("title").alias("text"), F.col("source_id").alias("source"), "analyzed_at", "id")
     pairs = matching.contained(asked, held, ["acheteur"])
     titles = _entries(_two_best(held, ["acheteur", "text"]), ["acheteur", "text"])
-    heads = _two_best(pairs.join(titles, ["acheteur", "text"]), ["acheteur", "needle"])
+    heads = _two_best(pairs.join(titles.hint("merge"), ["acheteur", "text"]), ["acheteur", "needle"])
     entry = F.when(F.col("first.source") != F.col("_own"), F.col("first")).otherwise(F.when(F.col("second.source") != F.col("_own"), F.col("second")))
-    near = asked.distinct().join(heads, ["acheteur", "needle"]).select("_own", entry.alias("_e")).filter("_e IS NOT NULL")
+    near = asked.distinct().join(heads.hint("merge"), ["acheteur", "needle"]).select("_own", entry.alias("_e")).filter("_e IS NOT NULL")
     return near.groupBy(F.col("_own").alias("source_id")).agg(F.max_by("_e.id", F.struct("_e.analyzed_at", "_e.id")).alias("near"))
 
 
@@ -96,15 +96,16 @@ def originals(amendments: DataFrame, stored: DataFrame) -> DataFrame:
     """Adds original_id: the stored row that an amendment amends, by link, source_id, buyer with the head of the title, or normalised id.
 
     The first way that finds a row counts; within it the row analysed last (then the largest id). Ways with a
-    unique key are joins with one row for each key; the third is a join by containment (``by_title``).
+    unique key are joins with one row for each key; the third is a join by containment (``by_title``). Keys grow with the stored rows and
+    their files tell little of it, so none is sent to all tasks by way of the driver.
     """
     newest = lambda key: stored.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.max_by("id", F.struct("analyzed_at", "id")).alias("_v"))
     out = amendments
     for k, (own, other) in enumerate((("annonce_lie", "source_id"), ("source_id", "source_id"), ("normalized_id", "normalized_id"))):
         side = newest(other).select(F.col("_k").alias(f"_k{k}"), F.col("_v").alias(f"_v{k}"))
-        out = out.join(side, out[own] == side[f"_k{k}"], "left").drop(f"_k{k}")
+        out = out.join(side.hint("merge"), out[own] == side[f"_k{k}"], "left").drop(f"_k{k}")
     best = by_title(amendments, stored).select(F.col("source_id").alias("_own"), F.col("near").alias("_near"))
-    out = out.join(best, out["source_id"] == best["_own"], "left")
+    out = out.join(best.hint("merge"), out["source_id"] == best["_own"], "left")
     return out.withColumn("original_id", F.coalesce("_v0", "_v1", "_near", "_v2")).drop("_v0", "_v1", "_v2", "_near", "_own")
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Characters of a gram.
 GRAM = 3
+#: A key with at most so many distinct needles and texts compares each with each: fewer pairs than there are grams.
+FEW_NEEDLES, FEW_TEXTS = 16, 256
 
 
 def _grams(text: Column, size: int) -> Column:
@@ -26,10 +28,24 @@ def contained(needles: DataFrame, texts: DataFrame, on: list[str] | None = None,
     needles has on and ``needle``, texts has on and ``text``. A text is found by the rarest gram of the needle: grams of the texts are counted, each
     needle is asked under one gram, and what shares it is compared. A needle with a gram that no text has is in none. Needles
     shorter than a gram are asked by grams of their own length; an empty needle is in every text of its key. Nulls, in keys too, match nothing.
+    Keys with few needles and texts need no grams. Grams are many more than the size of a file tells, so no join here may be by broadcast.
     """
     on = on or []
     n = needles.select(*on, "needle").dropna().distinct()
     t = texts.select(*on, "text").dropna().distinct()
+    if on:
+        both = n.select(*on, F.col("needle").alias("_value"), F.lit(True).alias("_asks")).unionAll(t.select(*on, "text", F.lit(False)))
+        asked, held = F.count_if("_asks"), F.count_if(~F.col("_asks"))
+        keys = both.groupBy(*on).agg(((asked > 0) & (held > 0)).alias("_both"), ((asked <= FEW_NEEDLES) & (held <= FEW_TEXTS)).alias("_few")).filter("_both").drop("_both")
+        dealt = both.join(keys.hint("merge"), on)
+        side = lambda name, asks, few: dealt.filter((F.col("_asks") == asks) & (F.col("_few") == few)).select(*on, F.col("_value").alias(name))
+        each = side("text", False, True).join(side("needle", True, True).hint("merge"), on).filter(F.contains("text", F.col("needle"))).select(*on, "needle", "text")
+        return each.unionByName(_by_grams(side("needle", True, False), side("text", False, False), on, size))
+    return _by_grams(n, t, on, size)
+
+
+def _by_grams(n: DataFrame, t: DataFrame, on: list[str], size: int) -> DataFrame:
+    """``contained`` of distinct needles and texts without nulls."""
     sizes = sorted(n.agg(F.collect_set(F.least(F.length("needle"), F.lit(size)))).first()[0])  # at most size + 1 numbers
     lengths = [k for k in sizes if k > 0]
     hashed = lambda g: F.xxhash64(*on, g)
@@ -40,12 +56,12 @@ def contained(needles: DataFrame, texts: DataFrame, on: list[str] | None = None,
     for k in lengths:
         own = F.when(F.least(F.length("needle"), F.lit(size)) == k, _grams(F.col("needle"), k)).otherwise(own)
     asked = n.select(*on, "needle", F.explode(own).alias("_gram")).select(*on, "needle", hashed(F.col("_gram")).alias("_key"))
-    rarest = asked.join(counts, "_key", "left").groupBy(*on, "needle").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_key").alias("key"))).alias("_least"))
+    rarest = asked.join(counts.hint("merge"), "_key", "left").groupBy(*on, "needle").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_key").alias("key"))).alias("_least"))
     rarest = rarest.filter("_least.n > 0").select(*(F.col(c).alias(f"_on_{c}") for c in on), "needle", F.col("_least.key").alias("_key"))
     same = F.lit(True)
     for c in on:
         same = same & (F.col(c) == F.col(f"_on_{c}"))
-    pairs = index.join(rarest, "_key").filter(same & F.contains("text", F.col("needle"))).select(*on, "needle", "text")
+    pairs = index.join(rarest.hint("merge"), "_key").filter(same & F.contains("text", F.col("needle"))).select(*on, "needle", "text")
     if 0 in sizes:
         empty = n.filter("needle = ''")
         pairs = pairs.unionByName((t.join(empty, on) if on else t.withColumn("needle", F.lit(""))).select(*on, "needle", "text"))

@@ -118,3 +118,20 @@ def test_duplicates_equal_comparing_all(spark):
         fits = [i for i, rc, rt, rv, on in rules if on and rc == c and rt == t and None not in (rv, own) and (own in rv.lower() or rv.lower() in own)]
         want[k] = min(fits, default=None)
     assert {x["k"]: x["duplicate_of"] for x in found.collect()} == want
+
+
+def test_originals_send_no_index_by_way_of_the_driver(spark):
+    """Grams are many times the rows that a file tells of, so their joins are no broadcasts; keys with few rows ask no grams."""
+    stored = spark.range(500).select("id", F.concat(F.lit("s"), "id").alias("source_id"), (F.col("id") % 50).cast("string").alias("acheteur"), F.concat(F.lit("Fourniture "), "id").alias("title"), F.col("id").alias("analyzed_at"), F.col("id").cast("string").alias("normalized_id"))
+    asked = stored.select(F.concat(F.lit("a"), "id").alias("source_id"), "acheteur", "title", F.lit(None).cast("string").alias("annonce_lie"), F.lit(None).cast("string").alias("normalized_id"))
+    found = changes.originals(asked, stored)
+    assert "BroadcastHashJoin" not in plan_of(found) and "BroadcastExchange" not in plan_of(found)
+    assert {x["source_id"]: x["original_id"] for x in found.filter("source_id IN ('a7', 'a499')").collect()} == {"a7": 7, "a499": 499}
+
+
+def test_contained_of_keys_with_few_and_many_texts(spark):
+    """Keys on both sides of the bound for comparing each with each, and empty needles, give the same pairs."""
+    needles = [(k, f"n{j}") for k, n in (("few", 3), ("asks", matching.FEW_NEEDLES + 1), ("holds", 2)) for j in range(n)] + [("few", ""), ("holds", "")]
+    texts = [(k, f"xn{j}y") for k, n in (("few", 4), ("asks", 5), ("holds", matching.FEW_TEXTS + 1)) for j in range(n)]
+    got = [tuple(x) for x in matching.contained(spark.createDataFrame(needles, "k string, needle string"), spark.createDataFrame(texts, "k string, text string"), ["k"]).collect()]
+    assert sorted(got) == sorted((k, a, b) for k, a in needles for c, b in texts if k == c and a in b)
