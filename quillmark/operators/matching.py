@@ -96,3 +96,25 @@ def overlapping(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     near = near.filter(F.element_at(common, 1) == F.col("_token"))
     share = F.size(F.array_intersect("_all", "_all2")) / F.greatest(m, n)
     return near.select(F.col("_id").alias("a"), F.col("_id2").alias("b"), share.alias("share")).filter(F.col("share") >= least)
+
+
+def paired(rows: DataFrame, on: list[str], key: str, value: str, block: int = 256, each: int = 1 << 20) -> DataFrame:
+    """(a, b, a_value, b_value, same): classes of equal values that meet within equal key columns, with the keys of their members as arrays a and b.
+
+    Every pair of rows with equal ``on`` is opened from exactly one result row, in either order; where ``same`` holds, a and b are the same members, so
+    each of their pairs is there both ways. Null keys and nulls in ``on`` match nothing. Rows of a group are dealt into blocks of about ``block``, blocks meet blocks, and the pairs of blocks are dealt evenly before they are
+    opened, in parts of about ``each`` pairs of rows: neither a large group nor a small file makes a long task.
+    """
+    r = rows.select(*on, F.col(key).alias("_key"), F.col(value).alias("_value")).dropna(subset=[*on, "_key"])
+    counts = r.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    pairs = counts.agg(F.coalesce(F.sum(F.col("_n").cast("double") * F.col("_n")), F.lit(0.0)) / 2).first()[0]
+    parts = F.ceil(F.col("_n") / block).cast("int")
+    dealt = r.join(counts.hint("merge"), on).select(*on, "_key", "_value", parts.alias("_parts"), F.pmod(F.xxhash64("_key"), parts).cast("int").alias("_block"))
+    classes = dealt.groupBy(*on, "_parts", "_block", "_value").agg(F.collect_list("_key").alias("keys"))  # about BLOCK keys in all classes of a block
+    blocks = classes.groupBy(*on, "_parts", "_block").agg(F.collect_list(F.struct(F.col("_value").alias("value"), "keys")).alias("_rows"))
+    own = blocks.select(F.col("_rows").alias("_x"), F.col("_rows").alias("_y"), F.lit(True).alias("_own"))
+    asking = blocks.filter("_block + 1 < _parts").select(*on, F.col("_rows").alias("_x"), F.explode(F.sequence(F.col("_block") + 1, F.col("_parts") - 1)).alias("_block"))
+    others = asking.join(blocks.hint("merge"), [*on, "_block"]).select("_x", F.col("_rows").alias("_y"), F.lit(False))
+    met = own.unionAll(others).repartition(max(rows.sparkSession.sparkContext.defaultParallelism, int(pairs // each) + 1))
+    met = met.select("_own", "_y", F.posexplode("_x").alias("_i", "_a")).select("_own", "_i", "_a", F.posexplode("_y").alias("_j", "_b")).filter("NOT _own OR _i <= _j")
+    return met.select(F.col("_a.keys").alias("a"), F.col("_b.keys").alias("b"), F.col("_a.value").alias("a_value"), F.col("_b.value").alias("b_value"), (F.col("_own") & (F.col("_i") == F.col("_j"))).alias("same"))

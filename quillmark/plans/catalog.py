@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmark.functions import extract, scores, temporal, text
-from quillmark.operators import canonical, changes, dedup, evaluation, feedback, lexicon, merge, report, retrieval, routing, vectors
+from quillmark.operators import canonical, changes, dedup, evaluation, feedback, lexicon, matching, merge, report, retrieval, routing, vectors
 from quillmark.operators.lineage import shared_folder
 from quillmark.operators.small import small
 from quillmark.sources.buckets import BucketTable
@@ -283,9 +283,10 @@ def change_detect(spark, sf):
 FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey""")
 def title_similarity(spark, sf):
     """Edit similarity within equal brand, type and size."""
-    p = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_size", "p_type")
-    a, b = (p.select(F.col("p_partkey").alias(s), F.col("p_name").alias(f"{s}_name"), "p_brand", "p_size", "p_type") for s in "ab")
-    return a.join(b, ["p_brand", "p_size", "p_type"]).filter("a < b").select("a", "b", F.round(text.similarity(F.col("a_name"), F.col("b_name")), 6).alias("similarity"))
+    classes = matching.paired(table(spark, sf, "part"), ["p_brand", "p_size", "p_type"], "p_partkey", "p_name")
+    alike = classes.select("a", "b", "same", F.round(text.similarity(F.col("a_value"), F.col("b_value")), 6).alias("similarity"))
+    opened = alike.select(F.explode("a").alias("_x"), "b", "same", "similarity").select("_x", F.explode("b").alias("_y"), "same", "similarity").filter("_x < _y OR (_x > _y AND NOT same)")
+    return opened.select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"), "similarity")
 
 
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding AS query, label FROM embeddings WHERE vec_id % 100 = 0),

@@ -135,3 +135,25 @@ def test_contained_of_keys_with_few_and_many_texts(spark):
     texts = [(k, f"xn{j}y") for k, n in (("few", 4), ("asks", 5), ("holds", matching.FEW_TEXTS + 1)) for j in range(n)]
     got = [tuple(x) for x in matching.contained(spark.createDataFrame(needles, "k string, needle string"), spark.createDataFrame(texts, "k string, text string"), ["k"]).collect()]
     assert sorted(got) == sorted((k, a, b) for k, a in needles for c, b in texts if k == c and a in b)
+
+
+def test_pairs_of_a_group_are_dealt(spark):
+    """Pairs within groups equal comparing all, with a group of many blocks, repeated values, nulls and a key that occurs twice; no task opens them all."""
+    r = random.Random(4)
+    rows = [(k, r.choice(["hot"] * 3 + ["cold", "cool", None]), r.choice(["a", "b", "c", None])) for k in range(120)] + [(5, "hot", "a"), (None, "hot", "a")]
+    df = spark.createDataFrame(rows, "k int, g string, v string")
+    want = sorted((a, b, *sorted((str(u), str(v)))) for a, g, u in rows for b, h, v in rows if None not in (a, b, g) and g == h and a < b)
+    for block in (7, 256):
+        got = matching.paired(df, ["g"], "k", "v", block, each=200)
+        assert got.rdd.getNumPartitions() > 4
+        opened = [(x, y, *sorted((str(row["a_value"]), str(row["b_value"])))) for row in got.collect() for x in row["a"] for y in row["b"] if x < y or x > y and not row["same"]]
+        assert sorted((min(x, y), max(x, y), u, v) for x, y, u, v in opened) == want
+
+
+def test_one_large_group_makes_no_long_task(spark, tmp_path):
+    from quillmark.plans import catalog
+
+    spark.range(1500).select(F.col("id").alias("p_partkey"), F.concat(F.lit("n"), F.col("id") % 9).alias("p_name"), F.lit("b").alias("p_brand"), F.lit(1).alias("p_size"), F.lit("t").alias("p_type")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    found = catalog.title_similarity(spark, str(tmp_path))
+    sizes = [x["count"] for x in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 1500 * 1499 // 2 and max(sizes) < 0.6 * sum(sizes)
