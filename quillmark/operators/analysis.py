@@ -6,6 +6,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,21 +99,27 @@ def verify_conditions(tenders: DataFrame, verifier: Verifier) -> DataFrame:
 
 
 Embedder = Callable[[list[str]], list[list[float]]]
+#: Calls of an embedder after which their rows leave the task's Python.
+EMBEDDED = 10
 
 
 def embed(chunks: DataFrame, embedder: Embedder, batch: int = 20) -> DataFrame:
-    """Adds ``vector`` by a plug-in that is called with at most ``batch`` texts at once."""
-    carried = chunks.columns
-    text = carried.index("content")
+    """Adds ``vector`` by a plug-in that is called with at most ``batch`` texts at once.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Rows travel as Arrow and stay as they are; only the texts of one call are Python objects, and rows go on ``EMBEDDED`` calls at a time.
+    """
+    text = chunks.columns.index("content")
+    kind = pa.list_(pa.float32())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            vectors: list[list[float]] = []
-            for k in range(0, len(rows), batch):
-                vectors += embedder(rows.iloc[k : k + batch, text].tolist())
-            yield rows.assign(vector=vectors)
+            for first in range(0, rows.num_rows, EMBEDDED * batch):
+                part = rows.slice(first, EMBEDDED * batch)
+                asked = (part.column(text).slice(k, batch).to_pylist() for k in range(0, part.num_rows, batch))
+                vectors = pa.concat_arrays([pa.array(embedder(texts), kind) for texts in asked])
+                yield pa.RecordBatch.from_arrays([*part.columns, vectors], [*part.schema.names, "vector"])
 
-    return chunks.mapInPandas(run, T.StructType([*chunks.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType()))]))
+    return chunks.mapInArrow(run, T.StructType([*chunks.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType()))]))
 
 
 # Fixed text.

@@ -100,3 +100,26 @@ def test_chunks_and_mail(spark):
 def test_stratified_sample(spark):
     df = spark.createDataFrame([(str(k), "PASS" if k < 3 else "REJECT", k) for k in range(10)], "source_id string, decision_gate string, analyzed_at int")
     assert sorted(r["source_id"] for r in evaluation.stratified(df, 4).collect()) == ["1", "2", "8", "9"]
+
+
+def test_embedded_rows_leave_as_they_are_made(spark):
+    """Of a large Arrow batch only a few calls' texts are Python objects at once, and its rows go on before the rest is asked."""
+    import pyarrow as pa
+
+    calls = []
+
+    class Chunks:
+        columns, schema = ["id", "content"], spark.createDataFrame([], "id string, content string").schema
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    run = analysis.embed(Chunks(), lambda texts: calls.append(len(texts)) or [[float(len(t)), 1.0] for t in texts])
+    rows = [(str(k), None if k == 7 else "c" * k) for k in range(1010)]
+    source = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t or "" for _, t in rows])], ["id", "content"])
+    made = run(iter([source, source.slice(0, 0)]))
+    first = next(made)
+    assert len(calls) <= analysis.EMBEDDED and max(calls) <= 20
+    parts = [first, *made]
+    assert sum(p.num_rows for p in parts) == 1010 and max(p.num_rows for p in parts) <= 20 * analysis.EMBEDDED
+    assert [v for p in parts for v in p.column(2).to_pylist()] == [[float(len(t or "")), 1.0] for _, t in rows]
