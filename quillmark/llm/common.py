@@ -40,6 +40,16 @@ def checkpointed(df: DataFrame, parts: int | None = None) -> DataFrame:
     return kept
 
 
+def unestimated(kept: DataFrame) -> DataFrame:
+    """The rows of a checkpoint, read as an RDD whose size the optimiser does not know; ``discard`` takes the checkpoint itself.
+
+    A checkpoint inherits the estimate of its plan, and that of a join is the product of its sides. Where each round joins what the round
+    before has kept, the digits of this number multiply from round to round, and a few dozen copies of it fill the driver.
+    """
+    spark = kept.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(kept._jdf.toJavaRDD(), kept._jdf.schema()), spark)
+
+
 def parts_for(spark: SparkSession, rows: int, each: int) -> int:
     """How many parts a result of at most so many rows is kept in: no more small files than its size asks for, but work for every core."""
     return max(2 * spark.sparkContext.defaultParallelism, -(-rows // each))

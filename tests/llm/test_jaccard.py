@@ -117,3 +117,12 @@ def test_components(spark):
     assert connected_components(edges.filter("false")).count() == 0
     path = spark.range(300).selectExpr("id a", "id + 1 b", "'x' label")
     assert {r["label"] for r in connected_components(path).collect()} == {0}
+
+
+def test_rounds_do_not_multiply_the_estimate_of_a_size(spark):
+    from quillmark.llm.graph import connected_components
+
+    for n in (3, 300):
+        labels = connected_components(spark.range(n).selectExpr("id a", "id + 1 b"))
+        assert labels._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() <= 64  # of one number for each node of a plan
+        assert {tuple(r) for r in labels.collect()} == {(k, 0) for k in range(n + 1)}
