@@ -17,6 +17,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -147,6 +148,8 @@ def _prefix(n: int, names: np.ndarray, df: np.ndarray, order: int) -> np.ndarray
 
 
 ORDERS = 3
+#: Documents that a document is compared with before all filters are applied.
+FIRST = 8
 
 
 class _Groups:
@@ -173,44 +176,65 @@ class _Groups:
         self.parent[max(a, b)] = min(a, b)
 
 
+def _posted(indexes: list[dict[int, array]], tokens: list[int]) -> np.ndarray:
+    """The documents that have one of the tokens, once for each token; the views of the lists end here, so that they can grow again."""
+    lists = [np.frombuffer(y, dtype=np.int32) for index in indexes for t in tokens if (y := index.get(t)) is not None]
+    return np.concatenate(lists) if lists else np.zeros(0, dtype=np.int32)
+
+
+def _counted(flat: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values below n, ascending, and how often each occurs; without a sort where they are many."""
+    if 16 * len(flat) < n:
+        return np.unique(flat, return_counts=True)
+    count = np.bincount(flat, minlength=n)
+    found = np.flatnonzero(count)
+    return found, count[found]
+
+
 def link(sizes: list[int], sets: list[np.ndarray], dfs: list[np.ndarray], side: list[int] | None = None) -> _Groups:
-    """Groups of documents that are connected by links; with ``side``, links within one side are another task's."""
+    """Groups of documents that are connected by links; with ``side``, links within one side are another task's.
+
+    A document is first compared with the few that share most of its first prefix. In a group of near copies this connects it, and
+    only what is not connected yet goes through the other filters.
+    """
     groups = _Groups(len(sizes))
     turn = sorted(range(len(sizes)), key=lambda k: (sizes[k], k))
-    index: list[dict[int, list[int]]] = [{} for _ in range(ORDERS)]
+    sides = [0] * len(sizes) if side is None else side
+    index: dict[int, list[dict[int, array]]] = {s: [{} for _ in range(ORDERS)] for s in set(sides)}
     size = np.array(sizes)
-    sides = None if side is None else np.array(side)
+
+    def unite(x: int, part: np.ndarray) -> None:
+        flat = np.concatenate([sets[y] for y in part.tolist()])
+        at = np.minimum(np.searchsorted(sets[x], flat), len(sets[x]) - 1)
+        start = np.concatenate([[0], np.cumsum([len(sets[y]) for y in part.tolist()])[:-1]])
+        both = np.add.reduceat((sets[x][at] == flat).astype(np.int64), start)
+        for y in part[100 * both >= PERCENT * (sizes[x] + size[part] - both)].tolist():
+            groups.union(x, y)
+
+    def apart(x: int, found: np.ndarray) -> np.ndarray:
+        return found[groups.roots(found) != groups.find(x)]
+
     for x in turn:
         prefixes = [_prefix(sizes[x], sets[x], dfs[x], o).tolist() for o in range(ORDERS)]
-        found: np.ndarray | None = None
-        for o in range(ORDERS):
-            lists = [y for t in prefixes[o] if (y := index[o].get(t))]
-            if not lists:
-                found = None
-                break
-            own = np.unique(np.concatenate(lists))
-            found = own if found is None else np.intersect1d(found, own, assume_unique=True)
-            found = found[100 * size[found] >= PERCENT * sizes[x]]
-            if sides is not None:
-                found = found[sides[found] != sides[x]]
+        met = [index[s] for s in index if side is None or s != sides[x]]
+        found, count = _counted(_posted([m[0] for m in met], prefixes[0]), len(sizes))
+        fits = 100 * size[found] >= PERCENT * sizes[x]
+        found, count = found[fits], count[fits]
+        if len(found) > FIRST:
+            unite(x, found[np.argsort(-count, kind="stable")[:FIRST]])
+            found = apart(x, found)
+        for o in range(1, ORDERS):
             if not len(found):
                 break
-        if found is not None and len(found):
-            found = found[np.argsort(-size[found], kind="stable")]
-            while True:
-                found = found[groups.roots(found) != groups.find(x)]
-                if not len(found):
-                    break
-                part, found = found[:64], found[64:]
-                flat = np.concatenate([sets[y] for y in part.tolist()])
-                at = np.minimum(np.searchsorted(sets[x], flat), len(sets[x]) - 1)
-                start = np.concatenate([[0], np.cumsum([len(sets[y]) for y in part.tolist()])[:-1]])
-                both = np.add.reduceat((sets[x][at] == flat).astype(np.int64), start)
-                for y in part[100 * both >= PERCENT * (sizes[x] + size[part] - both)].tolist():
-                    groups.union(x, y)
-        for o in range(ORDERS):
+            other, _ = _counted(_posted([m[o] for m in met], prefixes[o]), len(sizes))
+            found = np.intersect1d(found, other, assume_unique=True)
+        found = found[np.argsort(-size[found], kind="stable")]
+        while len(found := apart(x, found)):
+            part, found = found[:64], found[64:]
+            unite(x, part)
+        for o, own in enumerate(index[sides[x]]):
             for t in prefixes[o]:
-                index[o].setdefault(t, []).append(x)
+                own.setdefault(t, array("i")).append(x)
     return groups
 
 

@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
+import numpy as np
 import pytest
 from helpers import documents, text, words
 
@@ -126,3 +128,40 @@ def test_rounds_do_not_multiply_the_estimate_of_a_size(spark):
         labels = connected_components(spark.range(n).selectExpr("id a", "id + 1 b"))
         assert labels._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() <= 64  # of one number for each node of a plan
         assert {tuple(r) for r in labels.collect()} == {(k, 0) for k in range(n + 1)}
+
+
+def shared_sets(seed, n, size, edits, differ):
+    """Near copies of two sets, as link takes them: sizes, the shingles that others have too, and their document frequencies."""
+    r = np.random.default_rng(seed)
+    base = r.integers(1, 1 << 63, (2, size), dtype=np.uint64)
+    base[1, differ:] = base[0, differ:]
+    sets = []
+    for k in range(n):
+        s = base[k % 2].copy()
+        s[r.integers(0, size, edits)] = r.integers(1, 60, edits)
+        sets.append(np.unique(s))
+    names, df = np.unique(np.concatenate(sets), return_counts=True)
+    found = [df[np.searchsorted(names, s)] for s in sets]
+    return [len(s) for s in sets], [s[d > 1] for s, d in zip(sets, found, strict=True)], [d[d > 1].astype(np.uint16) for d in found]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_links_between_sides_against_brute_force(seed):
+    sizes, sets, dfs = shared_sets(seed, 90, 60, 3 + seed, 7)
+    for side in (None, [k % 3 % 2 for k in range(90)]):
+        plain = jaccard._Groups(90)
+        for x in range(90):
+            for y in range(x):
+                both = len(np.intersect1d(sets[x], sets[y]))
+                if (side is None or side[x] != side[y]) and 100 * both >= 80 * (sizes[x] + sizes[y] - both):
+                    plain.union(x, y)
+        got = jaccard.link(sizes, sets, dfs, side)
+        assert [got.find(k) for k in range(90)] == [plain.find(k) for k in range(90)]
+
+
+def test_a_large_group_of_near_copies_is_linked_fast():
+    sizes, sets, dfs = shared_sets(1, 1500, 400, 8, 0)
+    began = time.process_time()
+    groups = jaccard.link(sizes, sets, dfs)
+    assert {groups.find(k) for k in range(1500)} == {0}
+    assert time.process_time() - began < 6
